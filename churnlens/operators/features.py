@@ -9,13 +9,14 @@ the purchase-order trend read events again, both through skew-safe aggregates.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlens.config import EVENT_CODES, EVENT_TYPES, ChurnParams
 from churnlens.functions.columns import safe_div
 from churnlens.functions.prefix import global_order, top_k_per_group
 from churnlens.functions.quantiles import grouped_quantiles
+from churnlens.session import cut_lineage
 
 CHANGE_COLS = ("visit_frequency_change", "purchase_cycle_change", "session_duration_change",
                "cart_conversion_change", "coupon_response_change", "search_intensity_change",
@@ -94,85 +95,150 @@ def rfm(customers: DataFrame, events: DataFrame, ref_date) -> DataFrame:
                         .otherwise(0.0)))
 
 
-# ------------------------------------------------------------------ F3
+# ------------------------------------------------------------------ per-customer statistics
 
-def behavior_changes(customers: DataFrame, daily: DataFrame) -> DataFrame:
-    """second-half / first-half rates, split at each customer's own midpoint."""
-    span = daily.groupBy("customer_id").agg(F.min("event_date").alias("dmin"),
-                                            F.max("event_date").alias("dmax"))
-    d = daily.join(span, "customer_id")
+HALF_TYPES = ("page_view", "purchase", "add_to_cart", "coupon_use", "search", "cs_contact")
+
+
+def customer_stats(daily: DataFrame) -> DataFrame:
+    """One row per customer with every sum the daily-based features need.
+
+    The customer's own first / last day come from a window over the daily rows
+    (bounded: one row per active day), so the whole thing is one shuffle by customer
+    and one aggregate that reuses that partitioning.
+    """
+    w = Window.partitionBy("customer_id")
+    d = (daily.withColumn("dmin", F.min("event_date").over(w))
+         .withColumn("dmax", F.max("event_date").over(w)))
     first = (2 * F.datediff("event_date", "dmin")) <= F.datediff("dmax", "dmin")
-    aggs = []
-    for t in ("page_view", "purchase", "add_to_cart", "coupon_use", "search", "cs_contact"):
+    recent = F.col("event_date") > F.date_sub("dmax", 30)
+    npur = F.col(_n("purchase"))
+    aggs = [F.first("dmin").alias("dmin"), F.first("dmax").alias("dmax"),
+            F.count(F.lit(1)).alias("visit_days"), F.sum("n_events").alias("n_events"),
+            F.sum("sess_sum").alias("sess_sum"), F.sum("sess_n").alias("sess_n")]
+    aggs += [F.sum(_n(t)).alias(_n(t)) for t in EVENT_TYPES]
+    for t in HALF_TYPES:
         aggs += [F.sum(F.when(first, F.col(_n(t))).otherwise(0)).alias(f"a_{t}"),
                  F.sum(F.when(~first, F.col(_n(t))).otherwise(0)).alias(f"b_{t}")]
     aggs += [F.sum(F.when(first, F.col("sess_sum"))).alias("a_ss"),
              F.sum(F.when(first, F.col("sess_n"))).alias("a_sn"),
              F.sum(F.when(~first, F.col("sess_sum"))).alias("b_ss"),
              F.sum(F.when(~first, F.col("sess_n"))).alias("b_sn"),
-             F.first(F.greatest(F.floor(F.datediff("dmax", "dmin") / 2), F.lit(1))).alias("hd")]
-    g = d.groupBy("customer_id").agg(*aggs)
-    hd = F.col("hd")
+             F.min(F.when(npur > 0, F.col("event_date"))).alias("pmin"),
+             F.max(F.when(npur > 0, F.col("event_date"))).alias("pmax"),
+             F.sum("purchase_amount").alias("p_amount"),
+             F.sum(F.when(F.weekday("event_date") >= 5, npur).otherwise(0)).alias("wk_purchases"),
+             F.var_samp("n_events").alias("day_var"),
+             F.sum(F.when(recent, F.col("n_events")).otherwise(0)).alias("rc")]
+    return d.groupBy("customer_id").agg(*aggs)
+
+
+def _with_stats(customers: DataFrame, stats: DataFrame) -> DataFrame:
+    return customers.select("customer_id").join(stats, "customer_id", "left")
+
+
+def change_cols() -> list[Column]:
+    """F3 expressions over ``customer_stats`` (0 for customers without events)."""
+    hd = F.greatest(F.floor(F.datediff("dmax", "dmin") / 2), F.lit(1))
 
     def rate_change(t):
         return safe_div(F.col(f"b_{t}") / hd, F.col(f"a_{t}") / hd)
     conv_a = safe_div("a_purchase", "a_add_to_cart")
     conv_b = safe_div("b_purchase", "b_add_to_cart")
-    ch = g.select(
-        "customer_id",
-        rate_change("page_view").alias("visit_frequency_change"),
-        rate_change("purchase").alias("purchase_cycle_change"),
-        safe_div(safe_div("b_ss", "b_sn", None), safe_div("a_ss", "a_sn", None)).alias("session_duration_change"),
-        safe_div(conv_b, conv_a).alias("cart_conversion_change"),
-        rate_change("coupon_use").alias("coupon_response_change"),
-        rate_change("search").alias("search_intensity_change"),
-        rate_change("cs_contact").alias("cs_contact_change"))
-    return customers.select("customer_id").join(ch, "customer_id", "left").na.fill(0.0, list(CHANGE_COLS))
-
+    cols = [rate_change("page_view"), rate_change("purchase"),
+            safe_div(safe_div("b_ss", "b_sn", None), safe_div("a_ss", "a_sn", None)),
+            safe_div(conv_b, conv_a), rate_change("coupon_use"), rate_change("search"),
+            rate_change("cs_contact")]
+    return [F.coalesce(c, F.lit(0.0)).alias(n) for c, n in zip(cols, CHANGE_COLS)]
 
-# ------------------------------------------------------------------ F4
 
-def purchase_cycle(customers: DataFrame, daily: DataFrame, ref_date) -> DataFrame:
-    """mean purchase gap (telescopes to span / (n - 1)), overdue ratio."""
-    g = (daily.filter(F.col(_n("purchase")) > 0).groupBy("customer_id")
-         .agg(F.sum(_n("purchase")).alias("np"), F.min("event_date").alias("pmin"),
-              F.max("event_date").alias("pmax")))
+def cycle_cols(ref_date) -> list[Column]:
+    """F4 expressions: mean purchase gap (telescopes to span / (n - 1)), overdue ratio."""
     ref = _date(ref_date)
-    enough = F.col("np") >= 2
-    avg_cycle = F.datediff("pmax", "pmin") / (F.col("np") - 1)
+    np_ = F.col(_n("purchase"))
+    has = F.col("pmax").isNotNull()
+    enough = has & (np_ >= 2)
+    avg_cycle = F.datediff("pmax", "pmin") / (np_ - 1)
     since = F.greatest(F.datediff(ref, "pmax"), F.lit(0)).cast("double")
-    anomaly = (F.when(F.col("np").isNull(), 2.0).when(F.col("np") == 1, 1.5)
+    anomaly = (F.when(~has, 2.0).when(np_ == 1, 1.5)
                .otherwise(F.greatest(safe_div(since, avg_cycle, 2.0), F.lit(0.0))))
-    return (customers.select("customer_id").join(g, "customer_id", "left")
-            .select("customer_id", anomaly.alias("purchase_cycle_anomaly"),
-                    F.when(enough, avg_cycle).otherwise(0.0).alias("avg_purchase_cycle_days"),
-                    F.when(enough, since).otherwise(0.0).alias("days_since_last_purchase")))
+    return [anomaly.alias("purchase_cycle_anomaly"),
+            F.when(enough, avg_cycle).otherwise(0.0).alias("avg_purchase_cycle_days"),
+            F.when(enough, since).otherwise(0.0).alias("days_since_last_purchase")]
+
 
+def session_cols() -> list[Column]:
+    """F5 expressions: session length (fallback events per active day), rates."""
+    vd = F.greatest(F.col("visit_days"), F.lit(1))
+    rng = F.greatest(F.datediff("dmax", "dmin") + 1, F.lit(1))
+    cols = [F.coalesce(safe_div("sess_sum", "sess_n", None), F.col("n_events") / vd),
+            F.col(_n("page_view")) / vd,
+            safe_div(_n("purchase"), _n("search")),
+            safe_div(_n("remove_from_cart"), _n("add_to_cart")),
+            F.col("n_events") / rng]
+    names = ["avg_session_duration", "pageviews_per_session", "search_to_purchase_rate",
+             "cart_abandonment_rate", "avg_events_per_day"]
+    return [F.coalesce(c, F.lit(0.0)).alias(n) for c, n in zip(cols, names)]
 
-# ------------------------------------------------------------------ F5, F6, F7
 
-def _customer_totals(daily: DataFrame) -> DataFrame:
-    aggs = [F.sum("n_events").alias("n_events"), F.count(F.lit(1)).alias("visit_days"),
-            F.min("event_date").alias("dmin"), F.max("event_date").alias("dmax"),
-            F.sum("sess_sum").alias("sess_sum"), F.sum("sess_n").alias("sess_n")]
-    aggs += [F.sum(_n(t)).alias(_n(t)) for t in EVENT_TYPES]
-    return daily.groupBy("customer_id").agg(*aggs)
+def sequence_cols() -> list[Column]:
+    """F7 expressions: event types seen, total events of the 8 types."""
+    div = sum(F.when(F.col(_n(t)) > 0, 1).otherwise(0) for t in EVENT_TYPES)
+    ln = sum(F.coalesce(F.col(_n(t)), F.lit(0)) for t in EVENT_TYPES)
+    return [div.cast("long").alias("sequence_diversity"), ln.cast("long").alias("sequence_length")]
+
+
+def daily_time_cols() -> list[Column]:
+    """F10 daily part: weekend purchase share, variance of daily counts."""
+    return [F.coalesce(safe_div("wk_purchases", _n("purchase"), None), F.lit(0.0)).alias("weekend_purchase_ratio"),
+            F.coalesce(F.col("day_var"), F.lit(0.0)).alias("day_variance")]
+
+
+def journey_cols() -> list[Column]:
+    """F11 expressions: onboarding 0, growing 1, mature 2, declining 3, dormant 4, stage tenure."""
+    span_ = F.greatest(F.datediff("dmax", "dmin"), F.lit(0))
+    rc, pc = F.col("rc").cast("double"), F.col(_n("purchase"))
+    rr = rc / 30.0
+    older = F.when(span_ > 30, (F.col("n_events") - rc) / F.greatest(span_ - 30, F.lit(1))).otherwise(rr)
+    onb = span_ < 30
+    grow = ~onb & (rr > older * 1.2)
+    mat = ~onb & ~grow & (rr > older * 0.8) & (pc >= 3)
+    dec = ~onb & ~grow & ~mat & (rr < older * 0.5)
+    rem = ~(onb | grow | mat | dec)
+    dorm = rem & (rr < 0.1)
+    still = rem & ~dorm & (pc < 2)
+    stage = F.when(onb | still, 0).when(grow, 1).when(mat, 2).when(dec, 3).when(dorm, 4).otherwise(2)
+    tenure_ = F.greatest(F.when(grow, F.least(F.lit(30), span_)).when(dec | dorm, 30).otherwise(span_), F.lit(0))
+    none = F.col("dmax").isNull()
+    return [F.when(none, 4).otherwise(stage).cast("int").alias("journey_stage"),
+            F.when(none, 0).otherwise(tenure_).cast("int").alias("stage_tenure_days")]
+
+
+def activity_rfm_cols(ref_date) -> list[Column]:
+    """F2 expressions from the daily statistics (purchases of the activity events)."""
+    ref = _date(ref_date)
+    rec = F.greatest(F.coalesce(F.datediff(ref, "pmax"), F.lit(365)), F.lit(0)).cast("double")
+    freq = F.coalesce(F.col(_n("purchase")), F.lit(0)).cast("long")
+    mon = F.coalesce(F.col("p_amount"), F.lit(0.0))
+    return [rec.alias("recency"), freq.alias("frequency"), mon.alias("monetary"),
+            F.when(freq > 0, mon / freq).otherwise(0.0).alias("avg_order_value"),
+            F.when(rec == 366, F.lit(float("inf"))).when(rec > 0, mon / (365 - rec + 1)).otherwise(0.0)
+            .alias("monetary_per_day")]
+
+
+def behavior_changes(customers: DataFrame, daily: DataFrame) -> DataFrame:
+    """second-half / first-half rates, split at each customer's own midpoint."""
+    return _with_stats(customers, customer_stats(daily)).select("customer_id", *change_cols())
+
+
+def purchase_cycle(customers: DataFrame, daily: DataFrame, ref_date) -> DataFrame:
+    """purchase-cycle anomaly."""
+    return _with_stats(customers, customer_stats(daily)).select("customer_id", *cycle_cols(ref_date))
 
 
 def session_quality(customers: DataFrame, daily: DataFrame) -> DataFrame:
-    """session length (fallback events per active day), page views per day, ratios."""
-    t = _customer_totals(daily)
-    vd = F.greatest(F.col("visit_days"), F.lit(1))
-    rng = F.greatest(F.datediff("dmax", "dmin") + 1, F.lit(1))
-    out = t.select(
-        "customer_id",
-        F.coalesce(safe_div("sess_sum", "sess_n", None), F.col("n_events") / vd).alias("avg_session_duration"),
-        (F.col(_n("page_view")) / vd).alias("pageviews_per_session"),
-        safe_div(_n("purchase"), _n("search")).alias("search_to_purchase_rate"),
-        safe_div(_n("remove_from_cart"), _n("add_to_cart")).alias("cart_abandonment_rate"),
-        (F.col("n_events") / rng).alias("avg_events_per_day"))
-    cols = [c for c in out.columns if c != "customer_id"]
-    return customers.select("customer_id").join(out, "customer_id", "left").na.fill(0.0, cols)
+    """session quality features."""
+    return _with_stats(customers, customer_stats(daily)).select("customer_id", *session_cols())
 
 
 def event_counts(daily: DataFrame) -> DataFrame:
@@ -182,13 +248,7 @@ def event_counts(daily: DataFrame) -> DataFrame:
 
 def sequence_stats(customers: DataFrame, daily: DataFrame) -> DataFrame:
     """number of event types seen and total events of the 8 types."""
-    c = event_counts(daily)
-    div = sum(F.when(F.col(t) > 0, 1).otherwise(0) for t in EVENT_TYPES)
-    ln = sum(F.col(t) for t in EVENT_TYPES)
-    out = c.select("customer_id", div.cast("long").alias("sequence_diversity"),
-                   ln.cast("long").alias("sequence_length"))
-    return customers.select("customer_id").join(out, "customer_id", "left") \
-        .na.fill(0, ["sequence_diversity", "sequence_length"])
+    return _with_stats(customers, customer_stats(daily)).select("customer_id", *sequence_cols())
 
 
 # ------------------------------------------------------------------ F8, F9
@@ -235,58 +295,37 @@ def hourly_profile(events: DataFrame) -> DataFrame:
             .groupBy("customer_id", F.hour("timestamp").alias("hour")).agg(F.count(F.lit(1)).alias("cnt")))
 
 
-def time_features(customers: DataFrame, daily: DataFrame, hourly: DataFrame) -> DataFrame:
-    """weekend purchase share, morning / evening / night shares, peak hour, day variance."""
+def hourly_cols_table(hourly: DataFrame) -> DataFrame:
+    """F10 hour part: morning / evening / night shares, peak hour (lowest hour on ties)."""
     h = F.col("hour")
-    hp = hourly.groupBy("customer_id").agg(
+    return hourly.groupBy("customer_id").agg(
         (F.sum(F.when((h >= 6) & (h < 12), F.col("cnt")).otherwise(0)) / F.sum("cnt")).alias("morning_activity_ratio"),
         (F.sum(F.when((h >= 18) & (h < 22), F.col("cnt")).otherwise(0)) / F.sum("cnt")).alias("evening_activity_ratio"),
         (F.sum(F.when((h >= 22) | (h < 6), F.col("cnt")).otherwise(0)) / F.sum("cnt")).alias("night_activity_ratio"),
         F.max_by("hour", F.col("cnt") * 100 - h).alias("peak_hour"))
-    wk = F.weekday("event_date") >= 5
-    dp = daily.groupBy("customer_id").agg(
-        safe_div(F.sum(F.when(wk, F.col(_n("purchase"))).otherwise(0)), F.sum(_n("purchase")), None)
-        .alias("weekend_purchase_ratio"),
-        F.var_samp("n_events").alias("day_variance"))
-    out = customers.select("customer_id").join(dp, "customer_id", "left").join(hp, "customer_id", "left")
-    return (out.na.fill(0.0, ["weekend_purchase_ratio", "morning_activity_ratio", "evening_activity_ratio",
-                              "night_activity_ratio"])
-            .withColumn("day_variance", F.coalesce(F.col("day_variance"), F.lit(0.0)))
-            .withColumn("peak_hour", F.coalesce(F.col("peak_hour"), F.lit(12)).cast("int"))
-            .select("customer_id", "weekend_purchase_ratio", "evening_activity_ratio", "morning_activity_ratio",
-                    "night_activity_ratio", "peak_hour", "day_variance"))
-
-
-# ------------------------------------------------------------------ F11, F12
+
+
+TIME_COLS = ["weekend_purchase_ratio", "evening_activity_ratio", "morning_activity_ratio",
+             "night_activity_ratio", "peak_hour", "day_variance"]
+
+
+def _hour_out() -> list[Column]:
+    return [F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in
+            ("evening_activity_ratio", "morning_activity_ratio", "night_activity_ratio")] + \
+        [F.coalesce(F.col("peak_hour"), F.lit(12)).cast("int").alias("peak_hour")]
+
+
+def time_features(customers: DataFrame, daily: DataFrame, hourly: DataFrame) -> DataFrame:
+    """weekend purchase share, morning / evening / night shares, peak hour, day variance."""
+    out = _with_stats(customers, customer_stats(daily)).select("customer_id", *daily_time_cols())
+    out = out.join(hourly_cols_table(hourly), "customer_id", "left")
+    return out.select("customer_id", "weekend_purchase_ratio", *_hour_out(), "day_variance").select(
+        "customer_id", *TIME_COLS)
+
 
 def journey_stage(customers: DataFrame, daily: DataFrame) -> DataFrame:
-    """onboarding 0, growing 1, mature 2, declining 3, dormant 4, and stage tenure."""
-    span = daily.groupBy("customer_id").agg(F.min("event_date").alias("dmin"),
-                                            F.max("event_date").alias("dmax"))
-    d = daily.join(span, "customer_id")
-    recent = F.col("event_date") > F.date_sub("dmax", 30)
-    g = d.groupBy("customer_id").agg(
-        F.first(F.greatest(F.datediff("dmax", "dmin"), F.lit(0))).alias("span"),
-        F.sum("n_events").alias("cnt"),
-        F.sum(F.when(recent, F.col("n_events")).otherwise(0)).alias("rc"),
-        F.sum(_n("purchase")).alias("pc"))
-    span_, rc, pc = F.col("span"), F.col("rc").cast("double"), F.col("pc")
-    rr = rc / 30.0
-    older = F.when(span_ > 30, (F.col("cnt") - rc) / F.greatest(span_ - 30, F.lit(1))).otherwise(rr)
-    onb = span_ < 30
-    grow = ~onb & (rr > older * 1.2)
-    mat = ~onb & ~grow & (rr > older * 0.8) & (pc >= 3)
-    dec = ~onb & ~grow & ~mat & (rr < older * 0.5)
-    rem = ~(onb | grow | mat | dec)
-    dorm = rem & (rr < 0.1)
-    still = rem & ~dorm & (pc < 2)
-    stage = (F.when(onb | still, 0).when(grow, 1).when(mat, 2).when(dec, 3).when(dorm, 4).otherwise(2))
-    tenure = F.when(grow, F.least(F.lit(30), span_)).when(dec | dorm, 30).otherwise(span_)
-    out = g.select("customer_id", stage.alias("journey_stage"),
-                   F.greatest(tenure, F.lit(0)).alias("stage_tenure_days"))
-    return (customers.select("customer_id").join(out, "customer_id", "left")
-            .select("customer_id", F.coalesce("journey_stage", F.lit(4)).cast("int").alias("journey_stage"),
-                    F.coalesce("stage_tenure_days", F.lit(0)).cast("int").alias("stage_tenure_days")))
+    """journey stage and stage tenure."""
+    return _with_stats(customers, customer_stats(daily)).select("customer_id", *journey_cols())
 
 
 def tenure(customers: DataFrame, ref_date) -> DataFrame:
@@ -315,45 +354,48 @@ def sanitize_features(df: DataFrame, exclude=SANITIZE_EXCLUDE) -> DataFrame:
         return cleaned
     long = cleaned.select(*[F.col(c).cast("double").alias(c) for c in num]).unpivot([], num, "feature", "value")
     q = grouped_quantiles(long, "value", [0.01, 0.99], ["feature"])
-    nd = long.groupBy("feature", "value").agg().groupBy("feature").agg(F.count(F.lit(1)).alias("nd"))
+    nd = long.select("feature", "value").distinct().groupBy("feature").agg(F.count(F.lit(1)).alias("nd"))
     rows = q.join(nd, "feature").collect()      # 2 rows per numeric column
     bounds: dict[str, dict] = {}
     for r in rows:
         bounds.setdefault(r["feature"], {"nd": r["nd"]})[r["q_index"]] = r["q"]
     out = cleaned
     for c in num:
+        x = F.col(c).cast("double")
         b = bounds.get(c)
-        if not b or b["nd"] <= 2:
-            continue
-        lo, hi = b.get(0), b.get(1)
-        if lo is not None and hi is not None and lo < hi:
-            out = out.withColumn(c, F.least(F.greatest(F.col(c).cast("double"), F.lit(lo)), F.lit(hi)))
+        lo, hi = (b.get(0), b.get(1)) if b else (None, None)
+        if b and b["nd"] > 2 and lo is not None and hi is not None and lo < hi:
+            x = F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
+        out = out.withColumn(c, x)
     return out
 
 
 def build_features(customers: DataFrame, events: DataFrame, ref_date, *, with_cluster: bool = True,
                    sanitize: bool = True) -> DataFrame:
-    """the 33-feature matrix, one row per customer."""
+    """the 33-feature matrix, one row per customer.
+
+    Plan: events -> daily rollup -> customer statistics (one shuffle by customer), hour
+    profile, purchase trend; three left joins on ``customer_id``; one sanitiser pass.
+    """
     daily = daily_rollup(events)
-    hourly = hourly_profile(events)
+    stats = customer_stats(daily)
+    hours = hourly_cols_table(hourly_profile(events))
+    trend = purchase_trend(customers, events)
     base = customers.select("customer_id", "persona", "churn_label", "treatment_group", "signup_date")
-    parts = [
-        rfm(customers, events, ref_date),
-        behavior_changes(customers, daily),
-        purchase_cycle(customers, daily, ref_date),
-        session_quality(customers, daily),
-        sequence_stats(customers, daily),
-        purchase_trend(customers, events),
-        time_features(customers, daily, hourly),
-        journey_stage(customers, daily),
-        tenure(customers, ref_date),
-    ]
+    j = (base.join(stats, "customer_id", "left").join(hours, "customer_id", "left")
+         .join(trend, "customer_id", "left"))
+    out = j.select(
+        "customer_id", "persona", "churn_label", "treatment_group", "signup_date",
+        *activity_rfm_cols(ref_date), *change_cols(), *cycle_cols(ref_date), *session_cols(),
+        *sequence_cols(), F.coalesce("purchase_sequence_trend", F.lit(0.0)).alias("purchase_sequence_trend"),
+        daily_time_cols()[0], *_hour_out(), daily_time_cols()[1], *journey_cols(),
+        F.greatest(F.datediff(_date(ref_date), "signup_date"), F.lit(0)).alias("tenure_days"))
     if with_cluster:
-        parts.append(behavior_cluster(customers, daily))
-    out = base
-    for p in parts:
-        out = out.join(p, "customer_id", "left")
-    return sanitize_features(out) if sanitize else out
+        out = out.join(behavior_cluster(customers, daily), "customer_id", "left")
+    if not sanitize:
+        return out
+    # the sanitiser reads the matrix several times: cut the lineage once
+    return sanitize_features(cut_lineage(out))
 
 
 # ------------------------------------------------------------------ F14-F18

@@ -19,16 +19,19 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
 
 
+def _norm_col(c, dt, digits):
+    if isinstance(dt, (T.DoubleType, T.FloatType, T.DecimalType)):
+        return F.round(c.cast("double"), digits)
+    if isinstance(dt, (T.IntegerType, T.ShortType, T.ByteType)):
+        return c.cast("long")
+    if isinstance(dt, T.ArrayType) and isinstance(dt.elementType, (T.DoubleType, T.FloatType, T.ArrayType)):
+        return F.transform(c, lambda x: _norm_col(x, dt.elementType, digits))
+    return c
+
+
 def normalize(df: DataFrame, digits: int = 6) -> DataFrame:
-    cols = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.round(c.cast("double"), digits)
-        elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
-            c = c.cast("long")
-        cols.append(c.alias(f.name))
-    return df.select(*cols)
+    return df.select(*[_norm_col(F.col(f"`{f.name}`"), f.dataType, digits).alias(f.name)
+                       for f in df.schema.fields])
 
 
 def register(name: str, sql: str | None = None):
