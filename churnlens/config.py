@@ -24,7 +24,7 @@ class ChurnParams:
 @dataclass(frozen=True)
 class CohortParams:
     max_periods: int = 12
-    min_cohort_size: int = 1
+    min_cohort_size: int = 5
     milestones: tuple = (1, 3, 6, 12)
 
 
