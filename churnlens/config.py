@@ -35,7 +35,7 @@ class DriftParams:
     psi_red: float = 0.25
     ks_drift_p: float = 0.01
     ks_warning_p: float = 0.05
-    epsilon: float = 1e-4
+    epsilon: float = 1e-6
 
 
 @dataclass(frozen=True)

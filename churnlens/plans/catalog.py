@@ -21,7 +21,7 @@ ORACLE: dict[str, str] = {}
 
 def _norm_col(c, dt, digits):
     if isinstance(dt, (T.DoubleType, T.FloatType, T.DecimalType)):
-        return F.round(c.cast("double"), digits)
+        return F.round(c.cast("double"), digits) + F.lit(0.0)  # -0.0 -> 0.0
     if isinstance(dt, (T.IntegerType, T.ShortType, T.ByteType)):
         return c.cast("long")
     if isinstance(dt, T.ArrayType) and isinstance(dt.elementType, (T.DoubleType, T.FloatType, T.ArrayType)):

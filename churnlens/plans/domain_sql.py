@@ -71,7 +71,7 @@ def oracle(body: str, *, views: list[str], ctes: list[str] | None = None,
             order.append(v)
     parts = [DOMAIN[v] for v in order] + list(ctes or [])
     sql = ("WITH " + ",\n".join(parts) + "\n" + body) if parts else body
-    repl = [f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in (doubles or [])]
+    repl = [f"round(CAST({c} AS DOUBLE), 6) + 0.0 AS {c}" for c in (doubles or [])]
     repl += [f"CAST({c} AS BIGINT) AS {c}" for c in (ints or [])]
     if repl:
         sql = f"SELECT * REPLACE ({', '.join(repl)}) FROM (\n{sql}\n) AS q"

@@ -150,7 +150,7 @@ def q_filter_cohorts(spark, sf):
 
 
 @register("retention_curves", oracle("""
-SELECT cohort, list(round(retention, 6) ORDER BY cohort_period) AS curve FROM ret GROUP BY cohort""",
+SELECT cohort, list((round(retention, 6) + 0.0) ORDER BY cohort_period) AS curve FROM ret GROUP BY cohort""",
     views=V, ctes=[COH, RET]))
 def q_retention_curves(spark, sf):
     """Retention curve per cohort."""

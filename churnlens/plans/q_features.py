@@ -387,7 +387,7 @@ def _feature_sequences(spark, sf):
 
 
 @register("feature_sequences", oracle("""SELECT customer_id, churn_label,
-  list_transform(sequence, lambda s: list_transform(s, lambda x: round(x, 6))) AS sequence FROM fseq""",
+  list_transform(sequence, lambda s: list_transform(s, lambda x: (round(x, 6) + 0.0))) AS sequence FROM fseq""",
     views=["cust", "activity"], ctes=[REF, LABEL_SQL_CTE, LAB2, WEEKLY_CTE], ints=["churn_label"]))
 def q_feature_sequences(spark, sf):
     """F16: last 4 weekly feature vectors of labelled customers, left zero-padded."""
@@ -396,7 +396,7 @@ def q_feature_sequences(spark, sf):
 
 @register("scaled_sequences", oracle("""
 SELECT customer_id, churn_label, list_transform(sequence, lambda s:     CASE WHEN list_bool_and(list_transform(s, lambda x: x = 0.0)) THEN s
-         ELSE list_transform(s, lambda x, i: round((x - mu[i]) / sd[i], 6)) END) AS sequence
+         ELSE list_transform(s, lambda x, i: (round((x - mu[i]) / sd[i], 6) + 0.0)) END) AS sequence
 FROM fseq CROSS JOIN (
   SELECT [avg(v[1]), avg(v[2]), avg(v[3])] AS mu,
          [stddev_pop(v[1]) + 1e-8, stddev_pop(v[2]) + 1e-8, stddev_pop(v[3]) + 1e-8] AS sd
@@ -411,8 +411,8 @@ PSEUDO_COLS = ["recency", "frequency", "monetary"]
 
 
 @register("pseudo_sequences", oracle("""
-SELECT customer_id, [list_transform(z, lambda x: round(x * 1 / 3, 6)), list_transform(z, lambda x: round(x * 2 / 3, 6)),
-                     list_transform(z, lambda x: round(x * 3 / 3, 6))] AS sequence
+SELECT customer_id, [list_transform(z, lambda x: (round(x * 1 / 3, 6) + 0.0)), list_transform(z, lambda x: (round(x * 2 / 3, 6) + 0.0)),
+                     list_transform(z, lambda x: (round(x * 3 / 3, 6) + 0.0))] AS sequence
 FROM (SELECT customer_id, [(recency - mr) / (sr + 1e-8), (frequency - mf) / (sf + 1e-8), (monetary - mm) / (sm + 1e-8)] AS z
       FROM arfm CROSS JOIN (SELECT avg(recency) AS mr, stddev_pop(recency) AS sr, avg(frequency) AS mf,
                                    stddev_pop(frequency) AS sf, avg(monetary) AS mm, stddev_pop(monetary) AS sm FROM arfm))""",
