@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from churnlens.functions.columns import risk_level_right_closed
 from churnlens.functions.prefix import global_order
+from churnlens.session import cut_lineage
 
 
 # ------------------------------------------------------------------ M1-M3
@@ -41,6 +42,8 @@ def fit_churn(train: DataFrame, features: list[str], label: str = "churn_label",
     wpos = (1 - st) / st if 0 < st < 0.30 else 1.0
     data = stratified_folds(train.withColumn("__w", F.when(F.col(label) == 1, wpos).otherwise(1.0))
                             .withColumn("label", F.col(label).cast("double")), "label", k, seed, id_col)
+    # every fold of every candidate re-reads the training frame: cut the lineage once
+    data = cut_lineage(data.select(id_col, "label", "__w", "fold", *features))
     va = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
     ev = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction", metricName="areaUnderROC")
     results, best = [], None
@@ -50,7 +53,7 @@ def fit_churn(train: DataFrame, features: list[str], label: str = "churn_label",
              lambda m: ParamGridBuilder().addGrid(m.maxDepth, [3, 5, 7]).build())]
     for name, est, grid in fams:
         cv = CrossValidator(estimator=Pipeline(stages=[va, est]), estimatorParamMaps=grid(est), evaluator=ev,
-                            foldCol="fold", seed=seed, parallelism=2)
+                            foldCol="fold", numFolds=k, seed=seed, parallelism=4)
         m = cv.fit(data)
         for params, auc in zip(grid(est), m.avgMetrics):
             results.append((name, str({p.name: v for p, v in params.items()}), float(auc)))
@@ -145,10 +148,10 @@ def roc_curve(scored: DataFrame, score_col: str = "churn_probability", label: st
     """M8: (fpr, tpr) at every distinct score, thinned to <= ``max_points`` evenly spaced
     points (indices floor(i (n - 1) / (max_points - 1)))."""
     t = score_table(scored, score_col, label)
-    tot = t.agg(F.sum("pos").alias("__P"), F.sum("neg").alias("__N"), F.count(F.lit(1)).alias("__n"))
+    tot = t.agg(F.sum("pos").alias("__P"), F.sum("neg").alias("__N"), F.count(F.lit(1)).alias("__npts"))
     j = t.crossJoin(F.broadcast(tot))
     i0 = F.col("idx") - 1
-    n = F.col("__n")
+    n = F.col("__npts")
     # keep index i0 if some i in [0, m) has floor(i (n-1)/(m-1)) == i0
     m = max_points
     lo = F.ceil(i0 * (m - 1) / F.greatest(n - 1, F.lit(1)))
