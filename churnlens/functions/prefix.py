@@ -107,6 +107,19 @@ def global_order(df: DataFrame, keys: list[tuple[str, bool]], *, rank_col: str |
         sum_cols[out] = tmp
     n = n_rows if n_rows is not None else work.count()
     bounds = _boundaries(work, full_keys, n, rows_per_bucket, max_buckets, sample_per_bucket, seed)
+    if not bounds:
+        # n <= rows_per_bucket: one bounded bucket, no offsets needed. The window is
+        # partitioned by the group keys (or one bucket of at most rows_per_bucket rows).
+        order = [F.col(k).asc() if a else F.col(k).desc() for k, a in keys if k not in partition_by]
+        part = [F.col(p) for p in partition_by] or [F.lit(0)]
+        w = Window.partitionBy(*part).orderBy(*order)
+        wr = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = work
+        if rank_col:
+            out = out.withColumn(rank_col, F.row_number().over(w))
+        for o, t in sum_cols.items():
+            out = out.withColumn(o, F.sum(t).over(wr))
+        return out.drop(*sum_cols.values())
     bucket = _bucket_expr(full_keys, bounds, 0, len(bounds)) if bounds else F.lit(0)
     work = work.withColumn("__b", bucket)
 
