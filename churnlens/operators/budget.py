@@ -288,3 +288,40 @@ def channel_split(channels: DataFrame, budget: float) -> DataFrame:
 
 
 
+
+
+def allocate_lp(df: DataFrame, channels: DataFrame, budget: float) -> DataFrame:
+    """Items (customer, channel) with value density priority x ROI multiplier and
+    capacity min(cost, channel unit cost); channel totals in [min, max]; total <= budget.
+
+    Fractional LP solved greedily (nested caps): each channel first funds its minimum
+    from its own best items; the leftover budget then goes in global density order to
+    each channel's remaining items, truncated to the channel's residual maximum.
+    ``status`` is ``infeasible`` when the minima exceed the budget or a channel cannot
+    reach its minimum; the channel table is tiny (broadcast cross join).
+    """
+    ch = channels.select("channel", "unit_cost", "roi_multiplier", "min_budget", "max_budget")
+    items = (df.withColumn("priority", priority_expr()).crossJoin(F.broadcast(ch))
+             .withColumn("density", F.col("priority") * F.col("roi_multiplier"))
+             .withColumn("__u", F.when(F.col("density") > 0, F.least(F.col("cost_per_action"), F.col("unit_cost")))
+                         .otherwise(0.0)))
+    o = global_order(items, [("density", False), (ID, True)], partition_by=["channel"], sums={"__cu": "__u"},
+                     rank_col=None)
+    a1 = F.greatest(F.lit(0.0), F.least(F.col("__u"), F.col("min_budget") - (F.col("__cu") - F.col("__u"))))
+    o = o.withColumn("__a1", a1).withColumn("__r", F.col("__u") - F.col("__a1"))
+    o = global_order(o, [("density", False), (ID, True)], partition_by=["channel"], sums={"__cr": "__r"},
+                     rank_col=None)
+    cap = F.col("max_budget") - F.col("min_budget")
+    o = o.withColumn("__e", F.greatest(F.lit(0.0), F.least(F.col("__r"), cap - (F.col("__cr") - F.col("__r")))))
+    feas = ch.agg(F.sum("min_budget").alias("__mins"))
+    chan_cap = items.groupBy("channel").agg(F.sum("__u").alias("__capc"), F.first("min_budget").alias("__minc"))
+    bad = chan_cap.agg(F.count_if(F.col("__capc") < F.col("__minc")).alias("__short"))
+    st = feas.crossJoin(bad).select(
+        ((F.col("__mins") > budget) | (F.col("__short") > 0)).alias("__infeasible"),
+        (F.lit(budget) - F.col("__mins")).alias("__left"))
+    o = o.crossJoin(F.broadcast(st))
+    o = global_order(o, [("density", False), ("channel", True), (ID, True)], sums={"__ge": "__e"}, rank_col=None)
+    a2 = F.greatest(F.lit(0.0), F.least(F.col("__e"), F.col("__left") - (F.col("__ge") - F.col("__e"))))
+    alloc = F.when(F.col("__infeasible"), 0.0).otherwise(F.col("__a1") + a2)
+    return o.select(ID, "channel", "density", alloc.alias("allocated_budget"),
+                    F.when(F.col("__infeasible"), "infeasible").otherwise("optimal").alias("status"))

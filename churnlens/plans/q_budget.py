@@ -319,3 +319,42 @@ def q_channel_split(spark, sf):
     b = float(s.agg(F.sum("cost_per_action")).first()[0] * BUDGET_SHARE)
     ch = spark.createDataFrame([(c, u, m) for c, u, _, m in CHANNELS], "channel string, unit_cost double, multiplier double")
     return bu.channel_split(ch, b)
+
+
+# Fixed channel table of the min / max LP: (channel, unit cost, ROI multiplier, min share, max share of the budget)
+LP_CHANNELS = (("push", 5000.0, 1.0, 0.05, 0.30), ("email", 10000.0, 1.2, 0.10, 0.50), ("sms", 20000.0, 1.5, 0.0, 0.60))
+LP_SHARE = 0.1
+
+LP_SQL = f"""lb AS (SELECT {LP_SHARE} * sum(cost_per_action) AS b FROM scores),
+lch AS (SELECT c.channel, c.unit_cost, c.roi_multiplier, c.mn * lb.b AS min_budget, c.mx * lb.b AS max_budget, lb.b
+  FROM (VALUES {", ".join(f"('{c}', {u}, {m}, {a}, {x})" for c, u, m, a, x in LP_CHANNELS)})
+    AS c(channel, unit_cost, roi_multiplier, mn, mx) CROSS JOIN lb),
+it AS (SELECT s.customer_id, l.*, greatest(s.uplift_score, 0.0) * s.clv * s.churn_probability * l.roi_multiplier AS density,
+    CASE WHEN greatest(s.uplift_score, 0.0) * s.clv * s.churn_probability * l.roi_multiplier > 0
+         THEN least(s.cost_per_action, l.unit_cost) ELSE 0.0 END AS u
+  FROM scores s CROSS JOIN lch l),
+i1 AS (SELECT *, greatest(0.0, least(u, min_budget - (sum(u) OVER (PARTITION BY channel ORDER BY density DESC, customer_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - u))) AS a1 FROM it),
+i2 AS (SELECT *, u - a1 AS r FROM i1),
+i3 AS (SELECT *, greatest(0.0, least(r, (max_budget - min_budget) - (sum(r) OVER (PARTITION BY channel ORDER BY density DESC,
+    customer_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - r))) AS e FROM i2),
+fz AS (SELECT (SELECT sum(min_budget) FROM lch) > (SELECT b FROM lb)
+    OR (SELECT count(*) FROM (SELECT channel, sum(u) AS cp, any_value(min_budget) AS mb FROM it GROUP BY channel) WHERE cp < mb) > 0
+    AS infeasible, (SELECT b FROM lb) - (SELECT sum(min_budget) FROM lch) AS lft),
+i4 AS (SELECT i3.*, fz.infeasible, fz.lft, sum(e) OVER (ORDER BY density DESC, channel, customer_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ge FROM i3 CROSS JOIN fz),
+lp AS (SELECT customer_id, channel, density,
+    CASE WHEN infeasible THEN 0.0 ELSE a1 + greatest(0.0, least(e, lft - (ge - e))) END AS allocated_budget,
+    CASE WHEN infeasible THEN 'infeasible' ELSE 'optimal' END AS status FROM i4)"""
+
+
+@register("allocate_lp", oracle("SELECT * FROM lp", views=["scores"], ctes=[LP_SQL],
+                                doubles=["density", "allocated_budget"]))
+def q_allocate_lp(spark, sf):
+    """Multi-channel allocation with channel minima / maxima and ROI multipliers."""
+    s = _scores(spark, sf)
+    b = float(s.agg(F.sum("cost_per_action")).first()[0] * LP_SHARE)
+    ch = spark.createDataFrame([(c, u, m, a * b, x * b) for c, u, m, a, x in LP_CHANNELS],
+                               "channel string, unit_cost double, roi_multiplier double, min_budget double, "
+                               "max_budget double")
+    return bu.allocate_lp(s, ch, b)
