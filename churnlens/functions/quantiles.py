@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlens.functions.prefix import global_order
+from churnlens.session import cut_lineage
 
 
 def grouped_quantiles(df: DataFrame, value_col: str, probs: list[float],
@@ -25,6 +26,8 @@ def grouped_quantiles(df: DataFrame, value_col: str, probs: list[float],
     vals = (df.select(*group_cols, v.alias("__v"))
             .filter(F.col("__v").isNotNull() & ~F.isnan("__v"))
             .groupBy(*group_cols, "__v").agg(F.count(F.lit(1)).alias("__c")))
+    # the distinct-value table feeds the count, the ranking and the group sizes: once
+    vals = cut_lineage(vals)
     ranked = global_order(vals, [("__v", True)], partition_by=group_cols,
                           sums={"__cum": "__c"}, rank_col=None)
     sizes = vals.groupBy(*group_cols).agg(F.sum("__c").alias("__n"))

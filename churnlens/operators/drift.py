@@ -54,23 +54,47 @@ def bin_edges(ref: DataFrame, features: list[str], n_bins: int = 10, strategy: s
     return j.select("feature", F.when(F.size(uniq) < n + 1, fallback).otherwise(uniq).alias("edges"))
 
 
-def _bucket(value: Column, edges: Column) -> Column:
-    """numpy histogram bin index; null outside the edges."""
-    k = F.size(F.filter(edges, lambda e: e <= value)) - 1
-    nb = F.size(edges) - 1
-    return (F.when((value < F.element_at(edges, 1)) | (value > F.element_at(edges, -1)), F.lit(None))
-            .when(k >= nb, nb - 1).otherwise(k))
+def small_table(df: DataFrame) -> DataFrame:
+    """Materialise a result whose size is bounded by parameters (features x bins) as a
+    literal table, so that later joins do not re-run the plan that produced it."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def _bucket(value: Column, edges: list[float]) -> Column:
+    """numpy histogram bin index for literal sorted ``edges``; null outside them.
+
+    bin = number of inner edges <= value (the last bin is closed), written as plain
+    comparisons so that it stays inside whole-stage codegen."""
+    nb = len(edges) - 1
+    k = F.lit(0)
+    for x in edges[1:nb]:
+        k = k + F.when(value >= F.lit(x), 1).otherwise(0)
+    return F.when((value < F.lit(edges[0])) | (value > F.lit(edges[-1])), F.lit(None)).otherwise(k)
+
+
+def _bucket_by_feature(feature: Column, value: Column, rows) -> Column:
+    expr = None
+    for r in rows:
+        b = _bucket(value, [float(x) for x in r["edges"]])
+        expr = F.when(feature == r["feature"], b) if expr is None else expr.when(feature == r["feature"], b)
+    return expr if expr is not None else F.lit(None).cast("int")
 
 
 def psi(ref: DataFrame, prod: DataFrame, features: list[str], p: DriftParams = DriftParams(),
         edges: DataFrame | None = None) -> DataFrame:
     """PSI per feature = sum((p - r) * ln(p / r)) over bins, shares clipped at epsilon
-    and renormalised."""
-    e = edges if edges is not None else bin_edges(ref, features, p.n_bins)
+    and renormalised.
+
+    The edges (features x bins, bounded by parameters) are collected once and written into
+    the bin expression; the value rows are scanned once and partially aggregated per
+    (feature, bin) before the shuffle."""
+    rows = (edges if edges is not None else bin_edges(ref, features, p.n_bins)).collect()
+    spark = ref.sparkSession
+    e = spark.createDataFrame(rows, "feature string, edges array<double>")
     both = (long_form(ref, features).withColumn("side", F.lit("r"))
             .unionByName(long_form(prod, features).withColumn("side", F.lit("p")))
             .filter(F.col("value").isNotNull() & ~F.isnan("value")))
-    b = both.join(F.broadcast(e), "feature").withColumn("bin", _bucket(F.col("value"), F.col("edges")))
+    b = both.withColumn("bin", _bucket_by_feature(F.col("feature"), F.col("value"), rows))
     cnt = b.filter(F.col("bin").isNotNull()).groupBy("feature", "bin").agg(
         F.count_if(F.col("side") == "r").alias("rc"), F.count_if(F.col("side") == "p").alias("pc"))
     grid = e.select("feature", F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("bin"))

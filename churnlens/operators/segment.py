@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from churnlens.functions.columns import col
 from churnlens.functions.prefix import global_order
 from churnlens.functions.quantiles import quantile, quantiles
+from churnlens.session import cut_lineage
 
 # Rule segments in priority order, criteria as
 # (recency min, recency max, frequency min, frequency max, monetary min, monetary max),
@@ -35,15 +36,19 @@ SCORE_COLS = ("recency_score", "frequency_score", "monetary_score")
 
 
 def quantile_score(df: DataFrame, value_col: str, q: int = 5, inverse: bool = False,
-                   out_col: str | None = None, id_col: str = "customer_id") -> DataFrame:
+                   out_col: str | None = None, id_col: str = "customer_id",
+                   stats: tuple[int, int] | None = None) -> DataFrame:
     """G1: pandas ``qcut(rank(method='first'), q)`` labels, exactly.
 
     rank r in 1..n by (value, id); bin = max(1, ceil((r - 1) * q / (n - 1))) in integer
     arithmetic; inverse labels are ``q + 1 - bin``; one distinct value gives q (1 if inverse).
+    ``stats`` = (row count, distinct values) when the caller already has them.
     """
     out_col = out_col or f"{value_col}_score"
-    stats = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(value_col).alias("d")).first()
-    n, d = int(stats["n"]), int(stats["d"] or 0)
+    if stats is None:
+        r = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(value_col).alias("d")).first()
+        stats = (int(r["n"]), int(r["d"] or 0))
+    n, d = stats
     if d <= 1:
         return df.withColumn(out_col, F.lit(1 if inverse else q))
     ranked = global_order(df, [(value_col, True), (id_col, True)], rank_col="__r", n_rows=n)
@@ -53,10 +58,18 @@ def quantile_score(df: DataFrame, value_col: str, q: int = 5, inverse: bool = Fa
 
 
 def rfm_scores(rfm: DataFrame, q: int = 5) -> DataFrame:
-    """Recency (inverse), frequency, monetary quantile scores."""
-    out = quantile_score(rfm, "recency", q, inverse=True)
-    out = quantile_score(out, "frequency", q)
-    return quantile_score(out, "monetary", q)
+    """Recency (inverse), frequency, monetary quantile scores.
+
+    The row count and the three distinct counts come from one aggregate over the input.
+    """
+    cols = ("recency", "frequency", "monetary")
+    r = rfm.agg(F.count(F.lit(1)).alias("n"),
+                *[F.count_distinct(c).alias(c) for c in cols]).first()
+    n = int(r["n"])
+    out = rfm
+    for c in cols:
+        out = quantile_score(out, c, q, inverse=(c == "recency"), stats=(n, int(r[c] or 0)))
+    return out
 
 
 def _rule_match(bounds) -> Column:
@@ -102,8 +115,9 @@ def fallback_segments(seg: DataFrame) -> DataFrame:
 
 
 def rfm_segments(rfm: DataFrame, q: int = 5) -> DataFrame:
-    """G2 + G3 + G4."""
-    return fallback_segments(rule_segments(rfm_scores(rfm, q)))
+    """G2 + G3 + G4. The scored per-customer table is checkpointed once: the centroid
+    aggregate and every consumer read it instead of re-running the three rankings."""
+    return fallback_segments(cut_lineage(rule_segments(rfm_scores(rfm, q))))
 
 
 def segment_summary(seg: DataFrame) -> DataFrame:

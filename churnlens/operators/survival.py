@@ -19,6 +19,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from churnlens.session import cut_lineage
+
 from churnlens.functions.prefix import global_order
 
 
@@ -202,7 +204,8 @@ def concordance(df: DataFrame, duration: str = "duration", event: str = "event",
     nd = times.count()
     tk = global_order(times, [("__t", True)], rank_col="__k").withColumn("__k", F.col("__k") - 1)
     v = base.groupBy("__t", "__r").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("__e") == 1).alias("e"))
-    v = v.join(F.broadcast(tk) if nd <= 1_000_000 else tk, "__t")
+    # every level and the comparable-pair count read this aggregate: compute it once
+    v = cut_lineage(v.join(F.broadcast(tk) if nd <= 1_000_000 else tk, "__t"))
     levels = max(1, math.ceil(math.log2(max(nd, 2))))
     total = None
     for lv in range(levels):
