@@ -17,17 +17,27 @@ from churnlens.functions.prefix import global_order
 from churnlens.session import cut_lineage
 
 
-def grouped_quantiles(df: DataFrame, value_col: str, probs: list[float],
-                      group_cols: list[str] | tuple = (), out_col: str = "q") -> DataFrame:
-    """``(group..., q_index, prob, q)`` for every group and probability."""
-    group_cols = list(group_cols)
-    spark = df.sparkSession
+def value_counts(df: DataFrame, value_col: str, group_cols: list[str] | tuple = ()) -> DataFrame:
+    """``(group..., __v, __c)``: non-null, non-NaN distinct values and their counts,
+    checkpointed because the count, the ranking and the group sizes all read it."""
     v = F.col(value_col).cast("double")
     vals = (df.select(*group_cols, v.alias("__v"))
             .filter(F.col("__v").isNotNull() & ~F.isnan("__v"))
             .groupBy(*group_cols, "__v").agg(F.count(F.lit(1)).alias("__c")))
-    # the distinct-value table feeds the count, the ranking and the group sizes: once
-    vals = cut_lineage(vals)
+    return cut_lineage(vals)
+
+
+def grouped_quantiles(df: DataFrame, value_col: str, probs: list[float],
+                      group_cols: list[str] | tuple = (), out_col: str = "q") -> DataFrame:
+    """``(group..., q_index, prob, q)`` for every group and probability."""
+    return quantiles_from_counts(value_counts(df, value_col, group_cols), probs, group_cols, out_col)
+
+
+def quantiles_from_counts(vals: DataFrame, probs: list[float], group_cols: list[str] | tuple = (),
+                          out_col: str = "q") -> DataFrame:
+    """Quantiles from a :func:`value_counts` table."""
+    group_cols = list(group_cols)
+    spark = vals.sparkSession
     ranked = global_order(vals, [("__v", True)], partition_by=group_cols,
                           sums={"__cum": "__c"}, rank_col=None)
     sizes = vals.groupBy(*group_cols).agg(F.sum("__c").alias("__n"))

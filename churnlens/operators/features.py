@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from churnlens.config import EVENT_CODES, EVENT_TYPES, ChurnParams
 from churnlens.functions.columns import safe_div
 from churnlens.functions.prefix import global_order, top_k_per_group
-from churnlens.functions.quantiles import grouped_quantiles
+from churnlens.functions.quantiles import grouped_quantiles, quantiles_from_counts, value_counts
 from churnlens.session import cut_lineage
 
 CHANGE_COLS = ("visit_frequency_change", "purchase_cycle_change", "session_duration_change",
@@ -345,29 +345,36 @@ def sanitize_features(df: DataFrame, exclude=SANITIZE_EXCLUDE) -> DataFrame:
     num = [f.name for f in df.schema.fields
            if f.dataType.typeName() in ("double", "float", "integer", "long", "short")
            and f.name not in exclude]
-    cleaned = df
-    for c in num:
-        x = F.col(c).cast("double")
-        cleaned = cleaned.withColumn(
-            c, F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), F.lit(0)).otherwise(F.col(c)))
     if not num:
-        return cleaned
+        return df
+    numset = set(num)
+
+    def qi(c):
+        return "`" + c.replace("`", "``") + "`"
+
+    def clean(c):
+        x = f"CAST({qi(c)} AS DOUBLE)"
+        return f"CASE WHEN {x} IS NULL OR isnan({x}) OR abs({x}) = double('inf') THEN 0 ELSE {qi(c)} END AS {qi(c)}"
+    # one projection for all columns, as SQL text: a withColumn loop re-analyses the plan
+    # per column and Column objects cost many gateway calls each
+    cleaned = df.selectExpr(*[clean(c) if c in numset else qi(c) for c in df.columns])
     long = cleaned.select(*[F.col(c).cast("double").alias(c) for c in num]).unpivot([], num, "feature", "value")
-    q = grouped_quantiles(long, "value", [0.01, 0.99], ["feature"])
-    nd = long.select("feature", "value").distinct().groupBy("feature").agg(F.count(F.lit(1)).alias("nd"))
+    vals = value_counts(long, "value", ["feature"])
+    q = quantiles_from_counts(vals, [0.01, 0.99], ["feature"])
+    # distinct values per feature (NaN / null were zeroed above, so none are dropped)
+    nd = vals.groupBy("feature").agg(F.count(F.lit(1)).alias("nd"))
     rows = q.join(nd, "feature").collect()      # 2 rows per numeric column
     bounds: dict[str, dict] = {}
     for r in rows:
         bounds.setdefault(r["feature"], {"nd": r["nd"]})[r["q_index"]] = r["q"]
-    out = cleaned
-    for c in num:
-        x = F.col(c).cast("double")
+    def clip(c):
+        x = f"CAST({qi(c)} AS DOUBLE)"
         b = bounds.get(c)
         lo, hi = (b.get(0), b.get(1)) if b else (None, None)
         if b and b["nd"] > 2 and lo is not None and hi is not None and lo < hi:
-            x = F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
-        out = out.withColumn(c, x)
-    return out
+            x = f"least(greatest({x}, CAST('{float(lo)!r}' AS DOUBLE)), CAST('{float(hi)!r}' AS DOUBLE))"
+        return f"{x} AS {qi(c)}"
+    return cleaned.selectExpr(*[clip(c) if c in numset else qi(c) for c in cleaned.columns])
 
 
 def build_features(customers: DataFrame, events: DataFrame, ref_date, *, with_cluster: bool = True,

@@ -155,13 +155,82 @@ def enrich(pred: DataFrame, offers: DataFrame, features: DataFrame, clv: DataFra
             .withColumn("clv_predicted", F.coalesce("clv_predicted", F.lit(0.0))))
 
 
-def adapt_budget(df: DataFrame, default_cost: float = 10000.0) -> DataFrame:
-    """Allocation column from its aliases; missing cost -> default; clipped >= 0."""
-    alias = next((c for c in ("allocated_budget", "budget", "allocation", "spend") if c in df.columns), None)
-    a = F.col(alias) if alias else F.lit(0.0)
-    cost = F.col("cost_per_action") if "cost_per_action" in df.columns else F.lit(default_cost)
-    return df.withColumn("allocated_budget", F.greatest(F.coalesce(a, F.lit(0.0)), F.lit(0.0))) \
-        .withColumn("cost_per_action", F.coalesce(cost, F.lit(default_cost)))
+# Default cost per recommendation type when a frame carries none
+# (unknown types cost 1000).
+DEFAULT_ACTION_COSTS = {"email": 1000, "push_notification": 500, "coupon": 5000, "loyalty_points": 3000,
+                        "personal_outreach": 20000, "exclusive_offer": 10000, "no_action": 0}
+DEFAULT_ACTION_COST = 1000
+
+
+def _first(df: DataFrame, names) -> str | None:
+    return next((c for c in names if c in df.columns), None)
+
+
+def adapt_budget(df: DataFrame) -> DataFrame:
+    """O17 (budget): ``segment, allocated_budget_krw, expected_retained,
+    expected_revenue_saved_krw, roi`` derived from whichever aliases the frame has.
+
+    roi = revenue / spend with a zero spend (or a missing side) giving 0; a customer-level
+    frame counts one retained customer per row and is the segment ``all_customers``; a
+    frame with neither segment nor customer id gets ``scenario_<row>`` in its id order.
+    """
+    cols = {}
+    spend = _first(df, ("allocated_budget_krw", "allocated_budget"))
+    cols["allocated_budget_krw"] = F.col(spend) if spend else None
+    rev = _first(df, ("expected_revenue_saved_krw", "expected_revenue_saved", "retained_value",
+                      "expected_retained_value"))
+    cols["expected_revenue_saved_krw"] = F.col(rev) if rev else None
+    ret = _first(df, ("expected_retained", "customers_treated"))
+    cols["expected_retained"] = F.col(ret) if ret else (F.lit(1) if "customer_id" in df.columns else None)
+    if "roi" in df.columns:
+        cols["roi"] = F.col("roi")
+    elif spend and rev:
+        cols["roi"] = F.coalesce(F.try_divide(F.col(rev), F.nullif(F.col(spend).cast("double"), F.lit(0.0))),
+                                 F.lit(0.0))
+    else:
+        cols["roi"] = F.lit(0.0)
+    if "segment" in df.columns:
+        seg = F.col("segment")
+    elif "customer_id" in df.columns:
+        seg = F.lit("all_customers")
+    else:
+        seg = F.concat(F.lit("scenario_"), F.row_number().over(
+            Window.orderBy(F.monotonically_increasing_id())).cast("string"))
+    out = [seg.alias("segment")]
+    for c in ("allocated_budget_krw", "expected_retained", "expected_revenue_saved_krw", "roi"):
+        out.append((cols[c] if cols[c] is not None else F.lit(0.0)).alias(c))
+    return df.select(*out)
+
+
+def adapt_recommendations(df: DataFrame, segments: DataFrame | None = None) -> DataFrame:
+    """O17 (recommendations): ``recommendation_type`` from action aliases, priority from
+    ``score``, expected uplift from ``uplift_score``, default costs by type, missing
+    segments from a (customer_id, segment) table else ``vip_loyal``; priority and uplift
+    clipped to [0, 1]."""
+    out = df
+    if "recommendation_type" not in out.columns:
+        src = _first(out, ("action", "action_type"))
+        out = out.withColumn("recommendation_type", F.col(src) if src else F.lit(None).cast("string"))
+    if "priority_score" not in out.columns:
+        out = out.withColumn("priority_score", F.col("score") if "score" in out.columns else F.lit(0.0))
+    if "expected_uplift" not in out.columns:
+        out = out.withColumn("expected_uplift", F.col("uplift_score") if "uplift_score" in out.columns
+                             else F.col("priority_score"))
+    if "recommended_offer" not in out.columns:
+        out = out.withColumn("recommended_offer", F.col("recommendation_type").cast("string"))
+    if "estimated_cost" not in out.columns:
+        m = F.create_map(*[x for k, v in DEFAULT_ACTION_COSTS.items() for x in (F.lit(k), F.lit(float(v)))])
+        out = out.withColumn("estimated_cost", F.coalesce(
+            m[F.col("recommendation_type").cast("string")], F.lit(float(DEFAULT_ACTION_COST))))
+    if "segment" not in out.columns:
+        if segments is not None and "customer_id" in out.columns:
+            out = out.join(segments.select("customer_id", "segment"), "customer_id", "left")
+            out = out.withColumn("segment", F.coalesce("segment", F.lit("vip_loyal")))
+        else:
+            out = out.withColumn("segment", F.lit("vip_loyal"))
+    clip = lambda c: F.least(F.greatest(F.col(c).cast("double"), F.lit(0.0)), F.lit(1.0))
+    return out.withColumn("priority_score", clip("priority_score")) \
+        .withColumn("expected_uplift", clip("expected_uplift"))
 
 
 def kpi_header(pred: DataFrame) -> DataFrame:

@@ -60,10 +60,13 @@ def km_by_segment(df: DataFrame, segment: str, grid: list[float], duration: str
     j = gs.join(curve, (gs[segment] == curve[segment]) & (curve["time"] <= gs["t"]), "left")
     s_at = j.groupBy(gs[segment].alias(segment), "t").agg(
         F.coalesce(F.max_by("survival", "time"), F.lit(1.0)).alias("survival"))
-    d = df.select(segment, F.col(duration).cast("double").alias("__d"), F.col(event).cast("int").alias("__e"))
+    # counts at each grid time from the per-(segment, duration) aggregate, so only the
+    # distinct durations (not the rows) meet the grid
+    d = df.groupBy(segment, F.col(duration).cast("double").alias("__d")).agg(
+        F.count(F.lit(1)).alias("__n"), F.count_if(F.col(event).cast("int") == 1).alias("__ev"))
     cnt = d.join(F.broadcast(gt), how="cross").groupBy(segment, "t").agg(
-        F.count_if(F.col("__d") >= F.col("t")).alias("n_at_risk"),
-        F.count_if((F.col("__d") <= F.col("t")) & (F.col("__e") == 1)).alias("n_events"))
+        F.sum(F.when(F.col("__d") >= F.col("t"), F.col("__n")).otherwise(0)).alias("n_at_risk"),
+        F.sum(F.when(F.col("__d") <= F.col("t"), F.col("__ev")).otherwise(0)).alias("n_events"))
     out = s_at.join(cnt, [segment, "t"], "left")
     med = out.filter(F.col("survival") <= 0.5).groupBy(segment).agg(F.min("t").alias("median_survival_days"))
     return (out.join(med, segment, "left")

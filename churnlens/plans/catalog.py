@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -19,19 +18,30 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
 
 
-def _norm_col(c, dt, digits):
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _norm_sql(expr: str, dt, digits: int, depth: int = 0) -> str | None:
+    """SQL text of the normalised value, or None when the column stays as it is."""
     if isinstance(dt, (T.DoubleType, T.FloatType, T.DecimalType)):
-        return F.round(c.cast("double"), digits) + F.lit(0.0)  # -0.0 -> 0.0
+        return f"round(CAST({expr} AS DOUBLE), {digits}) + 0.0D"   # -0.0 -> 0.0
     if isinstance(dt, (T.IntegerType, T.ShortType, T.ByteType)):
-        return c.cast("long")
+        return f"CAST({expr} AS BIGINT)"
     if isinstance(dt, T.ArrayType) and isinstance(dt.elementType, (T.DoubleType, T.FloatType, T.ArrayType)):
-        return F.transform(c, lambda x: _norm_col(x, dt.elementType, digits))
-    return c
+        v = f"__x{depth}"
+        inner = _norm_sql(v, dt.elementType, digits, depth + 1)
+        return None if inner is None else f"transform({expr}, {v} -> {inner})"
+    return None
 
 
 def normalize(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[_norm_col(F.col(f"`{f.name}`"), f.dataType, digits).alias(f.name)
-                       for f in df.schema.fields])
+    """One ``selectExpr`` (a single plan analysis) over all columns."""
+    exprs = []
+    for f in df.schema.fields:
+        e = _norm_sql(_q(f.name), f.dataType, digits)
+        exprs.append(_q(f.name) if e is None else f"{e} AS {_q(f.name)}")
+    return df.selectExpr(*exprs)
 
 
 def register(name: str, sql: str | None = None):

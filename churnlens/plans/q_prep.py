@@ -320,3 +320,54 @@ def q_features_match(spark, sf):
     cust, ev = tb.customers(spark, sf), tb.activity_events(spark, sf)
     lab = fe.label_churn(cust, ev, fe.max_date_plus(ev, 1), LABEL_PARAMS)
     return pp.features_match(lab, cust)
+
+
+# ---------------------------------------------------------------- S1-S3, S7 scans and sinks
+
+def _shared(spark, sf, name):
+    """A path in the shared folder named by ``spark.checkpoint.dir`` (never machine-local
+    on a cluster), one per input scale."""
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/sources/{name}_{sf.rstrip('/').split('/')[-1]}"
+
+
+@register("customer_scan", oracle("SELECT * FROM customer", views=[], doubles=["c_acctbal"]))
+def q_customer_scan(spark, sf):
+    """Customer table scan, Parquet preferred over CSV, signup date parsed when present."""
+    return io.load_customers(spark, f"{sf.rstrip('/')}/customer")
+
+
+@register("event_scan", oracle("""SELECT customer_id, event_type, event_date, "timestamp", amount, session_duration,
+  marketing_channel, marketing_response FROM activity""", views=["activity"], doubles=["amount", "session_duration"]))
+def q_event_scan(spark, sf):
+    """The domain events stored as Parquet (with an extra id column) scanned back with
+    only the 8 event columns, dates parsed and numbers coerced."""
+    path = _shared(spark, sf, "events")
+    tb.activity_events(spark, sf).write.mode("overwrite").parquet(path + ".parquet")
+    return io.load_events(spark, path)
+
+
+@register("csv_scan", oracle("""SELECT CAST(customer_id AS VARCHAR) AS customer_id, persona, signup_date,
+  treatment_group, churn_label FROM cust""", views=["cust"], ints=["churn_label"]))
+def q_csv_scan(spark, sf):
+    """S3: customers written as CSV and read back with an explicit schema and date parsing."""
+    path = _shared(spark, sf, "customers_csv")
+    (tb.customers(spark, sf).select("customer_id", "persona", F.col("signup_date").cast("string"),
+                                    "treatment_group", "churn_label")
+     .write.mode("overwrite").option("header", True).csv(path))
+    return io.read_csv_typed(spark, path, io.CUSTOMER_SCHEMA, date_cols=["signup_date"])
+
+
+def _summary_sql():
+    from churnlens.plans.q_segment import SUMMARY_SQL
+    return SUMMARY_SQL
+
+
+@register("result_sink", _summary_sql())
+def q_result_sink(spark, sf):
+    """The segment summary written as JSON lines and read back with its schema."""
+    from churnlens.operators import segment as sg
+    from churnlens.plans.q_segment import _rfm
+    res = sg.segment_summary(sg.rfm_segments(_rfm(spark, sf)))
+    path = io.save_result(res, _shared(spark, sf, "segment_summary_json"), fmt="json")
+    return spark.read.schema(res.schema).json(path)

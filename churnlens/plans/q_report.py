@@ -281,3 +281,34 @@ def q_survival_header(spark, sf):
     """Survival header on the proxy survival frame (K8)."""
     from churnlens.operators.survival import proxy_survival
     return rp.survival_header(proxy_survival(_pred(spark, sf)))
+
+
+# ---------------------------------------------------------------- O17 adapters
+
+@register("budget_adapter", oracle("""SELECT segment, allocated_budget AS allocated_budget_krw,
+  CAST(1 AS BIGINT) AS expected_retained, 0.0 AS expected_revenue_saved_krw, 0.0 AS roi FROM a3""",
+    views=V, ctes=[alloc_sql(BUDGET_SHARE)],
+    doubles=["allocated_budget_krw", "expected_revenue_saved_krw", "roi"]))
+def q_budget_adapter(spark, sf):
+    """The customer-level budget allocation mapped to the dashboard budget columns."""
+    from churnlens.operators import budget as bu
+    from churnlens.plans.q_budget import _budget, _scores
+    s = _scores(spark, sf)
+    return rp.adapt_budget(bu.allocate(s, _budget(s, BUDGET_SHARE)))
+
+
+_COSTS = " ".join(f"WHEN '{k}' THEN {float(v)}" for k, v in rp.DEFAULT_ACTION_COSTS.items())
+
+
+@register("recommendation_adapter", oracle(f"""SELECT customer_id, action_type, score, segment, uplift_segment,
+  churn_probability, uplift_score, clv, push_opt_in, email_opt_in, action_type AS recommendation_type,
+  least(greatest(score, 0.0), 1.0) AS priority_score, least(greatest(uplift_score, 0.0), 1.0) AS expected_uplift,
+  action_type AS recommended_offer,
+  coalesce(CASE action_type {_COSTS} END, {float(rp.DEFAULT_ACTION_COST)}) AS estimated_cost
+FROM recs""", views=["cust", "scores"], ctes=REC_CTES + [RA, BEST],
+    doubles=["score", "churn_probability", "uplift_score", "clv", "priority_score", "expected_uplift",
+             "estimated_cost"], ints=["push_opt_in", "email_opt_in"]))
+def q_recommendation_adapter(spark, sf):
+    """Recommendations without a cost column mapped to the dashboard columns
+    (type from ``action_type``, default cost by type, priority and uplift clipped)."""
+    return rp.adapt_recommendations(rc.recommend(_input(spark, sf)).drop("estimated_cost"))
