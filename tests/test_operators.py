@@ -130,3 +130,33 @@ def test_z_test_degenerate_arm(spark):
     df = spark.createDataFrame([("treatment", 0)] * 5 + [("control", 0)] * 5, "group string, y int")
     r = st.z_test(df, "y").first()
     assert r["test_statistic"] == 0.0 and r["p_value"] == 1.0
+
+
+def test_km_by_segment_grid_counts_brute_force(spark):
+    rows = [(i, "a" if i % 3 else "b", float(1 + (i * 7) % 11), i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "customer_id long, segment string, duration double, event int")
+    grid = [0.0, 3.0, 5.5, 10.0, 20.0]
+    got = {(r["segment"], r["t"]): (r["n_at_risk"], r["n_events"])
+           for r in sv.km_by_segment(df, "segment", grid).collect()}
+    for seg in ("a", "b"):
+        sub = [r for r in rows if r[1] == seg]
+        for t in grid:
+            exp = (sum(1 for r in sub if r[2] >= t), sum(1 for r in sub if r[2] <= t and r[3] == 1))
+            assert got[(seg, t)] == exp
+
+
+def test_adapters_fill_aliases_and_defaults(spark):
+    from churnlens.operators import report as rp
+    recs = spark.createDataFrame([(1, "coupon", 1.7, -0.2), (2, "mystery", 0.4, 0.3)],
+                                 "customer_id long, action_type string, score double, uplift_score double")
+    segs = spark.createDataFrame([(1, "dormant")], "customer_id long, segment string")
+    got = {r["customer_id"]: r for r in rp.adapt_recommendations(recs, segs).collect()}
+    assert got[1]["recommendation_type"] == "coupon" and got[1]["estimated_cost"] == 5000.0
+    assert got[2]["estimated_cost"] == float(rp.DEFAULT_ACTION_COST)
+    assert got[1]["priority_score"] == 1.0 and got[1]["expected_uplift"] == 0.0
+    assert got[1]["segment"] == "dormant" and got[2]["segment"] == "vip_loyal"
+    scen = spark.createDataFrame([(100.0, 250.0), (0.0, 10.0)], "allocated_budget double, retained_value double")
+    b = rp.adapt_budget(scen).collect()
+    assert [r["segment"] for r in b] == ["scenario_1", "scenario_2"]
+    assert [r["roi"] for r in b] == [2.5, 0.0]
+    assert [r["expected_retained"] for r in b] == [0.0, 0.0]
