@@ -62,3 +62,9 @@ def unpivot(df: DataFrame, ids: list[str], cols: list[str], var: str = "feature"
     """Long form ``(ids..., var, val)`` with one row per id and column (``stack``)."""
     casted = df.select(*ids, *[F.col(c).cast(cast).alias(c) for c in cols])
     return casted.unpivot(ids, cols, var, val)
+
+
+def small_table(df: DataFrame) -> DataFrame:
+    """Materialise a result whose size is bounded by parameters (features x bins, stages)
+    as a literal table, so that later joins do not re-run the plan that produced it."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)

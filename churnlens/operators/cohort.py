@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from churnlens.config import CohortParams
 from churnlens.functions.prefix import top_k_per_group
 from churnlens.functions.quantiles import grouped_quantiles
+from churnlens.functions.columns import small_table
+from churnlens.session import cut_lineage
 
 
 # ------------------------------------------------------------------ C1-C5
@@ -270,9 +272,10 @@ def journey_funnel(customers: DataFrame, events: DataFrame, order_col: str = "or
     c = (customers.select("customer_id", "signup_date", "churn_label")
          .join(pd_, "customer_id", "left").join(ev_span, "customer_id", "left"))
     churned = F.coalesce(F.col("churn_label"), F.lit(0)) == 1
-    c = c.select(
+    # per-customer stage dates: read by the stage aggregates and by the exact medians
+    c = cut_lineage(c.select(
         "customer_id", F.coalesce("signup_date", "first_ev").alias("s0"), "d1", "d2", "d5",
-        F.when(churned, F.col("last_ev")).alias("dc"), churned.alias("is_churned"), "last_ev")
+        F.when(churned, F.col("last_ev")).alias("dc"), churned.alias("is_churned"), "last_ev"))
     members = {"Signup": F.lit(True), "First Purchase": F.col("d1").isNotNull(),
                "Repeat Purchase": F.col("d2").isNotNull(), "Loyal": F.col("d5").isNotNull(),
                "Churned": F.col("is_churned")}
@@ -307,7 +310,7 @@ def journey_funnel(customers: DataFrame, events: DataFrame, order_col: str = "or
     q = grouped_quantiles(kinds.select("si", "x.kind", "x.v"), "v", [0.5], ["si", "kind"], out_col="m")
     med = q.groupBy("si").agg(*[F.max(F.when(F.col("kind") == k, F.col("m"))).alias(f"med_{k}")
                                  for k in ("since", "trans", "drop")])
-    out = agg.join(med, "si", "left")
+    out = small_table(agg.join(med, "si", "left"))   # five rows, read three times below
     # five stage rows: the total and the previous stage's count by tiny broadcast joins
     tot = out.filter(F.col("si") == 0).select(F.col("count").alias("__tot"))
     prevs = out.select((F.col("si") + 1).alias("si"), F.col("count").alias("__prev"))

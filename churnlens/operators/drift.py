@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from churnlens.config import DriftParams
 from churnlens.functions import special as sf
+from churnlens.functions.columns import small_table  # noqa: F401
 from churnlens.functions.prefix import global_order
 from churnlens.functions.quantiles import grouped_quantiles
 
@@ -54,12 +55,6 @@ def bin_edges(ref: DataFrame, features: list[str], n_bins: int = 10, strategy: s
     return j.select("feature", F.when(F.size(uniq) < n + 1, fallback).otherwise(uniq).alias("edges"))
 
 
-def small_table(df: DataFrame) -> DataFrame:
-    """Materialise a result whose size is bounded by parameters (features x bins) as a
-    literal table, so that later joins do not re-run the plan that produced it."""
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
-
-
 def _bucket(value: Column, edges: list[float]) -> Column:
     """numpy histogram bin index for literal sorted ``edges``; null outside them.
 
