@@ -95,7 +95,9 @@ def fit_cox(df: DataFrame, features: list[str], duration: str = "duration", even
     mean, sd = _standardize(df, features)
     zc = [((F.col(c).cast("double") - float(m)) / float(s)).alias(f"__z{i}")
           for i, (c, m, s) in enumerate(zip(features, mean, sd))]
-    base = df.select(F.col(duration).cast("double").alias("__t"), F.col(event).cast("int").alias("__e"), *zc)
+    # every Newton step reads the standardised design: checkpoint it once (lineage cut)
+    base = cut_lineage(df.select(F.col(duration).cast("double").alias("__t"),
+                                 F.col(event).cast("int").alias("__e"), *zc))
     beta = np.zeros(p)
     for _ in range(max_iter):
         eta = sum(F.col(f"__z{i}") * float(beta[i]) for i in range(p)) if p else F.lit(0.0)
