@@ -83,7 +83,8 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = purchases(spark, sf_dir)
     per = p.groupBy("customer_id").agg(F.min("event_date").alias("first_date"),
                                        F.max("event_date").alias("last_date"))
-    end = p.agg(F.max("event_date").alias("end_date"))
+    # the global last order date from the per-customer maxima: orders are aggregated once
+    end = per.agg(F.max("last_date").alias("end_date"))
     out = (c.join(per, c.c_custkey == per.customer_id, "left")
            .crossJoin(F.broadcast(end))  # one row
            .select(
