@@ -52,29 +52,31 @@ def _with_clv_norm(df: DataFrame) -> DataFrame:
     return j.withColumn("clv_norm", (F.col("clv") - F.col("__mn")) / rng).drop("__mn", "__mx")
 
 
-def _action_struct(i: int, action) -> Column:
+def _d(x: float) -> str:
+    return f"CAST('{float(x)!r}' AS DOUBLE)"
+
+
+def _action_sql(i: int, action) -> str:
+    """SQL text of one action's (score, -order, type, cost) struct; null when the
+    customer opted out of the action's channel. One expression string per action keeps
+    plan construction to a single gateway call."""
     name, cost, channel, aff = action
-    seg = F.coalesce(F.col("segment").cast("string"), F.lit("unknown"))
-    affinity = F.lit(1.0)
-    for k, v in aff.items():
-        affinity = F.when(seg == k, F.lit(v)).otherwise(affinity)
-    up = F.col("uplift_score")
-    score = (W_CHURN * F.col("churn_probability") + W_CLV * F.col("clv_norm")
-             + W_UPLIFT * F.greatest(up, F.lit(0.0)) + W_SEGMENT * affinity)
-    score = F.when(up < 0, score * F.greatest(F.lit(0.3), 1.0 + up)).otherwise(score)
-    ok = F.lit(True)
-    if channel == "push":
-        ok = F.coalesce(F.col("push_opt_in"), F.lit(1)) != 0
-    elif channel == "email":
-        ok = F.coalesce(F.col("email_opt_in"), F.lit(1)) != 0
-    return F.when(ok, F.struct(F.round(score, 6).alias("score"), F.lit(-i).alias("neg_order"),
-                               F.lit(name).alias("action_type"),
-                               F.round(cost * (0.5 + F.col("clv_norm")), 2).alias("estimated_cost")))
+    seg = "coalesce(CAST(segment AS STRING), 'unknown')"
+    affinity = (f"CASE {seg} " + " ".join(f"WHEN '{k}' THEN {_d(v)}" for k, v in aff.items())
+                + f" ELSE {_d(1.0)} END") if aff else _d(1.0)
+    base = (f"({_d(W_CHURN)} * churn_probability + {_d(W_CLV)} * clv_norm"
+            f" + {_d(W_UPLIFT)} * greatest(uplift_score, {_d(0.0)}) + {_d(W_SEGMENT)} * {affinity})")
+    score = (f"CASE WHEN uplift_score < 0 THEN {base} * greatest({_d(0.3)}, {_d(1.0)} + uplift_score)"
+             f" ELSE {base} END")
+    ok = {"push": "coalesce(push_opt_in, 1) != 0", "email": "coalesce(email_opt_in, 1) != 0"}.get(channel, "true")
+    struct = (f"named_struct('score', round({score}, 6), 'neg_order', {-i}, 'action_type', '{name}',"
+              f" 'estimated_cost', round({_d(cost)} * ({_d(0.5)} + clv_norm), 2))")
+    return f"CASE WHEN {ok} THEN {struct} END"
 
 
 def _action_array(df: DataFrame) -> DataFrame:
-    arr = F.array_compact(F.array(*[_action_struct(i, a) for i, a in enumerate(ACTIONS)]))
-    return _with_clv_norm(df).withColumn("__acts", arr)
+    arr = "array_compact(array(" + ", ".join(_action_sql(i, a) for i, a in enumerate(ACTIONS)) + "))"
+    return _with_clv_norm(df).withColumn("__acts", F.expr(arr))
 
 
 def no_action_mask(segment_cols=("segment", "uplift_segment")) -> Column:

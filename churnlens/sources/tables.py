@@ -26,8 +26,23 @@ CHURN_GAP_DAYS = 365
 SIGNUP_SPREAD_DAYS = 45
 
 
+_READ_CACHE: dict[tuple[str, str], DataFrame] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the given (read-only) input tables.
+
+    The DataFrame is kept per application and path, so the file listing and the parquet
+    footers are read once rather than at every reference; nothing is cached in memory,
+    each use still scans (and prunes) the files.
+    """
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    df = _READ_CACHE.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = spark.read.parquet(path)
+        _READ_CACHE[key] = df
+    return df
 
 
 def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
