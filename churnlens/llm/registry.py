@@ -42,3 +42,11 @@ def tokenizer_path(name: str) -> str:
     """Where a public tokenizer's file lies; the files are installed on every machine."""
     import public_tokenizers
     return public_tokenizers.path(name)
+
+
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """Bound the rows of an Arrow batch in this session: whole texts may be long."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+    return df
