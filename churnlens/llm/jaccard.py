@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from churnlens.llm import text as tx
 from churnlens.llm.components import connected_components
@@ -196,9 +197,10 @@ def _classes(df: DataFrame, id_col: str, text_col: str, k: int, percent: int, ch
 
     sent = dealt.groupBy("chunk").applyInArrow(send, "bucket long, chunk long, shingles binary, classes binary")
     answers = sent.groupBy("bucket").applyInArrow(count, "chunk long, bucket long, places binary")
-    row = dealt.schema["row"].dataType.simpleString()
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        collect, f"row {row}, n long, c long, shared array<long>, vec binary, set binary")
+    kinds = {"n": T.LongType(), "c": T.LongType(), "shared": T.ArrayType(T.LongType()), "vec": T.BinaryType(),
+             "set": T.BinaryType()}
+    schema = T.StructType([dealt.schema["row"], *[T.StructField(c, kind) for c, kind in kinds.items()]])
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(collect, schema)
 
 
 def overlap_needed(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
