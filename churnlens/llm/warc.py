@@ -248,7 +248,7 @@ class WarcReader(DataSourceReader):
                        if f.type == pafs.FileType.File and f.path.endswith((".warc", ".warc.gz")))
         head = scheme[:scheme.index(path)] if path in scheme else ""
         limit = int(self.options.get("partitionbytes", PARTITION_BYTES))
-        out: list[list[str]] = []
+        out: list[list[str]] = []     # an empty folder is one empty partition
         room = 0
         for name, size in files:
             if not out or size > room:
@@ -256,7 +256,7 @@ class WarcReader(DataSourceReader):
                 room = limit
             out[-1].append(head + name)
             room -= size
-        return [WarcPartition(x) for x in out]
+        return [WarcPartition(x) for x in out or [[]]]
 
     def _wanted(self, headers: dict[str, str]) -> bool:
         for kind, column, x in self.tests:
