@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Above this many rows a side is not broadcast but joined by shuffle.
-BROADCAST_ROW_LIMIT = 2_000_000
-
 
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -48,15 +45,6 @@ def risk_level_left_closed(p: str | Column) -> Column:
             .otherwise("low"))
 
 
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Join with ``small`` broadcast only when its row count is checked to be under ``limit``."""
-    n = small.count()
-    if n <= limit:
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small, on, how)
-
-
 def unpivot(df: DataFrame, ids: list[str], cols: list[str], var: str = "feature",
             val: str = "value", cast: str = "double") -> DataFrame:
     """Long form ``(ids..., var, val)`` with one row per id and column (``stack``)."""

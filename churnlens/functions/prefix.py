@@ -1,166 +1,70 @@
 """Exact global rank and running sums without an unpartitioned window.
 
-``Window.orderBy(...)`` with no ``partitionBy`` moves every row into one task. The
-helpers here keep the work distributed:
-
-1. a small sample of the sort keys (bounded: ``sample_per_bucket`` rows per bucket) gives
-   ``B - 1`` boundaries on the *full* composite key, so a hot value is still split
-   across buckets by its tie-breaking keys;
-2. every row gets its bucket from a binary search over the boundaries written as a
-   nested ``CASE`` (log2 B comparisons, stays in whole-stage codegen);
-3. one ``groupBy(bucket)`` gives per-bucket counts and sums; the B rows come back to
-   the driver (bounded) and become exclusive offsets in a broadcast table;
-4. a window partitioned by bucket and ordered by the keys adds the offsets.
-
-The keys must be non-null and together define a total order (end them with a unique id)
-for the rank to be exact. Boundaries only balance the load; results never depend on
-them. ``partition_by`` ranks within groups by putting the group keys first.
+``Window.orderBy(...)`` with no ``partitionBy`` moves every row into one task. Here, at every
+size, the rows are range-partitioned by the full composite key (a hot value is split by its
+tie-breaking keys), numbered by partition and checkpointed once, so that all later steps see the
+same partitions. Counts and sums per partition (one row a partition, or a partition and group)
+give the offsets at which each partition starts; a window within the partition adds them.
+
+The keys must be non-null and together define a total order (end them with a unique id) for
+the rank to be exact; the partition bounds only balance the load. ``partition_by`` ranks within
+groups by putting the group keys first; null is a group.
 """
 
 from __future__ import annotations
 
-import functools
-import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 4096
-SAMPLE_PER_BUCKET = 40
-
-
-def _lt_boundary(keys: list[tuple[str, bool]], b: tuple) -> Column:
-    """Row strictly before boundary ``b`` in the (mixed-direction) lexicographic order."""
-    expr = None
-    eq_prefix = None
-    for (name, asc), v in zip(keys, b):
-        c = F.col(name)
-        before = (c < F.lit(v)) if asc else (c > F.lit(v))
-        term = before if eq_prefix is None else (eq_prefix & before)
-        expr = term if expr is None else (expr | term)
-        eq = c == F.lit(v)
-        eq_prefix = eq if eq_prefix is None else (eq_prefix & eq)
-    return expr
-
-
-def _bucket_expr(keys, bounds: list[tuple], lo: int, hi: int) -> Column:
-    # bucket i holds rows with bounds[i-1] <= row < bounds[i]
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi + 1) // 2
-    return F.when(_lt_boundary(keys, bounds[mid - 1]), _bucket_expr(keys, bounds, lo, mid - 1)) \
-        .otherwise(_bucket_expr(keys, bounds, mid, hi))
-
-
-def _cmp(keys):
-    def cmp(a, b):
-        for (_, asc), x, y in zip(keys, a, b):
-            if x == y:
-                continue
-            r = -1 if x < y else 1
-            return r if asc else -r
-        return 0
-    return functools.cmp_to_key(cmp)
-
-
-def _boundaries(df: DataFrame, keys, n: int, rows_per_bucket: int, max_buckets: int,
-                sample_per_bucket: int, seed: int) -> list[tuple]:
-    n_buckets = min(max_buckets, max(1, math.ceil(n / rows_per_bucket)))
-    if n_buckets <= 1:
-        return []
-    frac = min(1.0, n_buckets * sample_per_bucket / n)
-    names = [k for k, _ in keys]
-    sample = [tuple(r) for r in df.select(*names).sample(False, frac, seed).collect()]
-    sample.sort(key=_cmp(keys))
-    if len(sample) < 2:
-        return []
-    step = len(sample) / n_buckets
-    bounds: list[tuple] = []
-    for i in range(1, n_buckets):
-        b = sample[min(len(sample) - 1, int(i * step))]
-        if not bounds or b != bounds[-1]:
-            bounds.append(b)
-    return bounds
+from churnlens.session import cut_lineage
 
 
 def global_order(df: DataFrame, keys: list[tuple[str, bool]], *, rank_col: str | None = "_rank",
                  sums: dict[str, str | Column] | None = None,
-                 partition_by: list[str] | None = None,
-                 rows_per_bucket: int = ROWS_PER_BUCKET, max_buckets: int = MAX_BUCKETS,
-                 sample_per_bucket: int = SAMPLE_PER_BUCKET, seed: int = 17,
-                 n_rows: int | None = None) -> DataFrame:
+                 partition_by: list[str] | None = None, n_parts: int | None = None) -> DataFrame:
     """Add a 1-based rank in the order ``keys`` and inclusive running sums.
 
     ``keys``: ``[(column, ascending), ...]``; ``sums``: ``{out_name: column}``.
     With ``partition_by`` the rank and sums restart for each group.
     """
-    sums = dict(sums or {})
-    partition_by = list(partition_by or [])
-    full_keys = [(p, True) for p in partition_by] + [k for k in keys if k[0] not in partition_by]
+    groups = list(partition_by or [])
+    order = [F.col(k).asc() if a else F.col(k).desc() for k, a in keys if k not in groups]
     spark = df.sparkSession
-    work = df
-    sum_cols = {}
-    for i, (out, c) in enumerate(sums.items()):
-        tmp = f"__s{i}"
-        work = work.withColumn(tmp, (F.col(c) if isinstance(c, str) else c).cast("double"))
-        sum_cols[out] = tmp
-    n = n_rows if n_rows is not None else work.count()
-    bounds = _boundaries(work, full_keys, n, rows_per_bucket, max_buckets, sample_per_bucket, seed)
-    if not bounds:
-        # n <= rows_per_bucket: one bounded bucket, no offsets needed. The window is
-        # partitioned by the group keys (or one bucket of at most rows_per_bucket rows).
-        order = [F.col(k).asc() if a else F.col(k).desc() for k, a in keys if k not in partition_by]
-        part = [F.col(p) for p in partition_by] or [F.lit(0)]
-        w = Window.partitionBy(*part).orderBy(*order)
-        wr = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        out = work
-        if rank_col:
-            out = out.withColumn(rank_col, F.row_number().over(w))
-        for o, t in sum_cols.items():
-            out = out.withColumn(o, F.sum(t).over(wr))
-        return out.drop(*sum_cols.values())
-    bucket = _bucket_expr(full_keys, bounds, 0, len(bounds)) if bounds else F.lit(0)
-    work = work.withColumn("__b", bucket)
-
-    # per-bucket totals: at most MAX_BUCKETS rows reach the driver
-    tot_aggs = [F.count(F.lit(1)).alias("__n")] + [F.sum(t).alias(t) for t in sum_cols.values()]
-    totals = sorted(work.groupBy("__b").agg(*tot_aggs).collect(), key=lambda r: r["__b"])
-    offs, run_n = [], 0
-    run_s = {t: 0.0 for t in sum_cols.values()}
-    for r in totals:
-        offs.append((int(r["__b"]), run_n, *[run_s[t] for t in sum_cols.values()]))
-        run_n += int(r["__n"])
-        for t in sum_cols.values():
-            run_s[t] += float(r[t] or 0.0)
-    off_schema = "__b int, __on long" + "".join(f", {t}_o double" for t in sum_cols.values())
-    off_df = spark.createDataFrame(offs or [(0, 0, *[0.0] * len(sum_cols))], off_schema)
-
-    order = [F.col(k).asc() if a else F.col(k).desc() for k, a in full_keys]
-    w = Window.partitionBy("__b").orderBy(*order)
-    wr = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = work.join(F.broadcast(off_df), "__b")
-    out = out.withColumn("__grank", F.row_number().over(w) + F.col("__on"))
-    for o, t in sum_cols.items():
-        out = out.withColumn(o, F.sum(t).over(wr) + F.col(f"{t}_o"))
-
-    if partition_by:
-        # subtract the group's start: min rank of the group and the running sums before it
-        g_aggs = [F.min("__grank").alias("__gstart")]
-        for o, t in sum_cols.items():
-            g_aggs.append(F.min_by(F.col(o) - F.col(t), F.col("__grank")).alias(f"{o}__g"))
-        starts = out.groupBy(*partition_by).agg(*g_aggs)
-        out = out.join(starts, partition_by)
-        out = out.withColumn("__grank", F.col("__grank") - F.col("__gstart") + 1)
-        for o in sum_cols:
-            out = out.withColumn(o, F.col(o) - F.col(f"{o}__g"))
-    drop = ["__b", "__on", "__gstart"] + list(sum_cols.values()) + \
-        [f"{t}_o" for t in sum_cols.values()] + [f"{o}__g" for o in sum_cols]
-    if rank_col:
-        out = out.withColumnRenamed("__grank", rank_col)
+    n_parts = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tmp = {out: f"__s{i}" for i, out in enumerate(sums or {})}
+    work = df.withColumns({tmp[out]: (F.col(c) if isinstance(c, str) else c).cast("double")
+                           for out, c in (sums or {}).items()})
+    dealt = work.repartitionByRange(n_parts, *[F.col(g).asc() for g in groups], *order)
+    dealt = cut_lineage(dealt.withColumn("__b", F.spark_partition_id()))
+    starts = {"__n": "__n_before", **{t: f"{t}_before" for t in tmp.values()}}
+    totals = dealt.groupBy("__b", *groups).agg(F.count(F.lit(1)).alias("__n"),
+                                               *[F.sum(t).alias(t) for t in tmp.values()])
+    if groups:
+        before = Window.partitionBy(*groups).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = totals.select(F.col("__b").alias("__ob"), *[F.col(g).alias(f"__o_{g}") for g in groups],
+                                *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(s) for c, s in starts.items()])
+        # One row a partition and group: spread by partition, so no group is a hot key.
+        same = [dealt[g].eqNullSafe(offsets[f"__o_{g}"]) for g in groups]
+        out = dealt.join(offsets, reduce(Column.__and__, same, dealt["__b"] == offsets["__ob"]))
+        out = out.drop("__ob", *[f"__o_{g}" for g in groups])
     else:
-        drop.append("__grank")
-    return out.drop(*[c for c in drop if c in out.columns])
+        rows, run = [], dict.fromkeys(starts, 0)
+        for r in sorted(totals.collect(), key=lambda r: r["__b"]):     # one row a partition
+            rows.append((r["__b"], *[run[c] for c in starts]))
+            run = {c: run[c] + (r[c] or 0) for c in starts}
+        schema = "__b int, __n_before long" + "".join(f", {t}_before double" for t in tmp.values())
+        rows = [(b, n, *map(float, rest)) for b, n, *rest in rows]
+        out = dealt.join(F.broadcast(spark.createDataFrame(rows, schema)), "__b")
+    w = Window.partitionBy("__b", *groups).orderBy(*order)
+    run_w = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if rank_col:
+        out = out.withColumn(rank_col, F.row_number().over(w) + F.col("__n_before"))
+    for o, t in tmp.items():
+        # A sum of nulls only so far is 0.
+        out = out.withColumn(o, F.coalesce(F.sum(t).over(run_w), F.lit(0.0)) + F.coalesce(F.col(f"{t}_before"), F.lit(0.0)))
+    return out.drop("__b", *starts.values(), *tmp.values())
 
 
 def top_k_per_group(df: DataFrame, group_cols: list[str], order: list[Column], k: int,

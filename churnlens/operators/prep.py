@@ -99,7 +99,7 @@ def positional_split(df: DataFrame, date_col: str, id_col: str = "customer_id",
     """Q8: the first ``int(n * train / (train + test))`` rows by (date, id) are train."""
     n = df.count()
     k = int(n * train / (train + test))
-    r = global_order(df, [(date_col, True), (id_col, True)], rank_col="__r", n_rows=n)
+    r = global_order(df, [(date_col, True), (id_col, True)], rank_col="__r")
     return r.withColumn("split", F.when(F.col("__r") <= k, "train").otherwise("test")).drop("__r")
 
 

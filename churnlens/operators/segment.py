@@ -51,7 +51,7 @@ def quantile_score(df: DataFrame, value_col: str, q: int = 5, inverse: bool = Fa
     n, d = stats
     if d <= 1:
         return df.withColumn(out_col, F.lit(1 if inverse else q))
-    ranked = global_order(df, [(value_col, True), (id_col, True)], rank_col="__r", n_rows=n)
+    ranked = global_order(df, [(value_col, True), (id_col, True)], rank_col="__r")
     bin_ = F.greatest(F.lit(1), F.expr(f"((__r - 1) * {q} + {n - 2}) div {n - 1}"))
     label = (F.lit(q + 1) - bin_) if inverse else bin_
     return ranked.withColumn(out_col, label.cast("int")).drop("__r")

@@ -37,7 +37,7 @@ def assign_groups(ids: DataFrame, ratio: float | None = 0.5, n_groups: int = 2,
     equal n-way (rank mod n); the global rank is distributed (``global_order``)."""
     df = ids.select(id_col).withColumn("__h", mix_hash(id_col, seed))
     n = df.count()
-    r = global_order(df, [("__h", True), (id_col, True)], rank_col="__r", n_rows=n)
+    r = global_order(df, [("__h", True), (id_col, True)], rank_col="__r")
     if n_groups == 2 and ratio is not None:
         k = int(round(n * ratio))
         grp = F.when(F.col("__r") <= k, labels[0]).otherwise(labels[1])

@@ -16,10 +16,10 @@ def _data(spark, n=3000, seed=1):
     return rows, spark.createDataFrame(rows, "id long, v double, g long")
 
 
-@pytest.mark.parametrize("rows_per_bucket", [10_000_000, 97])
-def test_global_rank_and_sums_exact(spark, rows_per_bucket):
+@pytest.mark.parametrize("n_parts", [1, 64, 512])
+def test_global_rank_and_sums_exact(spark, n_parts):
     rows, df = _data(spark)
-    out = global_order(df, [("v", False), ("id", True)], sums={"cum": "v"}, rows_per_bucket=rows_per_bucket) \
+    out = global_order(df, [("v", False), ("id", True)], sums={"cum": "v"}, n_parts=n_parts) \
         .select("id", "_rank", "cum").collect()
     exp = sorted(rows, key=lambda r: (-r[1], r[0]))
     rank = {r[0]: i + 1 for i, r in enumerate(exp)}
@@ -34,7 +34,7 @@ def test_global_rank_and_sums_exact(spark, rows_per_bucket):
 def test_partitioned_rank(spark):
     rows, df = _data(spark)
     out = global_order(df, [("v", True), ("id", True)], partition_by=["g"], sums={"cum": "v"},
-                       rows_per_bucket=113).collect()
+                       n_parts=13).collect()
     for g in range(4):
         sub = sorted([r for r in rows if r[2] == g], key=lambda r: (r[1], r[0]))
         exp = {r[0]: i + 1 for i, r in enumerate(sub)}
@@ -47,12 +47,26 @@ def test_partition_invariance(spark):
     res = []
     for parts in ("1", "8"):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
-        res.append(sorted(global_order(df, [("v", True), ("id", True)], rows_per_bucket=200)
+        res.append(sorted(global_order(df, [("v", True), ("id", True)], n_parts=None if parts == "1" else 5)
                           .select("id", "_rank").collect()))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert res[0] == res[1]
 
 
+def test_ranks_over_float_sums_have_no_gaps(spark):
+    rnd = random.Random(3)
+    df = spark.createDataFrame([(i % 700, rnd.random() / 3) for i in range(20_000)], "id long, x double").repartition(16)
+    summed = df.groupBy("id").agg(F.sum("x").alias("v"))
+    got = sorted(r["_rank"] for r in global_order(summed, [("v", True), ("id", True)], n_parts=40).collect())
+    assert got == list(range(1, 701))
+
+
+def test_null_is_a_group(spark):
+    df = spark.createDataFrame([(i, None if i % 2 else "g") for i in range(20)], "id long, g string")
+    got = global_order(df, [("id", True)], partition_by=["g"], n_parts=3).collect()
+    assert sorted((r["g"] or "", r["_rank"]) for r in got) == sorted((g, k) for g in ("", "g") for k in range(1, 11))
+
+
 def test_quantiles_match_numpy(spark):
     rows, df = _data(spark)
     probs = [0.0, 0.01, 0.25, 0.5, 0.8, 0.99, 1.0]
