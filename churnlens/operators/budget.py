@@ -12,7 +12,6 @@ table. Ties in efficiency are broken by ``customer_id`` (the LP optimum is not u
 from __future__ import annotations
 
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,12 +106,12 @@ def allocate_channels(df: DataFrame, channels: DataFrame, budget: float) -> Data
 
 
 def allocate_proportional(df: DataFrame, budget: float) -> DataFrame:
-    """Share of total priority x budget (equal split when the total is 0)."""
+    """Share of total priority x budget; nothing when the total or the budget is 0."""
     p = df.withColumn("priority", priority_expr())
-    t = p.agg(F.sum("priority").alias("__tp"), F.count(F.lit(1)).alias("__n"))
+    t = p.agg(F.sum("priority").alias("__tp"))
     j = p.crossJoin(F.broadcast(t))
-    a = F.when(F.col("__tp") > 0, F.col("priority") / F.col("__tp") * budget).otherwise(budget / F.col("__n"))
-    return j.withColumn("allocated_budget", a).drop("__tp", "__n")
+    a = F.when((F.col("__tp") > 0) & F.lit(budget > 0), F.col("priority") / F.col("__tp") * budget).otherwise(0.0)
+    return j.withColumn("allocated_budget", a).drop("__tp")
 
 
 def allocate_uniform(df: DataFrame, budget: float) -> DataFrame:
@@ -136,23 +135,41 @@ def allocation_metrics(alloc: DataFrame, group_cols: list[str] | None = None) ->
                                       F.col("expected_value") / F.col("total_allocated")).otherwise(0.0))
 
 
+def compare_strategies(df: DataFrame, budget: float) -> DataFrame:
+    """Value, ROI and customers treated of the LP, proportional and uniform allocations."""
+    cols = [ID, "uplift_score", "clv", "churn_probability", "cost_per_action", "allocated_budget"]
+    parts = {"lp": allocate(df, budget), "proportional": allocate_proportional(df, budget),
+             "uniform": allocate_uniform(df, budget)}
+    union = None
+    for name, a in parts.items():
+        a = a.select(F.lit(name).alias("strategy"), *cols)
+        union = a if union is None else union.unionByName(a)
+    m = allocation_metrics(union, ["strategy"])
+    return m.select("strategy", "total_allocated", F.col("expected_value").alias("retained_value"), "roi",
+                    "customers_treated")
+
+
 def budget_metrics(alloc: DataFrame) -> DataFrame:
-    """Per-customer expected retained, revenue saved, ROI, priority."""
+    """Per-customer expected retained (fraction x uplift x churn), revenue saved, ROI and
+    priority_score (uplift x CLV)."""
     frac = F.coalesce(F.least(F.greatest(F.try_divide(F.col("allocated_budget"), F.col("cost_per_action")),
                                          F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
-    ret = frac * F.greatest(F.col("uplift_score"), F.lit(0.0))
+    churn = F.least(F.greatest(F.col("churn_probability"), F.lit(0.0)), F.lit(1.0))
+    up = F.greatest(F.col("uplift_score"), F.lit(0.0))
+    ret = frac * up * churn
     return (alloc.withColumn("expected_retained", ret)
             .withColumn("revenue_saved", ret * F.col("clv"))
             .withColumn("roi", F.when(F.col("allocated_budget") > 0,
                                       F.col("revenue_saved") / F.col("allocated_budget")).otherwise(0.0))
-            .withColumn("priority", priority_expr()))
+            .withColumn("priority_score", up * F.col("clv")))
 
 
 def no_action(alloc: DataFrame, segment_col: str = "segment") -> DataFrame:
-    """No spend where uplift <= 0 or the segment names a sleeping dog."""
-    bad = (F.col("uplift_score") <= 0) | F.coalesce(F.col(segment_col).contains("sleeping_dog"), F.lit(False))
-    return alloc.withColumn("no_action", bad).withColumn(
-        "allocated_budget", F.when(bad, 0.0).otherwise(F.col("allocated_budget")))
+    """No spend and nothing expected where uplift <= 0 or the segment names a sleeping dog
+    (in any letter case)."""
+    bad = (F.col("uplift_score") <= 0) | F.coalesce(F.lower(segment_col).contains("sleeping_dog"), F.lit(False))
+    money = [c for c in ("allocated_budget", "expected_retained", "revenue_saved", "roi") if c in alloc.columns]
+    return alloc.withColumns({"no_action": bad, **{c: F.when(bad, 0.0).otherwise(F.col(c)) for c in money}})
 
 
 def budget_by_segment(metrics: DataFrame, segment_col: str = "segment") -> DataFrame:
@@ -213,16 +230,16 @@ def budget_sweep(spark, base_budget: float, levels=(0.5, 1.0, 2.0)) -> DataFrame
 
 
 def project(df: DataFrame, alloc: DataFrame) -> DataFrame:
-    """Projected churn mean(max(churn - frac * max(uplift, 0), 0)) and revenue; every
-    customer kept (customers without allocation get fraction 0)."""
+    """Projected churn mean(max(churn - frac * max(uplift, 0), 0)) and revenue impact
+    sum(frac * max(uplift, 0) * clv * churn); customers without allocation have fraction 0."""
     a = alloc.select(ID, "allocated_budget")
     j = a.join(df, ID, "right")
     frac = F.coalesce(F.least(F.greatest(F.try_divide(F.col("allocated_budget"), F.col("cost_per_action")),
                                          F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
     pc = F.greatest(F.col("churn_probability") - frac * F.greatest(F.col("uplift_score"), F.lit(0.0)), F.lit(0.0))
     return j.agg(F.avg("churn_probability").alias("baseline_churn"), F.avg(pc).alias("projected_churn"),
-                 F.sum(F.col("clv") * (1 - F.col("churn_probability"))).alias("baseline_revenue"),
-                 F.sum(F.col("clv") * (1 - pc)).alias("projected_revenue"))
+                 F.sum(frac * F.greatest(F.col("uplift_score"), F.lit(0.0)) * F.col("clv") * F.col("churn_probability"))
+                 .alias("revenue_impact"))
 
 
 def channel_summary(alloc: DataFrame) -> DataFrame:
@@ -277,17 +294,13 @@ def scaled_scenarios(summary: DataFrame, multipliers: list[float]) -> DataFrame:
 
 
 def channel_split(channels: DataFrame, budget: float) -> DataFrame:
-    """Budget x multiplier / sum(multipliers) per channel; expected actions."""
-    t = channels.agg(F.sum("multiplier").alias("__tm"))
+    """Whole currency units of budget x multiplier / max(sum of multipliers, 0.01) per
+    channel, and whole actions at a cost of at least 1."""
+    t = channels.agg(F.sum("multiplier").alias("__tm"))     # one row
     j = channels.crossJoin(F.broadcast(t))
-    b = F.when(F.col("__tm") > 0, budget * F.col("multiplier") / F.col("__tm")).otherwise(0.0)
-    return (j.withColumn("channel_budget", b)
-            .withColumn("expected_actions", F.when(F.col("unit_cost") > 0,
-                                                   F.floor(F.col("channel_budget") / F.col("unit_cost"))).otherwise(0))
-            .drop("__tm"))
-
-
-
+    b = (F.lit(budget) * (F.col("multiplier") / F.greatest(F.col("__tm"), F.lit(0.01)))).cast("long")
+    actions = (F.col("channel_budget") / F.greatest(F.col("unit_cost"), F.lit(1.0))).cast("long")
+    return j.withColumn("channel_budget", b).withColumn("expected_actions", actions).drop("__tm")
 
 
 def allocate_lp(df: DataFrame, channels: DataFrame, budget: float) -> DataFrame:

@@ -29,7 +29,7 @@ def temporal_cutoff(events: DataFrame, frac: float = 0.75):
 def clv_features(df: DataFrame) -> DataFrame:
     """V3: interaction, recency/frequency, log1p monetary (frequency floored at 1)."""
     f1 = F.greatest(F.col("frequency"), F.lit(1))
-    return (df.withColumn("rfm_interaction", F.col("frequency") * F.col("monetary"))
+    return (df.withColumn("rfm_interaction", f1 * (F.col("monetary") / f1))
             .withColumn("recency_per_frequency", F.col("recency") / f1)
             .withColumn("log_monetary", F.log1p(F.greatest(F.col("monetary"), F.lit(0.0)))))
 

@@ -415,7 +415,7 @@ def monthly_panel(events: DataFrame, static: DataFrame | None = None) -> DataFra
         F.count_if(et == "purchase").alias("purchase_count"),
         F.count_if(et == "page_view").alias("page_view_count"),
         F.count_if(et == "search").alias("search_count"),
-        F.count_if(et == "add_to_cart").alias("cart_count"),
+        F.count_if(et.isin("add_to_cart", "remove_from_cart")).alias("cart_count"),
         F.count_if(et == "coupon_use").alias("coupon_count"),
         F.coalesce(F.sum("amount"), F.lit(0.0)).alias("amount"))
     if static is not None:

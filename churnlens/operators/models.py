@@ -101,8 +101,10 @@ def threshold_table(scored: DataFrame, score_col: str = "churn_probability", lab
     f1 = F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(0.0)
     t = t.select(F.col("score").alias("threshold"), prec.alias("precision"), rec.alias("recall"), f1.alias("f1"))
     ok = t.filter(F.col("recall") >= min_recall)
-    best_ok = ok.agg(F.max_by("threshold", F.struct("f1", "threshold")).alias("__b1"))
-    best_any = t.agg(F.max_by("threshold", F.struct("f1", "threshold")).alias("__b2"))
+    # Of equal F1 the lowest threshold, which comes first in ascending order.
+    best = F.max_by("threshold", F.struct(F.col("f1"), -F.col("threshold")))
+    best_ok = ok.agg(best.alias("__b1"))
+    best_any = t.agg(best.alias("__b2"))
     return t.crossJoin(best_ok).crossJoin(best_any).withColumn(
         "is_best", F.col("threshold") == F.coalesce("__b1", "__b2")).drop("__b1", "__b2")
 

@@ -27,8 +27,9 @@ from churnlens.functions.prefix import global_order
 # ------------------------------------------------------------------ K1, K2
 
 def km_curve(df: DataFrame, duration: str = "duration", event: str = "event",
-             group_cols: list[str] | None = None) -> DataFrame:
-    """K1: ``(group..., time, at_risk, events, censored, survival)`` with S(t) = prod(1 - d/n)."""
+             group_cols: list[str] | None = None, origin: bool = True) -> DataFrame:
+    """K1: ``(group..., time, at_risk, events, censored, survival)`` with S(t) = prod(1 - d/n);
+    with ``origin`` also the row at time 0 (all at risk, S = 1) unless a duration is 0."""
     g = list(group_cols or [])
     v = df.groupBy(*g, F.col(duration).cast("double").alias("time")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(event).cast("long")).alias("events"))
@@ -43,15 +44,20 @@ def km_curve(df: DataFrame, duration: str = "duration", event: str = "event",
     o = global_order(o.drop("__cn"), [("time", True)], partition_by=g, sums={"__slg": "__lg", "__sz": "__z"},
                      rank_col=None)
     surv = F.when(F.col("__sz") > 0, 0.0).otherwise(F.exp("__slg"))
-    return o.select(*g, "time", "at_risk", "events", (F.col("n") - F.col("events")).alias("censored"),
-                    surv.alias("survival"))
+    out = o.select(*g, "time", "at_risk", "events", (F.col("n") - F.col("events")).alias("censored"),
+                   surv.alias("survival"))
+    if not origin:
+        return out
+    zero = v.groupBy(*g).agg(F.sum("n").alias("at_risk"), F.min("time").alias("__t0")).filter("__t0 > 0")
+    return out.unionByName(zero.select(*g, F.lit(0.0).alias("time"), "at_risk", F.lit(0).cast("long").alias("events"),
+                                       F.lit(0).cast("long").alias("censored"), F.lit(1.0).alias("survival")))
 
 
 def km_by_segment(df: DataFrame, segment: str, grid: list[float], duration: str = "duration",
                   event: str = "event", band: float = 0.05) -> DataFrame:
     """K2: per segment KM sampled on a time grid (step lookup; 1 before the first time),
     at-risk and cumulative events at each grid time, first grid time with S <= .5, band."""
-    curve = km_curve(df, duration, event, [segment])
+    curve = km_curve(df, duration, event, [segment], origin=False)
     spark = df.sparkSession
     gt = spark.createDataFrame([(float(t),) for t in grid], "t double")
     segs = df.select(segment).distinct()
@@ -248,9 +254,9 @@ def survival_stats(surv: DataFrame, segment: str = "segment") -> DataFrame:
 
 
 def proxy_survival(pred: DataFrame) -> DataFrame:
-    """K8: duration = max(1, round(365 (1 - p))), event = p >= .5."""
+    """K8: duration = max(1, 365 (1 - p)) rounded half to even, event = p >= .5."""
     p = F.col("churn_probability")
-    return pred.withColumn("duration", F.greatest(F.lit(1.0), F.round(365 * (1 - p)))) \
+    return pred.withColumn("duration", F.bround(F.greatest(F.lit(1.0), 365 * (1 - p)), 0)) \
         .withColumn("event", (p >= 0.5).cast("int"))
 
 

@@ -85,39 +85,66 @@ def compare_learners(df: DataFrame, learners: list[str], y: str = "churn_label",
     for s in learners:
         part = df.select("customer_id", F.lit(s).alias("learner"), F.col(s).cast("double").alias("uplift"), y, t)
         long = part if long is None else long.unionByName(part)
-    a = auuc(long, "uplift", y, t, ["learner"])
-    st = long.groupBy("learner").agg(F.avg("uplift").alias("mean_uplift"), F.stddev_samp("uplift").alias("std_uplift"),
-                                     F.avg((F.col("uplift") > 0).cast("double")).alias("positive_rate"))
+    return compare_long(long, "uplift", y, t)
+
+
+def compare_long(long: DataFrame, uplift: str = "uplift", y: str = "churn_label", t: str = "is_treatment") -> DataFrame:
+    """U5 on a long table (learner, customer_id, uplift, outcome, arm)."""
+    a = auuc(long, uplift, y, t, ["learner"])
+    st = long.groupBy("learner").agg(F.avg(uplift).alias("mean_uplift"), F.stddev_pop(uplift).alias("std_uplift"),
+                                     F.avg((F.col(uplift) > 0).cast("double")).alias("positive_rate"))
     return a.join(st, "learner")
 
 
 def uplift_segments(df: DataFrame, uplift: str = "uplift_score", churn: str = "churn_probability",
                     neutral: float = 0.05, high_churn: float = 0.5) -> DataFrame:
-    """Persuadable / sure_thing / lost_cause / sleeping_dog with baseline risk."""
+    """Any negative uplift is a sleeping dog; at high churn, uplift above the neutral band is
+    persuadable and uplift within it a lost cause; the rest is a sure thing."""
     u, c = F.col(uplift), F.col(churn)
-    seg = (F.when(u < -neutral, "sleeping_dog").when(u > neutral, "persuadable")
-           .when(c >= high_churn, "lost_cause").otherwise("sure_thing"))
+    seg = (F.when(u < 0, "sleeping_dog").when((u > neutral) & (c >= high_churn), "persuadable")
+           .when((u <= neutral) & (c >= high_churn), "lost_cause").otherwise("sure_thing"))
     return df.withColumn("uplift_segment", seg)
 
 
-def uplift_segments_median(df: DataFrame, uplift: str = "uplift_score", churn: str = "churn_probability") -> DataFrame:
-    """Legacy rule with the median uplift and median churn as pivots."""
-    mu, mc = quantile(df, uplift, 0.5), quantile(df, churn, 0.5)
-    u, c = F.col(uplift), F.col(churn)
-    seg = (F.when((u > mu) & (c > mc), "persuadable").when((u > mu) & (c <= mc), "sure_thing")
-           .when((u <= mu) & (c > mc), "lost_cause").otherwise("sleeping_dog"))
+def uplift_segments_median(df: DataFrame, uplift: str = "uplift_score") -> DataFrame:
+    """Without churn, the sign of the uplift and its median split the four classes: the
+    positive half at max(median, 0), the negative half at min(median, 0)."""
+    med = quantile(df, uplift, 0.5) or 0.0
+    u = F.col(uplift)
+    seg = (F.when(u >= max(med, 0.0), "persuadable").when(u >= 0, "sure_thing")
+           .when(u >= min(med, 0.0), "lost_cause").otherwise("sleeping_dog"))
     return df.withColumn("uplift_segment", seg)
 
 
-def persuadable_lift(df: DataFrame, features: list[str], segment_col: str = "uplift_segment", k: int = 5) -> DataFrame:
-    """U8: mean of each feature for persuadables vs the rest, lift and the top-k by lift."""
+def persuadable_lift(df: DataFrame, features: list[str], segment_col: str = "uplift_segment", k: int = 10) -> DataFrame:
+    """U8: mean of each feature for persuadables and the rest (0 for an empty side), their
+    difference as lift, and the k features of the largest absolute lift."""
     is_p = F.col(segment_col) == "persuadable"
     long = df.select(is_p.alias("__p"), F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in features])).alias("x"))
-    g = long.groupBy("x.feature").agg(F.avg(F.when(F.col("__p"), F.col("x.v"))).alias("persuadable_mean"),
-                                      F.avg(F.when(~F.col("__p"), F.col("x.v"))).alias("other_mean"))
-    lift = F.try_divide(F.col("persuadable_mean") - F.col("other_mean"), F.abs(F.col("other_mean")))
-    return g.withColumn("lift", lift).orderBy(F.desc_nulls_last("lift"), F.asc("feature")).limit(k)
+    mean = lambda rows: F.coalesce(F.avg(F.when(rows, F.col("x.v"))), F.lit(0.0))
+    g = long.groupBy("x.feature").agg(mean(F.col("__p")).alias("persuadable_mean"),
+                                      mean(~F.col("__p")).alias("non_persuadable_mean"))
+    g = g.withColumn("lift", F.col("persuadable_mean") - F.col("non_persuadable_mean"))
+    return g.withColumn("abs_lift", F.abs("lift")).orderBy(F.desc("abs_lift"), F.asc("feature")).limit(k)
+
+
+def persuadable_customers(df: DataFrame, segment_col: str = "uplift_segment", uplift: str = "uplift_score",
+                          churn: str = "churn_probability") -> DataFrame:
+    """U8: the persuadables with their rank by uplift (ties by id)."""
+    p = df.filter(F.col(segment_col) == "persuadable").select("customer_id", uplift, churn)
+    return global_order(p, [(uplift, False), ("customer_id", True)], rank_col="rank")
+
+
+def persuadable_summary(df: DataFrame, segment_col: str = "uplift_segment", uplift: str = "uplift_score",
+                        churn: str = "churn_probability") -> DataFrame:
+    """U8: number, share, mean uplift and mean baseline churn of the persuadables."""
+    is_p = F.col(segment_col) == "persuadable"
+    mean = lambda c: F.avg(F.when(is_p, F.col(c)))
+    return df.agg(F.count(F.lit(1)).alias("total_customers"), F.count_if(is_p).alias("persuadable_count"),
+                  F.coalesce(F.avg(F.coalesce(is_p, F.lit(False)).cast("double")), F.lit(0.0)).alias("persuadable_rate"),
+                  F.coalesce(mean(uplift), F.lit(0.0)).alias("persuadable_mean_uplift"),
+                  mean(churn).alias("persuadable_mean_baseline_churn"))
 
 
 def persona_effect(customers: DataFrame, label: str = "churn_label") -> DataFrame:
@@ -129,6 +156,20 @@ def persona_effect(customers: DataFrame, label: str = "churn_label") -> DataFram
     return g.withColumn("empirical_effect", F.col("control_rate") - F.col("treatment_rate"))
 
 
+def persona_calibrated(df: DataFrame, customers: DataFrame, uplift: str = "uplift_score", label: str = "churn_label") -> DataFrame:
+    """Degenerate scores (no spread, or all or none positive) become 0.7 times the persona's
+    effect (0 for a persona without both arms) plus 0.3 times the score."""
+    s = df.agg(F.stddev_pop(uplift).alias("__sd"), F.avg((F.col(uplift) > 0).cast("double")).alias("__pos"))
+    any_effect = persona_effect(customers, label).filter("empirical_effect IS NOT NULL")
+    # A row a persona: as many as the table names, joined by AQE's choice.
+    j = df.join(any_effect.select("persona", "empirical_effect"), "persona", "left").crossJoin(F.broadcast(s))
+    some = any_effect.limit(1).count() > 0
+    degenerate = (F.col("__sd") < 1e-4) | (F.col("__pos") == 0) | (F.col("__pos") == 1)
+    blend = F.lit(0.7) * F.coalesce("empirical_effect", F.lit(0.0)) + F.lit(0.3) * F.col(uplift)
+    return j.withColumn("calibrated_uplift", F.when(degenerate & F.lit(some), blend).otherwise(F.col(uplift))).drop(
+        "__sd", "__pos", "empirical_effect")
+
+
 def cumulative_uplift(df: DataFrame, score: str = "uplift_score", t: str = "is_treatment") -> DataFrame:
     """Running sum of the score in decreasing score order with % treated so far."""
     d = df.select("customer_id", F.col(score).cast("double").alias("__s"), F.col(t).cast("double").alias("__t"))

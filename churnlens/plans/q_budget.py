@@ -120,8 +120,8 @@ PRI = "greatest(uplift_score, 0.0) * clv * churn_probability"
 
 @register("allocate_proportional", oracle(f"""
 SELECT {", ".join(COLS)}, {PRI} AS priority,
-  CASE WHEN tp > 0 THEN {PRI} / tp * b ELSE b / n END AS allocated_budget
-FROM scores CROSS JOIN (SELECT sum({PRI}) AS tp, count(*) AS n, {BUDGET_SHARE} * sum(cost_per_action) AS b FROM scores)""",
+  CASE WHEN tp > 0 THEN {PRI} / tp * b ELSE 0.0 END AS allocated_budget
+FROM scores CROSS JOIN (SELECT sum({PRI}) AS tp, {BUDGET_SHARE} * sum(cost_per_action) AS b FROM scores)""",
     views=["scores"], doubles=["churn_probability", "uplift_score", "clv", "cost_per_action", "priority",
                                "allocated_budget"]))
 def q_allocate_proportional(spark, sf):
@@ -156,33 +156,51 @@ def q_allocation_metrics(spark, sf):
     return bu.allocation_metrics(q_budget_allocation(spark, sf))
 
 
-BM_SQL = f"""bm AS (SELECT a3.*, {FRAC} * greatest(uplift_score, 0.0) AS expected_retained,
-  {FRAC} * greatest(uplift_score, 0.0) * clv AS revenue_saved,
-  CASE WHEN allocated_budget > 0 THEN {FRAC} * greatest(uplift_score, 0.0) * clv / allocated_budget ELSE 0.0 END AS roi
-  FROM a3)"""
+RET = f"{FRAC} * greatest(uplift_score, 0.0) * least(greatest(churn_probability, 0.0), 1.0)"
+BM_SQL = f"""bm AS (SELECT a3.*, {RET} AS expected_retained, {RET} * clv AS revenue_saved,
+  CASE WHEN allocated_budget > 0 THEN {RET} * clv / allocated_budget ELSE 0.0 END AS roi,
+  greatest(uplift_score, 0.0) * clv AS priority_score FROM a3)"""
+
+
+@register("strategy_comparison", oracle(f"""
+SELECT 'lp' AS strategy, total_allocated, expected_value AS retained_value, roi, customers_treated FROM (
+  SELECT {METRICS_SEL} FROM a3)
+UNION ALL SELECT 'proportional', total_allocated, expected_value, roi, customers_treated FROM (SELECT {METRICS_SEL} FROM (
+  SELECT scores.* , CASE WHEN tp > 0 THEN {PRI} / tp * b ELSE 0.0 END AS allocated_budget FROM scores CROSS JOIN tot))
+UNION ALL SELECT 'uniform', total_allocated, expected_value, roi, customers_treated FROM (SELECT {METRICS_SEL} FROM (
+  SELECT scores.* , CASE WHEN {PRI} > 0 THEN b / np ELSE 0.0 END AS allocated_budget FROM scores CROSS JOIN tot))""",
+    views=["scores"], ctes=[alloc_sql(BUDGET_SHARE), f"""tot AS (SELECT sum({PRI}) AS tp, count_if({PRI} > 0) AS np,
+  {BUDGET_SHARE} * sum(cost_per_action) AS b FROM scores)"""], doubles=["total_allocated", "retained_value", "roi"]))
+def q_strategy_comparison(spark, sf):
+    """The LP, proportional and uniform strategies side by side."""
+    s = _scores(spark, sf)
+    return bu.compare_strategies(s, float(s.agg(F.sum("cost_per_action")).first()[0] * BUDGET_SHARE))
 
 
 @register("budget_metrics", oracle("SELECT " + ", ".join(COLS) + """, priority, efficiency, allocated_budget,
-  expected_retained, revenue_saved, roi FROM bm""", views=["scores"], ctes=[alloc_sql(BUDGET_SHARE), BM_SQL],
-    doubles=D + ["expected_retained", "revenue_saved", "roi"]))
+  expected_retained, revenue_saved, roi, priority_score FROM bm""", views=["scores"],
+    ctes=[alloc_sql(BUDGET_SHARE), BM_SQL], doubles=D + ["expected_retained", "revenue_saved", "roi", "priority_score"]))
 def q_budget_metrics(spark, sf):
     """Per-customer expected retained, revenue saved and ROI."""
     return bu.budget_metrics(q_budget_allocation(spark, sf))
 
 
 @register("no_action_policy", oracle(f"""
-SELECT a.customer_id, p.segment AS value_segment, a.uplift_score,
-  (a.uplift_score <= 0 OR coalesce(contains(p.segment, 'sleeping_dog'), false)) AS no_action,
-  CASE WHEN a.uplift_score <= 0 OR coalesce(contains(p.segment, 'sleeping_dog'), false) THEN 0.0
-       ELSE a.allocated_budget END AS allocated_budget
-FROM a3 a JOIN ({PIPE_SQL}) p ON a.customer_id = p.customer_id""", views=["scores"], ctes=[alloc_sql(BUDGET_SHARE)],
-    doubles=["uplift_score", "allocated_budget"]))
+SELECT customer_id, value_segment, uplift_score, no_action, CASE WHEN no_action THEN 0.0 ELSE allocated_budget END AS allocated_budget,
+  CASE WHEN no_action THEN 0.0 ELSE expected_retained END AS expected_retained,
+  CASE WHEN no_action THEN 0.0 ELSE revenue_saved END AS revenue_saved, CASE WHEN no_action THEN 0.0 ELSE roi END AS roi
+FROM (SELECT a.*, p.segment AS value_segment,
+        (a.uplift_score <= 0 OR coalesce(contains(lower(p.segment), 'sleeping_dog'), false)) AS no_action
+      FROM bm a JOIN ({PIPE_SQL}) p ON a.customer_id = p.customer_id)""", views=["scores"],
+    ctes=[alloc_sql(BUDGET_SHARE), BM_SQL],
+    doubles=["uplift_score", "allocated_budget", "expected_retained", "revenue_saved", "roi"]))
 def q_no_action(spark, sf):
     """Zero spend for non-positive uplift or sleeping-dog value segments."""
-    a = q_budget_allocation(spark, sf).select("customer_id", "uplift_score", "allocated_budget")
+    a = bu.budget_metrics(q_budget_allocation(spark, sf))
     seg = _pipeline_segments(spark, sf).select("customer_id", F.col("segment").alias("value_segment"))
     return bu.no_action(a.join(seg, "customer_id"), "value_segment").select(
-        "customer_id", "value_segment", "uplift_score", "no_action", "allocated_budget")
+        "customer_id", "value_segment", "uplift_score", "no_action", "allocated_budget", "expected_retained",
+        "revenue_saved", "roi")
 
 
 @register("budget_by_segment", oracle("""
@@ -252,12 +270,11 @@ def q_budget_sweep(spark, sf):
 SELECT avg(s.churn_probability) AS baseline_churn,
   avg(greatest(s.churn_probability - coalesce(least(greatest(a.allocated_budget / nullif(s.cost_per_action, 0), 0.0), 1.0), 0.0)
       * greatest(s.uplift_score, 0.0), 0.0)) AS projected_churn,
-  sum(s.clv * (1 - s.churn_probability)) AS baseline_revenue,
-  sum(s.clv * (1 - greatest(s.churn_probability - coalesce(least(greatest(a.allocated_budget / nullif(s.cost_per_action, 0),
-      0.0), 1.0), 0.0) * greatest(s.uplift_score, 0.0), 0.0))) AS projected_revenue
+  sum(coalesce(least(greatest(a.allocated_budget / nullif(s.cost_per_action, 0), 0.0), 1.0), 0.0)
+      * greatest(s.uplift_score, 0.0) * s.clv * s.churn_probability) AS revenue_impact
 FROM (SELECT customer_id, allocated_budget FROM a3 WHERE allocated_budget > 0) a RIGHT JOIN scores s
   ON a.customer_id = s.customer_id""", views=["scores"], ctes=[alloc_sql(BUDGET_SHARE)],
-    doubles=["baseline_churn", "projected_churn", "baseline_revenue", "projected_revenue"]))
+    doubles=["baseline_churn", "projected_churn", "revenue_impact"]))
 def q_projected(spark, sf):
     """Projected churn and revenue with the allocation (funded customers right-joined)."""
     a = q_budget_allocation(spark, sf).filter(F.col("allocated_budget") > 0)
@@ -307,12 +324,12 @@ def q_scaled_scenarios(spark, sf):
 
 
 @register("channel_split", oracle(f"""
-SELECT channel, unit_cost, multiplier, b * multiplier / tm AS channel_budget,
-  floor(b * multiplier / tm / unit_cost) AS expected_actions
+SELECT channel, unit_cost, multiplier, CAST(trunc(b * (multiplier / greatest(tm, 0.01))) AS BIGINT) AS channel_budget,
+  CAST(trunc(trunc(b * (multiplier / greatest(tm, 0.01))) / greatest(unit_cost, 1.0)) AS BIGINT) AS expected_actions
 FROM (VALUES {", ".join(f"('{c}', {u}, {m})" for c, u, _, m in CHANNELS)}) AS c(channel, unit_cost, multiplier)
 CROSS JOIN (SELECT sum(m) AS tm FROM (VALUES {", ".join(f"({m})" for *_, m in CHANNELS)}) AS t(m))
 CROSS JOIN (SELECT {BUDGET_SHARE} * sum(cost_per_action) AS b FROM scores)""", views=["scores"],
-    doubles=["unit_cost", "multiplier", "channel_budget", "expected_actions"]))
+    doubles=["unit_cost", "multiplier"]))
 def q_channel_split(spark, sf):
     """Budget split by channel weight and expected actions."""
     s = _scores(spark, sf)

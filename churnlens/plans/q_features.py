@@ -329,8 +329,8 @@ PANEL_COLS = ["event_count", "purchase_count", "page_view_count", "search_count"
 PANEL_CTE = """panel AS (SELECT customer_id, CAST(date_trunc('month', event_date) AS DATE) AS month,
     count(*) AS event_count, count_if(event_type = 'purchase') AS purchase_count,
     count_if(event_type = 'page_view') AS page_view_count, count_if(event_type = 'search') AS search_count,
-    count_if(event_type = 'add_to_cart') AS cart_count, count_if(event_type = 'coupon_use') AS coupon_count,
-    coalesce(sum(amount), 0.0) AS amount
+    count_if(event_type IN ('add_to_cart', 'remove_from_cart')) AS cart_count,
+    count_if(event_type = 'coupon_use') AS coupon_count, coalesce(sum(amount), 0.0) AS amount
   FROM activity GROUP BY customer_id, CAST(date_trunc('month', event_date) AS DATE))"""
 
 

@@ -84,8 +84,8 @@ m2 AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall /
 
 
 @q("threshold_table", """SELECT *, threshold = coalesce(
-    (SELECT first(threshold ORDER BY f1 DESC, threshold DESC) FROM m2 WHERE recall >= 0.6),
-    (SELECT first(threshold ORDER BY f1 DESC, threshold DESC) FROM m2)) AS is_best FROM m2""",
+    (SELECT first(threshold ORDER BY f1 DESC, threshold) FROM m2 WHERE recall >= 0.6),
+    (SELECT first(threshold ORDER BY f1 DESC, threshold) FROM m2)) AS is_best FROM m2""",
    ["threshold", "precision", "recall", "f1"], ctes=[THR])
 def q_threshold_table(spark, sf):
     """M4: precision / recall / F1 per distinct score threshold, best flagged."""
@@ -230,7 +230,7 @@ def q_qini(spark, sf):
 SELECT learner, CASE WHEN nt = 0 OR nt = n THEN 0.0 ELSE (su - (u1 + un) / 2) / n END AS auuc, mean_uplift, std_uplift,
   positive_rate FROM (
   SELECT learner, count(*) AS n, sum(u) AS su, first(u ORDER BY k) AS u1, first(u ORDER BY k DESC) AS un,
-    sum(t) AS nt, avg(s) AS mean_uplift, stddev_samp(s) AS std_uplift, avg(CAST(s > 0 AS DOUBLE)) AS positive_rate FROM (
+    sum(t) AS nt, avg(s) AS mean_uplift, stddev_pop(s) AS std_uplift, avg(CAST(s > 0 AS DOUBLE)) AS positive_rate FROM (
     SELECT learner, k, s, t, cyc / greatest(cc, 1.0) - cyt / greatest(ct, 1.0) AS u FROM (
       SELECT learner, s, t, row_number() OVER w AS k, sum(y * t) OVER w AS cyt, sum(y * (1 - t)) OVER w AS cyc,
         sum(t) OVER w AS ct, sum(1 - t) OVER w AS cc
@@ -246,8 +246,8 @@ def q_compare_learners(spark, sf):
 
 
 @q("uplift_segments", """SELECT customer_id, uplift_score, churn_probability,
-  CASE WHEN uplift_score < -0.05 THEN 'sleeping_dog' WHEN uplift_score > 0.05 THEN 'persuadable'
-       WHEN churn_probability >= 0.5 THEN 'lost_cause' ELSE 'sure_thing' END AS uplift_segment FROM sc""",
+  CASE WHEN uplift_score < 0 THEN 'sleeping_dog' WHEN churn_probability >= 0.5 THEN CASE WHEN uplift_score > 0.05
+       THEN 'persuadable' ELSE 'lost_cause' END ELSE 'sure_thing' END AS uplift_segment FROM sc""",
    ["uplift_score", "churn_probability"])
 def q_uplift_segments(spark, sf):
     """Four-quadrant uplift segments with baseline risk."""
@@ -255,10 +255,9 @@ def q_uplift_segments(spark, sf):
 
 
 @q("uplift_segments_median", """SELECT customer_id, uplift_score, churn_probability,
-  CASE WHEN uplift_score > mu AND churn_probability > mc THEN 'persuadable'
-       WHEN uplift_score > mu AND churn_probability <= mc THEN 'sure_thing'
-       WHEN uplift_score <= mu AND churn_probability > mc THEN 'lost_cause' ELSE 'sleeping_dog' END AS uplift_segment
-FROM sc CROSS JOIN (SELECT median(uplift_score) AS mu, median(churn_probability) AS mc FROM sc)""",
+  CASE WHEN uplift_score >= greatest(mu, 0) THEN 'persuadable' WHEN uplift_score >= 0 THEN 'sure_thing'
+       WHEN uplift_score >= least(mu, 0) THEN 'lost_cause' ELSE 'sleeping_dog' END AS uplift_segment
+FROM sc CROSS JOIN (SELECT median(uplift_score) AS mu FROM sc)""",
    ["uplift_score", "churn_probability"])
 def q_uplift_segments_median(spark, sf):
     """Median-pivot uplift segments."""
@@ -268,18 +267,40 @@ def q_uplift_segments_median(spark, sf):
 LIFT_F = ["clv", "cost_per_action", "churn_probability"]
 
 
-@q("persuadable_lift", """SELECT feature, persuadable_mean, other_mean,
-  (persuadable_mean - other_mean) / nullif(abs(other_mean), 0) AS lift FROM (""" + " UNION ALL ".join(
-    f"""SELECT '{c}' AS feature, avg(CASE WHEN seg = 'persuadable' THEN CAST({c} AS DOUBLE) END) AS persuadable_mean,
-    avg(CASE WHEN seg <> 'persuadable' THEN CAST({c} AS DOUBLE) END) AS other_mean FROM us""" for c in LIFT_F)
-   + ") ORDER BY lift DESC NULLS LAST, feature LIMIT 5", ["persuadable_mean", "other_mean", "lift"],
-   ctes=["""us AS (SELECT sc.*, CASE WHEN uplift_score < -0.05 THEN 'sleeping_dog' WHEN uplift_score > 0.05 THEN 'persuadable'
-       WHEN churn_probability >= 0.5 THEN 'lost_cause' ELSE 'sure_thing' END AS seg FROM sc)"""])
+US = """us AS (SELECT sc.*, CASE WHEN uplift_score < 0 THEN 'sleeping_dog' WHEN churn_probability >= 0.5 THEN CASE WHEN uplift_score > 0.05
+       THEN 'persuadable' ELSE 'lost_cause' END ELSE 'sure_thing' END AS seg FROM sc)"""
+
+
+@q("persuadable_lift", """SELECT feature, persuadable_mean, non_persuadable_mean,
+  persuadable_mean - non_persuadable_mean AS lift, abs(persuadable_mean - non_persuadable_mean) AS abs_lift FROM ("""
+   + " UNION ALL ".join(
+    f"""SELECT '{c}' AS feature, coalesce(avg(CASE WHEN seg = 'persuadable' THEN CAST({c} AS DOUBLE) END), 0) AS persuadable_mean,
+    coalesce(avg(CASE WHEN seg <> 'persuadable' THEN CAST({c} AS DOUBLE) END), 0) AS non_persuadable_mean FROM us"""
+    for c in LIFT_F) + ") ORDER BY abs_lift DESC, feature LIMIT 10",
+   ["persuadable_mean", "non_persuadable_mean", "lift", "abs_lift"], ctes=[US])
 def q_persuadable_lift(spark, sf):
     """U8: feature lift of persuadables vs the rest (a top-k report)."""
     return up.persuadable_lift(up.uplift_segments(_sc(spark, sf)), LIFT_F)
 
 
+@q("persuadable_customers", """SELECT customer_id, uplift_score, churn_probability,
+  row_number() OVER (ORDER BY uplift_score DESC, customer_id) AS rank FROM us WHERE seg = 'persuadable'""",
+   ["uplift_score", "churn_probability"], ctes=[US])
+def q_persuadable_customers(spark, sf):
+    """U8: persuadable customers ranked by uplift."""
+    return up.persuadable_customers(up.uplift_segments(_sc(spark, sf)))
+
+
+@q("persuadable_summary", """SELECT count(*) AS total_customers, count_if(seg = 'persuadable') AS persuadable_count,
+  avg(CAST(seg = 'persuadable' AS DOUBLE)) AS persuadable_rate,
+  coalesce(avg(uplift_score) FILTER (WHERE seg = 'persuadable'), 0) AS persuadable_mean_uplift,
+  avg(churn_probability) FILTER (WHERE seg = 'persuadable') AS persuadable_mean_baseline_churn FROM us""",
+   ["persuadable_rate", "persuadable_mean_uplift", "persuadable_mean_baseline_churn"], ctes=[US])
+def q_persuadable_summary(spark, sf):
+    """U8: summary of the persuadables."""
+    return up.persuadable_summary(up.uplift_segments(_sc(spark, sf)))
+
+
 @q("persona_effect", """SELECT persona, avg(CASE WHEN treatment_group = 'control' THEN CAST(churn_label AS DOUBLE) END)
   AS control_rate, avg(CASE WHEN treatment_group = 'treatment' THEN CAST(churn_label AS DOUBLE) END) AS treatment_rate,
   avg(CASE WHEN treatment_group = 'control' THEN CAST(churn_label AS DOUBLE) END)
@@ -290,6 +311,18 @@ def q_persona_effect(spark, sf):
     return up.persona_effect(_sc(spark, sf))
 
 
+@q("persona_calibrated_uplift", """SELECT customer_id, sc.persona, abs(uplift_score) AS uplift_score,
+  0.7 * coalesce(e, 0) + 0.3 * abs(uplift_score) AS calibrated_uplift FROM sc JOIN (
+    SELECT persona, avg(CAST(churn_label AS DOUBLE)) FILTER (WHERE treatment_group = 'control')
+      - avg(CAST(churn_label AS DOUBLE)) FILTER (WHERE treatment_group = 'treatment') AS e FROM sc GROUP BY persona) p
+  ON sc.persona = p.persona WHERE uplift_score <> 0""", ["uplift_score", "calibrated_uplift"])
+def q_persona_calibrated(spark, sf):
+    """Scores that are all positive (their absolute value) blended with the persona effects."""
+    s = _sc(spark, sf)
+    scores = s.filter("uplift_score <> 0").select("customer_id", "persona", F.abs("uplift_score").alias("uplift_score"))
+    return up.persona_calibrated(scores, s)
+
+
 @q("cumulative_uplift", """SELECT customer_id, row_number() OVER w AS k, uplift_score, sum(uplift_score) OVER w AS cum_uplift,
   sum(CAST(is_treatment AS DOUBLE)) OVER w / row_number() OVER w * 100.0 AS pct_treated
 FROM sc WINDOW w AS (ORDER BY uplift_score DESC, customer_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
@@ -321,7 +354,8 @@ def q_future_revenue(spark, sf):
     return _future(spark, sf)
 
 
-@q("clv_features", """SELECT customer_id, recency, frequency, monetary, frequency * monetary AS rfm_interaction,
+@q("clv_features", """SELECT customer_id, recency, frequency, monetary,
+  greatest(frequency, 1) * (monetary / greatest(frequency, 1)) AS rfm_interaction,
   recency / greatest(frequency, 1) AS recency_per_frequency, ln(1 + greatest(monetary, 0.0)) AS log_monetary
 FROM rfm""", ["recency", "monetary", "rfm_interaction", "recency_per_frequency", "log_monetary"], ctes=[RFM_CTE])
 def q_clv_features(spark, sf):
@@ -386,7 +420,7 @@ def q_clv_distribution(spark, sf):
 # ---------------------------------------------------------------- K1-K9
 
 SURV = """sv AS (SELECT customer_id, lower(persona) AS segment, churn_probability,
-  greatest(1.0, round(365 * (1 - churn_probability))) AS duration, CAST(churn_probability >= 0.5 AS INTEGER) AS event
+  round_even(greatest(1.0, 365 * (1 - churn_probability)), 0) AS duration, CAST(churn_probability >= 0.5 AS INTEGER) AS event
   FROM sc)"""
 
 
@@ -409,7 +443,7 @@ km AS (SELECT {pc}time, at_risk, events, n - events AS censored,
   FROM km2 WINDOW w AS ({pb}ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 
 
-@q("kaplan_meier", "SELECT * FROM km", ["time", "survival"], ["at_risk", "events", "censored"], ctes=[SURV, _km_sql()])
+@q("kaplan_meier", "SELECT * FROM km UNION ALL SELECT 0.0, count(*), 0, 0, 1.0 FROM sv HAVING count_if(duration = 0) = 0 AND count(*) > 0", ["time", "survival"], ["at_risk", "events", "censored"], ctes=[SURV, _km_sql()])
 def q_kaplan_meier(spark, sf):
     """K1: Kaplan-Meier curve of the proxy survival frame."""
     return sv.km_curve(_surv(spark, sf))
