@@ -215,36 +215,44 @@ def performance_alerts(history: DataFrame, metrics: dict[str, float], strategy:
 
 
 def monitor(psi_rep: DataFrame, ks_rep: DataFrame, perf: DataFrame) -> DataFrame:
-    """Overall level = max over PSI, KS and performance levels; union of drifted names."""
+    """Overall level (green, yellow, red) = worst of the PSI, KS and performance levels; the
+    drifted features are those of red PSI or drifted KS only."""
     rank = F.create_map(*[x for k, v in LEVEL_RANK.items() for x in (F.lit(k), F.lit(v))])
     u = (psi_rep.select(F.lit("psi").alias("source"), "feature", "level")
          .unionByName(ks_rep.select(F.lit("ks").alias("source"), "feature", "level"))
          .unionByName(perf.select(F.lit("performance").alias("source"),
                                   F.concat_ws(":", "model", "metric").alias("feature"), F.col("status").alias("level"))))
     u = u.withColumn("rank", F.coalesce(rank[F.col("level")], F.lit(0)))
-    names = ["ok", "warning", "alert"]
+    names = ["green", "yellow", "red"]
+    drifted = F.when((F.col("rank") >= 2) & (F.col("source") != "performance"), F.col("feature"))
     return u.agg(F.max("rank").alias("max_rank"),
-                 F.array_sort(F.collect_set(F.when(F.col("rank") >= 2, F.col("feature")))).alias("drifted_features"),
+                 F.array_sort(F.collect_set(drifted)).alias("drifted_features"),
                  F.count_if(F.col("rank") >= 2).alias("n_alerts")) \
-        .withColumn("overall_status", F.element_at(F.array(*[F.lit(x) for x in names]), F.col("max_rank") + 1))
+        .withColumn("overall_alert_level", F.element_at(F.array(*[F.lit(x) for x in names]), F.col("max_rank") + 1))
 
 
 def drift_history_rows(psi_rep: DataFrame, ks_num: DataFrame, ts, p: DriftParams = DriftParams(),
                        initial: bool = True) -> DataFrame:
-    """One row per feature (PSI full-outer KS) plus an ``__overall__`` mean row."""
+    """One row per feature (PSI full-outer KS) plus an ``__overall__`` row of the means.
+
+    Red needs a red PSI; a yellow PSI, or KS drift alone, is yellow. The overall level follows the
+    mean PSI. A missing PSI or KS statistic counts as 0; values have 6 digits."""
     j = psi_rep.select("feature", "psi").join(
         ks_num.select("feature", F.col("ks_statistic").alias("ks_stat"), F.col("p_value").alias("ks_pvalue")),
         "feature", "full")
-    lvl = (F.when((F.col("psi") >= p.psi_red) | (F.col("ks_pvalue") <= p.ks_drift_p), "red")
-           .when((F.col("psi") >= p.psi_yellow) | (F.col("ks_pvalue") <= p.ks_warning_p), "yellow").otherwise("green"))
-    rows = j.withColumn("alert_level", lvl)
-    stats = rows.agg(F.count_if(F.col("alert_level") == "red").alias("num_drifted_features"),
-                     F.avg("psi").alias("psi_mean"), F.avg("ks_stat").alias("ks_mean"))
+    j = j.withColumn("psi", F.coalesce("psi", F.lit(0.0))).withColumn("ks_stat", F.coalesce("ks_stat", F.lit(0.0)))
+    level = lambda x: F.when(x >= p.psi_red, "red").when(x >= p.psi_yellow, "yellow")
+    ks_drift = F.coalesce(F.col("ks_pvalue") <= p.ks_drift_p, F.lit(False))
+    rows = j.withColumn("alert_level", F.coalesce(level(F.col("psi")), F.when(ks_drift, "yellow").otherwise("green")))
+    stats = rows.agg(F.count_if((F.col("alert_level") == "red") | ks_drift).alias("num_drifted_features"),
+                     F.coalesce(F.avg("psi"), F.lit(0.0)).alias("psi_mean"),
+                     F.coalesce(F.avg("ks_stat"), F.lit(0.0)).alias("ks_mean"))
     overall = stats.select(F.lit("__overall__").alias("feature_name"), F.col("psi_mean").alias("psi"),
                            F.col("ks_mean").alias("ks_stat"), F.lit(None).cast("double").alias("ks_pvalue"),
-                           F.when(F.col("num_drifted_features") > 0, "red").otherwise("green").alias("alert_level"))
+                           F.coalesce(level(F.col("psi_mean")), F.lit("green")).alias("alert_level"))
     per = rows.select(F.col("feature").alias("feature_name"), "psi", "ks_stat", "ks_pvalue", "alert_level")
     out = per.unionByName(overall).crossJoin(F.broadcast(stats))
+    out = out.withColumns({c: F.round(c, 6) for c in ("psi", "ks_stat", "ks_pvalue")})
     tsv = ts if isinstance(ts, Column) else F.lit(ts)
     return (out.withColumn("timestamp", tsv).withColumn("psi_yellow_threshold", F.lit(p.psi_yellow))
             .withColumn("psi_red_threshold", F.lit(p.psi_red)).withColumn("ks_pvalue_threshold", F.lit(p.ks_drift_p))

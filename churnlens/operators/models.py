@@ -20,7 +20,7 @@ from churnlens.session import cut_lineage
 
 def stratified_folds(df: DataFrame, label: str, k: int = 5, seed: int = 42, id_col: str = "customer_id") -> DataFrame:
     """M2: rank within each label by a seeded hash, fold = rank mod k."""
-    h = F.xxhash64(F.col(id_col), F.lit(seed))
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
     r = global_order(df.withColumn("__h", h), [("__h", True), (id_col, True)], partition_by=[label], rank_col="__r")
     return r.withColumn("fold", ((F.col("__r") - 1) % k).cast("int")).drop("__h", "__r")
 
@@ -147,17 +147,21 @@ def confusion(scored: DataFrame, score_col: str = "churn_probability", label: st
 
 def roc_curve(scored: DataFrame, score_col: str = "churn_probability", label: str = "churn_label",
               max_points: int = 100) -> DataFrame:
-    """M8: (fpr, tpr) at every distinct score, thinned to <= ``max_points`` evenly spaced
-    points (indices floor(i (n - 1) / (max_points - 1)))."""
+    """M8: (0, 0) and the (fpr, tpr) of the distinct scores, without inner points whose step
+    equals the next one, thinned to at most ``max_points`` evenly spaced points (indices
+    floor(i (n - 1) / (max_points - 1))). The origin has no threshold."""
     t = score_table(scored, score_col, label)
-    tot = t.agg(F.sum("pos").alias("__P"), F.sum("neg").alias("__N"), F.count(F.lit(1)).alias("__npts"))
-    j = t.crossJoin(F.broadcast(tot))
-    i0 = F.col("idx") - 1
-    n = F.col("__npts")
-    # keep index i0 if some i in [0, m) has floor(i (n-1)/(m-1)) == i0
-    m = max_points
-    lo = F.ceil(i0 * (m - 1) / F.greatest(n - 1, F.lit(1)))
-    keep = (n <= m) | (F.floor(lo * (n - 1) / (m - 1)) == i0)
+    after = t.select((F.col("idx") - 1).alias("idx"), F.col("pos").alias("__p"), F.col("neg").alias("__q"))
+    t = t.join(after, "idx", "left")
+    corner = (F.col("idx") == 1) | F.col("__p").isNull() | (F.col("pos") != F.col("__p")) | (F.col("neg") != F.col("__q"))
+    t = global_order(t.filter(corner).select("score", "pos", "neg", "tp", "fp"), [("score", False)], rank_col="__i")
+    tot = t.agg(F.max("tp").alias("__P"), F.max("fp").alias("__N"), (F.count(F.lit(1)) + 1).alias("__npts"))
+    origin = scored.sparkSession.createDataFrame([(None, 0.0, 0.0, 0)], "score double, tp double, fp double, __i long")
+    j = t.select("score", "tp", "fp", "__i").unionByName(origin).crossJoin(F.broadcast(tot))
+    n, m = F.col("__npts"), max_points
+    # index i0 stays if some i in [0, m) has floor(i (n - 1) / (m - 1)) == i0
+    lo = F.ceil(F.col("__i") * (m - 1) / F.greatest(n - 1, F.lit(1)))
+    keep = (n > 1) & ((n <= m) | (F.floor(lo * (n - 1) / (m - 1)) == F.col("__i")))
     return j.filter(keep).select(F.col("score").alias("threshold"),
                                  F.when(F.col("__N") > 0, F.col("fp") / F.col("__N")).otherwise(0.0).alias("fpr"),
                                  F.when(F.col("__P") > 0, F.col("tp") / F.col("__P")).otherwise(0.0).alias("tpr"))

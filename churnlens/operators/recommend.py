@@ -119,9 +119,12 @@ def recommend_top_k(df: DataFrame, k: int = 3, segment_cols=("segment", "uplift_
 
 
 def decision_context(recs: DataFrame) -> DataFrame:
-    """Revenue saved = max(uplift, 0) * clv; expected ROI = saved / cost (0 when free)."""
-    saved = F.greatest(F.col("uplift_score"), F.lit(0.0)) * F.col("clv")
-    return (recs.withColumn("expected_revenue_saved", saved)
+    """Revenue saved = max(uplift, 0) * clv, 0 for no action; expected ROI = saved / cost (0
+    when free); the priority is the input's, else the action score."""
+    saved = F.when(F.col("action_type") == "no_action", 0.0).otherwise(
+        F.greatest(F.col("uplift_score"), F.lit(0.0)) * F.col("clv"))
+    out = recs if "priority_score" in recs.columns else recs.withColumn("priority_score", F.col("score"))
+    return (out.withColumn("expected_revenue_saved", saved)
             .withColumn("expected_roi", F.when(F.col("estimated_cost") > 0, saved / F.col("estimated_cost"))
                         .otherwise(0.0)))
 
@@ -130,27 +133,29 @@ def _pct(x: Column) -> Column:
     return F.concat(F.bround(x * 100, 0).cast("long").cast("string"), F.lit("%"))
 
 
+# Fixed sentences that must equal the reference's, by action.
+REASONS = {
+    "coupon": "Customer in segment '{segment}' with churn risk {churn}; coupon aligns with purchase behavior.",
+    "push_notification": "Push notification selected for segment '{segment}' with engagement uplift {uplift}.",
+    "email_campaign": "Email campaign for segment '{segment}' customer (CLV={clv} KRW).",
+    "loyalty_points": "Loyalty points reward for '{segment}' customer to reinforce retention.",
+    "personal_outreach": "High-touch outreach for '{segment}' customer with CLV={clv} KRW and churn risk {churn}.",
+    "exclusive_offer": "Exclusive offer targeting '{segment}' segment with uplift score {uplift}.",
+}
+NO_ACTION_REASON = "No action: customer has non-positive uplift or is classified as a sleeping dog."
+
+
 def reason(recs: DataFrame) -> DataFrame:
-    """Explanation text from a template per action (half-even rounding of numbers)."""
-    seg = F.coalesce(F.col("segment").cast("string"), F.lit("unknown"))
-    churn, up = _pct(F.col("churn_probability")), F.format_number(F.bround(F.col("uplift_score"), 2), 2)
-    clv = F.format_number(F.bround(F.col("clv"), 0), 0)
-    t = F.col("action_type")
-    txt = (F.when(t == "coupon", F.concat(F.lit("Customer in segment '"), seg, F.lit("' with churn risk "), churn,
-                                          F.lit("; coupon aligns with purchase behavior.")))
-           .when(t == "push_notification", F.concat(F.lit("Push notification selected for segment '"), seg,
-                                                    F.lit("' with engagement uplift "), up, F.lit(".")))
-           .when(t == "email_campaign", F.concat(F.lit("Email campaign for segment '"), seg,
-                                                 F.lit("' customer (CLV="), clv, F.lit(" KRW).")))
-           .when(t == "loyalty_points", F.concat(F.lit("Loyalty points reward for '"), seg,
-                                                 F.lit("' customer to reinforce retention.")))
-           .when(t == "personal_outreach", F.concat(F.lit("High-touch outreach for '"), seg,
-                                                    F.lit("' customer with CLV="), clv,
-                                                    F.lit(" KRW and churn risk "), churn, F.lit(".")))
-           .when(t == "exclusive_offer", F.concat(F.lit("Exclusive offer targeting '"), seg,
-                                                  F.lit("' segment with uplift score "), up, F.lit(".")))
-           .otherwise(F.lit("No action: customer has non-positive uplift or is classified as a sleeping dog.")))
-    return recs.withColumn("reason", txt)
+    """Explanation text from the action's sentence (half-even rounding of numbers)."""
+    fills = {"segment": F.coalesce(F.col("segment").cast("string"), F.lit("unknown")),
+             "churn": _pct(F.col("churn_probability")),
+             "uplift": F.format_number(F.bround(F.col("uplift_score"), 2), 2),
+             "clv": F.format_number(F.bround(F.col("clv"), 0), 0)}
+    sentences = F.create_map(*[F.lit(x) for pair in REASONS.items() for x in pair])
+    text = F.coalesce(sentences[F.col("action_type")], F.lit(NO_ACTION_REASON))
+    for name, value in fills.items():
+        text = F.replace(text, F.lit("{" + name + "}"), value)
+    return recs.withColumn("reason", text)
 
 
 def offer_type(action: Column, risk: Column, segment: Column) -> Column:
@@ -162,28 +167,50 @@ def offer_type(action: Column, risk: Column, segment: Column) -> Column:
             .otherwise(action))
 
 
+# Fixed text that must equal the reference's.
+DEFAULT_DETAIL = "Personalized retention action."
+
+
 def offers(recs: DataFrame) -> DataFrame:
-    """One offer row per customer; no-action rows cost and save nothing; by priority."""
+    """One offer row per customer from recommendations with their decision context;
+    no-action rows cost and save nothing. The uplift is reported as it is; the priority is the
+    context's."""
+    r = recs if "expected_revenue_saved" in recs.columns else decision_context(recs)
+    churn = F.least(F.greatest(F.coalesce("churn_probability", F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    r = r.withColumn("segment", F.coalesce("segment", F.lit("unknown"))).withColumn("churn_probability", churn)
     risk = risk_level_left_closed("churn_probability")
-    ot = offer_type(F.col("action_type"), risk, F.coalesce(F.col("segment"), F.lit("")))
-    detail = F.create_map(*[x for k, v in OFFER_DETAILS.items() for x in (F.lit(k), F.lit(v))])
+    ot = offer_type(F.col("action_type"), risk, F.col("segment"))
+    detail = F.create_map(*[F.lit(x) for pair in OFFER_DETAILS.items() for x in pair])
     noact = F.col("action_type") == "no_action"
-    up = F.when(noact, 0.0).otherwise(F.greatest(F.col("uplift_score"), F.lit(0.0)))
-    return recs.select(
+    money = lambda c: F.when(noact, 0.0).otherwise(F.coalesce(c, F.lit(0.0)))
+    return r.select(
         "customer_id", "segment", risk.alias("risk_level"), "churn_probability",
         F.col("action_type").alias("recommended_action"), ot.alias("offer_type"),
-        F.coalesce(detail[ot], F.lit("")).alias("offer_detail"), up.alias("expected_uplift"),
-        F.when(noact, 0.0).otherwise(F.col("estimated_cost")).alias("estimated_cost_krw"),
-        (up * F.col("clv")).alias("expected_revenue_saved_krw"),
-        (up * F.col("clv") * F.col("churn_probability")).alias("priority_score"))
+        F.when(noact, OFFER_DETAILS["no_action"]).otherwise(F.coalesce(detail[ot], F.lit(DEFAULT_DETAIL)))
+        .alias("offer_detail"),
+        F.coalesce("uplift_score", F.lit(0.0)).alias("expected_uplift"),
+        money(F.col("estimated_cost")).alias("estimated_cost_krw"),
+        money(F.col("expected_revenue_saved")).alias("expected_revenue_saved_krw"),
+        F.coalesce("priority_score", F.lit(0.0)).alias("priority_score"))
 
 
-def recommend_input(scores: DataFrame, segments: DataFrame, uplift_segments: DataFrame) -> DataFrame:
+def recommend_input(scores: DataFrame, segments: DataFrame, uplift_segments: DataFrame,
+                    predicted_clv: DataFrame | None = None) -> DataFrame:
     """Candidate frame -- scores left-joined with the RFM segment and the value x uplift
-    segment; missing segment -> ``unknown``; missing probabilities -> 0."""
-    return (scores.join(segments.select("customer_id", "segment"), "customer_id", "left")
-            .join(uplift_segments.select("customer_id", F.col("segment").alias("uplift_segment")),
-                  "customer_id", "left")
-            .withColumn("segment", F.coalesce("segment", F.lit("unknown")))
-            .withColumn("churn_probability", F.coalesce("churn_probability", F.lit(0.0)))
-            .withColumn("uplift_score", F.coalesce("uplift_score", F.lit(0.0))))
+    segment. A missing segment is ``general``, a missing uplift segment ``unknown``, a missing CLV
+    the predicted one or else 50000, a missing uplift or probability 0; the priority is
+    uplift x CLV unless the scores have one."""
+    out = (scores.join(segments.select("customer_id", "segment"), "customer_id", "left")
+           .join(uplift_segments.select("customer_id", F.col("segment").alias("uplift_segment")),
+                 "customer_id", "left"))
+    clv = [F.col("clv"), F.lit(50000.0)]
+    if predicted_clv is not None:
+        out = out.join(predicted_clv.select("customer_id", "predicted_clv"), "customer_id", "left")
+        clv.insert(1, F.col("predicted_clv"))
+    out = (out.withColumn("segment", F.coalesce("segment", F.lit("general")))
+           .withColumn("uplift_segment", F.coalesce("uplift_segment", F.lit("unknown")))
+           .withColumn("churn_probability", F.coalesce("churn_probability", F.lit(0.0)))
+           .withColumn("uplift_score", F.coalesce("uplift_score", F.lit(0.0)))
+           .withColumn("clv", F.coalesce(*clv)).drop("predicted_clv"))
+    given = [F.col("priority_score")] if "priority_score" in out.columns else []
+    return out.withColumn("priority_score", F.coalesce(*given, F.col("uplift_score") * F.col("clv")))

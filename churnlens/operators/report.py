@@ -28,15 +28,15 @@ def segment_spread(pred: DataFrame, seg: str = "segment") -> DataFrame:
 
 
 def segment_analytics(pred: DataFrame, seg: str = "segment") -> DataFrame:
-    """O3: mean, median, std, high and critical counts and high-risk share per segment."""
+    """O3: mean, median, std, counts above .5 and above .75, share above .5 (percent, 1 digit)."""
     g = pred.groupBy(seg).agg(
         F.count(F.lit(1)).alias("count"), F.avg("churn_probability").alias("mean"),
         F.stddev_samp("churn_probability").alias("std"),
-        F.count_if(F.col("risk_level") == "high").alias("high_count"),
-        F.count_if(F.col("risk_level") == "critical").alias("critical_count"))
+        F.count_if(F.col("churn_probability") > 0.5).alias("high_risk_count"),
+        F.count_if(F.col("churn_probability") > 0.75).alias("critical_count"))
     med = grouped_quantiles(pred, "churn_probability", [0.5], [seg]).select(seg, F.col("q").alias("median"))
     return g.join(med, seg, "left").withColumn(
-        "high_risk_pct", (F.col("high_count") + F.col("critical_count")) / F.col("count") * 100.0)
+        "high_risk_pct", F.round(F.col("high_risk_count") / F.col("count") * 100.0, 1))
 
 
 def segment_risk(pred: DataFrame, seg: str = "segment") -> DataFrame:
@@ -87,33 +87,34 @@ def cumulative_importance(imp: DataFrame, feature: str = "feature", value: str =
 
 
 def uplift_by_segment(u: DataFrame, seg: str = "segment") -> DataFrame:
-    """Mean uplift, summed effect, count, positive share per segment."""
-    return u.groupBy(seg).agg(F.avg("uplift_score").alias("mean_uplift"), F.sum("uplift_score").alias("total_effect"),
-                              F.count(F.lit(1)).alias("count"),
-                              F.avg((F.col("uplift_score") > 0).cast("double")).alias("positive_share"))
+    """Mean uplift and treatment effect, count, positive uplifts and their percentage per segment."""
+    g = u.groupBy(seg).agg(F.avg("uplift_score").alias("avg_uplift"), F.avg("treatment_effect").alias("avg_treatment_effect"),
+                           F.count(F.lit(1)).alias("count"), F.count_if(F.col("uplift_score") > 0).alias("persuadable"))
+    return g.withColumn("persuadable_pct", F.round(F.col("persuadable") / F.col("count") * 100.0, 1))
+
+
+# Fixed class names.
+RESPONSE_CLASSES = {"persuadable": "Persuadable", "sure_thing": "Sure Thing", "lost_cause": "Lost Cause",
+                    "sleeping_dog": "Sleeping Dog"}
 
 
 def response_class(u: DataFrame, label_col: str | None = "uplift_segment") -> DataFrame:
-    """Response class from the segment label when known, else the uplift sign."""
-    up = F.col("uplift_score")
-    sign = F.when(up > 0, "persuadable").when(up < 0, "sleeping_dog").otherwise("neutral")
+    """Response class of a known segment label, else by the signs of uplift and treatment effect."""
+    up, effect = F.col("uplift_score") > 0, F.col("treatment_effect") > 0
+    cls = (F.when(up & effect, "Persuadable").when(~up & effect, "Sure Thing").when(~up & ~effect, "Lost Cause")
+           .otherwise("Sleeping Dog"))
     if label_col and label_col in u.columns:
-        lab = F.col(label_col)
-        known = (F.when(lab.contains("persuadable"), "persuadable").when(lab.contains("sleeping_dog"), "sleeping_dog")
-                 .when(lab.contains("sure_thing"), "sure_thing").when(lab.contains("lost_cause"), "lost_cause"))
-        cls = F.coalesce(known, sign)
-    else:
-        cls = sign
+        names = F.create_map(*[F.lit(x) for pair in RESPONSE_CLASSES.items() for x in pair])
+        cls = F.coalesce(names[F.col(label_col)], cls)
     return u.withColumn("response_class", cls)
 
 
 def action_cost(recs: DataFrame) -> DataFrame:
-    """Cost totals per action and cost per uplift point."""
+    """Cost per action, and mean cost per mean uplift (at least .001)."""
     g = recs.groupBy("action_type").agg(
         F.sum("estimated_cost").alias("total_cost"), F.avg("estimated_cost").alias("mean_cost"),
         F.count(F.lit(1)).alias("count"), F.avg("uplift_score").alias("mean_uplift"))
-    return g.withColumn("cost_per_uplift_point", F.when(F.col("mean_uplift") > 0,
-                                                        F.col("mean_cost") / (F.col("mean_uplift") * 100)))
+    return g.withColumn("cost_per_uplift", F.col("mean_cost") / F.greatest(F.col("mean_uplift"), F.lit(0.001)))
 
 
 def offer_roi(offers: DataFrame, by: str = "offer_type") -> DataFrame:

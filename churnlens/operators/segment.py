@@ -146,10 +146,28 @@ def retention_actions(seg: DataFrame, rules=SEGMENT_RULES) -> DataFrame:
             .select("customer_id", "segment", "retention_action"))
 
 
+# Fixed names that must equal the reference's, best cluster first.
+CLUSTER_NAMES = ("vip_loyal", "loyal_customer", "potential_loyalist", "at_risk", "hibernating", "explorer",
+                 "new_customer", "bargain_hunter")
+
+
+def _average_ranks(values: dict, ascending: bool = True) -> dict:
+    """1-based ranks; equal values share the mean of their places."""
+    ordered = sorted(values.values(), reverse=not ascending)
+    return {k: (2 * ordered.index(v) + ordered.count(v) + 1) / 2 for k, v in values.items()}
+
+
+def cluster_names(means: dict) -> dict:
+    """Names by the rank of -rank(R) + rank(F) + rank(M) over the clusters' mean (R, F, M)."""
+    ranks = [_average_ranks({c: m[j] for c, m in means.items()}) for j in range(3)]
+    place = _average_ranks({c: -ranks[0][c] + ranks[1][c] + ranks[2][c] for c in means}, ascending=False)
+    return {c: CLUSTER_NAMES[min(int(p) - 1, len(CLUSTER_NAMES) - 1)] for c, p in place.items()}
+
+
 def kmeans_segments(rfm: DataFrame, k: int = 6, seed: int = 42) -> DataFrame:
     """G5 + G6: standardised R, F, M -> k-means, clusters named by centroid rank.
 
-    Name = rank of (-rank(R) + rank(F) + rank(M)) over the k centroids into a name pool.
+    Names by ``cluster_names``.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -163,20 +181,9 @@ def kmeans_segments(rfm: DataFrame, k: int = 6, seed: int = 42) -> DataFrame:
     model = KMeans(k=max(1, min(k, n)), seed=seed, featuresCol="features",
                    predictionCol="cluster").fit(x)
     out = model.transform(x).drop("__raw", "features")
-    centers = model.clusterCenters()
-    pool = ["champions", "loyal", "potential", "needs_attention", "at_risk", "hibernating",
-            "lost", "other"]
-
-    def ranks(vals):
-        order = sorted(range(len(vals)), key=lambda i: vals[i])
-        r = [0.0] * len(vals)
-        for pos, i in enumerate(order):
-            r[i] = pos + 1.0
-        return r
-    rr, fr, mr = (ranks([c[j] for c in centers]) for j in range(3))
-    score = [-rr[i] + fr[i] + mr[i] for i in range(len(centers))]
-    order = sorted(range(len(centers)), key=lambda i: -score[i])
-    names = {cl: pool[min(pos, len(pool) - 1)] for pos, cl in enumerate(order)}
+    # Clusters without a row are no candidates; means are those of the rows' own R, F, M.
+    means = {r["cluster"]: r for r in out.groupBy("cluster").agg(*[F.avg(c).alias(c) for c in cols]).collect()}   # k rows
+    names = cluster_names({c: tuple(r[x] for x in cols) for c, r in means.items()})
     mapping = F.create_map(*[x for cl, nm in names.items() for x in (F.lit(cl), F.lit(nm))])
     return out.withColumn("segment", mapping[F.col("cluster")])
 

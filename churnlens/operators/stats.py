@@ -24,9 +24,8 @@ _N = NormalDist()
 
 
 def mix_hash(id_col: str, seed: int) -> Column:
-    """Deterministic seeded 32-bit mix of an integer id (string ids: xxhash64)."""
-    c = F.col(id_col)
-    return F.pmod(c.cast("long") * 2654435761 + seed * 40503, F.lit(4294967296))
+    """Seeded hash (hex) of an id of any type; two seeds give unrelated orders."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
 
 
 # ------------------------------------------------------------------ X1
@@ -256,13 +255,19 @@ def effect_ci(df: DataFrame, metric: str, group_col: str = "group", confidence:
                     se.alias("standard_error"), (diff - z * se).alias("ci_lower"), (diff + z * se).alias("ci_upper"))
 
 
-def experiment_summary(df: DataFrame, metric: str, group_col: str = "group") -> DataFrame:
-    """Means, difference and relative lift (inf when control is 0)."""
-    s = arm_summary(df, metric, group_col)
-    diff = F.col("mean_a") - F.col("mean_b")
-    lift = F.when(F.col("mean_b") == 0, F.lit(float("inf"))).otherwise(diff / F.col("mean_b"))
-    return s.select(F.lit(metric).alias("metric"), "n_a", "n_b", "mean_a", "mean_b", diff.alias("difference"),
-                    lift.alias("relative_lift"))
+def experiment_summary(df: DataFrame, metric: str, group_col: str = "group", with_test: bool = True,
+                       alpha: float = 0.05) -> DataFrame:
+    """Means, difference, its normal interval, relative lift (by the control mean's absolute
+    value; with a control of 0 infinite, or 0 if both are); with a test also its p-value."""
+    s = effect_ci(df, metric, group_col)
+    lift = (F.when(F.col("mean_b") != 0, F.col("effect") / F.abs("mean_b"))
+            .when(F.col("mean_a") != 0, F.lit(float("inf"))).otherwise(0.0))
+    out = s.select("metric", "n_a", "n_b", "mean_a", "mean_b", F.col("effect").alias("difference"),
+                   lift.alias("relative_lift"), "ci_lower", "ci_upper")
+    if not with_test:
+        return out
+    sig = significance(df, metric, group_col).select("test_used", "test_statistic", "p_value")     # one row
+    return out.crossJoin(F.broadcast(sig)).withColumn("is_significant", F.col("p_value") < alpha)
 
 
 # ------------------------------------------------------------------ X13-X16

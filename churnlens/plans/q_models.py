@@ -65,9 +65,10 @@ def q_feature_importance(spark, sf):
     return md.feature_importance(model, MODEL_FEATURES)
 
 
-@register("stratified_folds")
+@q("stratified_folds", """SELECT customer_id, churn_label, (row_number() OVER (PARTITION BY churn_label
+  ORDER BY md5('42:' || customer_id), customer_id) - 1) % 5 AS fold FROM cust""", ints=["fold"])
 def q_stratified_folds(spark, sf):
-    """M2: stratified shuffled folds by a seeded hash rank within each label (rows-only: engine hash)."""
+    """M2: stratified shuffled folds by a seeded hash rank within each label."""
     return md.stratified_folds(tb.customers(spark, sf).select("customer_id", "churn_label"), "churn_label", 5) \
         .select("customer_id", "churn_label", "fold")
 
@@ -125,9 +126,12 @@ def q_confusion(spark, sf):
     return md.confusion(_sc(spark, sf))
 
 
-@q("roc_curve", """SELECT score AS threshold, CASE WHEN n_all > 0 THEN fp / n_all ELSE 0.0 END AS fpr,
-  CASE WHEN p_all > 0 THEN tp / p_all ELSE 0.0 END AS tpr FROM t
-WHERE n <= 100 OR floor(ceil((idx - 1) * 99 / greatest(n - 1, 1)) * (n - 1) / 99) = idx - 1""",
+@q("roc_curve", """SELECT threshold, fp / n_all AS fpr, tp / p_all AS tpr FROM (
+  SELECT score AS threshold, tp, fp, row_number() OVER (ORDER BY score DESC) AS i, count(*) OVER () + 1 AS np FROM (
+    SELECT *, lead(pos) OVER (ORDER BY score DESC) AS p2, lead(neg) OVER (ORDER BY score DESC) AS n2 FROM t)
+  WHERE idx = 1 OR p2 IS NULL OR p2 <> pos OR n2 <> neg
+  UNION ALL SELECT NULL, 0, 0, 0, NULL) CROSS JOIN (SELECT any_value(p_all) AS p_all, any_value(n_all) AS n_all FROM t)
+WHERE i = 0 OR np <= 100 OR floor(ceil(i * 99 / (np - 1)) * (np - 1) / 99) = i""",
    ["threshold", "fpr", "tpr"], ctes=[THR])
 def q_roc_curve(spark, sf):
     """M8: ROC points thinned to <= 100."""

@@ -14,8 +14,8 @@ from churnlens.sources import io
 from churnlens.sources import tables as tb
 
 IN_COLS = ["customer_id", "segment", "uplift_segment", "churn_probability", "uplift_score", "clv",
-           "push_opt_in", "email_opt_in"]
-IN_D = ["churn_probability", "uplift_score", "clv"]
+           "push_opt_in", "email_opt_in", "priority_score"]
+IN_D = ["churn_probability", "uplift_score", "clv", "priority_score"]
 
 
 def _input(spark, sf):
@@ -23,9 +23,11 @@ def _input(spark, sf):
     return rc.recommend_input(s, sg.rfm_segments(_rfm(spark, sf)), _pipeline_segments(spark, sf)).select(*IN_COLS)
 
 
-RIN = f"""rin AS (SELECT s.customer_id, coalesce(g.segment, 'unknown') AS segment, p.segment AS uplift_segment,
-    coalesce(s.churn_probability, 0.0) AS churn_probability, coalesce(s.uplift_score, 0.0) AS uplift_score, s.clv,
-    s.push_opt_in, s.email_opt_in
+RIN = f"""rin AS (SELECT s.customer_id, coalesce(g.segment, 'general') AS segment,
+    coalesce(p.segment, 'unknown') AS uplift_segment,
+    coalesce(s.churn_probability, 0.0) AS churn_probability, coalesce(s.uplift_score, 0.0) AS uplift_score,
+    coalesce(s.clv, 50000.0) AS clv, s.push_opt_in, s.email_opt_in,
+    coalesce(s.uplift_score, 0.0) * coalesce(s.clv, 50000.0) AS priority_score
   FROM scores s LEFT JOIN segs g ON s.customer_id = g.customer_id
   LEFT JOIN ({PIPE_SQL}) p ON s.customer_id = p.customer_id),
 rn AS (SELECT rin.*, (clv - mn) / CASE WHEN mx > mn THEN mx - mn ELSE 1.0 END AS clv_norm
@@ -56,7 +58,7 @@ BEST = f"""best AS (SELECT rn.*, b.action_type AS ba, b.score AS bs, b.estimated
              WHERE k = 1) b ON rn.customer_id = b.customer_id),
 recs AS (SELECT customer_id, CASE WHEN na THEN 'no_action' ELSE ba END AS action_type,
     CASE WHEN na THEN 0.0 ELSE bs END AS score, CASE WHEN na THEN 0.0 ELSE bc END AS estimated_cost,
-    segment, uplift_segment, churn_probability, uplift_score, clv, push_opt_in, email_opt_in FROM best)"""
+    segment, uplift_segment, churn_probability, uplift_score, clv, push_opt_in, email_opt_in, priority_score FROM best)"""
 CTES = [SEGMENTS_CTE, RIN]
 V = ["cust", "scores"]
 REC_D = IN_D + ["score", "estimated_cost"]
@@ -114,9 +116,10 @@ def q_no_action_mask(spark, sf):
     return _input(spark, sf).select("customer_id", rc.no_action_mask().alias("no_action"))
 
 
-DC = """dc AS (SELECT recs.*, greatest(uplift_score, 0.0) * clv AS expected_revenue_saved,
-  CASE WHEN estimated_cost > 0 THEN greatest(uplift_score, 0.0) * clv / estimated_cost ELSE 0.0 END AS expected_roi
-  FROM recs)"""
+DC = """dc0 AS (SELECT *, CASE WHEN action_type = 'no_action' THEN 0.0 ELSE greatest(uplift_score, 0.0) * clv END
+    AS expected_revenue_saved FROM recs),
+dc AS (SELECT *, CASE WHEN estimated_cost > 0 THEN expected_revenue_saved / estimated_cost ELSE 0.0 END AS expected_roi
+  FROM dc0)"""
 
 
 @register("decision_context", oracle("SELECT * FROM dc", views=V, ctes=CTES + [RA, BEST, DC],
@@ -128,18 +131,15 @@ def q_decision_context(spark, sf):
 
 
 def _reason_sql() -> str:
-    pct = "CAST(CAST(round_even(churn_probability * 100, 0) AS BIGINT) AS VARCHAR) || '%'"
-    up = "format('{:.2f}', round_even(uplift_score, 2))"
-    clv = "format('{:,}', CAST(round_even(clv, 0) AS BIGINT))"
-    seg = "coalesce(segment, 'unknown')"
-    return f"""CASE action_type
-  WHEN 'coupon' THEN 'Customer in segment ''' || {seg} || ''' with churn risk ' || {pct} || '; coupon aligns with purchase behavior.'
-  WHEN 'push_notification' THEN 'Push notification selected for segment ''' || {seg} || ''' with engagement uplift ' || {up} || '.'
-  WHEN 'email_campaign' THEN 'Email campaign for segment ''' || {seg} || ''' customer (CLV=' || {clv} || ' KRW).'
-  WHEN 'loyalty_points' THEN 'Loyalty points reward for ''' || {seg} || ''' customer to reinforce retention.'
-  WHEN 'personal_outreach' THEN 'High-touch outreach for ''' || {seg} || ''' customer with CLV=' || {clv} || ' KRW and churn risk ' || {pct} || '.'
-  WHEN 'exclusive_offer' THEN 'Exclusive offer targeting ''' || {seg} || ''' segment with uplift score ' || {up} || '.'
-  ELSE 'No action: customer has non-positive uplift or is classified as a sleeping dog.' END"""
+    fills = {"{churn}": "CAST(CAST(round_even(churn_probability * 100, 0) AS BIGINT) AS VARCHAR) || '%'",
+             "{uplift}": "format('{:.2f}', round_even(uplift_score, 2))",
+             "{clv}": "format('{:,}', CAST(round_even(clv, 0) AS BIGINT))", "{segment}": "coalesce(segment, 'unknown')"}
+    quoted = {a: "'" + t.replace("'", "''") + "'" for a, t in rc.REASONS.items()}
+    text = "CASE action_type " + " ".join(f"WHEN '{a}' THEN {t}" for a, t in quoted.items())
+    text += f" ELSE '{rc.NO_ACTION_REASON}' END"
+    for mark, value in fills.items():
+        text = f"replace({text}, '{mark}', {value})"
+    return text
 
 
 @register("recommendation_reasons", oracle(f"SELECT customer_id, action_type, {_reason_sql()} AS reason FROM recs",
@@ -150,9 +150,10 @@ def q_reasons(spark, sf):
 
 
 OFFERS = """offers AS (SELECT customer_id, segment, risk_level, churn_probability, action_type AS recommended_action,
-    ot AS offer_type, coalesce(od.detail, '') AS offer_detail, up AS expected_uplift,
+    ot AS offer_type, CASE WHEN action_type = 'no_action' THEN '""" + rc.OFFER_DETAILS["no_action"] + """'
+      ELSE coalesce(od.detail, '""" + rc.DEFAULT_DETAIL + """') END AS offer_detail, uplift_score AS expected_uplift,
     CASE WHEN action_type = 'no_action' THEN 0.0 ELSE estimated_cost END AS estimated_cost_krw,
-    up * clv AS expected_revenue_saved_krw, up * clv * churn_probability AS priority_score
+    up * clv AS expected_revenue_saved_krw, priority_score
   FROM (SELECT recs.*, CASE WHEN churn_probability >= 0.75 THEN 'critical' WHEN churn_probability >= 0.5 THEN 'high'
         WHEN churn_probability >= 0.25 THEN 'medium' ELSE 'low' END AS risk_level,
       CASE WHEN action_type = 'no_action' THEN 0.0 ELSE greatest(uplift_score, 0.0) END AS up FROM recs) r0

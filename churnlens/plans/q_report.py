@@ -56,9 +56,9 @@ def q_segment_spread(spark, sf):
 
 
 @q("segment_analytics", """SELECT segment, count(*) AS count, avg(churn_probability) AS mean,
-  stddev_samp(churn_probability) AS std, count_if(risk_level = 'high') AS high_count,
-  count_if(risk_level = 'critical') AS critical_count, median(churn_probability) AS median,
-  (count_if(risk_level = 'high') + count_if(risk_level = 'critical')) / count(*) * 100.0 AS high_risk_pct
+  stddev_samp(churn_probability) AS std, count_if(churn_probability > 0.5) AS high_risk_count,
+  count_if(churn_probability > 0.75) AS critical_count, median(churn_probability) AS median,
+  round(count_if(churn_probability > 0.5) / count(*) * 100.0, 1) AS high_risk_pct
 FROM pred GROUP BY segment""", ["mean", "std", "median", "high_risk_pct"])
 def q_segment_analytics(spark, sf):
     """O3: churn analytics per segment."""
@@ -122,30 +122,35 @@ def q_cumulative_importance(spark, sf):
     return rp.cumulative_importance(imp)
 
 
-@q("uplift_by_segment", """SELECT segment, avg(uplift_score) AS mean_uplift, sum(uplift_score) AS total_effect,
-  count(*) AS count, avg(CAST(uplift_score > 0 AS DOUBLE)) AS positive_share FROM pred GROUP BY segment""",
-   ["mean_uplift", "total_effect", "positive_share"])
+#: A treatment effect beside the uplift, shifted so that all sign combinations occur.
+EFFECT = "uplift_score - 0.02 + (customer_id % 5) / 100.0"
+
+
+@q("uplift_by_segment", f"""SELECT segment, avg(uplift_score) AS avg_uplift, avg({EFFECT}) AS avg_treatment_effect,
+  count(*) AS count, count_if(uplift_score > 0) AS persuadable,
+  round(count_if(uplift_score > 0) / count(*) * 100.0, 1) AS persuadable_pct FROM pred GROUP BY segment""",
+   ["avg_uplift", "avg_treatment_effect", "persuadable_pct"])
 def q_uplift_by_segment(spark, sf):
     """Uplift by segment."""
-    return rp.uplift_by_segment(_pred(spark, sf))
+    return rp.uplift_by_segment(_pred(spark, sf).withColumn("treatment_effect", F.expr(EFFECT)))
 
 
-@q("response_class", """SELECT response_class, segment, count(*) AS count FROM (
-  SELECT segment, coalesce(CASE WHEN contains(uplift_segment, 'persuadable') THEN 'persuadable'
-      WHEN contains(uplift_segment, 'sleeping_dog') THEN 'sleeping_dog' WHEN contains(uplift_segment, 'sure_thing')
-      THEN 'sure_thing' WHEN contains(uplift_segment, 'lost_cause') THEN 'lost_cause' END,
-    CASE WHEN uplift_score > 0 THEN 'persuadable' WHEN uplift_score < 0 THEN 'sleeping_dog' ELSE 'neutral' END)
+@q("response_class", f"""SELECT response_class, segment, count(*) AS count FROM (
+  SELECT segment, CASE uplift_segment WHEN 'persuadable' THEN 'Persuadable' WHEN 'sure_thing' THEN 'Sure Thing'
+      WHEN 'lost_cause' THEN 'Lost Cause' WHEN 'sleeping_dog' THEN 'Sleeping Dog'
+      ELSE CASE WHEN uplift_score > 0 AND {EFFECT} > 0 THEN 'Persuadable' WHEN uplift_score <= 0 AND {EFFECT} > 0
+        THEN 'Sure Thing' WHEN uplift_score <= 0 AND {EFFECT} <= 0 THEN 'Lost Cause' ELSE 'Sleeping Dog' END END
     AS response_class FROM rin) GROUP BY response_class, segment""", ctes=REC_CTES, views=["cust", "scores"])
 def q_response_class(spark, sf):
     """Response class counts by segment."""
-    return rp.response_class(_input(spark, sf)).groupBy("response_class", "segment").agg(
-        F.count(F.lit(1)).alias("count"))
+    u = _input(spark, sf).withColumn("treatment_effect", F.expr(EFFECT))
+    return rp.response_class(u).groupBy("response_class", "segment").agg(F.count(F.lit(1)).alias("count"))
 
 
 @q("action_cost", """SELECT action_type, sum(estimated_cost) AS total_cost, avg(estimated_cost) AS mean_cost,
   count(*) AS count, avg(uplift_score) AS mean_uplift,
-  CASE WHEN avg(uplift_score) > 0 THEN avg(estimated_cost) / (avg(uplift_score) * 100) END AS cost_per_uplift_point
-FROM recs GROUP BY action_type""", ["total_cost", "mean_cost", "mean_uplift", "cost_per_uplift_point"],
+  avg(estimated_cost) / greatest(avg(uplift_score), 0.001) AS cost_per_uplift
+FROM recs GROUP BY action_type""", ["total_cost", "mean_cost", "mean_uplift", "cost_per_uplift"],
    ctes=REC_CTES + [RA, BEST], views=["cust", "scores"])
 def q_action_cost(spark, sf):
     """Cost per recommended action."""

@@ -49,8 +49,7 @@ def summ(metric: str) -> str:
 
 @register("assign_groups", oracle("""
 SELECT customer_id, CASE WHEN rn <= k THEN 'treatment' ELSE 'control' END AS "group"
-FROM (SELECT c_custkey AS customer_id, row_number() OVER (ORDER BY (c_custkey * 2654435761 + 42 * 40503) % 4294967296,
-                                              c_custkey) AS rn FROM customer)
+FROM (SELECT c_custkey AS customer_id, row_number() OVER (ORDER BY md5('42:' || c_custkey), c_custkey) AS rn FROM customer)
 CROSS JOIN (SELECT round_even(count(*) * 0.5, 0) AS k FROM customer)""", views=[]))
 def q_assign_groups(spark, sf):
     """Seeded exact 50/50 split by a distributed global rank of the seeded hash."""
@@ -60,8 +59,7 @@ def q_assign_groups(spark, sf):
 
 @register("assign_groups_nway", oracle("""
 SELECT customer_id, 'group_' || CAST((rn - 1) % 3 AS VARCHAR) AS "group"
-FROM (SELECT c_custkey AS customer_id, row_number() OVER (ORDER BY (c_custkey * 2654435761 + 7 * 40503) % 4294967296,
-                                              c_custkey) AS rn FROM customer)""", views=[]))
+FROM (SELECT c_custkey AS customer_id, row_number() OVER (ORDER BY md5('7:' || c_custkey), c_custkey) AS rn FROM customer)""", views=[]))
 def q_assign_groups_nway(spark, sf):
     """Equal three-way split."""
     ids = tb.read_table(spark, sf, "customer").select(F.col("c_custkey").alias("customer_id"))
@@ -225,10 +223,19 @@ def q_effect_ci(spark, sf):
 
 @register("experiment_summary", oracle(f"""
 SELECT 'converted' AS metric, n_a, n_b, mean_a, mean_b, mean_a - mean_b AS difference,
-  CASE WHEN mean_b = 0 THEN 'inf'::DOUBLE ELSE (mean_a - mean_b) / mean_b END AS relative_lift
-FROM {summ('converted')}""", views=V, ctes=[EXP], doubles=["mean_a", "mean_b", "difference", "relative_lift"]))
+  CASE WHEN mean_b <> 0 THEN (mean_a - mean_b) / abs(mean_b) WHEN mean_a <> 0 THEN 'inf'::DOUBLE ELSE 0.0 END AS relative_lift,
+  mean_a - mean_b - {st._N.inv_cdf(0.975)!r} * sqrt(var_a / n_a + var_b / n_b) AS ci_lower,
+  mean_a - mean_b + {st._N.inv_cdf(0.975)!r} * sqrt(var_a / n_a + var_b / n_b) AS ci_upper
+FROM {summ('converted')}""", views=V, ctes=[EXP],
+    doubles=["mean_a", "mean_b", "difference", "relative_lift", "ci_lower", "ci_upper"]))
 def q_experiment_summary(spark, sf):
     """Experiment summary with relative lift."""
+    return st.experiment_summary(_exp(spark, sf), "converted", with_test=False)
+
+
+@register("experiment_summary_tested")
+def q_experiment_summary_tested(spark, sf):
+    """The summary with its test (rows-only: p-value)."""
     return st.experiment_summary(_exp(spark, sf), "converted")
 
 
