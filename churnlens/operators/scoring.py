@@ -22,19 +22,32 @@ RISK_ACTIONS = {"critical": "immediate_personal_outreach", "high": "win_back_cam
                 "medium": "engagement_email_campaign", "low": "standard_loyalty_program"}
 
 
+# Names of the value types in error texts (fixed values that must equal the reference's).
+TYPE_NAMES = {"string": "str", "char": "str", "varchar": "str", "double": "float", "float": "float", "decimal": "Decimal",
+              "array": "list", "map": "dict", "struct": "dict", "timestamp": "datetime", "timestamp_ntz": "datetime",
+              "date": "date", "binary": "bytes", "void": "NoneType"}
+NUMERIC_TYPES = ("byte", "short", "integer", "long", "float", "double", "boolean")
+
+
 def validate_features(df: DataFrame) -> DataFrame:
-    """``errors`` array per row -- missing required fields and non-numeric values."""
+    """``errors`` array per row -- a missing column, and a value of another type than a number
+    (null is valid) or, for the customer id, than text or a whole number."""
+    kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
     errs = []
     for name in REQUIRED_FEATURES:
-        if name not in df.columns:
+        kind = kinds.get(name)
+        got = TYPE_NAMES.get(kind, kind)
+        if kind is None:
             errs.append(F.lit(f"Missing required feature: {name}"))
-            continue
-        c = F.col(name)
-        errs.append(F.when(c.isNull(), F.lit(f"Missing required feature: {name}")))
-        if name != "customer_id":
-            errs.append(F.when(c.isNotNull() & c.cast("string").try_cast("double").isNull(),
-                               F.lit(f"Feature '{name}' must be numeric")))
-    arr = F.array_compact(F.array(*errs))
+        elif name == "customer_id":
+            if kind in ("string", "byte", "short", "integer", "long", "boolean"):
+                got = F.when(F.col(name).isNull(), F.lit("NoneType"))
+            else:
+                got = F.when(F.col(name).isNull(), F.lit("NoneType")).otherwise(F.lit(got))
+            errs.append(F.when(got.isNotNull(), F.concat(F.lit("customer_id must be str or int, got "), got)))
+        elif kind not in NUMERIC_TYPES:
+            errs.append(F.when(F.col(name).isNotNull(), F.lit(f"Feature '{name}' must be numeric, got {got}")))
+    arr = F.array_compact(F.array(*errs)) if errs else F.array().cast("array<string>")
     return df.withColumn("errors", arr).withColumn("valid", F.size("errors") == 0)
 
 
@@ -65,13 +78,15 @@ def score_batch(df: DataFrame, no_purchase_days: int = 30, no_login_days: int =
     return out.withColumn("scored_at", scored_at) if scored_at is not None else out
 
 
-def latest_prediction(history: DataFrame, now, ttl_seconds: int) -> DataFrame:
-    """T9 (batch): each customer's latest prediction, kept while younger than the TTL."""
-    g = history.groupBy("customer_id").agg(F.max_by(F.struct("timestamp", "churn_probability", "risk_level"),
-                                                    "timestamp").alias("__l"))
+def latest_prediction(history: DataFrame, now, ttl_seconds: int, tie: str = "churn_probability") -> DataFrame:
+    """T9 (batch): each customer's latest prediction (of equal times the largest ``tie``), kept
+    while not older than the TTL."""
+    cols = [c for c in ("timestamp", tie, "churn_probability", "risk_level") if c in history.columns]
+    g = history.groupBy("customer_id").agg(F.max(F.struct(*dict.fromkeys(cols))).alias("__l"))
     n = now if isinstance(now, Column) else F.lit(now).cast("timestamp")
     age = F.unix_timestamp(n) - F.unix_timestamp(F.col("__l.timestamp"))
-    return g.select("customer_id", "__l.*", age.alias("age_seconds")).filter(F.col("age_seconds") <= ttl_seconds)
+    return g.select("customer_id", *[F.col(f"__l.{c}").alias(c) for c in ("timestamp", "churn_probability", "risk_level")],
+                    age.alias("age_seconds")).filter(F.col("age_seconds") <= ttl_seconds)
 
 
 def throughput(history: DataFrame, minutes: int = 15) -> DataFrame:
@@ -98,19 +113,29 @@ def hourly_scores(history: DataFrame) -> DataFrame:
         F.stddev_samp("churn_probability").alias("std_probability"))
 
 
-def scoring_history(pred: DataFrame, n: int, end_ts: str, seed: int = 42) -> DataFrame:
-    """A deterministic sample of n predictions (lowest seeded hashes -- a sampling
-    operator), evenly spaced timestamps over the 24 h before ``end_ts``, latency formula
-    18 + 12 p + 0.35 (i mod 7) ms."""
+def scoring_history(pred: DataFrame, n: int, end_ts: str, seed: int = 42, model_version: str = "ensemble_v1") -> DataFrame:
+    """A sample of n predictions without replacement (lowest seeded hashes -- a sampling
+    operator), their times evenly spaced over the 24 h up to ``end_ts``, both ends included and
+    cut to seconds, and the latency 18 + 12 p + 0.35 (i mod 7) ms."""
+    from churnlens.functions.columns import risk_level_right_closed
     from churnlens.operators.stats import mix_hash
     h = pred.withColumn("__h", mix_hash("customer_id", seed))
     r = global_order(h, [("__h", True), ("customer_id", True)], rank_col="__i").filter(F.col("__i") <= n)
-    i = F.col("__i") - 1
-    step = 86400.0 / max(n, 1)
-    ts = F.timestamp_seconds(F.unix_timestamp(F.lit(end_ts).cast("timestamp")) - 86400 + i * step)
-    return r.select("customer_id", "churn_probability", ts.alias("timestamp"),
-                    (18.0 + 12.0 * F.col("churn_probability") + 0.35 * (i % 7)).alias("latency_ms"),
-                    F.lit(False).alias("scoring_error"))
+    size = r.agg(F.greatest(F.count(F.lit(1)) - 1, F.lit(1)).alias("__steps"))     # one row
+    r = r.crossJoin(F.broadcast(size))
+    i, p = F.col("__i") - 1, F.col("churn_probability").cast("double")
+    back = F.lit(86400.0) - i * 86400.0 / F.col("__steps")
+    ts = F.timestamp_seconds(F.floor(F.unix_timestamp(F.lit(end_ts).cast("timestamp")) - back))
+    given = lambda c, default: F.coalesce(F.col(c), default) if c in pred.columns else default
+    return r.select(
+        ts.alias("timestamp"), ts.alias("scored_at"), F.col("customer_id").cast("string").alias("customer_id"),
+        F.round(p, 6).alias("churn_probability"), risk_level_right_closed(p).alias("risk_level"),
+        F.lit(model_version).alias("model_version"), F.lit(model_version).alias("model_type"),
+        F.round(18.0 + F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)) * 12.0 + (i % 7) * 0.35, 2).alias("latency_ms"),
+        F.lit(False).alias("scoring_error"), given("segment", F.lit("unknown")).alias("segment"),
+        F.round(given("predicted_clv", F.lit(0.0)), 2).alias("predicted_clv"),
+        given("recommended_action", F.lit("standard_loyalty_program")).alias("recommended_action"),
+        F.lit("batch_holdout").alias("data_source"))
 
 
 def freshness(df: DataFrame, ts_col: str, now) -> DataFrame:

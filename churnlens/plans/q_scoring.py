@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from churnlens.functions.columns import safe_div
@@ -82,11 +84,18 @@ def q_scoring_features(spark, sf):
     return _features(spark, sf)
 
 
-@register("validate_features", oracle("""SELECT customer_id, []::VARCHAR[] AS errors, true AS valid FROM feat""",
-                                      views=V, ctes=CTES))
+@register("validate_features", oracle("""SELECT customer_id, list_concat(['Missing required feature: review_count'],
+    CASE WHEN customer_id % 3 = 0 THEN []::VARCHAR[] ELSE ['Feature ''segment_encoded'' must be numeric, got str'] END)
+    AS errors, false AS valid FROM feat
+  UNION ALL SELECT customer_id, []::VARCHAR[], true FROM feat""", views=V, ctes=CTES))
 def q_validate(spark, sf):
-    """Feature validation (all rows valid here; unit tests cover the error cases)."""
-    return scr.validate_features(_features(spark, sf)).select("customer_id", "errors", "valid")
+    """Feature validation of rows without a required column and with text (or null) as a
+    feature, and of complete rows."""
+    f = _features(spark, sf)
+    text = F.when(F.col("customer_id") % 3 != 0, F.lit("vip"))
+    bad = f.drop("review_count").withColumn("segment_encoded", text)
+    out = scr.validate_features(bad).select("customer_id", "errors", "valid")
+    return out.unionByName(scr.validate_features(f).select("customer_id", "errors", "valid"))
 
 
 SCORED = f"""scored AS (SELECT customer_id, p AS churn_probability, {RISK} AS risk_level FROM (
@@ -102,11 +111,14 @@ def q_batch_scores(spark, sf):
         "customer_id", "churn_probability", "risk_level", "recommended_action", "model_type")
 
 
+def _scratch(spark, name: str) -> str:
+    """A folder of this call below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def _requests(spark, sf) -> str:
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    tag = sf.rstrip("/").split("/")[-1]
     f = _features(spark, sf).withColumn("message_id", F.col("customer_id"))
-    return st.write_requests(f, f"{base}/requests/{tag}")
+    return st.write_requests(f, _scratch(spark, "requests"))
 
 
 @register("parsed_requests", oracle("""SELECT CAST(customer_id AS VARCHAR) AS message_id,
@@ -131,110 +143,118 @@ FROM feat f JOIN scored s ON f.customer_id = s.customer_id""", views=V, ctes=CTE
 def q_stream_scores(spark, sf):
     """T6 + T7 + T8: Structured Streaming scorer drained with availableNow (dedup by message
     id within the watermark, foreachBatch into an idempotent Parquet sink)."""
-    import uuid
     src = _requests(spark, sf)
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    run = uuid.uuid4().hex[:8]
-    sink, ck = f"{base}/stream_sink/{run}", f"{base}/stream_ckpt/{run}"
+    sink, ck = _scratch(spark, "stream-sink"), _scratch(spark, "stream-checkpoint")
     st.score_stream(spark, src, sink, ck, once=True, no_purchase_days=NP, no_login_days=NL)
     return spark.read.parquet(sink).select(*st.RESPONSE_COLUMNS)
 
 
 END_TS = "2024-02-01 00:00:00"
-HIST = f"""hist AS (SELECT customer_id, churn_probability,
-    make_timestamp(CAST((epoch(TIMESTAMP '{END_TS}') - 86400 + (i - 1) * 864.0) * 1000000 AS BIGINT)) AS "timestamp",
-    18.0 + 12.0 * churn_probability + 0.35 * ((i - 1) % 7) AS latency_ms, false AS scoring_error
-  FROM (SELECT customer_id, churn_probability, row_number() OVER (ORDER BY (customer_id * 2654435761 + 42 * 40503)
-        % 4294967296, customer_id) AS i FROM scores) WHERE i <= 100)"""
+N_HISTORY = 100
+HIST = f"""hist AS (SELECT make_timestamp(CAST(floor(epoch(TIMESTAMP '{END_TS}') - 86400.0 + (i - 1) * 86400.0
+      / greatest(n - 1, 1)) AS BIGINT) * 1000000) AS "timestamp", *  FROM (
+  SELECT *, count(*) OVER () AS n FROM (
+    SELECT customer_id, churn_probability, segment, clv, row_number() OVER (ORDER BY md5('42:' || customer_id), customer_id)
+      AS i FROM scores) WHERE i <= {N_HISTORY}))"""
+RISK_RIGHT = """CASE WHEN churn_probability <= 0.25 THEN 'low' WHEN churn_probability <= 0.5 THEN 'medium'
+  WHEN churn_probability <= 0.75 THEN 'high' ELSE 'critical' END"""
+
+
+@register("scoring_history", oracle(f"""SELECT "timestamp", "timestamp" AS scored_at, CAST(customer_id AS VARCHAR) AS customer_id,
+  churn_probability, {RISK_RIGHT} AS risk_level, 'ensemble_v1' AS model_version, 'ensemble_v1' AS model_type,
+  round(18.0 + churn_probability * 12.0 + ((i - 1) % 7) * 0.35, 2) AS latency_ms, false AS scoring_error, segment,
+  floor(clv) AS predicted_clv, 'standard_loyalty_program' AS recommended_action, 'batch_holdout' AS data_source
+FROM hist""", views=["scores"], ctes=[HIST], doubles=["churn_probability", "latency_ms", "predicted_clv"]))
+def q_scoring_history(spark, sf):
+    """100 sampled predictions spread over the 24 h before the end time."""
+    pred = tb.scores(spark, sf).select("customer_id", "churn_probability", "segment", F.floor("clv").alias("predicted_clv"))
+    return scr.scoring_history(pred, N_HISTORY, END_TS)
 
 
-def _history(spark, sf):
-    return scr.scoring_history(tb.scores(spark, sf).select("customer_id", "churn_probability"), 100, END_TS)
+#: Every event as a scored request: probability and latency from its id, errors as they are.
+LOG = """slog AS (SELECT event_id AS message_id, user_id AS customer_id, ts AS "timestamp",
+    ((event_id * 7919) % 997) / 997.0 AS churn_probability,
+    CASE WHEN event_id % 50 <> 0 THEN 18.0 + ((event_id * 7919) % 997) / 997.0 * 12.0 + (event_id % 7) * 0.35 END AS latency_ms,
+    event_type = 'error' AS scoring_error FROM events)"""
+TTL = 7 * 86400
 
 
-@register("scoring_history", oracle("SELECT * FROM hist", views=["scores"], ctes=[HIST],
-                                    doubles=["churn_probability", "latency_ms"]))
-def q_scoring_history(spark, sf):
-    """100 sampled predictions spread over the 24 h before the end time."""
-    return _history(spark, sf)
+def _log(spark, sf):
+    e = tb.read_table(spark, sf, "events")
+    k = F.col("event_id")
+    p = (k * 7919) % 997 / 997.0
+    return e.select(k.alias("message_id"), F.col("user_id").alias("customer_id"), F.col("ts").cast("timestamp").alias("timestamp"),
+                    p.alias("churn_probability"),
+                    F.when(k % 50 != 0, 18.0 + p * 12.0 + (k % 7) * 0.35).alias("latency_ms"),
+                    (F.col("event_type") == "error").alias("scoring_error"))
 
 
 @register("throughput", oracle("""SELECT time_bucket(INTERVAL 15 MINUTE, "timestamp") AS "timestamp",
-  round(count(*) / 15.0, 4) AS requests_per_minute, round(avg(greatest(latency_ms, 1.0)), 2) AS avg_latency_ms,
+  round(count(*) / 15.0, 4) AS requests_per_minute, round(avg(greatest(coalesce(latency_ms, med), 1.0)), 2) AS avg_latency_ms,
   round(least(count_if(scoring_error) / count(*), 1.0), 6) AS error_rate, count(*) AS requests,
-  'batch_scoring_history' AS data_source FROM hist GROUP BY 1""", views=["scores"], ctes=[HIST],
+  'batch_scoring_history' AS data_source
+FROM slog CROSS JOIN (SELECT median(latency_ms) AS med FROM slog) GROUP BY 1""", views=[], ctes=[LOG],
     doubles=["requests_per_minute", "avg_latency_ms", "error_rate"]))
 def q_throughput(spark, sf):
-    """15-minute throughput windows of the scoring history."""
-    return scr.throughput(_history(spark, sf))
+    """15-minute throughput windows of all scored events."""
+    return scr.throughput(_log(spark, sf))
 
 
 @register("hourly_scores", oracle("""SELECT date_trunc('hour', "timestamp") AS hour, count(*) AS count,
-  avg(churn_probability) AS mean_probability, stddev_samp(churn_probability) AS std_probability FROM hist GROUP BY 1""",
-    views=["scores"], ctes=[HIST], doubles=["mean_probability", "std_probability"]))
+  avg(churn_probability) AS mean_probability, stddev_samp(churn_probability) AS std_probability FROM slog GROUP BY 1""",
+    views=[], ctes=[LOG], doubles=["mean_probability", "std_probability"]))
 def q_hourly_scores(spark, sf):
-    """Hourly scoring statistics."""
-    return scr.hourly_scores(_history(spark, sf))
+    """Hourly scoring statistics of all scored events."""
+    return scr.hourly_scores(_log(spark, sf))
 
 
-@register("latest_prediction", oracle(f"""SELECT customer_id, "timestamp", churn_probability, risk_level,
-  epoch(TIMESTAMP '{END_TS}') - epoch("timestamp") AS age_seconds FROM (
-  SELECT customer_id, "timestamp", churn_probability, CASE WHEN churn_probability >= 0.75 THEN 'critical'
-    WHEN churn_probability >= 0.5 THEN 'high' WHEN churn_probability >= 0.25 THEN 'medium' ELSE 'low' END AS risk_level
-  FROM hist) WHERE epoch(TIMESTAMP '{END_TS}') - epoch("timestamp") <= 21600""", views=["scores"], ctes=[HIST],
+@register("latest_prediction", oracle(f"""SELECT customer_id, "timestamp", churn_probability,
+  CASE WHEN churn_probability >= 0.75 THEN 'critical' WHEN churn_probability >= 0.5 THEN 'high'
+       WHEN churn_probability >= 0.25 THEN 'medium' ELSE 'low' END AS risk_level, age_seconds FROM (
+  SELECT *, CAST(floor(epoch(mx)) - floor(epoch("timestamp")) AS BIGINT) AS age_seconds FROM (
+    SELECT *, max("timestamp") OVER () AS mx, row_number() OVER (PARTITION BY customer_id ORDER BY "timestamp" DESC,
+      message_id DESC) AS r FROM slog) WHERE r = 1) WHERE age_seconds <= {TTL}""", views=[], ctes=[LOG],
     doubles=["churn_probability"], ints=["age_seconds"]))
 def q_latest_prediction(spark, sf):
-    """T9 (batch): latest prediction per customer valid for 6 h before the end time."""
+    """T9 (batch): latest prediction per customer, valid for 7 days at the time of the last event."""
     from churnlens.functions.columns import risk_level_left_closed
-    h = _history(spark, sf).withColumn("risk_level", risk_level_left_closed("churn_probability"))
-    return scr.latest_prediction(h, END_TS, 21600)
+    h = _log(spark, sf).withColumn("risk_level", risk_level_left_closed("churn_probability"))
+    now = h.agg(F.max("timestamp")).first()[0]
+    return scr.latest_prediction(h, now, TTL, tie="message_id")
 
 
 @register("freshness", oracle(f"""SELECT max("timestamp") AS latest,
-  (epoch(TIMESTAMP '{END_TS}') - epoch(max("timestamp"))) / 3600.0 AS age_hours FROM hist""",
-    views=["scores"], ctes=[HIST], doubles=["age_hours"]))
+  (floor(epoch(TIMESTAMP '{END_TS}')) - floor(epoch(max("timestamp")))) / 3600.0 AS age_hours FROM slog""",
+    views=[], ctes=[LOG], doubles=["age_hours"]))
 def q_freshness(spark, sf):
     """Newest scoring timestamp and its age."""
-    return scr.freshness(_history(spark, sf), "timestamp", END_TS)
+    return scr.freshness(_log(spark, sf), "timestamp", END_TS)
 
 
 @register("trim_responses", oracle("""SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (ORDER BY "timestamp" DESC,
-  message_id DESC) AS r FROM (SELECT *, customer_id AS message_id FROM hist)) WHERE r <= 50""", views=["scores"],
-    ctes=[HIST], doubles=["churn_probability", "latency_ms"]))
+  message_id DESC) AS r FROM slog) WHERE r <= 50""", views=[], ctes=[LOG],
+    doubles=["churn_probability", "latency_ms"]))
 def q_trim(spark, sf):
-    """Keep the last 50 responses."""
-    h = _history(spark, sf).withColumn("message_id", F.col("customer_id"))
-    return scr.trim(h, 50)
+    """Keep the last 50 responses of all scored events."""
+    return scr.trim(_log(spark, sf), 50)
 
 
-@register("stream_throughput")
+@register("stream_throughput", oracle("""SELECT time_bucket(INTERVAL 15 MINUTE, "timestamp") AS "timestamp", count(*) AS requests,
+  round(count(*) / 15.0, 4) AS requests_per_minute FROM feat GROUP BY 1""", views=V, ctes=CTES,
+    doubles=["requests_per_minute"]))
 def q_stream_throughput(spark, sf):
-    """T10 (stream): watermarked 15-minute windows of the request stream (rows-only: append
-    mode holds back the windows the watermark has not passed)."""
-    import uuid
-    src = _requests(spark, sf)
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    run = uuid.uuid4().hex[:8]
-    sink, ck = f"{base}/tp_sink/{run}", f"{base}/tp_ckpt/{run}"
-    st.stream_throughput(spark, src, sink, ck)
-    return spark.read.schema("timestamp timestamp, requests long, requests_per_minute double").parquet(sink)
+    """T10 (stream): 15-minute windows of the request stream, all of them."""
+    sink = _scratch(spark, "throughput-sink")
+    st.stream_throughput(spark, _requests(spark, sf), sink, _scratch(spark, "throughput-checkpoint"))
+    return st.throughput_table(spark, sink)
 
 
-@register("stream_latest_prediction")
+@register("stream_latest_prediction", oracle("""SELECT CAST(f.customer_id AS VARCHAR) AS customer_id, s.churn_probability,
+  f."timestamp" AS scored_at FROM feat f JOIN scored s ON f.customer_id = s.customer_id""", views=V, ctes=CTES + [SCORED],
+    doubles=["churn_probability"]))
 def q_stream_latest(spark, sf):
-    """T9 (stream): per-customer latest prediction kept in applyInPandasWithState with an
-    event-time TTL (rows-only)."""
-    import uuid
-    src = _requests(spark, sf)
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    run = uuid.uuid4().hex[:8]
-    sink, ck = f"{base}/lp_sink/{run}", f"{base}/lp_ckpt/{run}"
-    resp = st.responses(st.read_requests(spark, src), NP, NL).withColumn("scored_at", F.to_timestamp("scored_at"))
-    lp = st.latest_prediction_stream(resp, 3600)
-
-    def write(b, bid):
-        b.write.mode("append").parquet(sink)
-    q = lp.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", ck) \
-        .trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema("customer_id string, churn_probability double, scored_at timestamp").parquet(sink)
+    """T9 (stream): the latest prediction of every customer of the request stream."""
+    sink = _scratch(spark, "latest-sink")
+    resp = st.responses(st.read_requests(spark, _requests(spark, sf)), NP, NL).withColumn("scored_at", F.to_timestamp("scored_at"))
+    st.latest_prediction_stream(resp, sink, _scratch(spark, "latest-checkpoint"))
+    return st.latest_prediction_table(spark, sink)

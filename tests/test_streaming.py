@@ -1,4 +1,5 @@
 """Request parsing, validation and the streaming scorer."""
+import time
 import uuid
 
 from pyspark.sql import functions as F
@@ -22,10 +23,44 @@ def test_bad_json_takes_defaults(spark):
 
 
 def test_validate_features_reports_errors(spark):
-    df = spark.createDataFrame([("c1", None)], "customer_id string, recency double")
-    errs = scr.validate_features(df).first()["errors"]
-    assert "Missing required feature: recency" in errs
-    assert "Missing required feature: frequency" in errs
+    df = spark.createDataFrame([("c1", None, "7"), ("c2", 1.0, None)], "customer_id string, recency double, monetary string")
+    errs = {r["customer_id"]: r["errors"] for r in scr.validate_features(df).collect()}
+    assert "Missing required feature: frequency" in errs["c1"] and "Missing required feature: frequency" in errs["c2"]
+    # A null is valid, text is not, even if it reads as a number.
+    assert not any("recency" in e for es in errs.values() for e in es)
+    assert "Feature 'monetary' must be numeric, got str" in errs["c1"] and not any("monetary" in e for e in errs["c2"])
+    bad_id = scr.validate_features(spark.createDataFrame([(1.5,)], "customer_id double")).first()["errors"]
+    assert "customer_id must be str or int, got float" in bad_id
+
+
+def _files(spark, base, *batches):
+    """Request files with ascending modification times, one micro-batch each."""
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, st.REQUEST_SCHEMA).coalesce(1).write.mode("append").parquet(base)
+        time.sleep(1.1)
+    return base
+
+
+def test_late_and_out_of_order_requests_are_all_scored(spark):
+    base = ensure_checkpoint_dir(spark).rstrip("/") + "/t_" + uuid.uuid4().hex
+    row = lambda m, c, t: (m, c, "{}", f"2024-01-01T{t}:00", "score")
+    src = _files(spark, base + "/src", [row("m1", "a", "10:00")], [row("m2", "b", "11:00"), row("m1", "a", "10:00")],
+                 [row("m3", "a", "09:00"), row("m4", "c", "12:00"), row("m2", "b", "11:00")])
+    st.score_stream(spark, src, base + "/sink", base + "/ck", once=True)
+    got = [r["request_message_id"] for r in spark.read.parquet(base + "/sink").collect()]
+    assert sorted(got) == ["m1", "m2", "m3", "m4"]
+    # A second drain has nothing new; its sink stays as it is.
+    st.score_stream(spark, src, base + "/sink", base + "/ck", once=True)
+    assert spark.read.parquet(base + "/sink").count() == 4
+    st.stream_throughput(spark, src, base + "/tp", base + "/tpck")
+    windows = {r["timestamp"].hour: r["requests"] for r in st.throughput_table(spark, base + "/tp").collect()}
+    assert windows == {10: 2, 11: 2, 9: 1, 12: 1}
+    resp = st.responses(st.read_requests(spark, src)).withColumn("scored_at", F.to_timestamp("scored_at"))
+    st.latest_prediction_stream(resp, base + "/lp", base + "/lpck")
+    last = {r["customer_id"]: r["scored_at"].hour for r in st.latest_prediction_table(spark, base + "/lp").collect()}
+    assert last == {"a": 10, "b": 11, "c": 12}     # a's 09:00, which came last, does not win
+    kept = st.latest_prediction_table(spark, base + "/lp", "2024-01-01 12:30:00", 3600).collect()
+    assert [r["customer_id"] for r in kept] == ["c"]
 
 
 def test_stream_drains_once_and_dedups(spark):
