@@ -63,8 +63,10 @@ def km_by_segment(df: DataFrame, segment: str, grid: list[float], duration: str
     segs = df.select(segment).distinct()
     gs = segs.crossJoin(F.broadcast(gt))
     # as-of lookup: last curve time <= t (curve rows per segment are bounded by distinct days)
-    j = gs.join(curve, (gs[segment] == curve[segment]) & (curve["time"] <= gs["t"]), "left")
-    s_at = j.groupBy(gs[segment].alias(segment), "t").agg(
+    j = gs.withColumnRenamed(segment, "__seg").join(
+        curve.select(F.col(segment).alias("__cseg"), "time", "survival"),
+        F.col("__seg").eqNullSafe(F.col("__cseg")) & (F.col("time") <= F.col("t")), "left")
+    s_at = j.groupBy(F.col("__seg").alias(segment), "t").agg(
         F.coalesce(F.max_by("survival", "time"), F.lit(1.0)).alias("survival"))
     # counts at each grid time from the per-(segment, duration) aggregate, so only the
     # distinct durations (not the rows) meet the grid
@@ -90,87 +92,89 @@ def _standardize(df: DataFrame, features: list[str]):
     return mean, sd
 
 
+def _cox_sums(base: DataFrame, beta, weights_only: bool = False) -> DataFrame:
+    """Per distinct time the sums of w, w z and w z z' over its rows and over its events."""
+    p = len(beta)
+    eta = sum((F.col(f"__z{i}") * float(b) for i, b in enumerate(beta)), F.lit(0.0))
+    ev = F.col("__e") == 1
+    d = base.withColumn("__eta", eta).withColumn("__w", F.exp(eta))
+    terms = {"w": F.col("__w")}
+    if not weights_only:
+        terms |= {f"w{i}": F.col("__w") * F.col(f"__z{i}") for i in range(p)}
+        terms |= {f"w{i}_{k}": F.col("__w") * F.col(f"__z{i}") * F.col(f"__z{k}") for i in range(p) for k in range(i, p)}
+    aggs = [F.sum(x).alias(f"r_{n}") for n, x in terms.items()] + [F.count_if(ev).alias("d")]
+    if not weights_only:
+        aggs += [F.sum(F.when(ev, x).otherwise(0.0)).alias(f"e_{n}") for n, x in terms.items()]
+        aggs += [F.sum(F.when(ev, F.col("__eta")).otherwise(0.0)).alias("e_eta")]
+        aggs += [F.sum(F.when(ev, F.col(f"__z{i}")).otherwise(0.0)).alias(f"e_z{i}") for i in range(p)]
+    return d.groupBy("__t").agg(*aggs)
+
+
+#: Tied events of one time that one row stands for before the sums over ties are taken.
+TIE_BLOCK = 4096
+
+
+def _cox_step(base: DataFrame, beta, penalizer: float):
+    """(log-likelihood, gradient, Hessian) of Efron's penalised partial likelihood at ``beta``.
+
+    The risk sets are one running sum over the distinct times, latest first; the sum over the
+    l-th of d tied events explodes l on the executors. One row comes to the driver.
+    """
+    p = len(beta)
+    t = _cox_sums(base, beta)
+    names = ["w", *[f"w{i}" for i in range(p)], *[f"w{i}_{k}" for i in range(p) for k in range(i, p)]]
+    risk = global_order(t, [("__t", False)], sums={f"R_{n}": f"r_{n}" for n in names}, rank_col=None).filter("d > 0")
+    once = risk.agg(F.sum("e_eta").alias("ll"), *[F.sum(f"e_z{i}").alias(f"g{i}") for i in range(p)])
+    cols = ["d", *[f"{x}_{n}" for n in names for x in ("R", "e")]]
+    parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = risk.select(*cols, F.explode(F.expr(f"sequence(0L, (d - 1) div {TIE_BLOCK})")).alias("b")).repartition(parts)
+    ties = blocks.select(*cols, F.explode(F.expr(
+        f"sequence(b * {TIE_BLOCK}, least((b + 1) * {TIE_BLOCK}, d) - 1)")).alias("l"))
+    f = F.col("l") / F.col("d")
+    a = {n: F.col(f"R_{n}") - f * F.col(f"e_{n}") for n in names}
+    ties = ties.select(*[x.alias(n) for n, x in a.items()])
+    m = [F.col(f"w{i}") / F.col("w") for i in range(p)]
+    sums = ties.agg(F.sum(F.log("w")).alias("ll"), *[F.sum(m[i]).alias(f"g{i}") for i in range(p)],
+                    *[F.sum(F.col(f"w{i}_{k}") / F.col("w") - m[i] * m[k]).alias(f"h{i}_{k}")
+                      for i in range(p) for k in range(i, p)])
+    r0, r1 = once.first(), sums.first()
+    value = lambda r, c: float(r[c] or 0.0)
+    ll = value(r0, "ll") - value(r1, "ll") - 0.5 * penalizer * float(beta @ beta)
+    g = np.array([value(r0, f"g{i}") - value(r1, f"g{i}") for i in range(p)]) - penalizer * beta
+    h = np.zeros((p, p))
+    for i in range(p):
+        for k in range(i, p):
+            h[i, k] = h[k, i] = -value(r1, f"h{i}_{k}")
+    return ll, g, h - penalizer * np.eye(p)
+
+
 def fit_cox(df: DataFrame, features: list[str], duration: str = "duration", event: str = "event",
             penalizer: float = 0.01, max_iter: int = 20, tol: float = 1e-9) -> dict:
     """K3: Efron partial likelihood, Newton-Raphson, L2 penalty on standardised X.
 
-    Returns coefficients on the original scale plus the standardisation and the
-    Breslow baseline cumulative hazard ``(times, H0)`` (bounded by distinct durations).
+    Returns the coefficients on the original scale, the standardisation, the gradient at the
+    optimum and ``baseline``, a checkpointed table (time, cum_hazard) of Breslow's estimate.
     """
-    p = len(features)
     mean, sd = _standardize(df, features)
     zc = [((F.col(c).cast("double") - float(m)) / float(s)).alias(f"__z{i}")
           for i, (c, m, s) in enumerate(zip(features, mean, sd))]
     # every Newton step reads the standardised design: checkpoint it once (lineage cut)
-    base = cut_lineage(df.select(F.col(duration).cast("double").alias("__t"),
-                                 F.col(event).cast("int").alias("__e"), *zc))
-    beta = np.zeros(p)
-    for _ in range(max_iter):
-        eta = sum(F.col(f"__z{i}") * float(beta[i]) for i in range(p)) if p else F.lit(0.0)
-        w = F.exp(eta)
-        ev = F.col("__e") == 1
-        aggs = [F.sum(w).alias("w"), F.sum(F.when(ev, w)).alias("ew"), F.count_if(ev).alias("d"),
-                F.sum(F.when(ev, eta)).alias("eeta")]
-        for i in range(p):
-            zi = F.col(f"__z{i}")
-            aggs += [F.sum(w * zi).alias(f"wz{i}"), F.sum(F.when(ev, w * zi)).alias(f"ewz{i}"),
-                     F.sum(F.when(ev, zi)).alias(f"ez{i}")]
-            for k in range(i, p):
-                zk = F.col(f"__z{k}")
-                aggs += [F.sum(w * zi * zk).alias(f"wzz{i}_{k}"), F.sum(F.when(ev, w * zi * zk)).alias(f"ewzz{i}_{k}")]
-        rows = sorted(base.groupBy("__t").agg(*aggs).collect(), key=lambda r: -r["__t"])
-        ll, g, h = 0.0, np.zeros(p), np.zeros((p, p))
-        R0, R1, R2 = 0.0, np.zeros(p), np.zeros((p, p))
-        for r in rows:  # descending time: risk-set sums accumulate
-            R0 += r["w"]
-            for i in range(p):
-                R1[i] += r[f"wz{i}"]
-                for k in range(i, p):
-                    R2[i, k] += r[f"wzz{i}_{k}"]
-                    R2[k, i] = R2[i, k]
-            d = int(r["d"] or 0)
-            if d == 0:
-                continue
-            E0 = r["ew"] or 0.0
-            E1 = np.array([r[f"ewz{i}"] or 0.0 for i in range(p)])
-            E2 = np.zeros((p, p))
-            for i in range(p):
-                for k in range(i, p):
-                    E2[i, k] = E2[k, i] = r[f"ewzz{i}_{k}"] or 0.0
-            ll += r["eeta"] or 0.0
-            g += np.array([r[f"ez{i}"] or 0.0 for i in range(p)])
-            for l in range(d):
-                f = l / d
-                a0 = R0 - f * E0
-                a1 = R1 - f * E1
-                a2 = R2 - f * E2
-                ll -= math.log(a0)
-                g -= a1 / a0
-                h -= a2 / a0 - np.outer(a1, a1) / (a0 * a0)
-        ll -= 0.5 * penalizer * float(beta @ beta)
-        g -= penalizer * beta
-        h -= penalizer * np.eye(p)
-        step = np.linalg.solve(h, g) if p else np.zeros(0)
+    base = cut_lineage(df.select(F.col(duration).cast("double").alias("__t"), F.col(event).cast("int").alias("__e"), *zc)
+                       .filter("__t IS NOT NULL"))
+    beta = np.zeros(len(features))
+    ll, g, h = _cox_step(base, beta, penalizer)
+    for _ in range(max_iter if features else 0):
+        step = np.linalg.solve(h, g)
         beta = beta - step
+        ll, g, h = _cox_step(base, beta, penalizer)
         if np.max(np.abs(step)) < tol:
             break
-    coef = beta / sd
-    # Breslow baseline cumulative hazard at the centred covariates
-    eta = sum(F.col(f"__z{i}") * float(beta[i]) for i in range(p)) if p else F.lit(0.0)
-    rows = sorted(base.groupBy("__t").agg(F.sum(F.exp(eta)).alias("w"), F.count_if(F.col("__e") == 1).alias("d"))
-                  .collect(), key=lambda r: -r["__t"])
-    risk, pts = 0.0, []
-    for r in rows:
-        risk += r["w"]
-        pts.append((r["__t"], (r["d"] or 0) / risk if risk > 0 else 0.0))
-    pts.sort()
-    times, hs, acc = [], [], 0.0
-    for t, dh in pts:
-        acc += dh
-        times.append(float(t))
-        hs.append(acc)
-    return {"features": features, "coef": coef.tolist(), "beta_std": beta.tolist(), "mean": mean.tolist(),
-            "sd": sd.tolist(), "times": times, "cum_hazard": hs, "log_likelihood": ll}
+    t = _cox_sums(base, beta, weights_only=True)
+    hazard = global_order(t, [("__t", False)], sums={"risk": "r_w"}, rank_col=None).select(
+        F.col("__t").alias("time"), F.coalesce(F.try_divide("d", "risk"), F.lit(0.0)).alias("dh"))
+    baseline = cut_lineage(global_order(hazard, [("time", True)], sums={"cum_hazard": "dh"}, rank_col=None).drop("dh"))
+    return {"features": features, "coef": (beta / sd).tolist(), "beta_std": beta.tolist(), "mean": mean.tolist(),
+            "sd": sd.tolist(), "baseline": baseline, "log_likelihood": ll, "gradient": g.tolist()}
 
 
 def _lin_pred(model: dict) -> Column:
@@ -178,23 +182,33 @@ def _lin_pred(model: dict) -> Column:
                zip(model["features"], model["mean"], model["sd"], model["beta_std"]))
 
 
-def cox_predict(df: DataFrame, model: dict, times=(30.0, 90.0, 365.0)) -> DataFrame:
-    """K4 + K5: partial hazard exp(x'b) (centred), S(t) = exp(-H0(t) * hazard) at the given
-    times (step lookup on the broadcast baseline array) and the median (inf if not reached)."""
-    ts = F.array(*[F.lit(float(t)) for t in model["times"]])
-    hs = F.array(*[F.lit(float(h)) for h in model["cum_hazard"]])
-    ph = F.exp(_lin_pred(model))
-    out = df.withColumn("partial_hazard", ph)
+def cox_predict(df: DataFrame, model: dict, times=(30.0, 90.0, 365.0), id_col: str = "customer_id") -> DataFrame:
+    """K4 + K5: partial hazard exp(x'b) (centred), S(t) = exp(-H0(t) * hazard) at the given times
+    (the last known time up to t, else the first) and the median, the first time with S <= 1/2
+    (infinite if there is none).
 
-    def h_at(t: float) -> Column:
-        k = F.size(F.filter(ts, lambda x: x <= F.lit(float(t))))
-        return F.when(k == 0, 0.0).otherwise(F.element_at(hs, k))
-    for t in times:
-        out = out.withColumn(f"survival_{int(t)}", F.exp(-h_at(t) * F.col("partial_hazard")))
-    surv = F.transform(hs, lambda hh: F.exp(-hh * F.col("partial_hazard")))
-    idx = F.array_position(F.transform(surv, lambda s: s <= 0.5), True)
-    med = F.when(idx > 0, F.element_at(ts, idx.cast("int"))).otherwise(F.lit(float("inf")))
-    return out.withColumn("median_survival", med)
+    S(t) <= 1/2 where H0(t) >= ln 2 / hazard: rows and baseline steps are put into one global
+    order of that value, the number of steps above a row names its step.
+    """
+    base = model["baseline"]
+    at = base.agg(F.min_by("cum_hazard", "time").alias("h_first"), *[
+        F.max(F.when(F.col("time") <= t, F.col("cum_hazard"))).alias(f"h{i}") for i, t in enumerate(times)]).first()
+    out = df.withColumn("partial_hazard", F.exp(_lin_pred(model)))
+    for i, t in enumerate(times):
+        h = at[f"h{i}"] if at[f"h{i}"] is not None else at["h_first"]
+        out = out.withColumn(f"survival_{int(t)}", F.exp(-F.lit(float(h or 0.0)) * F.col("partial_hazard")))
+    steps = base.groupBy(F.col("cum_hazard").alias("x")).agg(F.min("time").alias("time"))
+    steps = global_order(steps, [("x", False)], rank_col="step")
+    rows = out.select(F.col(id_col).alias("id"), (F.lit(math.log(2.0)) / F.col("partial_hazard")).alias("x"), F.lit(1).alias("kind"))
+    union = rows.unionByName(steps.select(F.lit(None).cast(df.schema[id_col].dataType).alias("id"), "x", F.lit(0).alias("kind")))
+    union = union.withColumn("is_step", 1 - F.col("kind"))
+    # A step with the very value of a row counts for it; null ids come after all others.
+    ranked = global_order(union.withColumn("no", F.coalesce(F.xxhash64("id"), F.lit(0))),
+                          [("x", False), ("kind", True), ("no", True)], sums={"step": "is_step"}, rank_col=None)
+    median = (ranked.filter("kind = 1").select("id", F.col("step").cast("long").alias("step"))
+              .join(steps.select("step", "time"), "step", "left").select(F.col("id").alias("__id"), "time"))
+    joined = out.join(median, out[id_col] == median["__id"], "left")
+    return joined.withColumn("median_survival", F.coalesce("time", F.lit(float("inf")))).drop("__id", "time")
 
 
 # ------------------------------------------------------------------ K6-K9
@@ -205,31 +219,26 @@ def concordance(df: DataFrame, duration: str = "duration", event: str = "event",
     Exact and distributed by divide and conquer over the distinct durations: at level l
     the durations (dense rank k) are cut into blocks of 2^l; for every pair of sibling
     blocks (lower, upper) each event of the lower block counts the upper-block rows with
-    smaller / equal risk through one prefix sum over (block pair, risk). Every pair of
-    rows with different durations is counted at exactly one level; log2(#durations)
-    passes, each a sort of the (block pair, risk) aggregate.
+    smaller / equal risk through one prefix sum over (level, block pair, risk). Every pair of
+    rows with different durations is counted at exactly one level; all levels are one pass over
+    the (duration, risk) aggregate, exploded log2(#durations) times.
     """
     base = df.select(F.col(duration).cast("double").alias("__t"), F.col(event).cast("int").alias("__e"),
                      F.col(risk).cast("double").alias("__r"))
-    times = base.select("__t").distinct()
-    nd = times.count()
-    tk = global_order(times, [("__t", True)], rank_col="__k").withColumn("__k", F.col("__k") - 1)
+    tk = global_order(base.select("__t").distinct(), [("__t", True)], rank_col="__k").withColumn("__k", F.col("__k") - 1)
     v = base.groupBy("__t", "__r").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("__e") == 1).alias("e"))
-    # every level and the comparable-pair count read this aggregate: compute it once
-    v = cut_lineage(v.join(F.broadcast(tk) if nd <= 1_000_000 else tk, "__t"))
-    levels = max(1, math.ceil(math.log2(max(nd, 2))))
-    total = None
-    for lv in range(levels):
-        s = 2 ** lv
-        x = (v.withColumn("__seg", F.floor(F.col("__k") / (2 * s)))
-             .withColumn("__up", (F.floor(F.col("__k") / s) % 2) == 1))
-        a = x.groupBy("__seg", "__r").agg(F.sum(F.when(F.col("__up"), F.col("n")).otherwise(0)).alias("un"),
-                                         F.sum(F.when(~F.col("__up"), F.col("e")).otherwise(0)).alias("le"),
-                                         F.sum(F.when(~F.col("__up"), F.col("n")).otherwise(0)).alias("ln"))
-        o = global_order(a, [("__r", True)], partition_by=["__seg"], sums={"__cu": "un"}, rank_col=None)
-        part = o.agg(F.sum(F.col("le") * (F.col("__cu") - F.col("un"))).alias("conc"),
-                     F.sum(F.col("le") * F.col("un")).alias("ties"))
-        total = part if total is None else total.unionByName(part)
+    v = cut_lineage(v.join(tk, "__t"))
+    last = v.agg(F.max("__k")).first()[0] or 0
+    levels = F.sequence(F.lit(0), F.lit(max(0, int(last).bit_length() - 1)))
+    # All levels in one pass: the level is part of the block's key.
+    x = v.select("*", F.explode(levels).alias("__lv"))
+    half = F.expr("shiftright(__k, __lv)")
+    x = x.withColumn("__seg", F.concat_ws(":", "__lv", F.expr("shiftright(__k, __lv + 1)"))).withColumn("__up", half % 2 == 1)
+    a = x.groupBy("__seg", "__r").agg(F.sum(F.when(F.col("__up"), F.col("n")).otherwise(0)).alias("un"),
+                                      F.sum(F.when(~F.col("__up"), F.col("e")).otherwise(0)).alias("le"))
+    o = global_order(a, [("__r", True)], partition_by=["__seg"], sums={"__cu": "un"}, rank_col=None)
+    total = o.agg(F.sum(F.col("le") * (F.col("__cu") - F.col("un"))).alias("conc"),
+                  F.sum(F.col("le") * F.col("un")).alias("ties"))
     agg = total.agg(F.sum("conc").alias("concordant_ordered_low"), F.sum("ties").alias("tied_risk"))
     # comparable pairs: events times rows with a larger duration
     tcnt = v.groupBy("__t").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))

@@ -485,6 +485,14 @@ def q_cox_model(spark, sf):
     return spark.createDataFrame([(f, float(c)) for f, c in zip(m["features"], m["coef"])], "feature string, coef double")
 
 
+@q("cox_score", "SELECT * FROM (VALUES " + ", ".join(f"('{f}', 0.0)" for f in COX_F) + ") AS t(feature, score)", ["score"])
+def q_cox_score(spark, sf):
+    """K3: the penalised score equations at the fitted coefficients, which must be 0."""
+    s = _surv(spark, sf).join(_sc(spark, sf).select("customer_id", "clv", "cost_per_action"), "customer_id")
+    m = sv.fit_cox(s, COX_F)
+    return spark.createDataFrame([(f, float(x)) for f, x in zip(m["features"], m["gradient"])], "feature string, score double")
+
+
 @register("survival_table")
 def q_survival_table(spark, sf):
     """K4 + K5: partial hazard, S at 30 / 90 / 365 days and median per customer (rows-only)."""
