@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnlens.llm import text as tx
-from churnlens.llm.registry import query, table, tokenizer_path
-from churnlens.llm.units import UnitCache, added_tokens_are_local, unit_values
+from churnlens.llm.registry import query, small_batches, table, tokenizer_path
+from churnlens.llm.units import UnitCache, added_tokens_are_local, combined_units
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Entries of the pair table kept by one worker.
-PAIR_ENTRIES = 1_000_000
+PAIR_ENTRIES = 300_000
 _NEVER = 1 << 60
 
 
@@ -199,8 +199,7 @@ class Vocabulary:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
-        for values in unit_values(texts, self.units, self._encode_raw):
-            yield b"".join(values)
+        return combined_units(texts, self.units, self._encode_raw, b"".join)
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes of all ids, length of each id's bytes), by the offset table."""
@@ -233,7 +232,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
                     pa.int32(), int(off[-1]), [None, pa.py_buffer(b"".join(ids))]))
                 yield pa.RecordBatch.from_arrays([*b.columns, lists], [*b.schema.names, ids_col])
 
-    return base.mapInArrow(run, schema)
+    return small_batches(base).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -258,7 +257,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "deco
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())],
                                                  [*part.schema.names, text_col])
 
-    return base.mapInArrow(run, schema)
+    return small_batches(base).mapInArrow(run, schema)
 
 
 @query("op6_bpe_roundtrip")

@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnlens.llm import text as tx
-from churnlens.llm.registry import query, table, text_bytes, tokenizer_path
+from churnlens.llm.registry import query, small_batches, table, text_bytes, tokenizer_path
 from churnlens.llm.storage import NewFile, file_system, new_folder
-from churnlens.llm.units import UnitCache, added_tokens_are_local, unit_values
+from churnlens.llm.units import UnitCache, added_tokens_are_local, combined_units
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -157,10 +157,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         if not self.local:
-            yield from self.raw(texts)
-            return
-        for values in unit_values(texts, self.cache, self.raw):
-            yield b"".join(values)
+            return iter(self.raw(texts))
+        return combined_units(texts, self.cache, self.raw, b"".join)
 
 
 @lru_cache(maxsize=2)
@@ -195,7 +193,7 @@ def write_ids(df: DataFrame, path: str, folder: str, end_id: int | None = None,
                 "file": [name], "least": pa.array([keys[0] if keys else None], pa.int64()),
                 "n_docs": pa.array([len(out.doc_ids)], pa.int64()), "n_ids": pa.array([out.first[-1]], pa.int64())})
 
-    files = ordered.mapInArrow(run, "file string, least long, n_docs long, n_ids long").collect()   # one row a file
+    files = small_batches(ordered).mapInArrow(run, "file string, least long, n_docs long, n_ids long").collect()   # one row a file
     files.sort(key=lambda r: (r.least is not None, r.least))
     start, rows = 0, []
     for r in files:

@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnlens.llm import text as tx
-from churnlens.llm.registry import query, table, tokenizer_path
-from churnlens.llm.units import UnitCache, added_tokens_are_local, unit_values
+from churnlens.llm.registry import query, small_batches, table, tokenizer_path
+from churnlens.llm.units import UnitCache, added_tokens_are_local, combined_units
 
 TOKENIZER = "byte_bpe_50k.json"
 CHUNK_CHARS = 32_768
@@ -73,7 +73,7 @@ class Counter:
         if not self.proven:
             return self.raw(texts)
         short = [t for t in texts if len(t) <= self.chunk]
-        counts = iter([sum(v) for v in unit_values(short, self.cache, self.raw)])
+        counts = combined_units(short, self.cache, self.raw, sum)
         return [next(counts) if len(t) <= self.chunk else self.spliced(t) for t in texts]
 
     def _starts(self, text: str, begin: int, end: int) -> list[int]:
@@ -127,7 +127,7 @@ def token_counts(df: DataFrame, path: str, text_col: str = "text", limit: int =
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(c.count(texts), pa.int64())],
                                                  [*b.schema.names, "n_tokens"])
 
-    return (base.mapInArrow(run, schema)
+    return (small_batches(base).mapInArrow(run, schema)
             .withColumn("n_bytes", F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long"))
             .withColumn("over_limit", F.col("n_tokens") > limit))
 

@@ -15,16 +15,19 @@ import re
 from collections.abc import Callable, Iterator
 
 #: Units kept by one Python worker, in two generations of half of it each.
-CACHE_UNITS = 800_000
+CACHE_UNITS = 400_000
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _UNSAFE = ...   # cached for a unit with a space character at an edge
 
 
 class UnitCache:
-    """Results of ``compute(list of units)`` for the units seen lately."""
+    """Results of ``compute(list of units)`` for the units seen lately.
 
-    def __init__(self, compute: Callable[[list[str]], list], limit: int = CACHE_UNITS):
-        self.compute, self.half = compute, limit // 2
+    With ``edges`` a unit that is empty or has a space character at an edge is marked unsafe.
+    """
+
+    def __init__(self, compute: Callable[[list[str]], list], limit: int = CACHE_UNITS, edges: bool = True):
+        self.compute, self.half, self.edges = compute, limit // 2, edges
         self.young: dict[str, object] = {}
         self.old: dict[str, object] = {}
 
@@ -33,18 +36,18 @@ class UnitCache:
         new = keys - self.young.keys()
         if self.young and len(self.young) + len(new) > self.half:
             self.old, self.young, new = self.young, {}, keys
-        miss = []
-        for k in new:
-            v = self.old.get(k)
-            if v is not None:
-                self.young[k] = v
-            elif k == "" or k[0].isspace() or k[-1].isspace():
-                self.young[k] = _UNSAFE
-            else:
-                miss.append(k)
+        young, old = self.young, self.old
+        for k in new & old.keys():
+            young[k] = old[k]
+        miss = list(new - old.keys())
+        if self.edges:
+            unsafe = {k for k in miss if not k or k.strip() is not k}
+            if unsafe:
+                young.update(dict.fromkeys(unsafe, _UNSAFE))
+                miss = [k for k in miss if k not in unsafe]
         if miss:
-            self.young.update(zip(miss, self.compute(miss)))
-        return self.young
+            young.update(zip(miss, self.compute(miss)))
+        return young
 
 
 def added_tokens_are_local(path: str) -> bool:
@@ -55,23 +58,29 @@ def added_tokens_are_local(path: str) -> bool:
                    or t["normalized"] for t in added)
 
 
-def unit_values(texts: list[str], cache: UnitCache, raw: Callable[[list[str]], list]) -> Iterator[list]:
-    """For each text the values of its units, in order.
+def combined_units(texts: list[str], cache: UnitCache, raw: Callable[[list[str]], list],
+                   combine: Callable[[list], object]) -> Iterator:
+    """For each text ``combine`` of the values of its units, in order.
 
     ``cache`` computes units that follow a space (which belongs to them), ``raw`` strings as
-    they are: first units, and last ones that may end in white space.
+    they are: first units, and last ones that may end in white space. ``combine`` (a sum or a
+    join) raises TypeError on the mark of an unsafe unit.
     """
     parts = [t.split(" ") for t in texts]
     heads = raw([p[0] for p in parts])
-    rests = [p[1:] for p in parts]
-    got = cache.fill(set().union(*rests)).__getitem__
-    for text, head, part, rest in zip(texts, heads, parts, rests):
-        values = list(map(got, rest))
-        if _UNSAFE in values or (rest and part[0][-1:].isspace()):
-            yield _safe_values(text, cache, raw)
-        else:
+    edges = [cache.edges and len(p) > 1 and p[0][-1:].isspace() for p in parts]
+    for p in parts:
+        del p[0]
+    got = cache.fill(set().union(*parts)).__getitem__
+    for text, head, edge, rest in zip(texts, heads, edges, parts):
+        try:
+            if edge:
+                raise TypeError
+            values = list(map(got, rest))
             values.insert(0, head)
-            yield values
+            yield combine(values)
+        except TypeError:
+            yield combine(_safe_values(text, cache, raw))
 
 
 def _safe_values(text: str, cache: UnitCache, raw: Callable[[list[str]], list]) -> list:
