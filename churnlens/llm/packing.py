@@ -18,6 +18,7 @@ own entry; an empty table gives no file and no row; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -26,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from churnlens.llm import text as tx
 from churnlens.llm.registry import query, small_batches, table, text_bytes, tokenizer_path
 from churnlens.llm.storage import NewFile, file_system, new_folder
-from churnlens.llm.units import UnitCache, added_tokens_are_local, combined_units
+from churnlens.llm.units import CACHE_UNITS, UnitCache, added_tokens_are_local
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -70,9 +72,10 @@ class PackWriter:
         self.n_pending = 0
         self.blocks, self.first, self.doc_ids = [], [0], []
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.doc_ids.append(doc_id)
-        self.first.append(self.first[-1] + len(ids))
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, off: np.ndarray) -> None:
+        """Documents with the ids between their offsets."""
+        self.doc_ids += doc_ids
+        self.first += (off[1:] + self.first[-1]).tolist()
         self.pending.append(ids)
         self.n_pending += len(ids)
         if self.n_pending >= self.block:
@@ -134,31 +137,97 @@ class PackReader:
 
 
 class Encoder:
-    """Library ids of texts; units between spaces are cached where white space is dropped."""
+    """Library ids of texts; units between spaces are cached where white space is dropped.
 
-    def __init__(self, path: str):
-        import json
+    A unit that is letters and then sentence marks is two words to such a tokenizer; ASCII letters
+    are the same word in either case if the normalizer lower-cases. Units seldom come again, their
+    words do, so the library encodes each word once as long as the cache holds it.
+    """
+
+    MARKS = ".,;:!?"
 
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
         os.environ["TOKENIZERS_PARALLELISM"] = "false"   # Spark's tasks are the parallelism
         lib = Tokenizer.from_file(path)
         lib.no_truncation()
         lib.no_padding()
-        self.size = lib.get_vocab_size(with_added_tokens=True)
-        self.raw = lambda texts: [np.array(e.ids, "<u4").tobytes()
+        self.lib, self.size = lib, lib.get_vocab_size(with_added_tokens=True)
+        self.raw = lambda texts: [struct.pack(f"<{len(e)}I", *e.ids)
                                   for e in lib.encode_batch_fast(texts, add_special_tokens=False)]
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        pattern = (first.get("pattern") or {}).get("Regex") or ""
         # Words only: what the split pattern does not match, white space included, is removed.
         self.local = (first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert", False)
-                      and not spec.get("post_processor") and added_tokens_are_local(path))
-        self.cache = UnitCache(self.raw)
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
+                      and all(x in pattern for x in (r"[\p{L}]+", r"[^\s\p{L}\p{N}]+")) and not spec.get("post_processor") and added_tokens_are_local(path))
+        steps = (spec.get("normalizer") or {}).get("normalizers") or [spec.get("normalizer") or {}]
+        self.lower = any(n.get("type") == "Lowercase" for n in steps)
+        self.added = [t["content"][:2] for t in spec.get("added_tokens") or []]
+        # With a suffix on every word's last token the ids of many words can be told apart.
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.ends = None
+        if suffix:
+            self.ends = np.zeros(self.size, bool)
+            self.ends[[i for s, i in spec["model"]["vocab"].items() if s.endswith(suffix)]] = True
+        self.words = UnitCache(self._words, 2 * CACHE_UNITS, edges=False)
+        self.cache = UnitCache(self._units, 2 * CACHE_UNITS, edges=False)
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, many encoded as one text; other units one by one."""
+        out: dict[str, bytes] = {}
+        letters = [w for w in words if w.isalpha()] if self.ends is not None else []
+        groups = [letters[i:i + 1000] for i in range(0, len(letters), 1000)]
+        for group, e in zip(groups, self.lib.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(stops) == len(group) and stops[-1] == 4 * len(ids):
+                raw, stops = ids.tobytes(), stops.tolist()
+                out.update(zip(group, [raw[s:e] for s, e in zip([0, *stops], stops)]))
+        rest = [w for w in words if w not in out]
+        out.update(zip(rest, self.raw(rest)))
+        return [out[w] for w in words]
+
+    def _units(self, units: list[str]) -> list[bytes]:
+        cut = []
+        for u in units:
+            core = u.rstrip(self.MARKS)
+            if core.isalpha():
+                tail = u[len(core):]
+                cut.append((core.lower() if self.lower and core.isascii() else core, tail))
+            else:
+                cut.append((u, ""))
+        words = {w for pair in cut for w in pair}
+        got = self.words.fill(words)
+        return [got[core] + got[tail] if tail else got[core] for core, tail in cut]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of a column of texts; null counts as empty.
+
+        Where white space only separates words, the column is cut there, its distinct units are
+        looked up once and their ids are dealt back by one gather. A-Z is lowered first where the
+        tokenizer would do it, so that units come again more often.
+        """
+        texts = pc.fill_null(texts, "")
+        mixed = any(pc.any(pc.match_substring(texts, a)).as_py() for a in self.added)
         if not self.local:
-            return iter(self.raw(texts))
-        return combined_units(texts, self.cache, self.raw, b"".join)
+            raw = self.raw(texts.to_pylist())
+            return np.frombuffer(b"".join(raw), "<u4"), np.cumsum([0, *(len(r) // 4 for r in raw)])
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if self.lower and not mixed else texts)
+        units = pc.dictionary_encode(lists.flatten())
+        names = units.dictionary.to_pylist()
+        got = self.cache.fill(set(names))
+        values = list(map(got.__getitem__, names))
+        blob = np.frombuffer(b"".join(values), "<u4")
+        size = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        start = np.cumsum(size) - size
+        index = np.asarray(units.indices)
+        sizes = size[index]
+        stop = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.repeat(start[index] - stop[:-1], sizes) + np.arange(stop[-1])
+        counts = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists)))])
+        return blob[at], stop[counts]
 
 
 @lru_cache(maxsize=2)
@@ -177,15 +246,15 @@ def write_ids(df: DataFrame, path: str, folder: str, end_id: int | None = None,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, out, name = encoder(path), None, ""
-        end = np.array([end_id] if end_id is not None else [], np.uint32)
         for whole in batches:
             for b in tx.slices(whole, "text"):
                 if out is None:
                     name = f"{folder}/part-{TaskContext.get().partitionId():06d}.ids"
                     out = PackWriter(name, bits_for(max(e.size, (end_id or 0) + 1)), block)
-                texts = [t or "" for t in b.column(1).to_pylist()]
-                for d, raw in zip(b.column(0).to_pylist(), e.encode(texts)):
-                    out.add(d, np.concatenate([np.frombuffer(raw, "<u4"), end]))
+                ids, off = e.encode(b.column(1))
+                if end_id is not None:
+                    ids, off = np.insert(ids, off[1:], end_id), off + np.arange(len(off))
+                out.add(b.column(0).to_pylist(), ids, off)
         if out is not None:
             out.close()
             keys = [d for d in out.doc_ids if d is not None]

@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm.conftest import clash
 from tokenizers import Tokenizer
@@ -70,8 +71,14 @@ def test_word_encoder_is_exact():
     word = Tokenizer.from_file(tokenizer_path(packing.TOKENIZER))
     e = packing.Encoder(tokenizer_path(packing.TOKENIZER))
     assert e.local
-    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(ts)] == [
-        x.ids for x in word.encode_batch(ts, add_special_tokens=False)]
+    want = [x.ids for x in word.encode_batch(ts, add_special_tokens=False)]
+    for i in range(0, len(ts), 700):     # with and without added tokens in a column
+        ids, off = e.encode(pa.array(ts[i:i + 700]))
+        assert [ids[s:t].tolist() for s, t in zip(off, off[1:])] == want[i:i + 700]
+    plain = [t for t in ts if "<|" not in t] + [None]
+    ids, off = e.encode(pa.array(plain))
+    assert [ids[s:t].tolist() for s, t in zip(off, off[1:])] == [
+        x.ids for x in word.encode_batch([t or "" for t in plain], add_special_tokens=False)]
 
 
 def test_small_caches_forget_but_stay_right():
@@ -96,7 +103,7 @@ def test_random_access(tmp_path):
     docs = [rng.integers(0, 50_000, n).astype(np.uint32) for n in (0, 5, 1000, 1, 0, 333)]
     w = packing.PackWriter(f"{tmp_path}/x.ids", 17, block=64)
     for i, ids in enumerate(docs):
-        w.add(i or None, ids)
+        w.add([i or None], ids, np.array([0, len(ids)]))
     w.close()
     r = packing.PackReader(f"{tmp_path}/x.ids")
     assert r.doc_ids == [None, 1, 2, 3, 4, 5] and r.bits == 17
