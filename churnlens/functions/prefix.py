@@ -23,11 +23,13 @@ from churnlens.session import cut_lineage
 
 def global_order(df: DataFrame, keys: list[tuple[str, bool]], *, rank_col: str | None = "_rank",
                  sums: dict[str, str | Column] | None = None,
-                 partition_by: list[str] | None = None, n_parts: int | None = None) -> DataFrame:
+                 partition_by: list[str] | None = None, totals: dict[str, str] | None = None,
+                 n_parts: int | None = None) -> DataFrame:
     """Add a 1-based rank in the order ``keys`` and inclusive running sums.
 
     ``keys``: ``[(column, ascending), ...]``; ``sums``: ``{out_name: column}``.
-    With ``partition_by`` the rank and sums restart for each group.
+    With ``partition_by`` the rank and sums restart for each group. ``totals``: ``{out_name: name
+    in sums}`` adds the whole (group's) sum to every row.
     """
     groups = list(partition_by or [])
     order = [F.col(k).asc() if a else F.col(k).desc() for k, a in keys if k not in groups]
@@ -39,24 +41,27 @@ def global_order(df: DataFrame, keys: list[tuple[str, bool]], *, rank_col: str |
     dealt = work.repartitionByRange(n_parts, *[F.col(g).asc() for g in groups], *order)
     dealt = cut_lineage(dealt.withColumn("__b", F.spark_partition_id()))
     starts = {"__n": "__n_before", **{t: f"{t}_before" for t in tmp.values()}}
-    totals = dealt.groupBy("__b", *groups).agg(F.count(F.lit(1)).alias("__n"),
+    whole = {o: tmp[name] for o, name in (totals or {}).items()}
+    per_part = dealt.groupBy("__b", *groups).agg(F.count(F.lit(1)).alias("__n"),
                                                *[F.sum(t).alias(t) for t in tmp.values()])
     if groups:
         before = Window.partitionBy(*groups).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = totals.select(F.col("__b").alias("__ob"), *[F.col(g).alias(f"__o_{g}") for g in groups],
-                                *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(s) for c, s in starts.items()])
+        offsets = per_part.select(F.col("__b").alias("__ob"), *[F.col(g).alias(f"__o_{g}") for g in groups],
+                                *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(s) for c, s in starts.items()],
+                                *[F.sum(c).over(Window.partitionBy(*groups)).alias(o) for o, c in whole.items()])
         # One row a partition and group: spread by partition, so no group is a hot key.
         same = [dealt[g].eqNullSafe(offsets[f"__o_{g}"]) for g in groups]
         out = dealt.join(offsets, reduce(Column.__and__, same, dealt["__b"] == offsets["__ob"]))
         out = out.drop("__ob", *[f"__o_{g}" for g in groups])
     else:
         rows, run = [], dict.fromkeys(starts, 0)
-        for r in sorted(totals.collect(), key=lambda r: r["__b"]):     # one row a partition
+        for r in sorted(per_part.collect(), key=lambda r: r["__b"]):     # one row a partition
             rows.append((r["__b"], *[run[c] for c in starts]))
             run = {c: run[c] + (r[c] or 0) for c in starts}
         schema = "__b int, __n_before long" + "".join(f", {t}_before double" for t in tmp.values())
         rows = [(b, n, *map(float, rest)) for b, n, *rest in rows]
         out = dealt.join(F.broadcast(spark.createDataFrame(rows, schema)), "__b")
+        out = out.withColumns({o: F.lit(float(run[c])) for o, c in whole.items()})
     w = Window.partitionBy("__b", *groups).orderBy(*order)
     run_w = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     if rank_col:

@@ -3,8 +3,8 @@
 Spark's exact ``percentile`` keeps every distinct value of a group in one aggregation
 buffer, so a global percentile over a huge column ends in one task. Here values are
 first aggregated by distinct value (a hot value collapses into one row), then ranked by
-``global_order``; only the rows that bracket the wanted positions survive a broadcast
-join with the tiny ``groups x probs`` table. Same definition as pandas / numpy
+``global_order``, which also gives each row its group's size; only the rows that bracket the
+wanted positions are aggregated, without a join. Same definition as pandas / numpy
 ``linear`` and DuckDB ``quantile_cont``: position ``h = (n - 1) * p``.
 """
 
@@ -36,34 +36,23 @@ def grouped_quantiles(df: DataFrame, value_col: str, probs: list[float],
 def quantiles_from_counts(vals: DataFrame, probs: list[float], group_cols: list[str] | tuple = (),
                           out_col: str = "q") -> DataFrame:
     """Quantiles from a :func:`value_counts` table."""
-    group_cols = list(group_cols)
-    spark = vals.sparkSession
-    ranked = global_order(vals, [("__v", True)], partition_by=group_cols,
-                          sums={"__cum": "__c"}, rank_col=None)
-    sizes = vals.groupBy(*group_cols).agg(F.sum("__c").alias("__n"))
-    ptab = spark.createDataFrame([(i, float(p)) for i, p in enumerate(probs)], "q_index int, prob double")
-    pos = (sizes.crossJoin(F.broadcast(ptab))
-           .withColumn("__h", (F.col("__n") - 1) * F.col("prob"))
-           .withColumn("__lo", F.floor("__h"))
-           .withColumn("__hi", F.ceil("__h"))
-           .withColumn("__frac", F.col("__h") - F.col("__lo")))
-    start = F.col("__cum") - F.col("__c")   # 0-based index of the first row of this value
-    in_lo = (start <= F.col("__lo")) & (F.col("__lo") < F.col("__cum"))
-    in_hi = (start <= F.col("__hi")) & (F.col("__hi") < F.col("__cum"))
-    cond = [ranked[g] == pos[g] for g in group_cols]
-    bracket = in_lo | in_hi
-    joined = ranked.join(F.broadcast(pos.withColumnRenamed("__n", "__gn")) if not group_cols
-                         else pos.withColumnRenamed("__n", "__gn"),
-                         on=(cond + [bracket]) if cond else bracket)
-    sel = [ranked[g].alias(g) for g in group_cols]
-    picked = joined.select(*sel, "q_index", "prob", "__frac", "__v", in_lo.alias("__is_lo"),
-                           in_hi.alias("__is_hi"))
-    res = (picked.groupBy(*group_cols, "q_index", "prob")
-           .agg(F.max(F.when(F.col("__is_lo"), F.col("__v"))).alias("__vlo"),
-                F.max(F.when(F.col("__is_hi"), F.col("__v"))).alias("__vhi"),
-                F.first("__frac").alias("__frac")))
-    return res.select(*group_cols, "q_index", "prob",
-                      (F.col("__vlo") + (F.col("__vhi") - F.col("__vlo")) * F.col("__frac")).alias(out_col))
+    groups = list(group_cols)
+    ranked = global_order(vals, [("__v", True)], partition_by=groups, sums={"__cum": "__c"}, totals={"__n": "__cum"},
+                          rank_col=None)
+    # 0-based places lo and hi of each probability; a value covers the places from cum - c to cum - 1.
+    wanted = F.array(*[F.struct(F.lit(i).alias("q_index"), F.lit(float(p)).alias("prob"), (F.col("__n") - 1).alias("last"))
+                       for i, p in enumerate(probs)])
+    start = F.col("__cum") - F.col("__c")
+    covers = lambda place: (start <= place) & (place < F.col("__cum"))
+    place = lambda x: x["last"] * x["prob"]
+    hits = F.filter(wanted, lambda x: covers(F.floor(place(x))) | covers(F.ceil(place(x))))
+    picked = ranked.select(*groups, "__v", "__cum", "__c", F.explode(hits).alias("x"))
+    h = place(F.col("x"))
+    res = picked.groupBy(*groups, F.col("x.q_index").alias("q_index"), F.col("x.prob").alias("prob")).agg(
+        F.max(F.when(covers(F.floor(h)), F.col("__v"))).alias("__lo"),
+        F.max(F.when(covers(F.ceil(h)), F.col("__v"))).alias("__hi"), F.max(h - F.floor(h)).alias("__frac"))
+    return res.select(*groups, "q_index", "prob",
+                      (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__frac")).alias(out_col))
 
 
 def quantiles(df: DataFrame, value_col: str, probs: list[float]) -> list[float | None]:

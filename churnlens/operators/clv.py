@@ -54,11 +54,17 @@ def rank_clv(df: DataFrame, clv: str = "predicted_clv", q: float = 0.8) -> DataF
     """V5: high-value flag (>= 80% quantile) and percent rank with average ties (mid-rank / n)."""
     qq = grouped_quantiles(df, clv, [q]).select(F.col("q").alias("__thr"))
     v = df.groupBy(F.col(clv).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    o = global_order(v, [("__v", True)], sums={"__cum": "__c"}, rank_col=None)
-    n = v.agg(F.sum("__c").alias("__n"))
-    pr = o.crossJoin(F.broadcast(n)).select(
-        "__v", ((F.col("__cum") - F.col("__c") + (F.col("__c") + 1) / 2.0) / F.col("__n")).alias("clv_percentile"))
-    j = df.join(pr, df[clv] == pr["__v"], "left").drop("__v").crossJoin(F.broadcast(qq))
+    o = global_order(v, [("__v", True)], sums={"__cum": "__c"}, totals={"__n": "__cum"}, rank_col=None)
+    pr = o.select("__v", ((F.col("__cum") - F.col("__c") + (F.col("__c") + 1) / 2.0) / F.col("__n")).alias("clv_percentile"),
+                  (F.col("__c") * 100 > F.col("__n")).alias("__hot"))
+    # Values of over a hundredth of the rows (there are at most 100) go to every task, so that the
+    # customers of a hot value, such as 0, do not meet in one.
+    hot = F.broadcast(pr.filter("__hot").select(F.col("__v").alias("__hv"), F.col("clv_percentile").alias("__hp")))
+    marked = df.join(hot, F.col(clv) == F.col("__hv"), "left")
+    cold = marked.filter("__hv IS NULL").drop("__hv", "__hp").join(
+        pr.filter("NOT __hot").drop("__hot"), F.col(clv) == F.col("__v"), "left").drop("__v")
+    warm = marked.filter("__hv IS NOT NULL").withColumnRenamed("__hp", "clv_percentile").drop("__hv")
+    j = cold.unionByName(warm).crossJoin(F.broadcast(qq))
     return j.withColumn("high_value", F.col(clv) >= F.col("__thr")).drop("__thr")
 
 

@@ -158,7 +158,7 @@ def filter_cohorts(cohorts: DataFrame, names: list[str] | None = None, min_size:
     f = cohorts if names is None else cohorts.filter(F.col("cohort").isin(names))
     ok = (f.groupBy("cohort").agg(F.count_distinct("customer_id").alias("__n"))
           .filter(F.col("__n") >= min_size).select("cohort"))
-    return f.join(F.broadcast(ok), "cohort", "left_semi")
+    return f.join(ok, "cohort", "left_semi")     # as many names as the column has: left to AQE
 
 
 # ------------------------------------------------------------------ C10-C15
@@ -224,12 +224,18 @@ def _last_window(events: DataFrame, n_days: int) -> DataFrame:
             .filter(F.col("event_date") >= F.date_sub("__last", n_days)).drop("__last"))
 
 
+#: Longest sequence that C17 builds: the last events of a customer (a bot may have millions).
+MAX_SEQUENCE = 10_000
+
+
 def churn_sequences(events: DataFrame, customers: DataFrame, n_days: int = 30, top_n: int = 5,
-                    order_col: str = "event_id") -> DataFrame:
-    """C17: churned customers' events of the last ``n_days`` joined by `` -> ``; top-N."""
+                    order_col: str = "event_id", max_events: int = MAX_SEQUENCE) -> DataFrame:
+    """C17: churned customers' events of the last ``n_days`` (of each customer at most the last
+    ``max_events``) joined by `` -> ``; top-N."""
     churned = customers.filter(F.col("churn_label") == 1).select("customer_id")
     ev = events.join(churned, "customer_id", "left_semi")
-    win = _last_window(ev, n_days)
+    latest = Window.partitionBy("customer_id").orderBy(F.desc("event_date"), F.desc(order_col))
+    win = _last_window(ev, n_days).withColumn("__rn", F.row_number().over(latest)).filter(F.col("__rn") <= max_events)
     seq = win.groupBy("customer_id").agg(
         F.array_sort(F.collect_list(F.struct("event_date", order_col, "event_type"))).alias("__s"))
     seq = seq.select(F.array_join(F.transform("__s", lambda x: x["event_type"]), " -> ").alias("sequence"))

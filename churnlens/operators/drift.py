@@ -131,12 +131,11 @@ def ks_two_sample(ref: DataFrame, prod: DataFrame, features: list[str], with_p:
             .filter(F.col("value").isNotNull() & ~F.isnan("value")))
     v = both.groupBy("feature", "value").agg(F.count_if(F.col("side") == "r").alias("rc"),
                                              F.count_if(F.col("side") == "p").alias("pc"))
-    o = global_order(v, [("value", True)], partition_by=["feature"], sums={"cr": "rc", "cp": "pc"}, rank_col=None)
-    n = v.groupBy("feature").agg(F.sum("rc").alias("n_ref"), F.sum("pc").alias("n_prod"))
-    j = o.join(n, "feature")
+    o = global_order(v, [("value", True)], partition_by=["feature"], sums={"cr": "rc", "cp": "pc"},
+                     totals={"n_ref": "cr", "n_prod": "cp"}, rank_col=None)
     gap = F.abs(F.col("cr") / F.col("n_ref") - F.col("cp") / F.col("n_prod"))
-    out = j.groupBy("feature").agg(F.max(gap).alias("ks_statistic"), F.first("n_ref").alias("n_ref"),
-                                   F.first("n_prod").alias("n_prod"))
+    out = o.groupBy("feature").agg(F.max(gap).alias("ks_statistic"), F.max("n_ref").cast("long").alias("n_ref"),
+                                   F.max("n_prod").cast("long").alias("n_prod"))
     if with_p:
         out = out.withColumn("p_value", sf.ks_pvalue_udf(F.col("ks_statistic"), F.col("n_ref"), F.col("n_prod")))
     return out

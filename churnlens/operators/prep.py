@@ -255,10 +255,24 @@ def check_result(df: DataFrame, name: str, key: str = "customer_id", required: l
         .select("table", "c.*")
 
 
+def check_outputs(recommendations: DataFrame, segments: DataFrame, milestones: DataFrame, min_segments: int = 6) -> DataFrame:
+    """Q18: rules across results -- no active action for a customer without positive uplift or in a
+    sleeping-dog segment, at least ``min_segments`` segments, each milestone known for some cohort."""
+    alone = (F.col("uplift_score") <= 0) | F.coalesce(F.lower("segment").contains("sleeping_dog"), F.lit(False))
+    a = recommendations.agg(F.count_if(alone & (F.col("action_type") != "no_action")).alias("active"))
+    s = segments.agg(F.count_distinct("segment").alias("n_segments"))
+    m = milestones.agg(F.least(*[F.count(f"M{k}") for k in (1, 3, 6, 12)]).alias("least"))
+    return a.crossJoin(s).crossJoin(m).select(F.explode(_rows(
+        ["check", "passed", "detail"],
+        ("no_active_action_for_no_action_customers", F.col("active") == 0, F.col("active").cast("string")),
+        ("enough_segments", F.col("n_segments") >= min_segments, F.col("n_segments").cast("string")),
+        ("milestones_not_all_null", F.col("least") > 0, F.col("least").cast("string")))).alias("c")).select("c.*")
+
+
 def check_cohort_outputs(ret: DataFrame, miles: DataFrame, sequences: DataFrame, funnel: DataFrame,
                          customers: DataFrame) -> DataFrame:
-    """Q19: >= 2 periods, milestones M1/M3/M6/M12 present and not all null, >= 5 sequences
-    whose counts sum to >= 6, funnel Signup count = customers."""
+    """Q19: >= 2 periods, each milestone M1/M3/M6/M12 not all null, >= 5 sequences whose counts
+    sum to >= 6, funnel Signup count = customers."""
     a = ret.agg(F.count_distinct("cohort_period").alias("periods"))
     m = miles.agg(*[F.count(f"M{k}").alias(f"m{k}") for k in (1, 3, 6, 12)])
     s = sequences.agg(F.count(F.lit(1)).alias("n_seq"), F.coalesce(F.sum("count"), F.lit(0)).alias("seq_total"))
@@ -268,7 +282,7 @@ def check_cohort_outputs(ret: DataFrame, miles: DataFrame, sequences: DataFrame,
     return j.select(F.explode(_rows(
         ["check", "passed"],
         ("at_least_two_periods", F.col("periods") >= 2),
-        ("milestones_not_all_null", (F.col("m1") + F.col("m3") + F.col("m6") + F.col("m12")) > 0),
+        ("milestones_not_all_null", F.least("m1", "m3", "m6", "m12") > 0),
         ("at_least_five_sequences", F.col("n_seq") >= 5),
         ("sequence_counts_at_least_six", F.col("seq_total") >= 6),
         ("funnel_signup_equals_customers", F.col("signup") == F.col("n_customers")))).alias("c")).select("c.*")

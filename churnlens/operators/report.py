@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from churnlens.functions.prefix import global_order
 from churnlens.functions.quantiles import grouped_quantiles
 
 
@@ -195,8 +196,8 @@ def adapt_budget(df: DataFrame) -> DataFrame:
     elif "customer_id" in df.columns:
         seg = F.lit("all_customers")
     else:
-        seg = F.concat(F.lit("scenario_"), F.row_number().over(
-            Window.orderBy(F.monotonically_increasing_id())).cast("string"))
+        df = global_order(df.withColumn("__at", F.monotonically_increasing_id()), [("__at", True)], rank_col="__no")
+        seg = F.concat(F.lit("scenario_"), F.col("__no").cast("string"))
     out = [seg.alias("segment")]
     for c in ("allocated_budget_krw", "expected_retained", "expected_revenue_saved_krw", "roi"):
         out.append((cols[c] if cols[c] is not None else F.lit(0.0)).alias(c))

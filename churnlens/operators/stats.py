@@ -480,24 +480,54 @@ def sequential_test(looks: DataFrame, n_planned: int, spending: str = "obrien_fl
             .drop("__fs"))
 
 
-def experiment_readout(tests: DataFrame, alpha: float = 0.05, min_power: float = 0.8) -> DataFrame:
-    """Lift, Cohen's h, observed power, underpowered flag per experiment row
-    (``experiment, n_a, n_b, mean_a, mean_b``)."""
-    p1, p2 = F.col("mean_b"), F.col("mean_a")
-    n = F.least(F.col("n_a"), F.col("n_b")).cast("double")
-    lift = F.when(p1 == 0, F.lit(float("inf"))).otherwise((p2 - p1) / p1)
-    h = 2 * (F.asin(F.sqrt(p2)) - F.asin(F.sqrt(p1)))
-    pw = power(n, p1, p2 - p1, alpha)
-    return (tests.withColumn("relative_lift", lift).withColumn("cohens_h", h).withColumn("observed_power", pw)
-            .withColumn("underpowered", F.col("observed_power") < min_power)
-            .withColumn("power_gate_pass", ~F.col("underpowered")))
+def experiment_readout(tests: DataFrame, alpha: float = 0.05, min_power: float = 0.8, with_p: bool = True) -> DataFrame:
+    """Readout per experiment row (``experiment, n_a, n_b, mean_a, mean_b``; arm a is the
+    treatment, a lower rate is better).
+
+    Lift (control - treatment) / |control| (0 for a control of 0), interval of the difference,
+    |Cohen's h|, required size per group, observed power; underpowered if the power or an arm is
+    too small; significant only if the test is, the treatment is lower and the power suffices.
+    """
+    t, c = F.col("mean_a"), F.col("mean_b")
+    edge = lambda p: F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
+    baseline = F.when((c > 0) & (c < 1), c).otherwise(0.5)
+    effect = t - c
+    z95 = z_quantiles(alpha)[0]
+    se = F.sqrt(t * (1 - t) / F.greatest(F.col("n_a") - 1, F.lit(1)) + c * (1 - c) / F.greatest(F.col("n_b") - 1, F.lit(1)))
+    out = tests.withColumns({
+        "absolute_effect": effect, "lift": F.when(c != 0, (c - t) / F.abs(c)).otherwise(0.0),
+        "ci_lower": effect - z95 * se, "ci_upper": effect + z95 * se,
+        "cohens_h": F.abs(2 * (F.asin(F.sqrt(edge(t))) - F.asin(F.sqrt(edge(c))))),
+        "required_sample_size": sample_size_expr(baseline, F.greatest(F.abs(effect), F.lit(0.01)), alpha, min_power)
+        .cast("long")})
+    if not with_p:
+        return out
+    small = F.greatest(F.least(F.col("n_a"), F.col("n_b")), F.lit(1)).cast("double")
+    pooled = (t * F.col("n_a") + c * F.col("n_b")) / (F.col("n_a") + F.col("n_b"))
+    z_se = F.sqrt(pooled * (1 - pooled) * (1.0 / F.col("n_a") + 1.0 / F.col("n_b")))
+    out = out.withColumn("p_value", F.when(z_se == 0, 1.0).otherwise(sf.norm_two_sided_udf(F.when(z_se != 0, effect / z_se)
+                                                                                          .otherwise(0.0))))
+    out = out.withColumn("observed_power", power(small, baseline, F.greatest(F.abs(effect), F.lit(1e-6)), alpha))
+    need = F.col("required_sample_size")
+    out = out.withColumn("is_underpowered", (F.col("observed_power") < min_power) | (F.col("n_a") < need) | (F.col("n_b") < need))
+    out = out.withColumn("statistically_significant", F.col("p_value") < alpha)
+    return out.withColumn("is_significant", F.col("statistically_significant") & (t < c) & ~F.col("is_underpowered"))
+
+
+def readout_summary(readout: DataFrame) -> DataFrame:
+    """Number of experiments, significant ones, the best (significant first, then by lift), mean lift."""
+    return readout.agg(F.count(F.lit(1)).alias("total_experiments"),
+                       F.count_if("is_significant").alias("significant_count"),
+                       F.max_by("experiment", F.struct("is_significant", "lift")).alias("best_experiment"),
+                       F.coalesce(F.avg("lift"), F.lit(0.0)).alias("avg_lift"))
 
 
 def campaign_slices(customers: DataFrame, metric: str = "churn_label", min_arm: int = 30,
-                    high_risk_personas: tuple = ()) -> DataFrame:
-    """The test on the whole population, on high-risk personas and on customers who
-    signed up on or before the median date; slices need >= ``min_arm`` per arm;
-    significant only if treatment < control."""
+                    high_risk_personas: tuple = (), mde: float = 0.05, alpha: float = 0.05, with_p: bool = True) -> DataFrame:
+    """The test on the whole population and on high-risk personas or, where these have too
+    few, on customers who signed up on or before the median date; slices need >= ``min_arm`` per
+    arm. Lift (control - treatment) / |control|, required size for ``mde``; significant only if
+    the treatment is lower."""
     med = grouped_quantiles(customers.select(F.datediff("signup_date", F.lit("1970-01-01")).alias("d")),
                             "d", [0.5]).select(F.col("q").alias("__med"))
     c = customers.crossJoin(F.broadcast(med))
@@ -516,5 +546,14 @@ def campaign_slices(customers: DataFrame, metric: str = "churn_label", min_arm:
     pp = (F.col("sum_a") + F.col("sum_b")) / (F.col("n_treatment") + F.col("n_control"))
     se = F.sqrt(pp * (1 - pp) * (1.0 / F.col("n_treatment") + 1.0 / F.col("n_control")))
     z = F.when(se == 0, 0.0).otherwise((F.col("treatment_rate") - F.col("control_rate")) / se)
-    return (s.withColumn("z_statistic", z).drop("sum_a", "sum_b")
-            .withColumn("effect", F.col("treatment_rate") - F.col("control_rate")))
+    pooled = F.least(F.greatest(pp, F.lit(0.01)), F.lit(0.94))
+    t, c = F.col("treatment_rate"), F.col("control_rate")
+    out = s.withColumns({"z_statistic": z, "effect": t - c, "lift": F.when(c != 0, (c - t) / F.abs(c)).otherwise(0.0),
+                         "required_sample_size": sample_size_expr(pooled, F.lit(mde), alpha).cast("long"),
+                         "__high": F.max(F.col("slice") == "high_risk_personas").over(Window.partitionBy(F.lit(1)))})
+    # At most three rows.
+    out = out.filter((F.col("slice") != "early_signups") | ~F.col("__high")).drop("sum_a", "sum_b", "__high")
+    if not with_p:
+        return out
+    out = out.withColumn("p_value", F.when(F.col("z_statistic") == 0, 1.0).otherwise(sf.norm_two_sided_udf(F.col("z_statistic"))))
+    return out.withColumn("is_significant", (F.col("p_value") < alpha) & (t < c))

@@ -182,13 +182,14 @@ SELECT coalesce(a.customer_id, t.customer_id) AS customer_id,
        WHEN (CASE WHEN t.p IS NOT NULL THEN t.p ELSE coalesce(a.p, (SELECT avg(churn_probability) FROM sc)) END) <= 0.75
          THEN 'high' ELSE 'critical' END AS risk_level
 FROM (SELECT customer_id, churn_probability AS p FROM sc) a
-FULL JOIN (SELECT customer_id, 0.6 * churn_probability + 0.4 * churn_label AS p FROM sc WHERE customer_id % 5 = 0) t
+FULL JOIN (SELECT customer_id, 0.6 * churn_probability + 0.4 * (((customer_id * 31) % 1000) / 1000.0) AS p FROM sc
+    WHERE customer_id % 5 = 0) t
   ON a.customer_id = t.customer_id""", ["churn_probability"])
 def q_overlay(spark, sf):
-    """Holdout rows (id % 5 == 0) replaced by a 0.6 / 0.4 blend of score and label."""
+    """The holdout fold's rows (id % 5 == 0) replaced by a 0.6 / 0.4 blend of two scores."""
     s = _sc(spark, sf)
     test = s.filter(F.col("customer_id") % 5 == 0).select(
-        "customer_id", md.blend(F.col("churn_probability"), F.col("churn_label").cast("double")).alias("churn_probability"))
+        "customer_id", md.blend(F.col("churn_probability"), (F.col("customer_id") * 31) % 1000 / 1000.0).alias("churn_probability"))
     return md.overlay_predictions(s.select("customer_id", "churn_probability"), test)
 
 

@@ -253,24 +253,21 @@ def q_persona_response(spark, sf):
 @register("prediction_coverage", oracle("""
 SELECT customers, covered, customers - covered AS missing, covered / customers AS coverage_ratio,
   covered = customers AS full_coverage
-FROM (SELECT count(*) AS customers, count_if(customer_id IN (SELECT customer_id FROM scores
-                                                             WHERE churn_probability >= 0.1)) AS covered FROM cust)""",
-    views=["cust", "scores"], doubles=["coverage_ratio"]))
+FROM (SELECT count(*) AS customers, count_if(customer_id IN (SELECT customer_id FROM purchases)) AS covered FROM cust)""",
+    views=["cust"], doubles=["coverage_ratio"]))
 def q_prediction_coverage(spark, sf):
-    """Q16: coverage of the predictions with probability >= 0.1 over all customers."""
-    pred = tb.scores(spark, sf).filter(F.col("churn_probability") >= 0.1)
-    return pp.prediction_coverage(pred, tb.customers(spark, sf))
+    """Q16: customers covered by the purchase-based (RFM) predictions."""
+    return pp.prediction_coverage(tb.purchases(spark, sf), tb.customers(spark, sf))
 
 
 @register("clv_coverage", oracle("""
 SELECT count_if(clv IS NULL) AS null_values, count_if(clv < 0) AS negative_values,
   count(*) - count(DISTINCT customer_id) AS duplicate_ids,
-  (SELECT count(*) FROM cust WHERE customer_id NOT IN (SELECT customer_id FROM scores WHERE clv > 0))
-    AS missing_customers
-FROM scores WHERE clv > 0""", views=["cust", "scores"]))
+  (SELECT count(*) FROM cust WHERE customer_id NOT IN (SELECT customer_id FROM purchases)) AS missing_customers
+FROM (SELECT customer_id, sum(amount) / 10.0 AS clv FROM purchases GROUP BY customer_id)""", views=["cust"]))
 def q_clv_coverage(spark, sf):
-    """Q17: CLV coverage counts."""
-    clv = tb.scores(spark, sf).filter(F.col("clv") > 0).select("customer_id", "clv")
+    """Q17: CLV coverage counts of customers with purchases."""
+    clv = tb.purchases(spark, sf).groupBy("customer_id").agg((F.sum("amount") / 10.0).alias("clv"))
     return pp.clv_coverage(clv, tb.customers(spark, sf))
 
 
@@ -294,7 +291,45 @@ def q_check_result(spark, sf):
                            {"churn_probability": (0, 1), "uplift_score": (-1, 1)}, tb.customers(spark, sf))
 
 
-@register("check_cohort_outputs")
+def _check_outputs_sql() -> str:
+    from churnlens.plans import q_cohort, q_recommend, q_segment  # noqa: F401 (their SQL)
+    from churnlens.plans.catalog import ORACLE
+    return f"""WITH r AS ({ORACLE["recommendations"]}), g AS ({ORACLE["rfm_segments"]}), m AS ({ORACLE["retention_milestones"]}),
+n AS (SELECT (SELECT count_if((uplift_score <= 0 OR contains(lower(segment), 'sleeping_dog')) AND action_type <> 'no_action') FROM r) AS a,
+    (SELECT count(DISTINCT segment) FROM g) AS s, (SELECT least(count(M1), count(M3), count(M6), count(M12)) FROM m) AS l)
+SELECT 'no_active_action_for_no_action_customers' AS "check", a = 0 AS passed, CAST(a AS VARCHAR) AS detail FROM n
+UNION ALL SELECT 'enough_segments', s >= 6, CAST(s AS VARCHAR) FROM n
+UNION ALL SELECT 'milestones_not_all_null', l > 0, CAST(l AS VARCHAR) FROM n"""
+
+
+@register("check_outputs", _check_outputs_sql())
+def q_check_outputs(spark, sf):
+    """Q18: rules across recommendations, segments and milestones."""
+    from churnlens.operators import cohort as co
+    from churnlens.operators import recommend as rc
+    from churnlens.operators import segment as sg
+    from churnlens.plans.q_cohort import P, _monthly
+    from churnlens.plans.q_recommend import _input
+    from churnlens.plans.q_segment import _rfm
+    ret = co.retention(_monthly(spark, sf), P)
+    return pp.check_outputs(rc.recommend(_input(spark, sf)), sg.rfm_segments(_rfm(spark, sf)),
+                            co.milestones(ret, P.milestones))
+
+
+def _check_cohorts_sql() -> str:
+    from churnlens.plans import q_cohort  # noqa: F401 (its SQL)
+    from churnlens.plans.catalog import ORACLE
+    return f"""WITH r AS ({ORACLE["retention"]}), m AS ({ORACLE["retention_milestones"]}), s AS ({ORACLE["churn_sequences"]}),
+f AS ({ORACLE["journey_funnel"]}),
+n AS (SELECT (SELECT count(DISTINCT cohort_period) FROM r) AS p, (SELECT least(count(M1), count(M3), count(M6), count(M12)) FROM m) AS l,
+    (SELECT count(*) FROM s) AS q, (SELECT coalesce(sum("count"), 0) FROM s) AS t, (SELECT max("count") FROM f WHERE stage = 'Signup') AS u,
+    (SELECT count(*) FROM customer) AS c)
+SELECT 'at_least_two_periods' AS "check", p >= 2 AS passed FROM n UNION ALL SELECT 'milestones_not_all_null', l > 0 FROM n
+UNION ALL SELECT 'at_least_five_sequences', q >= 5 FROM n UNION ALL SELECT 'sequence_counts_at_least_six', t >= 6 FROM n
+UNION ALL SELECT 'funnel_signup_equals_customers', u = c FROM n"""
+
+
+@register("check_cohort_outputs", _check_cohorts_sql())
 def q_check_cohort_outputs(spark, sf):
     """Q19: cohort output consistency checks (composite of C6, C14, C17, C19)."""
     from churnlens.operators import cohort as co

@@ -215,3 +215,10 @@ FROM (""" + PIPE_SQL + ") p", views=[]))
 def q_segment_evidence(spark, sf):
     """Evidence counts for high-value actionable segments."""
     return sg.segment_evidence(_pipeline_segments(spark, sf))
+
+
+@register("segment_evidence_rows", "SELECT * FROM (" + PIPE_SQL + """) p
+WHERE segment IN ('high_value_persuadable', 'high_value_lost_cause') ORDER BY priority_score DESC, customer_id LIMIT 20""")
+def q_segment_evidence_rows(spark, sf):
+    """The 20 actionable high-value customers of the highest priority (a top-k report)."""
+    return sg.segment_evidence_samples(_pipeline_segments(spark, sf))

@@ -282,6 +282,42 @@ def q_multi_test_holm(spark, sf):
     return st.multi_test(_exp(spark, sf), MULTI, method="holm")
 
 
+#: A family of p-values from the data: one per nation and market segment.
+FAMILY = """fam AS (SELECT c_nationkey || ':' || c_mktsegment AS metric, least(avg(abs(c_acctbal)) / 100000.0, 1.0) AS p_value
+  FROM customer GROUP BY 1)"""
+
+
+def _family(spark, sf):
+    c = tb.read_table(spark, sf, "customer")
+    return c.groupBy(F.concat_ws(":", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("metric")).agg(
+        F.least(F.avg(F.abs("c_acctbal")) / 100000.0, F.lit(1.0)).alias("p_value"))
+
+
+def _adjusted_sql(value: str, method: str) -> str:
+    return oracle(f"""SELECT metric, p_value, p_adjusted, p_adjusted < 0.05 AS significant, '{method}' AS correction
+FROM (SELECT metric, p_value, least({value}, 1.0) AS p_adjusted FROM (
+  SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p_value, metric) AS i FROM fam))""",
+                  views=[], ctes=[FAMILY], doubles=["p_value", "p_adjusted"])
+
+
+@register("adjust_bonferroni", _adjusted_sql("p_value * m", "bonferroni"))
+def q_adjust_bonferroni(spark, sf):
+    """Bonferroni correction of a family of p-values."""
+    return st.correct(_family(spark, sf), "bonferroni")
+
+
+@register("adjust_holm", _adjusted_sql("max(p_value * (m - i + 1)) OVER (ORDER BY p_value, metric)", "holm"))
+def q_adjust_holm(spark, sf):
+    """Holm correction of a family of p-values."""
+    return st.correct(_family(spark, sf), "holm")
+
+
+@register("adjust_fdr", _adjusted_sql("min(p_value * m / i) OVER (ORDER BY p_value DESC, metric DESC)", "fdr_bh"))
+def q_adjust_fdr(spark, sf):
+    """Benjamini-Hochberg correction of a family of p-values."""
+    return st.correct(_family(spark, sf), "fdr_bh")
+
+
 MDES = (0.01, 0.02, 0.05)
 ZA, ZB = st.z_quantiles(0.05, 0.80)
 
@@ -352,20 +388,60 @@ def q_sequential_test(spark, sf):
     return st.sequential_test(st.interim_looks(_exp(spark, sf), "churned", "signup_date", LOOKS), len(LOOKS))
 
 
-@register("experiment_readout")
-def q_experiment_readout(spark, sf):
-    """Readout per binary metric: lift, Cohen's h, observed power (rows-only)."""
+def _arms(spark, sf):
     e = _exp(spark, sf)
     parts = [st.arm_summary(e, m).select(F.lit(m).alias("experiment"), "n_a", "n_b", "mean_a", "mean_b")
              for m in ("churned", "converted")]
-    return st.experiment_readout(parts[0].unionByName(parts[1]))
+    return parts[0].unionByName(parts[1])
+
+
+@register("experiment_readout")
+def q_experiment_readout(spark, sf):
+    """Readout per binary metric with test, power and significance gate (rows-only: p-values)."""
+    return st.experiment_readout(_arms(spark, sf))
+
+
+@register("experiment_readout_summary")
+def q_experiment_readout_summary(spark, sf):
+    """Summary over the experiments (rows-only: it follows the gate)."""
+    return st.readout_summary(st.experiment_readout(_arms(spark, sf)))
+
+
+def _readout_sql() -> str:
+    one = " UNION ALL ".join(f"""SELECT '{m}' AS experiment, n_a, n_b, mean_a, mean_b FROM {summ(m)}"""
+                             for m in ("churned", "converted"))
+    return f"""SELECT experiment, n_a, n_b, mean_a, mean_b, e AS absolute_effect,
+  CASE WHEN mean_b <> 0 THEN -e / abs(mean_b) ELSE 0.0 END AS lift, e - {Z95!r} * se AS ci_lower, e + {Z95!r} * se AS ci_upper,
+  abs(2 * (asin(sqrt(least(greatest(mean_a, 1e-6), 1 - 1e-6))) - asin(sqrt(least(greatest(mean_b, 1e-6), 1 - 1e-6))))) AS cohens_h,
+  CAST(ceil(pow({ZA!r} * sqrt((b + b + m) * (1 - (b + b + m) / 2)) + {ZB!r} * sqrt(b * (1 - b) + (b + m) * (1 - b - m)), 2)
+       / pow(m, 2)) AS BIGINT) AS required_sample_size
+FROM (SELECT *, mean_a - mean_b AS e, greatest(abs(mean_a - mean_b), 0.01) AS m,
+        CASE WHEN mean_b > 0 AND mean_b < 1 THEN mean_b ELSE 0.5 END AS b,
+        sqrt(mean_a * (1 - mean_a) / greatest(n_a - 1, 1) + mean_b * (1 - mean_b) / greatest(n_b - 1, 1)) AS se FROM ({one}))"""
+
+
+@register("experiment_effects", oracle(_readout_sql(), views=V, ctes=[EXP], doubles=[
+    "mean_a", "mean_b", "absolute_effect", "lift", "ci_lower", "ci_upper", "cohens_h"]))
+def q_experiment_effects(spark, sf):
+    """The readout without its p-value and power."""
+    return st.experiment_readout(_arms(spark, sf), with_p=False)
+
+
+@register("campaign_results")
+def q_campaign_results(spark, sf):
+    """Campaign slices with p-value and significance gate (rows-only: p-values)."""
+    c = _exp(spark, sf).withColumnRenamed("group", "treatment_group").withColumnRenamed("churned", "churn_label")
+    return st.campaign_slices(c, "churn_label", 30, HIGH_RISK)
 
 
 @register("campaign_slices", oracle(f"""
 SELECT slice, n_treatment, n_control, treatment_rate, control_rate,
   CASE WHEN se = 0 THEN 0.0 ELSE (treatment_rate - control_rate) / se END AS z_statistic,
-  treatment_rate - control_rate AS effect
-FROM (SELECT *, sqrt(pp * (1 - pp) * (1.0 / n_treatment + 1.0 / n_control)) AS se FROM (
+  treatment_rate - control_rate AS effect,
+  CASE WHEN control_rate <> 0 THEN (control_rate - treatment_rate) / abs(control_rate) ELSE 0.0 END AS lift,
+  CAST(ceil(pow({ZA!r} * sqrt((b + b + 0.05) * (1 - (b + b + 0.05) / 2)) + {ZB!r} * sqrt(b * (1 - b) + (b + 0.05) * (1 - b - 0.05)), 2)
+       / pow(0.05, 2)) AS BIGINT) AS required_sample_size
+FROM (SELECT *, least(greatest(pp, 0.01), 0.94) AS b, max(slice = 'high_risk_personas') OVER () AS has_high, sqrt(pp * (1 - pp) * (1.0 / n_treatment + 1.0 / n_control)) AS se FROM (
   SELECT slice, count_if(grp = 'treatment') AS n_treatment, count_if(grp = 'control') AS n_control,
     avg(CASE WHEN grp = 'treatment' THEN v END) AS treatment_rate, avg(CASE WHEN grp = 'control' THEN v END) AS control_rate,
     (sum(CASE WHEN grp = 'treatment' THEN v END) + sum(CASE WHEN grp = 'control' THEN v END))
@@ -376,9 +452,9 @@ FROM (SELECT *, sqrt(pp * (1 - pp) * (1.0 / n_treatment + 1.0 / n_control)) AS s
         UNION ALL SELECT grp, CAST(churned AS DOUBLE), 'early_signups' FROM exp
           WHERE date_diff('day', DATE '1970-01-01', signup_date)
                 <= (SELECT median(date_diff('day', DATE '1970-01-01', signup_date)) FROM exp))
-  GROUP BY slice) WHERE n_treatment >= 30 AND n_control >= 30)""", views=V, ctes=[EXP],
-    doubles=["treatment_rate", "control_rate", "z_statistic", "effect"]))
+  GROUP BY slice) WHERE n_treatment >= 30 AND n_control >= 30) WHERE slice <> 'early_signups' OR NOT has_high""",
+    views=V, ctes=[EXP], doubles=["treatment_rate", "control_rate", "z_statistic", "effect", "lift"]))
 def q_campaign_slices(spark, sf):
     """Campaign test slices with at least 30 per arm."""
     c = _exp(spark, sf).withColumnRenamed("group", "treatment_group").withColumnRenamed("churned", "churn_label")
-    return st.campaign_slices(c, "churn_label", 30, HIGH_RISK)
+    return st.campaign_slices(c, "churn_label", 30, HIGH_RISK, with_p=False)

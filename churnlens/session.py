@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -70,13 +71,15 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; create a scratch one only when unset.
+    """Use the cluster's ``spark.checkpoint.dir``; create a scratch one only for a local master.
 
-    A scratch folder is only right for local runs (tests, bench); a cluster names a
-    shared folder in ``spark.checkpoint.dir`` and that one is used as it is.
+    Executors on other machines do not see a scratch folder, so a cluster has to name a shared
+    folder in ``spark.checkpoint.dir``, which is used as it is.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="churnlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

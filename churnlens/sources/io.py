@@ -7,8 +7,7 @@ cluster must be shared storage; the helpers never pick a machine-local folder.
 
 from __future__ import annotations
 
-import os
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,10 +23,15 @@ TYPE_ALIASES = ("event_type", "event_name", "type", "activity", "event")
 
 
 def _read_any(spark: SparkSession, base: str) -> DataFrame:
-    """Parquet preferred over CSV."""
-    if os.path.exists(base + ".parquet") or base.endswith(".parquet"):
+    """Parquet preferred over CSV, on any file system that Spark reads."""
+    if base.endswith(".csv"):
+        return spark.read.option("header", True).csv(base)
+    try:
         return spark.read.parquet(base if base.endswith(".parquet") else base + ".parquet")
-    return spark.read.option("header", True).csv(base if base.endswith(".csv") else base + ".csv")
+    except AnalysisException as e:
+        if base.endswith(".parquet") or e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.read.option("header", True).csv(base + ".csv")
 
 
 def load_customers(spark: SparkSession, base: str) -> DataFrame:
