@@ -29,8 +29,10 @@ from churnlens.llm.registry import query, table, text_bytes
 
 #: Words in a window.
 WINDOW = 35
-#: Text bytes that a chunk is planned for; raise it with the executors' memory on large corpora.
-CHUNK_BYTES = 8 << 20
+#: Text bytes that a chunk of documents and a bucket of hashes are planned for. A chunk sends a row
+#: to every bucket, so raise both with the executors' memory on very large corpora.
+CHUNK_BYTES = 4 << 20
+BUCKET_BYTES = 8 << 20
 _ADDED = ("n_words", "n_removed", "removed", "kept_text")
 
 
@@ -67,12 +69,13 @@ def _sorted_by_id(t: pa.Table) -> pa.Table:
 
 
 def remove_repeats(df: DataFrame, k: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
-                   chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+                   chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Add n_words, n_removed, removed (maximal intervals of word numbers, end exclusive), kept_text."""
     spark = df.sparkSession
     keep = [c for c in df.columns if c not in _ADDED]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = max(4 * parts, text_bytes(df, text_col) // chunk_bytes + 1)
+    size = text_bytes(df, text_col)
+    n, n_buckets = size // chunk_bytes + 1, size // bucket_bytes + 1
     rest = [c for c in keep if c != text_col]
     dealt = df.select(
         F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(text_col).alias("t"),
@@ -81,7 +84,7 @@ def remove_repeats(df: DataFrame, k: int = WINDOW, id_col: str = "doc_id", text_
 
     def send(t: pa.Table) -> pa.Table:
         t = _sorted_by_id(t)
-        w = _Windows(t["t"], k, n)
+        w = _Windows(t["t"], k, n_buckets)
         chunk = t["chunk"][0].as_py()
         blobs = [w.distinct[w.by_bucket[s:e]].tobytes() for s, e in zip(w.starts, w.stops)]
         return pa.table({"bucket": pa.array(w.buckets, pa.int64()), "chunk": pa.array([chunk] * len(blobs), pa.int64()),
@@ -100,7 +103,7 @@ def remove_repeats(df: DataFrame, k: int = WINDOW, id_col: str = "doc_id", text_
 
     def remove(t: pa.Table, answers: pa.Table) -> pa.Table:
         t = _sorted_by_id(t)
-        w = _Windows(t["t"], k, n)
+        w = _Windows(t["t"], k, n_buckets)
         again = w.own_repeats()
         start = dict(zip(w.buckets.tolist(), w.starts.tolist()))
         for bucket, places in zip(answers["bucket"].to_pylist(), answers["places"].to_pylist()):

@@ -26,7 +26,7 @@ def brute(texts, k):
 
 def check(spark, texts, k, chunk_bytes):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = sorted(remove_repeats(df, k, chunk_bytes=chunk_bytes).collect(), key=lambda r: r.doc_id)
+    got = sorted(remove_repeats(df, k, chunk_bytes=chunk_bytes, bucket_bytes=chunk_bytes).collect(), key=lambda r: r.doc_id)
     assert [(r.n_words, r.n_removed, [[x.start, x.end] for x in r.removed], r.kept_text) for r in got] == brute(texts, k)
 
 
