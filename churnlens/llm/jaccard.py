@@ -7,13 +7,16 @@ sets form a class. Two classes link when ``100 * common >= percent * union``.
    prefix, its first ``n - ceil(percent n / 100) + 1`` shingles in that order, shares a shingle
    with the prefix of every class it links with.
 2. Chunks of documents send their (prefix shingle, class) pairs packed by bucket; buckets answer
-   which shingles two classes share. Only classes with such shingles go on, with their sets and
-   their count vectors: the number of shingles in each of ``GROUPS`` hash groups.
+   which shingles two classes share. Classes with such shingles go on with their count vectors:
+   the number of shingles in each of about n / 8 hash groups.
 3. The first shared shingles link each class with one centre per shingle; verified links collapse
    groups of near copies to components, so no group is ever expanded into all its pairs.
 4. Classes of different components that share a prefix shingle are searched by an R-tree of their
-   count vectors: a node's largest counts bound the overlap with any class below it by the sum of
-   the smaller coordinates. Surviving pairs are verified on their sets and join components.
+   count vectors (folded to ``GROUPS`` groups): a node's largest counts bound the overlap with any
+   class below it by the sum of the smaller coordinates.
+5. A pair is verified only if the full count vectors' bound lets it link. The texts of the classes in
+   such pairs are found by a bitmap of fixed size and a join; their sets meet at one of the two,
+   split into parts where very many do, and are intersected.
 
 Shingles and classes are known by 58- and 64-bit hashes.
 
@@ -28,6 +31,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,13 +46,22 @@ from churnlens.llm.storage import new_folder
 SHINGLE = 4
 PERCENT = 85
 GROUPS = 64
+#: Shingles in a group of a count vector, on average.
+PER_GROUP = 8
 #: Counters of the frequency sketch (its size does not depend on the data).
 SKETCH_BITS = 18
 _SLICES = 16
-CHUNK_BYTES = 8 << 20
+#: Text bytes that a chunk of documents and a bucket of prefix shingles are planned for. A chunk
+#: sends a row to every bucket, so raise both with the executors' memory on very large corpora.
+CHUNK_BYTES = 4 << 20
+BUCKET_BYTES = 32 << 20
 #: Shared shingles by which a class looks for centres in the first step.
 CENTRES = 4
 FANOUT = 16
+#: Partners of a class that one part of its verification is planned for.
+PARTNERS = 256
+#: Bits of the map of rows whose texts are wanted (its size does not depend on the data).
+WANTED_BITS = 23
 
 
 def _shingle_hashes(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,21 +110,38 @@ def frequency_classes(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
     return np.clip(np.floor(np.log2(np.maximum(counts, 1) / mean)), 0, 63).astype(np.uint8)
 
 
+def shingle_sets(data: np.ndarray, off: np.ndarray, k: int, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(names, first): each document's distinct shingles, ascending, and where they start.
+
+    A shingle's name is its frequency class and then 58 bits of its hash; ascending is the order.
+    """
+    h, doc = _shingle_hashes(data, off, k)
+    h = (rank[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (h >> np.uint64(6))
+    order = np.argsort(h)
+    order = order[np.argsort(doc[order], kind="stable")]
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return h[new], np.searchsorted(doc[new], np.arange(len(off)))
+
+
+def count_vector(names: np.ndarray) -> np.ndarray:
+    """Shingles by hash group; the number of groups is a power of 2 of at least GROUPS."""
+    groups = max(GROUPS, 1 << max(0, len(names) // PER_GROUP - 1).bit_length())
+    return np.bincount((names & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype("<u4")
+
+
+def fold(vec: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """The count vector over fewer groups."""
+    return vec.reshape(-1, groups).sum(0, dtype=np.uint32)
+
+
 class _Sets:
     """Shingle sets of a chunk of documents, in a fixed order, and what its classes send."""
 
     def __init__(self, texts: pa.ChunkedArray, k: int, percent: int, rank: np.ndarray, n_buckets: int):
         data, off = tx.column_bytes(texts)
-        h, doc = _shingle_hashes(data, off, k)
-        # A shingle's name: its frequency class, then 58 bits of its hash; ascending is the order.
-        h = (rank[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (h >> np.uint64(6))
-        order = np.argsort(h)
-        order = order[np.argsort(doc[order], kind="stable")]
-        h, doc = h[order], doc[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-        self.h, self.doc = h[new], doc[new]
-        self.first = np.searchsorted(self.doc, np.arange(len(off)))
+        self.h, self.first = shingle_sets(data, off, k, rank)
         self.n = np.diff(self.first)
         with np.errstate(over="ignore"):
             total = np.concatenate([[np.uint64(0)], np.cumsum(tx._mix(self.h), dtype=np.uint64)])
@@ -136,20 +166,22 @@ def _sorted_by_id(t: pa.Table) -> pa.Table:
     return t.take(pa.compute.sort_indices(t, [("order", "ascending"), ("t", "ascending")]))
 
 
-def _classes(df: DataFrame, id_col: str, text_col: str, k: int, percent: int, chunk_bytes: int) -> DataFrame:
-    """Each row with n_shingles and class; the classes that share a prefix shingle also with their
-    shared shingles, count vector and set, on one row a chunk."""
+def _classes(df: DataFrame, id_col: str, text_col: str, k: int, percent: int, rank: np.ndarray, chunk_bytes: int,
+             bucket_bytes: int) -> DataFrame:
+    """Each row with its key, number of shingles and class; the classes that share a prefix shingle
+    also with their shared shingles and count vector, on one row a chunk."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = max(4 * parts, text_bytes(df, text_col) // chunk_bytes + 1)
-    rank = frequency_classes(df, text_col, k)
+    size = text_bytes(df, text_col)
+    n, n_buckets = size // chunk_bytes + 1, size // bucket_bytes + 1
     rest = [c for c in df.columns if c not in (text_col, "n_shingles", "component_id")]
     dealt = df.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(text_col).alias("t"),
-                      F.xxhash64(id_col).alias("order"), F.pmod(F.xxhash64(id_col, text_col), F.lit(n)).alias("chunk"))
+                      F.xxhash64(id_col).alias("order"), F.xxhash64(id_col, text_col).alias("key"),
+                      F.pmod(F.xxhash64(id_col, text_col), F.lit(n)).alias("chunk"))
     dealt = dealt.repartition(parts, "chunk")
 
     def send(t: pa.Table) -> pa.Table:
-        s = _Sets(_sorted_by_id(t)["t"], k, percent, rank, n)
+        s = _Sets(_sorted_by_id(t)["t"], k, percent, rank, n_buckets)
         chunk = t["chunk"][0].as_py()
         cut = [s.by_bucket[i:j] for i, j in zip(s.starts, s.stops)]
         return pa.table({"bucket": pa.array(s.buckets, pa.int64()), "chunk": pa.array([chunk] * len(cut), pa.int64()),
@@ -177,29 +209,25 @@ def _classes(df: DataFrame, id_col: str, text_col: str, k: int, percent: int, ch
 
     def collect(t: pa.Table, answers: pa.Table) -> pa.Table:
         t = _sorted_by_id(t)
-        s = _Sets(t["t"], k, percent, rank, n)
+        s = _Sets(t["t"], k, percent, rank, n_buckets)
         start = dict(zip(s.buckets.tolist(), s.starts.tolist()))
         shared = np.zeros(len(s.prefix), bool)
         for bucket, places in zip(answers["bucket"].to_pylist(), answers["places"].to_pylist()):
             shared[s.by_bucket[start[bucket] + np.frombuffer(places, np.uint32).astype(np.int64)]] = True
         lists: list = [None] * len(s.n)
-        sets, vectors = lists.copy(), lists.copy()
+        vectors = lists.copy()
         for d, i, j in zip(s.carriers, np.concatenate([[0], s.stop[:-1]]), s.stop):
             if shared[i:j].any():
-                h = s.h[s.first[d]:s.first[d + 1]]
                 lists[d] = s.prefix[i:j][shared[i:j]].view(np.int64)
-                sets[d] = h.tobytes()
-                counts = np.bincount((h & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
-                vectors[d] = counts.astype("<u4").tobytes()
-        return pa.table([t["row"], pa.array(s.n.astype(np.int64)), pa.array(s.cls), pa.array(lists, pa.list_(pa.int64())),
-                         pa.array(vectors, pa.binary()), pa.array(sets, pa.binary())],
-                        names=["row", "n", "c", "shared", "vec", "set"])
+                vectors[d] = count_vector(s.h[s.first[d]:s.first[d + 1]]).tobytes()
+        return pa.table([t["row"], t["key"], pa.array(s.n.astype(np.int64)), pa.array(s.cls),
+                         pa.array(lists, pa.list_(pa.int64())), pa.array(vectors, pa.binary())],
+                        names=["row", "key", "n", "c", "shared", "vec"])
 
     sent = dealt.groupBy("chunk").applyInArrow(send, "bucket long, chunk long, shingles binary, classes binary")
     answers = sent.groupBy("bucket").applyInArrow(count, "chunk long, bucket long, places binary")
-    kinds = {"n": T.LongType(), "c": T.LongType(), "shared": T.ArrayType(T.LongType()), "vec": T.BinaryType(),
-             "set": T.BinaryType()}
-    schema = T.StructType([dealt.schema["row"], *[T.StructField(c, kind) for c, kind in kinds.items()]])
+    kinds = {"n": T.LongType(), "c": T.LongType(), "shared": T.ArrayType(T.LongType()), "vec": T.BinaryType()}
+    schema = T.StructType([dealt.schema["row"], dealt.schema["key"], *[T.StructField(c, kind) for c, kind in kinds.items()]])
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(collect, schema)
 
 
@@ -208,25 +236,95 @@ def overlap_needed(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (na + nb) // (100 + percent))
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) of classes those that link, verified on their sets."""
-    left = sets.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("vec").alias("va"), F.col("set").alias("sa"))
-    right = sets.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("vec").alias("vb"), F.col("set").alias("sb"))
+def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose count vectors let them link."""
+    left = classes.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("vec").alias("va"))
+    right = classes.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("vec").alias("vb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a, o, na, nb, va, vb, sa, sb = (b.column(c).to_pylist() for c in ("a", "b", "na", "nb", "va", "vb", "sa", "sb"))
-            need = overlap_needed(np.array(na, np.int64), np.array(nb, np.int64), percent)
-            x = np.frombuffer(b"".join(va), "<u4").reshape(-1, GROUPS)
-            y = np.frombuffer(b"".join(vb), "<u4").reshape(-1, GROUPS)
-            maybe = np.flatnonzero(np.minimum(x, y).sum(1, dtype=np.int64) >= need)
-            hit = [i for i in maybe if len(np.intersect1d(np.frombuffer(sa[i], np.uint64), np.frombuffer(sb[i], np.uint64),
-                                                          assume_unique=True)) >= need[i]]
-            yield pa.RecordBatch.from_pydict({"a": pa.array([a[i] for i in hit], pa.int64()),
-                                              "b": pa.array([o[i] for i in hit], pa.int64())})
+            na, nb = (b.column(c).to_numpy() for c in ("na", "nb"))
+            keep = []
+            for need, x, y in zip(overlap_needed(na, nb, percent), b.column("va").to_pylist(), b.column("vb").to_pylist()):
+                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                groups = min(len(x), len(y))
+                keep.append(bool(np.minimum(fold(x, groups), fold(y, groups)).sum(dtype=np.int64) >= need))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    full = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "va", "vb")
+    return small_batches(full).mapInArrow(run, "a long, b long")
+
+
+def _wanted(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The documents whose row key may be among ``keys``: a bitmap of fixed size decides."""
+    bits = 1 << WANTED_BITS
+    at = F.pmod(F.xxhash64("key"), F.lit(bits))
+    rows = (keys.select(at.alias("at")).groupBy(F.expr("at div 32768").alias("part"))
+            .agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("map")).collect())     # at most bits / 32768 rows
+    found = np.zeros(bits // 8, np.uint8)
+    for r in rows:
+        found[r.part * 4096:(r.part + 1) * 4096] = np.frombuffer(r.map, np.uint8)
+
+    @F.pandas_udf("boolean")
+    def may_be(place: pd.Series) -> pd.Series:
+        p = place.to_numpy()
+        return pd.Series((found[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1)
+
+    return docs.filter(may_be(at))
 
-    full = pairs.join(left, "a").join(right, "b")
-    return small_batches(full.select("a", "b", "na", "nb", "va", "vb", "sa", "sb")).mapInArrow(run, "a long, b long")
+
+def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, rank: np.ndarray) -> DataFrame:
+    """Of pairs (a, b) of classes those that link, verified on their sets.
+
+    ``docs`` has the rows' key and text. Each set travels to the first class of its pairs, which
+    is dealt into parts by the number of its partners; there the sets are intersected.
+    """
+    pairs = _bounded(pairs, classes, percent).checkpoint()
+    size = pairs.groupBy("a").agg((F.expr(f"count(*) div {PARTNERS}") + 1).alias("parts"))
+    dealt = pairs.join(size, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
+    sends = dealt.select(F.col("b").alias("c"), "a", "part", F.lit(1).alias("role"))
+    sends = sends.unionByName(size.select(F.col("a").alias("c"), "a", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"),
+                                          F.lit(0).alias("role")))
+    sends = (sends.groupBy("c").agg(F.collect_list(F.struct("a", "part", "role")).alias("to"))
+             .join(classes.select("c", "key"), "c").checkpoint())
+    texts = _wanted(docs, sends).join(sends, "key").select("c", "to", "t")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in tx.slices(whole, "t"):
+                h, first = shingle_sets(*tx.column_bytes(b.column(2)), k, rank)
+                out = {"a": [], "part": [], "role": [], "c": [], "set": []}
+                for c, to, i, j in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), first, first[1:]):
+                    data = h[i:j].tobytes()
+                    for x in to:
+                        for name, value in (*x.items(), ("c", c), ("set", data)):
+                            out[name].append(value)
+                    if sum(map(len, out["set"][-len(to):])) > tx.BATCH_BYTES:
+                        yield pa.RecordBatch.from_pydict(out, schema=kind)
+                        out = {n: [] for n in out}
+                yield pa.RecordBatch.from_pydict(out, schema=kind)
+
+    kind = pa.schema([("a", pa.int64()), ("part", pa.int64()), ("role", pa.int32()), ("c", pa.int64()), ("set", pa.binary())])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, own = None, None
+        for b in batches:
+            hit: list[tuple[int, int]] = []
+            for r in b.to_pylist():
+                other = np.frombuffer(r["set"], np.uint64)
+                if r["role"] == 0:      # comes before its partners
+                    centre, own = r["a"], other
+                elif r["a"] == centre:
+                    common = len(np.intersect1d(own, other, assume_unique=True))
+                    if common >= overlap_needed(len(own), len(other), percent):
+                        hit.append((r["a"], r["c"]))
+            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in hit], pa.int64()),
+                                              "b": pa.array([b for _, b in hit], pa.int64())})
+
+    sets = small_batches(texts).mapInArrow(spread, "a long, part long, role int, c long, set binary")
+    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (sets.repartition(n_parts, "a", "part").sortWithinPartitions("a", "part", "role")
+            .mapInArrow(meet, "a long, b long").distinct())
 
 
 class CountTree:
@@ -312,49 +410,59 @@ def _search(rows: DataFrame, percent: int) -> DataFrame:
     return rows.select("s", "c", "comp", "n", "vec").mapInArrow(run, "a long, b long").distinct()
 
 
+def _folded(classes: DataFrame) -> DataFrame:
+    """The classes with their count vectors over GROUPS groups."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            vec = [fold(np.frombuffer(v, "<u4")).astype("<u4").tobytes() for v in b.column("vec").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(vec, pa.binary()) if n == "vec" else c
+                                              for n, c in zip(b.schema.names, b.columns)], b.schema.names)
+
+    return small_batches(classes).mapInArrow(run, classes.schema)
+
+
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE,
-                       percent: int = PERCENT, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+                       percent: int = PERCENT, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """The rows without their text, with n_shingles and component_id (smallest id reachable by links)."""
     spark = df.sparkSession
     folder = new_folder(spark, "jaccard")
-    _classes(df, id_col, text_col, k, percent, chunk_bytes).write.parquet(folder)
+    rank = frequency_classes(df, text_col, k)
+    _classes(df, id_col, text_col, k, percent, rank, chunk_bytes, bucket_bytes).write.parquet(folder)
     docs = spark.read.parquet(folder)
+    texts = df.select(F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("t"))
     with_id = F.col("row")[id_col].isNotNull()
     # A class has one row a chunk here; any of them will do.
-    sets = (docs.filter(F.col("set").isNotNull()).groupBy("c")
-            .agg(F.min_by(F.struct("n", "shared", "vec", "set"), F.xxhash64("row")).alias("x")).select("c", "x.*"))
-    folder_sets = f"{folder}-sets"
-    sets.write.parquet(folder_sets)
-    sets = spark.read.parquet(folder_sets)
+    classes = (docs.filter(F.col("vec").isNotNull()).groupBy("c")
+               .agg(F.min_by(F.struct("key", "n", "shared", "vec"), "key").alias("x")).select("c", "x.*")).checkpoint()
 
     # Step 3: each class and the smallest class of its group, for its first shared shingles.
-    near = sets.select("c", "n", F.explode(F.slice("shared", 1, CENTRES)).alias("s"))
+    near = classes.select("c", "n", F.explode(F.slice("shared", 1, CENTRES)).alias("s"))
     centre = near.groupBy("s").agg(F.min(F.struct("c", "n")).alias("m"))
     stars = (near.join(centre, "s").select(F.col("m.c").alias("a"), F.col("c").alias("b"), F.col("m.n").alias("x"), "n")
              .filter(F.col("a") != F.col("b"))
              .filter(100 * F.least("x", "n") >= percent * F.greatest("x", "n")).select("a", "b").distinct())
-    first = _links(stars, sets, percent).checkpoint()
+    first = _links(stars, classes, texts, k, percent, rank).checkpoint()
     comps = connected_components(first)
 
     # Step 4: groups that hold classes of different components.
-    named = sets.join(comps.withColumnRenamed("node", "c"), "c", "left").select(
-        "c", "n", "vec", "shared", F.coalesce("component", "c").alias("comp"))
-    members = named.select("c", "comp", "n", "vec", F.explode("shared").alias("s"))
+    named = classes.join(comps.withColumnRenamed("node", "c"), "c", "left").select(
+        "c", "n", "shared", F.coalesce("component", "c").alias("comp"))
+    members = named.select("c", "comp", "n", F.explode("shared").alias("s"))
     mixed = (members.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
              .filter("lo < hi").select("s"))
-    rows = members.join(mixed, "s", "left_semi")
+    rows = members.join(mixed, "s", "left_semi").join(_folded(classes.select("c", "vec")), "c")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pairs = _search(small_batches(rows.repartition(parts, "s").sortWithinPartitions("s")), percent)
-    second = _links(pairs, sets, percent)
+    second = _links(pairs, classes, texts, k, percent, rank)
     links = first.unionByName(second).checkpoint()
     comps = connected_components(links)
 
     # The smallest id of each class, then of each component.
-    classes = (docs.filter(with_id & (F.col("n") > 0)).groupBy("c").agg(F.min(F.col("row")[id_col]).alias("least"))
+    by_class = (docs.filter(with_id & (F.col("n") > 0)).groupBy("c").agg(F.min(F.col("row")[id_col]).alias("least"))
                .join(comps.withColumnRenamed("node", "c"), "c", "left")
                .select("c", "least", F.coalesce("component", "c").alias("comp")))
-    least = classes.groupBy("comp").agg(F.min("least").alias("component_id"))
-    label = classes.join(least, "comp").select("c", "component_id")
+    least = by_class.groupBy("comp").agg(F.min("least").alias("component_id"))
+    label = by_class.join(least, "comp").select("c", "component_id")
     out = docs.select("row", "n", "c").join(label, "c", "left")
     rest = [f.name for f in docs.schema["row"].dataType.fields]
     component = F.when(F.col("n") == 0, F.col("row")[id_col]).otherwise(F.when(with_id, F.col("component_id")))

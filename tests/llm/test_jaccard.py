@@ -60,7 +60,7 @@ def corpus(seed, n_base=25, words=(1, 60)):
 
 
 def test_random_corpora(spark):
-    check(spark, corpus(1), chunk_bytes=500)
+    check(spark, corpus(1), chunk_bytes=500, bucket_bytes=900)
     check(spark, corpus(2, 12, (100, 300)))
 
 
