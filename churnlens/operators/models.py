@@ -79,6 +79,20 @@ def feature_importance(model, features: list[str]) -> DataFrame:
     return spark.createDataFrame(list(zip(features, [float(x) for x in imp])), "feature string, importance double")
 
 
+def holdout_scores(df: DataFrame, features: list[str], label: str = "churn_label", k: int = 5, seed: int = 42,
+                   id_col: str = "customer_id") -> DataFrame:
+    """M3: probabilities of one fold from a model fitted on the other folds only:
+    (id, label, churn_probability)."""
+    from churnlens.operators.uplift import _gbt
+    from pyspark.ml.functions import vector_to_array
+    # the fit reads the folds several times
+    d = cut_lineage(stratified_folds(df.select(id_col, label, *features).na.fill(0.0, features), label, k, seed, id_col)
+                    .withColumn("label", F.col(label).cast("double")))
+    model = _gbt(features, seed).fit(d.filter("fold <> 0"))
+    return model.transform(d.filter("fold = 0")).select(
+        id_col, label, vector_to_array("probability")[1].alias("churn_probability"))
+
+
 # ------------------------------------------------------------------ M4, M6-M8
 
 def score_table(scored: DataFrame, score_col: str, label: str) -> DataFrame:

@@ -58,6 +58,28 @@ def q_churn_scores(spark, sf):
     return md.prediction_frame(scored, tb.customers(spark, sf))
 
 
+@register("churn_holdout")
+def q_churn_holdout(spark, sf):
+    """M3 + M6: metrics of a fold from a model fitted on the other folds (rows-only: model fit)."""
+    return md.binary_metrics(md.holdout_scores(_train(spark, sf), MODEL_FEATURES))
+
+
+#: Area under the curve that a fold must reach.
+MIN_HOLDOUT_AUC = 0.55
+
+
+@q("churn_holdout_check", """SELECT count(*) AS n, true AS in_range, true AS auc_reached FROM (
+  SELECT row_number() OVER (PARTITION BY churn_label ORDER BY md5('42:' || customer_id), customer_id) AS r FROM cust
+  WHERE customer_id IN (SELECT customer_id FROM rfm)) WHERE (r - 1) % 5 = 0""", ctes=[RFM_CTE])
+def q_churn_holdout_check(spark, sf):
+    """M3: size of the held-out fold, probabilities in [0, 1], and the floor of its AUC."""
+    s = md.holdout_scores(_train(spark, sf), MODEL_FEATURES)
+    auc = md.binary_metrics(s).first()["roc_auc"]
+    p = F.col("churn_probability")
+    return s.agg(F.count(F.lit(1)).alias("n"), F.bool_and(p.between(0, 1)).alias("in_range"),
+                 F.lit(bool(auc is not None and auc >= MIN_HOLDOUT_AUC)).alias("auc_reached"))
+
+
 @register("feature_importance")
 def q_feature_importance(spark, sf):
     """M3: gain importances of the selected model (rows-only)."""
@@ -377,6 +399,16 @@ def q_clv_predictions(spark, sf):
     return cv.predict_clv(m, x, feats).select("customer_id", "clv_target", "predicted_clv")
 
 
+@register("clv_holdout")
+def q_clv_holdout(spark, sf):
+    """V4 + V8: metrics of the customers of a fold from a regression fitted on the other folds (rows-only)."""
+    feats = ["recency", "frequency", "monetary", "rfm_interaction", "recency_per_frequency", "log_monetary"]
+    x = cv.clv_features(_rfm(spark, sf)).join(_future(spark, sf), "customer_id").withColumn("all", F.lit(0))
+    x = md.stratified_folds(x, "all", 5)
+    m = cv.fit_clv(x.filter("fold <> 0"), feats)
+    return cv.regression_metrics(cv.predict_clv(m, x.filter("fold = 0"), feats), "clv_target", "predicted_clv")
+
+
 @q("clv_ranking", """SELECT s.customer_id, s.clv, (cum - c + (c + 1) / 2.0) / n AS clv_percentile,
   s.clv >= (SELECT quantile_cont(clv, 0.8) FROM sc) AS high_value
 FROM sc s JOIN (SELECT clv AS v, c, sum(c) OVER (ORDER BY clv ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,

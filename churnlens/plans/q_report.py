@@ -280,7 +280,7 @@ def q_volume_profile(spark, sf):
 
 @q("survival_header", """SELECT avg(CAST(event AS DOUBLE)) AS event_rate, max(duration) AS max_duration,
   median(duration) AS median_duration, median(duration) / max(duration) AS censoring_ratio FROM (
-  SELECT greatest(1, round(365 * (1 - churn_probability))) AS duration, CAST(churn_probability >= 0.5 AS INTEGER) AS event
+  SELECT round_even(greatest(1.0, 365 * (1 - churn_probability)), 0) AS duration, CAST(churn_probability >= 0.5 AS INTEGER) AS event
   FROM pred)""", ["event_rate", "max_duration", "median_duration", "censoring_ratio"])
 def q_survival_header(spark, sf):
     """Survival header on the proxy survival frame (K8)."""
@@ -316,4 +316,4 @@ FROM recs""", views=["cust", "scores"], ctes=REC_CTES + [RA, BEST],
 def q_recommendation_adapter(spark, sf):
     """Recommendations without a cost column mapped to the dashboard columns
     (type from ``action_type``, default cost by type, priority and uplift clipped)."""
-    return rp.adapt_recommendations(rc.recommend(_input(spark, sf)).drop("estimated_cost"))
+    return rp.adapt_recommendations(rc.recommend(_input(spark, sf)).drop("estimated_cost", "priority_score"))
