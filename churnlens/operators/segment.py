@@ -57,19 +57,28 @@ def quantile_score(df: DataFrame, value_col: str, q: int = 5, inverse: bool = Fa
     return ranked.withColumn(out_col, label.cast("int")).drop("__r")
 
 
-def rfm_scores(rfm: DataFrame, q: int = 5) -> DataFrame:
-    """Recency (inverse), frequency, monetary quantile scores.
+def rfm_scores(rfm: DataFrame, q: int = 5, id_col: str = "customer_id") -> DataFrame:
+    """Recency (inverse), frequency, monetary quantile scores (G1 of each).
 
-    The row count and the three distinct counts come from one aggregate over the input.
+    The three measures are ranked in one global order of (measure, value, id).
     """
     cols = ("recency", "frequency", "monetary")
-    r = rfm.agg(F.count(F.lit(1)).alias("n"),
-                *[F.count_distinct(c).alias(c) for c in cols]).first()
+    r = rfm.agg(F.count(F.lit(1)).alias("n"), *[(F.count(c) > 0) & (F.min(c) != F.max(c)) for c in cols]).first()
     n = int(r["n"])
+    varied = [c for c, v in zip(cols, r[1:]) if v]
+    label = {c: F.lit(1 if c == "recency" else q) for c in cols}
     out = rfm
-    for c in cols:
-        out = quantile_score(out, c, q, inverse=(c == "recency"), stats=(n, int(r[c] or 0)))
-    return out
+    if varied:
+        long = rfm.select(id_col, F.explode(F.array(*[
+            F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("v")) for c in varied])).alias("x"))
+        ranked = global_order(long.select(id_col, "x.measure", "x.v"), [("v", True), (id_col, True)],
+                              partition_by=["measure"], rank_col="__r")
+        bin_ = F.greatest(F.lit(1), F.expr(f"((__r - 1) * {q} + {n - 2}) div {n - 1}"))
+        bins = ranked.groupBy(id_col).agg(*[F.max(F.when(F.col("measure") == c, bin_)).alias(f"__{c}") for c in varied])
+        out = rfm.join(bins, id_col)
+        for c in varied:
+            label[c] = F.lit(q + 1) - F.col(f"__{c}") if c == "recency" else F.col(f"__{c}")
+    return out.select(*rfm.columns, *[label[c].cast("int").alias(f"{c}_score") for c in cols])
 
 
 def _rule_match(bounds) -> Column:
