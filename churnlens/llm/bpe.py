@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from churnlens.llm import text as tx
 from churnlens.llm.registry import query, small_batches, table, tokenizer_path
-from churnlens.llm.units import UnitCache, added_tokens_are_local, combined_units
+from churnlens.llm.units import CACHE_UNITS, UnitCache, added_tokens_are_local, combined_units
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Entries of the pair table kept by one worker.
@@ -46,8 +46,38 @@ def byte_chars() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class OffsetTable:
+    """Decoding: the bytes of id i are blob[offset[i]:offset[i + 1]]."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        chars = byte_chars()
+        tokens = {i: bytes(chars[c] for c in s) for s, i in spec["model"]["vocab"].items()}
+        tokens |= {t["id"]: t["content"].encode() for t in spec.get("added_tokens") or []}
+        table_ = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+        self.blob = np.frombuffer(b"".join(table_), np.uint8)
+        self.offset = np.concatenate([[0], np.cumsum([len(b) for b in table_])]).astype(np.int64)
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all ids, length of each id's bytes)."""
+        start = self.offset[ids]
+        size = self.offset[ids + 1] - start
+        stop = np.cumsum(size)
+        total = int(stop[-1]) if len(stop) else 0
+        at = np.repeat(start - (stop - size), size) + np.arange(total)
+        return self.blob[at], size
+
+    def texts(self, ids: np.ndarray, off: np.ndarray) -> list[str]:
+        """The texts of the ids between the offsets; bytes that are not UTF-8 become U+FFFD."""
+        data, size = self.decode(ids)
+        ends = np.concatenate([[0], np.cumsum(size)])[off]
+        whole = data.tobytes()
+        return [whole[s:e].decode("utf-8", "replace") for s, e in zip(ends, ends[1:])]
+
+
 class Vocabulary:
-    """Tokens, merges, automaton, prefix table, pair table and offset table of one file."""
+    """Tokens, merges, automaton, prefix table and pair table of one file."""
 
     def __init__(self, path: str):
         import ahocorasick
@@ -66,12 +96,6 @@ class Vocabulary:
         raw = {i: bytes(chars[c] for c in s) for s, i in vocab.items()}
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
         self.size = max([*raw, *self.added.values()]) + 1
-        table_ = [raw.get(i, b"") for i in range(self.size)]
-        for s, i in self.added.items():
-            table_[i] = s.encode()
-        # Decoding: the bytes of id i are blob[offset[i]:offset[i + 1]].
-        self.blob = np.frombuffer(b"".join(table_), np.uint8)
-        self.offset = np.concatenate([[0], np.cumsum([len(b) for b in table_])]).astype(np.int64)
 
         self.merge: dict[tuple[int, int], int] = {}            # pair -> rank
         self.made = np.full(self.size, -1).tolist()            # token -> rank of its merge
@@ -91,7 +115,7 @@ class Vocabulary:
             left, right = self.halves[i]
             if left in alive and right in alive and not self._merges_early(left, right, self.made[i]):
                 alive.add(i)
-        self.length = [len(b) for b in table_]
+        self.length = [len(raw.get(i, b"")) for i in range(self.size)]
         self.automaton = ahocorasick.Automaton()
         for i in alive:
             self.automaton.add_word(raw[i].decode("latin-1"), i)
@@ -108,8 +132,8 @@ class Vocabulary:
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))
                                          + ")").split if self.added else None
         self.added_starts = {s[0] for s in self.added}
-        self.words = UnitCache(lambda ws: [self._word_bytes(w) for w in ws])
-        self.units = UnitCache(lambda us: self._encode_raw([" " + u for u in us]))
+        self.words = UnitCache(lambda ws: [self._word_bytes(w) for w in ws], CACHE_UNITS)
+        self.units = UnitCache(lambda us: self._encode_raw([" " + u for u in us]), 2 * CACHE_UNITS)
 
     def _merges_early(self, a: int, b: int, before: int) -> bool:
         """True if some merge joins bytes of token a to bytes of b at a rank below ``before``.
@@ -201,72 +225,80 @@ class Vocabulary:
         """Little-endian 32-bit ids of each text."""
         return combined_units(texts, self.units, self._encode_raw, b"".join)
 
-    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(bytes of all ids, length of each id's bytes), by the offset table."""
-        start = self.offset[ids]
-        size = self.offset[ids + 1] - start
-        stop = np.cumsum(size)
-        total = int(stop[-1]) if len(stop) else 0
-        at = np.repeat(start - (stop - size), size) + np.arange(total)
-        return self.blob[at], size
-
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@lru_cache(maxsize=2)
+def offset_table(path: str) -> OffsetTable:
+    return OffsetTable(path)
+
+
+def _encoded(v: Vocabulary, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offsets) of a column of texts."""
+    ids = list(v.encode([t or "" for t in texts.to_pylist()]))
+    return np.frombuffer(b"".join(ids), "<u4"), np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+
+
+def _with_columns(df: DataFrame, run, added: list[T.StructField]) -> DataFrame:
+    base = df.drop(*[f.name for f in added])
+    return small_batches(base).mapInArrow(run, T.StructType([*base.schema.fields, *added]))
+
+
 def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """Add ``ids_col`` (array<int>), the token ids of the text; an equal-named column is replaced."""
-    base = df.drop(ids_col)
-    schema = T.StructType([*base.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         for whole in batches:
             for b in tx.slices(whole, text_col):
-                texts = [t or "" for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
-                ids = list(v.encode(texts))
-                off = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(off), pa.Array.from_buffers(
-                    pa.int32(), int(off[-1]), [None, pa.py_buffer(b"".join(ids))]))
+                ids, off = _encoded(v, b.column(b.schema.get_field_index(text_col)))
+                lists = pa.ListArray.from_arrays(pa.array(off), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*b.columns, lists], [*b.schema.names, ids_col])
 
-    return small_batches(base).mapInArrow(run, schema)
+    return _with_columns(df, run, [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)])
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """Add ``text_col``, the text of the ids; byte sequences that are not UTF-8 become U+FFFD."""
-    base = df.drop(text_col)
-    schema = T.StructType([*base.schema.fields, T.StructField(text_col, T.StringType(), False)])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path)
+        table_ = offset_table(path)
         for b in batches:
             lists = b.column(b.schema.get_field_index(ids_col))
             step = 1 + int((1 << 20) * max(len(lists), 1) / max(len(lists.flatten()), 1))
             for at in range(0, b.num_rows, step):
                 part = b.slice(at, step)
-                col = part.column(b.schema.get_field_index(ids_col))
-                counts = np.asarray(col.value_lengths().fill_null(0))
-                ids = np.asarray(col.flatten())
-                data, size = v.decode(ids)
-                ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])]
-                whole = data.tobytes()
-                texts = [whole[s:e].decode("utf-8", "replace") for s, e in zip(ends, ends[1:])]
+                col = part.column(part.schema.get_field_index(ids_col))
+                off = np.concatenate([[0], np.cumsum(np.asarray(col.value_lengths().fill_null(0)))])
+                texts = table_.texts(np.asarray(col.flatten()), off)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())],
                                                  [*part.schema.names, text_col])
 
-    return small_batches(base).mapInArrow(run, schema)
+    return _with_columns(df, run, [T.StructField(text_col, T.StringType(), False)])
+
+
+def round_trip(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids",
+               decoded_col: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` in one pass, which saves the ids a way through a second worker."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, table_ = vocabulary(path), offset_table(path)
+        for whole in batches:
+            for b in tx.slices(whole, text_col):
+                ids, off = _encoded(v, b.column(b.schema.get_field_index(text_col)))
+                lists = pa.ListArray.from_arrays(pa.array(off), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*b.columns, lists, pa.array(table_.texts(ids, off), pa.string())],
+                                                 [*b.schema.names, ids_col, decoded_col])
+
+    return _with_columns(df, run, [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False),
+                                   T.StructField(decoded_col, T.StringType(), False)])
 
 
 @query("op6_bpe_roundtrip")
 def op6_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded; digests of the ids and of the decoded text."""
-    path = tokenizer_path(VOCABULARY)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = encode(docs, path).select("doc_id", "ids")
-    return decode(ids, path).select(
+    docs = round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(VOCABULARY))
+    return docs.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))

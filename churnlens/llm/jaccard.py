@@ -3,14 +3,17 @@
 A document's set holds its distinct shingles of ``k`` words (A-Z lower-cased). Documents with equal
 sets form a class. Two classes link when ``100 * common >= percent * union``.
 
-1. A count sketch of fixed size ranks shingles roughly by frequency, rare ones first; a class's
-   prefix, its first ``n - ceil(percent n / 100) + 1`` shingles in that order, shares a shingle
-   with the prefix of every class it links with.
-2. Chunks of documents send their (prefix shingle, class) pairs packed by bucket; buckets answer
-   which shingles two classes share. Classes with such shingles go on with their count vectors:
-   the number of shingles in each of about n / 8 hash groups.
-3. The first shared shingles link each class with one centre per shingle; verified links collapse
-   groups of near copies to components, so no group is ever expanded into all its pairs.
+1. Chunks of documents send short keys of their shingles, packed by bucket; buckets count them and
+   answer which are common (in more than ``COMMON`` documents) and how much so. Shingles are
+   ordered rare ones first; a class's prefix, its first ``n - ceil(percent n / 100) + 1`` shingles
+   in that order, shares a shingle with the prefix of every class it links with.
+2. The (prefix shingle, class) pairs, packed by bucket, are searched for shingles that two classes
+   share. Classes with such shingles go on with their count vectors: the number of shingles in
+   each of about n / 8 hash groups.
+3. Its rarest and its most common shared shingles link each class with one centre per shingle, the
+   class whose shingles are the most common on average: of copies with changes of their own that
+   is the text without any. Verified links collapse groups of near copies to components, so no
+   group is expanded into all its pairs.
 4. Classes of different components that share a prefix shingle are searched by an R-tree of their
    count vectors (folded to ``GROUPS`` groups): a node's largest counts bound the overlap with any
    class below it by the sum of the smaller coordinates.
@@ -18,7 +21,7 @@ sets form a class. Two classes link when ``100 * common >= percent * union``.
    such pairs are found by a bitmap of fixed size and a join; their sets meet at one of the two,
    split into parts where very many do, and are intersected.
 
-Shingles and classes are known by 58- and 64-bit hashes.
+Shingles and classes are known by 64-bit hashes.
 
 Defined cases: a null text or one without words has an empty set, n_shingles 0, links with nothing
 and is its own component; fewer than k words are one shingle; rows with a null id take part in links
@@ -48,15 +51,16 @@ PERCENT = 85
 GROUPS = 64
 #: Shingles in a group of a count vector, on average.
 PER_GROUP = 8
-#: Counters of the frequency sketch (its size does not depend on the data).
-SKETCH_BITS = 18
-_SLICES = 16
-#: Text bytes that a chunk of documents and a bucket of prefix shingles are planned for. A chunk
-#: sends a row to every bucket, so raise both with the executors' memory on very large corpora.
+#: Documents from which a shingle counts as common; each doubling is a class of its own.
+COMMON = 32
+#: Bits of a shingle's key within its bucket, for the counts only.
+_KEY_BITS = 24
+#: Text bytes that a chunk of documents and a bucket of shingles are planned for. A chunk sends a
+#: row to every bucket, so raise both with the executors' memory on very large corpora.
 CHUNK_BYTES = 4 << 20
-BUCKET_BYTES = 32 << 20
-#: Shared shingles by which a class looks for centres in the first step.
-CENTRES = 4
+BUCKET_BYTES = 16 << 20
+#: Rarest and most common shared shingles by which a class looks for centres.
+CENTRES = 2
 FANOUT = 16
 #: Partners of a class that one part of its verification is planned for.
 PARTNERS = 256
@@ -78,51 +82,29 @@ def _shingle_hashes(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarr
     return np.concatenate(hashes), np.concatenate(docs)
 
 
-def frequency_classes(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
-    """For each sketch slot the logarithm of how far its count lies above the mean; 0 for usual ones."""
-    size = 1 << SKETCH_BITS
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(size, np.int64)
-        for whole in batches:
-            for b in tx.slices(whole, text_col):
-                h, _ = _shingle_hashes(*tx.column_bytes(b.column(0)), k)
-                counts += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
-        if counts.any():
-            yield pa.RecordBatch.from_pydict({"slice": pa.array(range(_SLICES), pa.int32()),
-                                              "counts": [x.tobytes() for x in np.split(counts, _SLICES)]})
-
-    def merge(key, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size // _SLICES, np.int64)
-        for b in parts:
-            for x in b.column("counts").to_pylist():
-                total += np.frombuffer(x, np.int64)
-        yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": [total.tobytes()]})
-
-    kind = "slice int, counts binary"
-    rows = (small_batches(docs.select(text_col)).mapInArrow(run, kind).groupBy("slice")
-            .applyInArrow(lambda key, t: pa.Table.from_batches(merge(key, iter(t.to_batches()))), kind)
-            .collect())      # the sketch: _SLICES rows
-    counts = np.zeros(size, np.int64)
-    for r in rows:
-        counts[r.slice * (size // _SLICES):(r.slice + 1) * (size // _SLICES)] = np.frombuffer(r.counts, np.int64)
-    mean = max(counts.mean(), 1.0)
-    return np.clip(np.floor(np.log2(np.maximum(counts, 1) / mean)), 0, 63).astype(np.uint8)
-
-
-def shingle_sets(data: np.ndarray, off: np.ndarray, k: int, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(names, first): each document's distinct shingles, ascending, and where they start.
-
-    A shingle's name is its frequency class and then 58 bits of its hash; ascending is the order.
-    """
+def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, documents, first): each document's distinct shingles, ascending, and where they start."""
     h, doc = _shingle_hashes(data, off, k)
-    h = (rank[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (h >> np.uint64(6))
     order = np.argsort(h)
     order = order[np.argsort(doc[order], kind="stable")]
     h, doc = h[order], doc[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    return h[new], np.searchsorted(doc[new], np.arange(len(off)))
+    h, doc = h[new], doc[new]
+    return h, doc, np.searchsorted(doc, np.arange(len(off)))
+
+
+def pack_keys(keys: np.ndarray) -> tuple[bytes, bytes]:
+    """Ascending keys as 16-bit differences; larger ones are marked and kept aside."""
+    d = np.diff(keys, prepend=0)
+    large = d >= 0xFFFF
+    return np.where(large, 0xFFFF, d).astype("<u2").tobytes(), d[large].astype("<u4").tobytes()
+
+
+def unpack_keys(small: bytes, large: bytes) -> np.ndarray:
+    d = np.frombuffer(small, "<u2").astype(np.int64)
+    d[d == 0xFFFF] = np.frombuffer(large, "<u4")
+    return np.cumsum(d)
 
 
 def count_vector(names: np.ndarray) -> np.ndarray:
@@ -137,12 +119,16 @@ def fold(vec: np.ndarray, groups: int = GROUPS) -> np.ndarray:
 
 
 class _Sets:
-    """Shingle sets of a chunk of documents, in a fixed order, and what its classes send."""
+    """Shingle sets of a chunk of documents, in a fixed order, and the keys that it counts them by."""
 
-    def __init__(self, texts: pa.ChunkedArray, k: int, percent: int, rank: np.ndarray, n_buckets: int):
-        data, off = tx.column_bytes(texts)
-        self.h, self.first = shingle_sets(data, off, k, rank)
+    def __init__(self, texts: pa.ChunkedArray, k: int, n_buckets: int):
+        self.h, self.doc, self.first = shingle_sets(*tx.column_bytes(texts), k)
         self.n = np.diff(self.first)
+        bucket = (tx._mix(self.h) % np.uint64(n_buckets)).astype(np.int64)
+        keys = (bucket << _KEY_BITS) | (self.h >> np.uint64(64 - _KEY_BITS)).astype(np.int64)
+        self.keys, self.key, self.count = np.unique(keys, return_inverse=True, return_counts=True)
+        self.buckets, self.starts = np.unique(self.keys >> _KEY_BITS, return_index=True)
+        self.stops = np.append(self.starts[1:], len(self.keys))
         with np.errstate(over="ignore"):
             total = np.concatenate([[np.uint64(0)], np.cumsum(tx._mix(self.h), dtype=np.uint64)])
             self.cls = tx._mix(total[self.first[1:]] - total[self.first[:-1]] + self.n.astype(np.uint64)).view(np.int64)
@@ -150,26 +136,29 @@ class _Sets:
         full = np.flatnonzero(self.n > 0)
         _, at = np.unique(self.cls[full], return_index=True)
         self.carriers = np.sort(full[at])
-        # Their prefixes, one after another.
+
+    def prefixes(self, frequency: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(shingle, frequency class, class of sets) of the carriers' prefixes, rare shingles first."""
+        f = frequency[self.key]
+        order = np.argsort((f.astype(np.uint64) << np.uint64(58)) | (self.h >> np.uint64(6)))
+        order = order[np.argsort(self.doc[order], kind="stable")]
         p = self.n[self.carriers]
         p = p - -(-percent * p // 100) + 1
-        self.stop = np.cumsum(p)
-        place = np.repeat(self.first[self.carriers] - (self.stop - p), p) + np.arange(int(p.sum()))
-        self.prefix, self.prefix_cls = self.h[place], np.repeat(self.cls[self.carriers], p)
-        bucket = (tx._mix(self.prefix) % np.uint64(n_buckets)).astype(np.int64)
-        self.by_bucket = np.argsort(bucket, kind="stable")
-        self.buckets, self.starts = np.unique(bucket[self.by_bucket], return_index=True)
-        self.stops = np.append(self.starts[1:], len(self.by_bucket))
+        stop = np.cumsum(p)
+        at = order[np.repeat(self.first[self.carriers] - (stop - p), p) + np.arange(int(p.sum()))]
+        return self.h[at], f[at], np.repeat(self.cls[self.carriers], p)
 
 
 def _sorted_by_id(t: pa.Table) -> pa.Table:
+    tx.release()
     return t.take(pa.compute.sort_indices(t, [("order", "ascending"), ("t", "ascending")]))
 
 
-def _classes(df: DataFrame, id_col: str, text_col: str, k: int, percent: int, rank: np.ndarray, chunk_bytes: int,
-             bucket_bytes: int) -> DataFrame:
-    """Each row with its key, number of shingles and class; the classes that share a prefix shingle
-    also with their shared shingles and count vector, on one row a chunk."""
+def _dealt(df: DataFrame, id_col: str, text_col: str, k: int, percent: int, chunk_bytes: int,
+           bucket_bytes: int) -> DataFrame:
+    """Two kinds of rows. For each document its row, key, number of shingles, class, mean frequency of
+    its shingles and, on one row a chunk and class, the count vector; for each chunk and bucket its prefix shingles (hash,
+    frequency class, class of sets)."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = text_bytes(df, text_col)
@@ -180,57 +169,80 @@ def _classes(df: DataFrame, id_col: str, text_col: str, k: int, percent: int, ra
                       F.pmod(F.xxhash64(id_col, text_col), F.lit(n)).alias("chunk"))
     dealt = dealt.repartition(parts, "chunk")
 
-    def send(t: pa.Table) -> pa.Table:
-        s = _Sets(_sorted_by_id(t)["t"], k, percent, rank, n_buckets)
-        chunk = t["chunk"][0].as_py()
-        cut = [s.by_bucket[i:j] for i, j in zip(s.starts, s.stops)]
-        return pa.table({"bucket": pa.array(s.buckets, pa.int64()), "chunk": pa.array([chunk] * len(cut), pa.int64()),
-                         "shingles": pa.array([s.prefix[x].tobytes() for x in cut], pa.binary()),
-                         "classes": pa.array([s.prefix_cls[x].tobytes() for x in cut], pa.binary())})
+    def weigh(t: pa.Table) -> pa.Table:
+        s = _Sets(_sorted_by_id(t)["t"], k, n_buckets)
+        packed = [pack_keys(s.keys[i:j] & ((1 << _KEY_BITS) - 1)) for i, j in zip(s.starts, s.stops)]
+        return pa.table({"bucket": pa.array(s.buckets, pa.int64()), "chunk": pa.array([t["chunk"][0].as_py()] * len(packed), pa.int64()),
+                         "small": pa.array([x for x, _ in packed], pa.binary()), "large": pa.array([x for _, x in packed], pa.binary()),
+                         "counts": pa.array([s.count[i:j].astype("<u4").tobytes() for i, j in zip(s.starts, s.stops)], pa.binary())})
 
     def count(t: pa.Table) -> pa.Table:
-        blobs = t["shingles"].to_pylist()
-        s = np.frombuffer(b"".join(blobs), np.uint64)
-        c = np.frombuffer(b"".join(t["classes"].to_pylist()), np.int64)
-        order = np.argsort(s)
-        group = np.zeros(len(s), np.int64)
-        group[1:] = np.cumsum(s[order][1:] != s[order][:-1])
-        # Shared: the classes of a shingle are not all the same.
-        starts = np.flatnonzero(np.diff(group, prepend=-1))
-        differ = np.minimum.reduceat(c[order], starts) != np.maximum.reduceat(c[order], starts)
-        shared = np.zeros(len(s), bool)
-        shared[order] = differ[group]
-        ends = np.cumsum([len(b) // 8 for b in blobs])
-        places = [np.flatnonzero(x).astype(np.uint32) for x in np.split(shared, ends[:-1])]
-        hit = [i for i, p in enumerate(places) if len(p)]
-        return pa.table({"chunk": t["chunk"].take(pa.array(hit, pa.int64())),
-                         "bucket": t["bucket"].take(pa.array(hit, pa.int64())),
-                         "places": pa.array([places[i].tobytes() for i in hit], pa.binary())})
+        keys = [unpack_keys(x, y) for x, y in zip(t["small"].to_pylist(), t["large"].to_pylist())]
+        counts = np.frombuffer(b"".join(t["counts"].to_pylist()), "<u4")
+        names, at = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(at, counts, minlength=len(names))
+        classes = np.where(total > COMMON, 1 + np.floor(np.log2(np.maximum(total, 1) / COMMON)), 0).astype(np.uint8)[at]
+        out = {"chunk": [], "bucket": [], "places": [], "classes": []}
+        for chunk, bucket, own in zip(t["chunk"].to_pylist(), t["bucket"].to_pylist(),
+                                      np.split(classes, np.cumsum([len(x) for x in keys])[:-1])):
+            places = np.flatnonzero(own)
+            if len(places):
+                for name, value in zip(out, (chunk, bucket, places.astype("<u4").tobytes(), own[places].tobytes())):
+                    out[name].append(value)
+        return pa.table(out, schema=pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("places", pa.binary()),
+                                               ("classes", pa.binary())]))
 
     def collect(t: pa.Table, answers: pa.Table) -> pa.Table:
         t = _sorted_by_id(t)
-        s = _Sets(t["t"], k, percent, rank, n_buckets)
+        s = _Sets(t["t"], k, n_buckets)
+        frequency = np.zeros(len(s.keys), np.uint8)
         start = dict(zip(s.buckets.tolist(), s.starts.tolist()))
-        shared = np.zeros(len(s.prefix), bool)
-        for bucket, places in zip(answers["bucket"].to_pylist(), answers["places"].to_pylist()):
-            shared[s.by_bucket[start[bucket] + np.frombuffer(places, np.uint32).astype(np.int64)]] = True
-        lists: list = [None] * len(s.n)
-        vectors = lists.copy()
-        for d, i, j in zip(s.carriers, np.concatenate([[0], s.stop[:-1]]), s.stop):
-            if shared[i:j].any():
-                lists[d] = s.prefix[i:j][shared[i:j]].view(np.int64)
-                vectors[d] = count_vector(s.h[s.first[d]:s.first[d + 1]]).tobytes()
-        return pa.table([t["row"], t["key"], pa.array(s.n.astype(np.int64)), pa.array(s.cls),
-                         pa.array(lists, pa.list_(pa.int64())), pa.array(vectors, pa.binary())],
-                        names=["row", "key", "n", "c", "shared", "vec"])
-
-    sent = dealt.groupBy("chunk").applyInArrow(send, "bucket long, chunk long, shingles binary, classes binary")
-    answers = sent.groupBy("bucket").applyInArrow(count, "chunk long, bucket long, places binary")
-    kinds = {"n": T.LongType(), "c": T.LongType(), "shared": T.ArrayType(T.LongType()), "vec": T.BinaryType()}
-    schema = T.StructType([dealt.schema["row"], dealt.schema["key"], *[T.StructField(c, kind) for c, kind in kinds.items()]])
+        for bucket, places, classes in zip(*(answers[c].to_pylist() for c in ("bucket", "places", "classes"))):
+            frequency[start[bucket] + np.frombuffer(places, "<u4").astype(np.int64)] = np.frombuffer(classes, np.uint8)
+        vectors: list = [None] * len(s.n)
+        common = np.add.reduceat(np.append(frequency[s.key].astype(np.int64), 0), np.minimum(s.first[:-1], len(s.h)))
+        common = np.where(s.n > 0, 1000 * common // np.maximum(s.n, 1), 0)
+        for d in s.carriers:
+            vectors[d] = count_vector(s.h[s.first[d]:s.first[d + 1]]).tobytes()
+        docs = pa.table([t["row"], t["key"], pa.array(s.n.astype(np.int64)), pa.array(s.cls), pa.array(vectors, pa.binary()), pa.array(common),
+                         *[pa.nulls(len(t), x) for x in (pa.int64(), pa.binary(), pa.binary(), pa.binary())]], names=names)
+        h, f, c = s.prefixes(frequency, percent)
+        bucket = (tx._mix(h) % np.uint64(n_buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        buckets, starts = np.unique(bucket[order], return_index=True)
+        cuts = np.split(order, starts[1:]) if len(starts) else []
+        m = len(cuts)
+        packed = pa.table([pa.nulls(m, docs["row"].type), *[pa.nulls(m, docs[x].type) for x in names[1:6]], pa.array(buckets, pa.int64()),
+                           *[pa.array([x[i].tobytes() for i in cuts], pa.binary()) for x in (h, f, c)]], names=names)
+        return pa.concat_tables([docs, packed])
+
+    names = ["row", "key", "n", "c", "vec", "common", "bucket", "shingles", "frequency", "classes"]
+    kinds = {"key": T.LongType(), "n": T.LongType(), "c": T.LongType(), "vec": T.BinaryType(), "common": T.LongType(),
+             "bucket": T.LongType(), "shingles": T.BinaryType(), "frequency": T.BinaryType(), "classes": T.BinaryType()}
+    schema = T.StructType([T.StructField("row", dealt.schema["row"].dataType), *[T.StructField(c, x) for c, x in kinds.items()]])
+    weighed = dealt.groupBy("chunk").applyInArrow(weigh, "bucket long, chunk long, small binary, large binary, counts binary")
+    answers = weighed.groupBy("bucket").applyInArrow(count, "chunk long, bucket long, places binary, classes binary")
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(collect, schema)
 
 
+def _shared(packed: DataFrame) -> DataFrame:
+    """(s, f, c): prefix shingles that two classes of sets share, with those classes."""
+    def run(t: pa.Table) -> pa.Table:
+        s, f, c = (np.frombuffer(b"".join(t[x].to_pylist()), kind) for x, kind in (
+            ("shingles", np.uint64), ("frequency", np.uint8), ("classes", np.int64)))
+        order = np.lexsort((c, s))
+        s, f, c = s[order], f[order], c[order]
+        new = np.ones(len(s), bool)          # copies of a class in several chunks
+        new[1:] = (s[1:] != s[:-1]) | (c[1:] != c[:-1])
+        s, f, c = s[new], f[new], c[new]
+        both = np.zeros(len(s), bool)
+        both[1:] = s[1:] == s[:-1]
+        both[:-1] |= both[1:]
+        return pa.table({"s": s[both].view(np.int64), "f": f[both].astype(np.int32), "c": c[both]})
+
+    return packed.groupBy("bucket").applyInArrow(run, "s long, f int, c long")
+
+
 def overlap_needed(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
     """Least number of common shingles of sets of these sizes that link."""
     return -(-percent * (na + nb) // (100 + percent))
@@ -273,7 +285,7 @@ def _wanted(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return docs.filter(may_be(at))
 
 
-def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, rank: np.ndarray) -> DataFrame:
+def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Of pairs (a, b) of classes those that link, verified on their sets.
 
     ``docs`` has the rows' key and text. Each set travels to the first class of its pairs, which
@@ -292,7 +304,7 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percen
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in tx.slices(whole, "t"):
-                h, first = shingle_sets(*tx.column_bytes(b.column(2)), k, rank)
+                h, _, first = shingle_sets(*tx.column_bytes(b.column(2)), k)
                 out = {"a": [], "part": [], "role": [], "c": [], "set": []}
                 for c, to, i, j in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), first, first[1:]):
                     data = h[i:j].tobytes()
@@ -426,43 +438,46 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows without their text, with n_shingles and component_id (smallest id reachable by links)."""
     spark = df.sparkSession
     folder = new_folder(spark, "jaccard")
-    rank = frequency_classes(df, text_col, k)
-    _classes(df, id_col, text_col, k, percent, rank, chunk_bytes, bucket_bytes).write.parquet(folder)
-    docs = spark.read.parquet(folder)
+    _dealt(df, id_col, text_col, k, percent, chunk_bytes, bucket_bytes).write.parquet(folder)
+    both = spark.read.parquet(folder)
+    docs = both.filter("bucket IS NULL")
     texts = df.select(F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("t"))
     with_id = F.col("row")[id_col].isNotNull()
-    # A class has one row a chunk here; any of them will do.
-    classes = (docs.filter(F.col("vec").isNotNull()).groupBy("c")
-               .agg(F.min_by(F.struct("key", "n", "shared", "vec"), "key").alias("x")).select("c", "x.*")).checkpoint()
-
-    # Step 3: each class and the smallest class of its group, for its first shared shingles.
-    near = classes.select("c", "n", F.explode(F.slice("shared", 1, CENTRES)).alias("s"))
-    centre = near.groupBy("s").agg(F.min(F.struct("c", "n")).alias("m"))
+    shared = _shared(both.filter("bucket IS NOT NULL").select("bucket", "shingles", "frequency", "classes")).checkpoint()
+    # A class has one count vector a chunk; any of them will do.
+    classes = (docs.filter(F.col("vec").isNotNull()).join(shared.select("c").distinct(), "c", "left_semi").groupBy("c")
+               .agg(F.min_by(F.struct("key", "n", "vec", "common"), "key").alias("x")).select("c", "x.*")).checkpoint()
+
+    # Step 3: each class and the centres of the groups of some of its shared shingles.
+    by_class = (shared.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("x"))
+                .withColumn("last", F.slice("x", F.greatest(F.size("x") - (CENTRES - 1), F.lit(1)), CENTRES)))
+    some = by_class.select("c", F.explode(F.array_distinct(F.concat(F.slice("x", 1, CENTRES), "last"))).alias("y"))
+    near = some.select("c", "y.s").join(classes.select("c", "n", "common"), "c")
+    centre = near.groupBy("s").agg(F.max(F.struct("common", "c", "n")).alias("m"))
     stars = (near.join(centre, "s").select(F.col("m.c").alias("a"), F.col("c").alias("b"), F.col("m.n").alias("x"), "n")
              .filter(F.col("a") != F.col("b"))
              .filter(100 * F.least("x", "n") >= percent * F.greatest("x", "n")).select("a", "b").distinct())
-    first = _links(stars, classes, texts, k, percent, rank).checkpoint()
+    first = _links(stars, classes, texts, k, percent).checkpoint()
     comps = connected_components(first)
 
     # Step 4: groups that hold classes of different components.
-    named = classes.join(comps.withColumnRenamed("node", "c"), "c", "left").select(
-        "c", "n", "shared", F.coalesce("component", "c").alias("comp"))
-    members = named.select("c", "comp", "n", F.explode("shared").alias("s"))
+    members = shared.select("s", "c").join(comps.withColumnRenamed("node", "c"), "c", "left").select(
+        "s", "c", F.coalesce("component", "c").alias("comp"))
     mixed = (members.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
              .filter("lo < hi").select("s"))
-    rows = members.join(mixed, "s", "left_semi").join(_folded(classes.select("c", "vec")), "c")
+    rows = members.join(mixed, "s", "left_semi").join(_folded(classes.select("c", "n", "vec")), "c")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pairs = _search(small_batches(rows.repartition(parts, "s").sortWithinPartitions("s")), percent)
-    second = _links(pairs, classes, texts, k, percent, rank)
+    second = _links(pairs, classes, texts, k, percent)
     links = first.unionByName(second).checkpoint()
     comps = connected_components(links)
 
     # The smallest id of each class, then of each component.
-    by_class = (docs.filter(with_id & (F.col("n") > 0)).groupBy("c").agg(F.min(F.col("row")[id_col]).alias("least"))
+    least_ids = (docs.filter(with_id & (F.col("n") > 0)).groupBy("c").agg(F.min(F.col("row")[id_col]).alias("least"))
                .join(comps.withColumnRenamed("node", "c"), "c", "left")
                .select("c", "least", F.coalesce("component", "c").alias("comp")))
-    least = by_class.groupBy("comp").agg(F.min("least").alias("component_id"))
-    label = by_class.join(least, "comp").select("c", "component_id")
+    least = least_ids.groupBy("comp").agg(F.min("least").alias("component_id"))
+    label = least_ids.join(least, "comp").select("c", "component_id")
     out = docs.select("row", "n", "c").join(label, "c", "left")
     rest = [f.name for f in docs.schema["row"].dataType.fields]
     component = F.when(F.col("n") == 0, F.col("row")[id_col]).otherwise(F.when(with_id, F.col("component_id")))

@@ -65,6 +65,7 @@ class _Windows:
 
 def _sorted_by_id(t: pa.Table) -> pa.Table:
     """A fixed order of the chunk's rows, whichever way they were fetched."""
+    tx.release()
     return t.take(pa.compute.sort_indices(t, [("order", "ascending"), ("t", "ascending")]))
 
 

@@ -9,6 +9,7 @@ sequence.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -16,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+# Workers live long: what one batch needed goes back to the system after it.
+pa.set_memory_pool(pa.system_memory_pool())
 U64 = np.uint64
 #: Bytes hashed at once; bounds the working memory of the kernels, not the texts.
 SEGMENT = 2 << 20
@@ -35,6 +38,13 @@ class Words(NamedTuple):
     first: np.ndarray     # index of each document's first word, plus the total
 
 
+def release() -> None:
+    """Give freed memory back to the system (glibc only; elsewhere nothing happens)."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def column_bytes(arr: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; null counts as empty."""
     if isinstance(arr, pa.ChunkedArray):

@@ -78,6 +78,33 @@ def test_chains_and_large_groups(spark):
     check(spark, chain + group + [" ".join(base)] * 3)
 
 
+def test_packed_keys():
+    rng = np.random.default_rng(0)
+    for keys in ([], [0], [5, 70_000, 70_001, (1 << 24) - 1], sorted(set(rng.integers(0, 1 << 24, 500).tolist()))):
+        keys = np.array(keys, np.int64)
+        assert jaccard.unpack_keys(*jaccard.pack_keys(keys)).tolist() == keys.tolist()
+
+
+def test_common_shingles_come_last(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "COMMON", 2)
+    check(spark, corpus(5), chunk_bytes=700, bucket_bytes=1500)
+
+
+def test_copies_that_link_only_through_their_origin(spark, monkeypatch):
+    # Each copy has changes of its own: 0.87 with the origin, less among each other.
+    monkeypatch.setattr(jaccard, "COMMON", 4)
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(200)]
+    texts = []
+    for i in range(40):
+        near = base.copy()
+        for j in rng.sample(range(4, 196, 8), 3):
+            near[j] = f"x{i}.{j}"
+        texts.append(" ".join(near))
+    check(spark, texts)
+    check(spark, [*texts[:20], " ".join(base), *texts[20:]])
+
+
 def test_tree_loses_no_pair():
     rng = np.random.default_rng(2)
     sets = []
