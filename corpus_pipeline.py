@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlens.llm.bpe import VOCABULARY, decode, encode
+from churnlens.llm.bpe import VOCABULARY, round_trip
 from churnlens.llm.decontaminate import find_leaks
 from churnlens.llm.jaccard import jaccard_components
 from churnlens.llm.linededup import dedup_lines
@@ -49,8 +49,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text."""
-    path = tokenizer_path(VOCABULARY)
-    done = decode(encode(docs.select("doc_id", "lang", "source", "text"), path), path)
+    done = round_trip(docs.select("doc_id", "lang", "source", "text"), tokenizer_path(VOCABULARY))
     return done.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
                        F.coalesce(F.col("decoded") == F.coalesce("text", F.lit("")), F.lit(False)).alias("round_trip"))
 
