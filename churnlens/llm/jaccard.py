@@ -48,7 +48,7 @@ from churnlens.llm.storage import new_folder
 
 SHINGLE = 4
 PERCENT = 85
-GROUPS = 64
+GROUPS = 256
 #: Shingles in a group of a count vector, on average.
 PER_GROUP = 8
 #: Documents from which a shingle counts as common; each doubling is a class of its own.
@@ -339,12 +339,17 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percen
             .mapInArrow(meet, "a long, b long").distinct())
 
 
+def _wide(vec: np.ndarray) -> np.ndarray:
+    """Counts from bytes; 255 bounds nothing."""
+    return np.where(vec == 255, 1 << 30, vec.astype(np.int64))
+
+
 class CountTree:
     """R-tree of count vectors, packed in order of set size; nodes keep their largest counts."""
 
     def __init__(self, vec: np.ndarray, n: np.ndarray):
         self.order = np.argsort(n, kind="stable")
-        self.levels = [(vec[self.order].astype(np.int64), n[self.order], n[self.order])]
+        self.levels = [(vec[self.order], n[self.order], n[self.order])]
         while len(self.levels[-1][1]) > FANOUT:
             high, low_n, high_n = self.levels[-1]
             starts = np.arange(0, len(low_n), FANOUT)
@@ -361,10 +366,10 @@ class CountTree:
             ok = (100 * n[q] >= percent * low_n[node]) & (100 * high_n[node] >= percent * n[q])
             q, node = q[ok], node[ok]
             keep = np.zeros(len(q), bool)
-            for i in range(0, len(q), 1 << 14):
-                a, b = q[i:i + (1 << 14)], node[i:i + (1 << 14)]
+            for i in range(0, len(q), 1 << 12):
+                a, b = q[i:i + (1 << 12)], node[i:i + (1 << 12)]
                 bound = np.minimum(vec[a], high[b]).sum(1)
-                keep[i:i + (1 << 14)] = bound >= overlap_needed(n[a], low_n[b], percent)
+                keep[i:i + (1 << 12)] = bound >= overlap_needed(n[a], low_n[b], percent)
             q, node = q[keep], node[keep]
             if level:
                 below = len(self.levels[level - 1][1])
@@ -378,7 +383,7 @@ def _group_pairs(c: np.ndarray, comp: np.ndarray, n: np.ndarray, vec: np.ndarray
     """Pairs of one group's classes, in different components, that the tree lets pass."""
     tree = CountTree(vec, n)
     for i in range(0, len(c), 1024):
-        q, p = tree.search(vec[i:i + 1024].astype(np.int64), n[i:i + 1024], percent)
+        q, p = tree.search(vec[i:i + 1024], n[i:i + 1024], percent)
         q = q + i
         ok = (c[q] < c[p]) & (comp[q] != comp[p])
         yield np.stack([c[q[ok]], c[p[ok]]], 1)
@@ -391,7 +396,7 @@ def _search(rows: DataFrame, percent: int) -> DataFrame:
 
         def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
             s, c, comp, n = (t[x].to_numpy() for x in ("s", "c", "comp", "n"))
-            vec = np.frombuffer(b"".join(t["vec"].to_pylist()), "<u4").reshape(-1, GROUPS)
+            vec = _wide(np.frombuffer(b"".join(t["vec"].to_pylist()), np.uint8).reshape(-1, GROUPS))
             starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
             ends = np.r_[starts[1:], len(s)]
             found = [np.zeros((0, 2), np.int64)]
@@ -423,10 +428,11 @@ def _search(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _folded(classes: DataFrame) -> DataFrame:
-    """The classes with their count vectors over GROUPS groups."""
+    """The classes with their count vectors over GROUPS groups in a byte each; 255 stands for any
+    larger count (see ``_wide``)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vec = [fold(np.frombuffer(v, "<u4")).astype("<u4").tobytes() for v in b.column("vec").to_pylist()]
+            vec = [np.minimum(fold(np.frombuffer(v, "<u4")), 255).astype(np.uint8).tobytes() for v in b.column("vec").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(vec, pa.binary()) if n == "vec" else c
                                               for n, c in zip(b.schema.names, b.columns)], b.schema.names)
 

@@ -132,7 +132,7 @@ def test_search_by_tree_and_by_neighbours(spark):
             rows += [(s, len(rows), len(rows), int(v.sum()), v)]
     near = [(s, c + 10_000, c + 10_000, n, v) for s, c, _, n, v in rows]
     everything = rows + near
-    df = spark.createDataFrame([(s, c, comp, n, bytearray(v.astype("<u4").tobytes())) for s, c, comp, n, v in everything],
+    df = spark.createDataFrame([(s, c, comp, n, bytearray(v.astype(np.uint8).tobytes())) for s, c, comp, n, v in everything],
                                "s long, c long, comp long, n long, vec binary").repartition(4, "s").sortWithinPartitions("s")
     got = {tuple(r) for r in jaccard._search(df, 85).collect()}
     want = {tuple(sorted((a[1], b[1]))) for i, a in enumerate(everything) for b in everything[:i] if a[0] == b[0]
