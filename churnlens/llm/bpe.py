@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from churnlens.llm import text as tx
 from churnlens.llm.registry import query, small_batches, table, tokenizer_path
-from churnlens.llm.units import CACHE_UNITS, UnitCache, added_tokens_are_local, combined_units
+from churnlens.llm.units import UnitCache, added_tokens_are_local, combined_units
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Entries of the pair table kept by one worker.
@@ -132,8 +132,8 @@ class Vocabulary:
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))
                                          + ")").split if self.added else None
         self.added_starts = {s[0] for s in self.added}
-        self.words = UnitCache(lambda ws: [self._word_bytes(w) for w in ws], CACHE_UNITS)
-        self.units = UnitCache(lambda us: self._encode_raw([" " + u for u in us]), 2 * CACHE_UNITS)
+        self.words = UnitCache(lambda ws: [self._word_bytes(w) for w in ws])
+        self.units = UnitCache(lambda us: self._encode_raw([" " + u for u in us]))
 
     def _merges_early(self, a: int, b: int, before: int) -> bool:
         """True if some merge joins bytes of token a to bytes of b at a rank below ``before``.
@@ -236,6 +236,9 @@ def offset_table(path: str) -> OffsetTable:
     return OffsetTable(path)
 
 
+tx.KEPT += [vocabulary.cache_clear, offset_table.cache_clear]
+
+
 def _encoded(v: Vocabulary, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(ids, offsets) of a column of texts."""
     ids = list(v.encode([t or "" for t in texts.to_pylist()]))

@@ -206,6 +206,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item
 
 def _scan(rows: tuple, text_col: str, k: int, similarity: float, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tx.release()
         items = _items(rows, k, similarity)
         for whole in batches:
             for b in tx.slices(whole, text_col):

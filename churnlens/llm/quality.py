@@ -242,6 +242,7 @@ def judge(df: DataFrame, model: Crf | None, text_col: str = "text", min_content:
     base = df.drop(*[f.name for f in added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tx.release()
         for whole in batches:
             for b in tx.slices(whole, text_col):
                 data, off = tx.column_bytes(b.column(b.schema.get_field_index(text_col)))

@@ -10,7 +10,7 @@ sequence.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -38,8 +38,15 @@ class Words(NamedTuple):
     first: np.ndarray     # index of each document's first word, plus the total
 
 
+#: What other operators have left in this worker and can make again.
+KEPT: list[Callable[[], None]] = []
+
+
 def release() -> None:
-    """Give freed memory back to the system (glibc only; elsewhere nothing happens)."""
+    """Drop what earlier operators keep in this worker, and give freed memory back to the system
+    (glibc only)."""
+    for drop in KEPT:
+        drop()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
