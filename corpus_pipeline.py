@@ -18,6 +18,9 @@ from churnlens.llm.registry import table, tokenizer_path
 from churnlens.llm.storage import new_folder
 
 _WORD = r"[^\x20\x09-\x0D]"
+#: Near copies share 80 % of their five-word shingles (the op9 query has a contract of its own).
+NEAR_SHINGLE = 5
+NEAR_PERCENT = 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +39,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the smallest id) of each group of near copies; rows without an id stay."""
-    marked = jaccard_components(docs.select("doc_id", "text", F.xxhash64("text").alias("th")))
+    marked = jaccard_components(docs.select("doc_id", "text", F.xxhash64("text").alias("th")),
+                                k=NEAR_SHINGLE, percent=NEAR_PERCENT)
     gone = marked.filter("component_id <> doc_id").select(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th"))
     # Ids may repeat with other texts: the text's hash is part of the key.
     return docs.join(gone, (docs["doc_id"] == F.col("g_id")) & (F.xxhash64(docs["text"]) == F.col("g_th")), "left_anti")

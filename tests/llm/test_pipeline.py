@@ -30,6 +30,23 @@ def test_planted_cases(spark, tmp_path):
     assert len(corpus_pipeline.STAGES) == 5
 
 
+def test_near_copies_by_five_words(spark):
+    # Alike by five words at 80 %, not by four words at 85 % (op9's contract).
+    words = [f"w{i}" for i in range(100)]
+
+    def jaccard(a, b, k):
+        x, y = ({tuple(t.split()[i:i + k]) for i in range(len(t.split()) - k + 1)} for t in (a, b))
+        return len(x & y) / len(x | y)
+
+    base = " ".join(words)
+    between = " ".join(words[:90] + [f"n{i}" for i in range(10)])
+    far = " ".join(words[:80] + [f"f{i}" for i in range(20)])
+    assert jaccard(base, between, 5) >= 0.8 and jaccard(base, between, 4) < 0.85
+    assert jaccard(base, far, 5) < 0.8 and jaccard(between, far, 5) < 0.8
+    docs = spark.createDataFrame([(1, base), (2, between), (3, far)], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, SF).collect()} == {1, 3}
+
+
 def test_every_operator_has_a_query(spark):
     names = entry.queries()
     for n in range(1, 11):
