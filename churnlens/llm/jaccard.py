@@ -16,7 +16,8 @@ sets form a class. Two classes link when ``100 * common >= percent * union``.
    group is expanded into all its pairs.
 4. Classes of different components that share a prefix shingle are searched by an R-tree of their
    count vectors (folded to ``GROUPS`` groups): a node's largest counts bound the overlap with any
-   class below it by the sum of the smaller coordinates.
+   class below it by the sum of the smaller coordinates. Larger groups are dealt into blocks of about
+   ``BLOCK`` classes; each pair of blocks is searched by itself, but not two blocks of one component.
 5. A pair is verified only if the full count vectors' bound lets it link. The texts of the classes in
    such pairs are found by a bitmap of fixed size and a join; their sets meet at one of the two,
    split into parts where very many do, and are intersected.
@@ -36,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,6 +63,10 @@ BUCKET_BYTES = 16 << 20
 #: Rarest and most common shared shingles by which a class looks for centres.
 CENTRES = 2
 FANOUT = 16
+#: Classes of a group that are searched at once; larger groups are dealt into blocks of this size.
+BLOCK = 1 << 14
+#: Pairs of queries and nodes that a search starts from, and pairs that it holds before it sends them.
+SEARCH_PAIRS = 1 << 20
 #: Partners of a class that one part of its verification is planned for.
 PARTNERS = 256
 #: Bits of the map of rows whose texts are wanted (its size does not depend on the data).
@@ -339,9 +344,13 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percen
             .mapInArrow(meet, "a long, b long").distinct())
 
 
-def _wide(vec: np.ndarray) -> np.ndarray:
-    """Counts from bytes; 255 bounds nothing."""
-    return np.where(vec == 255, 1 << 30, vec.astype(np.int64))
+def _common_bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sums of the smaller counts by row; in bytes, 255 in both bounds nothing."""
+    low = np.minimum(x, y)
+    bound = low.sum(1, dtype=np.int64)
+    if low.dtype == np.uint8:
+        bound[(low == 255).any(1)] = 1 << 40
+    return bound
 
 
 class CountTree:
@@ -368,8 +377,7 @@ class CountTree:
             keep = np.zeros(len(q), bool)
             for i in range(0, len(q), 1 << 12):
                 a, b = q[i:i + (1 << 12)], node[i:i + (1 << 12)]
-                bound = np.minimum(vec[a], high[b]).sum(1)
-                keep[i:i + (1 << 12)] = bound >= overlap_needed(n[a], low_n[b], percent)
+                keep[i:i + (1 << 12)] = _common_bound(vec[a], high[b]) >= overlap_needed(n[a], low_n[b], percent)
             q, node = q[keep], node[keep]
             if level:
                 below = len(self.levels[level - 1][1])
@@ -379,57 +387,115 @@ class CountTree:
         return q, self.order[node]
 
 
-def _group_pairs(c: np.ndarray, comp: np.ndarray, n: np.ndarray, vec: np.ndarray, percent: int) -> Iterator[np.ndarray]:
-    """Pairs of one group's classes, in different components, that the tree lets pass."""
-    tree = CountTree(vec, n)
-    for i in range(0, len(c), 1024):
-        q, p = tree.search(vec[i:i + 1024], n[i:i + 1024], percent)
-        q = q + i
-        ok = (c[q] < c[p]) & (comp[q] != comp[p])
-        yield np.stack([c[q[ok]], c[p[ok]]], 1)
+def _group_pairs(c: np.ndarray, comp: np.ndarray, n: np.ndarray, vec: np.ndarray, side: np.ndarray,
+                 percent: int) -> Iterator[np.ndarray]:
+    """Pairs of one group's classes, in different components, that the tree lets pass. Where classes
+    stand on side 1, only pairs across the sides."""
+    points = np.flatnonzero(side == 0)
+    queries = np.flatnonzero(side == 1) if side.any() else points
+    tree = CountTree(vec[points], n[points])
+    step = min(1024, max(1, SEARCH_PAIRS // max(len(points), 1)))
+    for i in range(0, len(queries), step):
+        at = queries[i:i + step]
+        q, p = tree.search(vec[at], n[at], percent)
+        q, p = at[q], points[p]
+        ok = (comp[q] != comp[p]) & ((c[q] < c[p]) | (side[q] == 1))
+        yield np.sort(np.stack([c[q[ok]], c[p[ok]]], 1), axis=1)
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """Members (s, c, comp) of groups with the pairs of blocks (i, j) that they are searched in and their
+    side there. A component of a block or more has blocks of its own, which never meet each other; the
+    group's other classes share blocks. Groups of one block have the pair (0, 0)."""
+    sizes = members.groupBy("s", "comp").agg(F.count(F.lit(1)).alias("m"))
+    own = F.col("m") >= BLOCK
+    of_group = sizes.groupBy("s").agg(F.sum("m").alias("size"), F.sum(F.when(~own, F.col("m")).otherwise(0)).alias("rest"),
+                                      F.count_if(own).alias("n_own")).filter(F.col("size") > BLOCK).checkpoint()
+    ceil = lambda x: F.expr(f"({x} + {BLOCK - 1}) div {BLOCK}")     # noqa: E731
+    # The blocks of large components follow the shared ones; few rows, each stands for a block or more.
+    before = Window.partitionBy("s").orderBy("comp").rowsBetween(Window.unboundedPreceding, -1)
+    large = (sizes.filter(own).join(of_group, "s").withColumn("width", ceil("m"))
+             .select("s", "comp", "width", (ceil("rest") + F.coalesce(F.sum("width").over(before), F.lit(0))).alias("low"))
+             .checkpoint())
+    total = (of_group.join(large.groupBy("s").agg(F.sum("width").alias("wide")), "s", "left")
+             .select("s", ceil("rest").alias("shared"), (ceil("rest") + F.coalesce("wide", F.lit(0))).alias("total")))
+    dealt = members.join(total, "s", "left").join(large, ["s", "comp"], "left")
+    mine = F.coalesce(F.col("low"), F.lit(0)) + F.pmod(F.xxhash64("c"), F.coalesce("width", "shared", F.lit(1)))
+    dealt = dealt.withColumn("mine", mine).withColumn("other", F.explode(F.expr(
+        "CASE WHEN total IS NULL THEN array(0L) "
+        "ELSE filter(sequence(0L, total - 1), x -> low IS NULL OR x < low OR x >= low + width) END")))
+    return dealt.select("s", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "c", "comp",
+                        (F.col("mine") > F.col("other")).cast("int").alias("side"))
 
 
 def _search(rows: DataFrame, percent: int) -> DataFrame:
-    """Distinct candidate pairs of rows (s, c, comp, n, vec) that stand together by shingle s."""
+    """Distinct candidate pairs of rows (s, c, comp, n, vec) that stand together by shingle s and, if
+    the rows have them, blocks i and j."""
+    if "i" not in rows.columns:
+        rows = rows.select("*", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("side"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        held: list[pa.RecordBatch] = []
+
+        def starts_of(t: pa.RecordBatch | pa.Table) -> np.ndarray:
+            new = np.zeros(t.num_rows, bool)
+            new[:1] = True
+            for x in ("s", "i", "j"):
+                v = t[x].to_numpy()
+                new[1:] |= v[1:] != v[:-1]
+            return np.flatnonzero(new)
+
+        def name(t: pa.RecordBatch, at: int) -> list:
+            return [t[x][at] for x in ("s", "i", "j")]
 
         def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            s, c, comp, n = (t[x].to_numpy() for x in ("s", "c", "comp", "n"))
-            vec = _wide(np.frombuffer(b"".join(t["vec"].to_pylist()), np.uint8).reshape(-1, GROUPS))
-            starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-            ends = np.r_[starts[1:], len(s)]
+            c, comp, n, side = (t[x].to_numpy() for x in ("c", "comp", "n", "side"))
+            vec = np.frombuffer(b"".join(t["vec"].to_pylist()), np.uint8).reshape(-1, GROUPS)
+            starts = starts_of(t)
+            ends = np.r_[starts[1:], t.num_rows]
+            group = np.repeat(np.arange(len(starts)), ends - starts)
             found = [np.zeros((0, 2), np.int64)]
             small = ends - starts <= FANOUT
             # Groups that fill no node: neighbours at distance 1, 2, ... of all such groups at once.
             for gap in range(1, int((ends - starts)[small].max(initial=0))):
-                i = np.arange(len(s) - gap)
-                i = i[(s[i] == s[i + gap]) & (comp[i] != comp[i + gap]) & np.repeat(small, ends - starts)[i]]
+                i = np.arange(len(group) - gap)
+                i = i[(group[i] == group[i + gap]) & (comp[i] != comp[i + gap]) & small[group[i]]]
                 j = i + gap
                 i, j = (x[100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])] for x in (i, j))
-                ok = np.minimum(vec[i], vec[j]).sum(1, dtype=np.int64) >= overlap_needed(n[i], n[j], percent)
+                ok = _common_bound(vec[i], vec[j]) >= overlap_needed(n[i], n[j], percent)
                 found.append(np.sort(np.stack([c[i[ok]], c[j[ok]]], 1), axis=1))
             for b, e in zip(starts[~small], ends[~small]):
-                found += _group_pairs(c[b:e], comp[b:e], n[b:e], vec[b:e], percent)
-            out = np.unique(np.concatenate(found), axis=0)
-            yield pa.RecordBatch.from_pydict({"a": out[:, 0], "b": out[:, 1]})
+                for some in _group_pairs(c[b:e], comp[b:e], n[b:e], vec[b:e], side[b:e], percent):
+                    found.append(some)
+                    if sum(map(len, found)) > SEARCH_PAIRS:
+                        yield distinct(found)
+                        found = []
+            yield distinct(found)
 
-        for b in batches:
-            held = pa.Table.from_batches([b] if held is None else [*held.to_batches(), b])
-            s = held["s"].to_numpy()
-            whole = int(np.searchsorted(s, s[-1]))       # the last group may go on in the next batch
-            if whole:
-                yield from pairs(held.slice(0, whole).combine_chunks())
-                held = held.slice(whole)
-        if held is not None and held.num_rows:
-            yield from pairs(held.combine_chunks())
+        def distinct(found: list[np.ndarray]) -> pa.RecordBatch:
+            out = np.unique(np.concatenate(found or [np.zeros((0, 2), np.int64)]), axis=0)
+            return pa.RecordBatch.from_pydict({"a": out[:, 0], "b": out[:, 1]})
 
-    return rows.select("s", "c", "comp", "n", "vec").mapInArrow(run, "a long, b long").distinct()
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at = int(starts_of(b)[-1])      # the last group may go on in the next batch
+            if held and name(held[-1], -1) != name(b, 0):
+                yield from pairs(pa.Table.from_batches(held).combine_chunks())
+                held = []
+            if at:
+                yield from pairs(pa.Table.from_batches([*held, b.slice(0, at)]).combine_chunks())
+                held = []
+            held.append(b.slice(at))
+        if held:
+            yield from pairs(pa.Table.from_batches(held).combine_chunks())
+
+    return rows.select("s", "i", "j", "side", "c", "comp", "n", "vec").mapInArrow(run, "a long, b long").distinct()
 
 
 def _folded(classes: DataFrame) -> DataFrame:
     """The classes with their count vectors over GROUPS groups in a byte each; 255 stands for any
-    larger count (see ``_wide``)."""
+    larger count (see ``_common_bound``)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             vec = [np.minimum(fold(np.frombuffer(v, "<u4")), 255).astype(np.uint8).tobytes() for v in b.column("vec").to_pylist()]
@@ -471,9 +537,11 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         "s", "c", F.coalesce("component", "c").alias("comp"))
     mixed = (members.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
              .filter("lo < hi").select("s"))
-    rows = members.join(mixed, "s", "left_semi").join(_folded(classes.select("c", "n", "vec")), "c")
+    blocks = _blocks(members.join(mixed, "s", "left_semi").checkpoint())
+    rows = blocks.join(_folded(classes.select("c", "n", "vec")), "c")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = _search(small_batches(rows.repartition(parts, "s").sortWithinPartitions("s")), percent)
+    rows = rows.repartition(parts, "s", "i", "j").sortWithinPartitions("s", "i", "j")
+    pairs = _search(small_batches(rows), percent)
     second = _links(pairs, classes, texts, k, percent)
     links = first.unionByName(second).checkpoint()
     comps = connected_components(links)

@@ -141,6 +141,47 @@ def test_search_by_tree_and_by_neighbours(spark):
     assert got == want and len(want) >= len(rows)
 
 
+def test_large_groups_are_searched_in_blocks(spark, monkeypatch):
+    # One shingle shared by a large component, outsiders and copies that do not link with each other.
+    monkeypatch.setattr(jaccard, "BLOCK", 40)
+    comp = {c: 0 if c < 400 else 400 if c < 450 else c for c in range(520)}
+    rows = [(1, c, comp[c]) for c in comp] + [(2, c, comp[c]) for c in range(395, 405)]
+    got = jaccard._blocks(spark.createDataFrame(rows, "s long, c long, comp long")).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault((r.s, r.i, r.j), ([], []))[r.side].append(r.c)
+    assert max(len(a) + len(b) for a, b in groups.values()) < 2 * 2 * 40
+    assert all(len({comp[c] for c in a + b}) > 1 for a, b in groups.values())
+    assert sorted(groups[2, 0, 0][0]) == list(range(395, 405))
+    met = [tuple(sorted((x, y))) for (s, i, j), (a, b) in groups.items() if s == 1
+           for x in a for y in (b if i < j else a) if x != y and comp[x] != comp[y]]
+    assert {(x, y) for x in comp for y in range(x) if comp[x] != comp[y]} == {(y, x) for x, y in met}
+
+    rng = np.random.default_rng(4)
+    vec = {c: rng.integers(0, 4, jaccard.GROUPS) * (1 if c % 7 else 90) for c in range(300)}     # also counts above 255
+    vec |= {c + 300: v for c, v in vec.items() if c + 300 < 520}
+    size = {c: int(v.sum()) for c, v in vec.items()}
+    info = spark.createDataFrame([(c, size[c], bytearray(np.minimum(v, 255).astype(np.uint8).tobytes())) for c, v in vec.items()],
+                                 "c long, n long, vec binary")
+    dealt = jaccard._blocks(spark.createDataFrame(rows, "s long, c long, comp long")).join(info, "c")
+    found = {tuple(r) for r in jaccard._search(dealt.repartition(3, "s", "i", "j").sortWithinPartitions("s", "i", "j"), 85).collect()}
+    want = {(c, c + 300) for c in range(220) if comp[c] != comp[c + 300]}
+    assert len(want) > 100 and want <= found and all(comp[a] != comp[b] for a, b in found)
+
+
+def test_groups_in_blocks_keep_the_components(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 6)
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(200)]
+    texts = []
+    for i in range(40):
+        near = base.copy()
+        for j in rng.sample(range(4, 196, 8), 2 + i % 3):
+            near[j] = f"x{i}.{j}"
+        texts.append(" ".join(near))
+    check(spark, texts + corpus(3, 10))
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(200, 260)] + [(300, i) for i in range(301, 340)] + [(5, 5), (None, 4)]
