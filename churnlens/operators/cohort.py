@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlens.config import CohortParams
-from churnlens.functions.prefix import top_k_per_group
+from churnlens.functions.prefix import global_order, top_k_per_group
 from churnlens.functions.quantiles import grouped_quantiles
 from churnlens.functions.columns import small_table
 from churnlens.session import cut_lineage
@@ -224,23 +224,64 @@ def _last_window(events: DataFrame, n_days: int) -> DataFrame:
             .filter(F.col("event_date") >= F.date_sub("__last", n_days)).drop("__last"))
 
 
-#: Longest sequence that C17 builds: the last events of a customer (a bot may have millions).
-MAX_SEQUENCE = 10_000
+#: Events (or letters) of a sequence by which C17 chooses among equal counts before it builds whole sequences.
+PREFIX_EVENTS = 1_000
+_ARROW = " -> "
 
 
 def churn_sequences(events: DataFrame, customers: DataFrame, n_days: int = 30, top_n: int = 5,
-                    order_col: str = "event_id", max_events: int = MAX_SEQUENCE) -> DataFrame:
-    """C17: churned customers' events of the last ``n_days`` (of each customer at most the last
-    ``max_events``) joined by `` -> ``; top-N."""
+                    order_col: str = "event_id", max_events: int | None = None) -> DataFrame:
+    """C17: churned customers' events of the last ``n_days`` (with ``max_events``, of each customer at
+    most that many) joined by `` -> ``; top-N.
+
+    Sequences are counted by fingerprints of 128 bits (sums of hashes of event and position, so a
+    customer's events need not meet in one task); only the top candidates' sequences are built.
+    """
     churned = customers.filter(F.col("churn_label") == 1).select("customer_id")
-    ev = events.join(churned, "customer_id", "left_semi")
-    latest = Window.partitionBy("customer_id").orderBy(F.desc("event_date"), F.desc(order_col))
-    win = _last_window(ev, n_days).withColumn("__rn", F.row_number().over(latest)).filter(F.col("__rn") <= max_events)
-    seq = win.groupBy("customer_id").agg(
-        F.array_sort(F.collect_list(F.struct("event_date", order_col, "event_type"))).alias("__s"))
-    seq = seq.select(F.array_join(F.transform("__s", lambda x: x["event_type"]), " -> ").alias("sequence"))
-    counts = seq.filter(F.col("sequence") != "").groupBy("sequence").agg(F.count(F.lit(1)).alias("count"))
-    return counts.orderBy(F.desc("count"), F.asc("sequence")).limit(top_n)
+    win = _last_window(events.join(churned, "customer_id", "left_semi"), n_days)
+    if max_events is not None:
+        latest = Window.partitionBy("customer_id").orderBy(F.desc("event_date"), F.desc(order_col))
+        win = win.withColumn("__rn", F.row_number().over(latest)).filter(F.col("__rn") <= max_events)
+    win = (win.filter(F.col("event_type").isNotNull())
+           .select("customer_id", "event_date", F.col(order_col).alias("__o"), "event_type"))
+    piece = F.concat("event_type", F.lit(_ARROW))
+    # Where a type's own text may pass for the separator, sequences are compared by letters.
+    if events.filter(F.locate(_ARROW, piece) <= F.length("event_type")).isEmpty():
+        units = win.withColumn("__at", F.lit(0)).withColumn("__unit", F.col("event_type"))
+    else:
+        units = win.select("*", F.posexplode(F.split(piece, "")).alias("__at", "__unit"))
+    ranked = global_order(units, [("event_date", True), ("__o", True), ("event_type", True), ("__at", True)],
+                          rank_col="__pos", partition_by=["customer_id"])
+    prints = ranked.groupBy("customer_id").agg(
+        F.count(F.lit(1)).alias("__n"), F.count_if(F.col("__at") == 0).alias("__events"), F.max(F.length("event_type")).alias("__long"),
+        *[F.sum(F.xxhash64(F.lit(i), "__pos", "__unit").cast("decimal(20,0)")).alias(f"__h{i}") for i in (0, 1)])
+    prints = prints.filter((F.col("__events") > 1) | (F.col("__long") > 0))      # the sequence is not empty
+    counts = cut_lineage(prints.groupBy("__n", "__h0", "__h1").agg(
+        F.count(F.lit(1)).alias("count"), F.min_by(F.struct("customer_id", "__n"), "customer_id").alias("__c"))
+        .select("__c.*", "count"))
+    least = counts.orderBy(F.desc("count")).limit(top_n).agg(F.min("count")).first()[0] or 0
+    top = counts.filter(F.col("count") >= least)
+
+    def built(rows: DataFrame) -> DataFrame:
+        s = F.array_sort(F.collect_list(F.struct("__pos", "event_type")))
+        return rows.groupBy("customer_id").agg(F.array_join(F.transform(s, lambda x: x["event_type"]), _ARROW).alias("sequence"))
+
+    # Of the equal counts at the end, those that their first events do not rule out.
+    first = (ranked.filter((F.col("__pos") <= PREFIX_EVENTS) & (F.col("__at") == 0))
+             .join(top.filter(F.col("count") == least).select("customer_id"), "customer_id", "left_semi"))
+    ties = cut_lineage(built(first).join(top, "customer_id"))
+    smallest = ties.orderBy("sequence").limit(top_n).collect()      # at most top_n short texts
+    stays = F.lit(False)
+    if smallest:
+        stays = F.col("sequence") <= smallest[-1]["sequence"]
+        for r in smallest:
+            if r["__n"] > PREFIX_EVENTS:
+                stays = stays | F.startswith("sequence", F.lit(r["sequence"]))
+    chosen = (top.filter(F.col("count") > least).select("customer_id", "count")
+              .unionByName(ties.filter(stays).select("customer_id", "count")))
+    whole = built(ranked.filter(F.col("__at") == 0).join(chosen.select("customer_id"), "customer_id", "left_semi"))
+    return (whole.join(chosen, "customer_id").select("sequence", "count")
+            .orderBy(F.desc("count"), F.asc("sequence")).limit(top_n))
 
 
 def pre_churn_events(events: DataFrame, customers: DataFrame, n_days: int = 30) -> DataFrame:

@@ -160,3 +160,35 @@ def test_sequences_are_bounded(spark):
         .withColumn("event_date", F.lit("2024-01-01").cast("date"))
     cu = spark.createDataFrame([(1, 1)], "customer_id long, churn_label int")
     assert cohort.churn_sequences(ev, cu, max_events=3).first()["sequence"] == "e1 -> e0 -> e1"
+
+
+def test_long_sequences_are_whole(spark):
+    # Two customers whose long sequences differ in the first event only; a third has a short one.
+    n = 10_001
+    ev = spark.range(2 * n).select((F.col("id") % 2).alias("customer_id"), F.floor(F.col("id") / 2).alias("event_id")) \
+        .withColumn("event_type", F.when(F.col("event_id") == 0, F.concat(F.lit("s"), "customer_id")).otherwise(F.lit("x")))
+    ev = ev.unionByName(spark.createDataFrame([(7, 0, "z")], "customer_id long, event_id long, event_type string"))
+    ev = ev.withColumn("event_date", F.lit("2024-01-01").cast("date"))
+    cu = spark.createDataFrame([(c, 1) for c in (0, 1, 7)], "customer_id long, churn_label int")
+    got = [(r["sequence"], r["count"]) for r in cohort.churn_sequences(ev, cu).collect()]
+    assert got == [(" -> ".join([f"s{c}"] + ["x"] * (n - 1)), 1) for c in (0, 1)] + [("z", 1)]
+
+
+@pytest.mark.parametrize("types", [["a", "b", None, ""], ["a", "a -> b", "b", "b ->", None, ""]])
+def test_sequences_match_brute_force(spark, types, monkeypatch):
+    import random
+    from collections import Counter
+    monkeypatch.setattr(cohort, "PREFIX_EVENTS", 3)
+    rng = random.Random(6)
+    rows = [(c, i, rng.choice(types)) for c in range(60) for i in range(rng.randint(1, 2 + c // 10))]
+    by_customer = {}
+    for c, _, t in rows:
+        by_customer.setdefault(c, []).append(t)
+    want = Counter(" -> ".join(t for t in ts if t is not None) for ts in by_customer.values())
+    want.pop("", None)
+    ev = spark.createDataFrame(rows, "customer_id long, event_id long, event_type string") \
+        .withColumn("event_date", F.lit("2024-01-01").cast("date"))
+    cu = spark.createDataFrame([(c, 1) for c in by_customer], "customer_id long, churn_label int")
+    for top_n in (1, 5, 20):
+        got = [(r["sequence"], r["count"]) for r in cohort.churn_sequences(ev, cu, top_n=top_n).collect()]
+        assert got == sorted(want.items(), key=lambda x: (-x[1], x[0]))[:top_n]
