@@ -32,7 +32,7 @@ also where ids repeat; other columns are kept, those named like the result's rep
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -69,6 +69,8 @@ BLOCK = 1 << 14
 SEARCH_PAIRS = 1 << 20
 #: Partners of a class that one part of its verification is planned for.
 PARTNERS = 256
+#: Places to which one row sends its class's set; a class with more has several rows.
+TARGETS = 256
 #: Bits of the map of rows whose texts are wanted (its size does not depend on the data).
 WANTED_BITS = 23
 
@@ -290,6 +292,30 @@ def _wanted(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return docs.filter(may_be(at))
 
 
+def _target_lists(sends: DataFrame) -> DataFrame:
+    """(c, to): the targets (a, part, role) of each class, dealt into lists of about TARGETS."""
+    size = sends.groupBy("c").agg(F.expr(f"count(*) div {TARGETS} + 1").alias("lists"))
+    salt = F.pmod(F.xxhash64("a", "part", "role"), F.col("lists"))
+    return (sends.join(size, "c").groupBy("c", salt.alias("salt")).agg(F.collect_list(F.struct("a", "part", "role")).alias("to"))
+            .select("c", "to"))
+
+
+def set_copies(rows: Iterable[tuple[int, list[dict], bytes]], limit: int) -> Iterator[dict[str, list]]:
+    """Columns with a copy of a class's set for each of its targets; rows are (class, targets, set). A
+    part ends when its sets have ``limit`` bytes."""
+    names = ("a", "part", "role", "c", "set")
+    out, held = {n: [] for n in names}, 0
+    for c, to, data in rows:
+        for x in to:
+            for name, value in (*x.items(), ("c", c), ("set", data)):
+                out[name].append(value)
+            held += len(data)
+            if held >= limit:
+                yield out
+                out, held = {n: [] for n in names}, 0
+    yield out
+
+
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Of pairs (a, b) of classes those that link, verified on their sets.
 
@@ -302,24 +328,16 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percen
     sends = dealt.select(F.col("b").alias("c"), "a", "part", F.lit(1).alias("role"))
     sends = sends.unionByName(size.select(F.col("a").alias("c"), "a", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"),
                                           F.lit(0).alias("role")))
-    sends = (sends.groupBy("c").agg(F.collect_list(F.struct("a", "part", "role")).alias("to"))
-             .join(classes.select("c", "key"), "c").checkpoint())
+    sends = _target_lists(sends).join(classes.select("c", "key"), "c").checkpoint()
     texts = _wanted(docs, sends).join(sends, "key").select("c", "to", "t")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in tx.slices(whole, "t"):
                 h, _, first = shingle_sets(*tx.column_bytes(b.column(2)), k)
-                out = {"a": [], "part": [], "role": [], "c": [], "set": []}
-                for c, to, i, j in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), first, first[1:]):
-                    data = h[i:j].tobytes()
-                    for x in to:
-                        for name, value in (*x.items(), ("c", c), ("set", data)):
-                            out[name].append(value)
-                    if sum(map(len, out["set"][-len(to):])) > tx.BATCH_BYTES:
-                        yield pa.RecordBatch.from_pydict(out, schema=kind)
-                        out = {n: [] for n in out}
-                yield pa.RecordBatch.from_pydict(out, schema=kind)
+                sets = (h[i:j].tobytes() for i, j in zip(first, first[1:]))
+                for out in set_copies(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), sets), tx.BATCH_BYTES):
+                    yield pa.RecordBatch.from_pydict(out, schema=kind)
 
     kind = pa.schema([("a", pa.int64()), ("part", pa.int64()), ("role", pa.int32()), ("c", pa.int64()), ("set", pa.binary())])
 

@@ -182,6 +182,19 @@ def test_groups_in_blocks_keep_the_components(spark, monkeypatch):
     check(spark, texts + corpus(3, 10))
 
 
+def test_sets_are_sent_in_bounded_parts(spark, monkeypatch):
+    to = [{"a": a, "part": 0, "role": 1} for a in range(1000)]
+    parts = list(jaccard.set_copies([(1, to, b"x" * 100), (2, to[:3], b"y" * 7)], 1000))
+    assert max(sum(map(len, p["set"])) for p in parts) <= 1000
+    sent = [(c, a, s) for p in parts for c, a, s in zip(p["c"], p["a"], p["set"])]
+    assert sent == [(1, a, b"x" * 100) for a in range(1000)] + [(2, a, b"y" * 7) for a in range(3)]
+    monkeypatch.setattr(jaccard, "TARGETS", 20)
+    rows = [(1, a, 0, 1) for a in range(1000)] + [(2, 5, 0, 0)]
+    lists = jaccard._target_lists(spark.createDataFrame(rows, "c long, a long, part long, role int")).collect()
+    assert max(len(r.to) for r in lists) < 3 * 20
+    assert sorted((r.c, x.a, x.part, x.role) for r in lists for x in r.to) == rows
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(200, 260)] + [(300, i) for i in range(301, 340)] + [(5, 5), (None, 4)]
