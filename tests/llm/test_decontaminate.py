@@ -69,6 +69,23 @@ def test_index_finds_every_fingerprint_in_the_radius():
     assert set(zip(i.tolist(), j.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(near))))
 
 
+def test_windows_at_the_threshold_are_within_the_radius():
+    # Windows of m distinct shingles with similarity just at or above 0.8: some are 32 bits or more away.
+    rng = np.random.default_rng(3)
+    far = 0
+    for m in (9, 27, 45):
+        n = 4000
+        item = rng.integers(0, 1 << 63, (n, m)).astype(np.uint64)
+        window = item.copy()
+        window[:, :m // 9] = rng.integers(0, 1 << 63, (n, m // 9)).astype(np.uint64)     # 8 of 10 in common
+        apart = np.bitwise_count(dc.fingerprints(item) ^ dc.fingerprints(window)).sum(1, dtype=np.int64)
+        for i in np.argsort(apart)[-3:]:
+            size = dc._Size(m + 4, 5, [(0, item[i])], 0.8)
+            assert len(size.candidates(dc.fingerprints(window[i:i + 1]))[0]) == 1
+        far += int((apart > 31).sum())
+    assert far > 0
+
+
 def test_blocks_of_the_benchmark_and_tricky_rows(spark, tricky):
     items = [(1, "same text of some words that is here twice"), (2, "word"), (3, "other words"), (4, None), (None, "an id is missing here")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
