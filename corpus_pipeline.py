@@ -38,12 +38,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest id) of each group of near copies; rows without an id stay."""
-    marked = jaccard_components(docs.select("doc_id", "text", F.xxhash64("text").alias("th")),
-                                k=NEAR_SHINGLE, percent=NEAR_PERCENT)
-    gone = marked.filter("component_id <> doc_id").select(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th"))
-    # Ids may repeat with other texts: the text's hash is part of the key.
-    return docs.join(gone, (docs["doc_id"] == F.col("g_id")) & (F.xxhash64(docs["text"]) == F.col("g_th")), "left_anti")
+    """One document (the smallest id) of each group of near copies.
+
+    A row without an id stays only if its group has none with an id. Of rows of equal id one stays
+    in a group, of equal id and text (also texts without words) one in all.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("th"))
+    marked = jaccard_components(docs.select(key.alias("id"), "text"), id_col="id", k=NEAR_SHINGLE, percent=NEAR_PERCENT)
+    kept = marked.filter("component_id = id").select("id").distinct()
+    marked = docs.withColumn("__key", key)
+    return marked.join(kept, marked["__key"] == kept["id"], "left_semi").dropDuplicates(["__key"]).drop("__key")
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

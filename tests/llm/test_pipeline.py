@@ -47,6 +47,16 @@ def test_near_copies_by_five_words(spark):
     assert {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, SF).collect()} == {1, 3}
 
 
+def test_near_copies_of_repeated_rows_and_rows_without_id(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(1, a), (1, a), (2, a), (None, a), (None, b), (None, b), (None, b + " more"), (5, c), (5, c + " more"), (5, d),
+            (6, ""), (6, ""), (7, ""), (None, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.near_copies(spark, docs, SF).collect()]
+    start = sorted(((i, (t or "")[:2]) for i, t in got), key=repr)
+    assert start == sorted([(1, "a0"), (None, "b0"), (5, "c0"), (5, "d0"), (6, ""), (7, ""), (None, "")], key=repr)
+
+
 def test_every_operator_has_a_query(spark):
     names = entry.queries()
     for n in range(1, 11):
