@@ -95,8 +95,9 @@ def span_count(mask: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
-def words_of(data: np.ndarray, off: np.ndarray) -> Words:
-    mark = _WORD[data]
+def words_of(data: np.ndarray, off: np.ndarray, table: np.ndarray = _WORD) -> Words:
+    """Maximal runs of bytes that ``table`` marks, within each document."""
+    mark = table[data]
     before = np.empty(len(mark), bool)
     before[:1] = False
     before[1:] = mark[:-1]
