@@ -62,10 +62,13 @@ def allocate_residual(alloc: DataFrame, budget, scenario_col: str | None = None)
     b = _budget_col(budget)
     stats = alloc.groupBy(*part).agg((F.first(b) - F.sum("allocated_budget")).alias("__left"),
                                      F.bool_or(F.col("uplift_score") > 0).alias("__anypos"))
-    med = grouped_quantiles(alloc, "clv", [0.5], part).select(*part, F.col("q").alias("__clvcut"))
-    uq = grouped_quantiles(alloc, "uplift_score", [0.1], part).select(*part, F.col("q").alias("__upfloor"))
-    th = stats.join(med, part, "left").join(uq, part, "left") if part else \
-        stats.crossJoin(med).crossJoin(uq)
+    # Both quantiles from one table of distinct values, in one order.
+    metric = lambda c: F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
+    long = alloc.select(*part, F.explode(F.array(metric("clv"), metric("uplift_score"))).alias("x")).select(*part, "x.*")
+    pick = lambda c, i: F.max(F.when((F.col("metric") == c) & (F.col("q_index") == i), F.col("q")))
+    cuts = grouped_quantiles(long, "value", [0.1, 0.5], [*part, "metric"]).groupBy(*part).agg(
+        pick("clv", 1).alias("__clvcut"), pick("uplift_score", 0).alias("__upfloor"))
+    th = stats.join(cuts, part, "left") if part else stats.crossJoin(F.broadcast(cuts))
     j = alloc.join(F.broadcast(th), part) if part else alloc.crossJoin(F.broadcast(th))
     rem = F.greatest(F.col("cost_per_action") - F.col("allocated_budget"), F.lit(0.0))
     cand = ((rem > 0) & (F.col("clv") >= F.col("__clvcut")) & (F.col("churn_probability") > 0)

@@ -116,13 +116,11 @@ def retention(cohorts: DataFrame, p: CohortParams = CohortParams()) -> DataFrame
     dense = _grid(cnt, ["customers"])
     w = Window.partitionBy("cohort")
     base = F.max(F.when(F.col("cohort_period") == 0, F.col("customers"))).over(w)
-    has0 = cnt.filter(F.col("cohort_period") == 0).count() > 0
-    out = dense.withColumn("__base", base)
-    if has0:
-        out = out.filter(F.col("__base") >= p.min_cohort_size).withColumn(
-            "__r", F.col("customers") / F.col("__base"))
-    else:
-        out = out.withColumn("__r", F.col("customers").cast("double"))
+    any_base = cnt.agg(F.coalesce(F.bool_or(F.col("cohort_period") == 0), F.lit(False)).alias("__any"))     # one row
+    out = dense.withColumn("__base", base).crossJoin(F.broadcast(any_base))
+    # Without a period 0 anywhere the counts stand for the shares.
+    out = out.filter(~F.col("__any") | (F.col("__base") >= p.min_cohort_size)).withColumn(
+        "__r", F.when(F.col("__any"), F.try_divide("customers", "__base")).otherwise(F.col("customers").cast("double")))
     wr = Window.partitionBy("cohort").orderBy("cohort_period").rowsBetween(Window.unboundedPreceding, 0)
     return (out.withColumn("retention", F.min("__r").over(wr))
             .select("cohort", "cohort_period", "customers", "retention"))
@@ -216,6 +214,67 @@ def full_cohort_analysis(cohorts: DataFrame, p: CohortParams = CohortParams()) -
     return milestones(ret, p.milestones).join(half_life(ret), "cohort", "left")
 
 
+def cohort_report(cohorts: DataFrame, p: CohortParams = CohortParams(), revenue_col: str = "revenue") -> DataFrame:
+    """The whole analysis as one long table with a row for each cell (cohort, period), each period
+    over all cohorts, each cohort over its periods, and all.
+
+    The events are read once, into one row a customer, cohort and period; these become the table of the cells, which
+    the number of cohorts and periods bounds, and GROUPING SETS over it give the four ``level``s:
+
+    * ``customers``: distinct customers of a cell, their sum over the cohorts of a period, and each customer
+      once for a cohort and in all; ``events``, ``revenue`` and ``avg_order_value`` likewise;
+    * ``retention`` and ``churn_rate`` (1 - retention) of a cell (the running minimum, as ``retention`` gives it), and
+      their mean at the other levels, so the rows of the periods are the average curve; ``period_churn`` likewise;
+    * ``cumulative_revenue`` of a cell, over the periods so far;
+    * ``max_period``, ``avg_lifetime_periods`` (mean of the customers' last periods) and ``half_life`` (first period
+      index below one half) of a cohort.
+
+    Cohorts below the minimum size are left out; those whose period 0 is below it, and periods beyond the
+    maximum, have no retention. Rows without a customer, cohort or period are left out.
+    """
+    rows = cohorts.filter(F.col("customer_id").isNotNull() & F.col("cohort").isNotNull() & F.col("cohort_period").isNotNull())
+    cell = rows.groupBy("cohort", "customer_id", "cohort_period").agg(
+        F.count(F.lit(1)).alias("events"), F.sum(revenue_col).alias("revenue"), F.count(revenue_col).alias("orders"))
+    mine = Window.partitionBy("cohort", "customer_id")
+    cell = cell.withColumns({"__new": (F.col("cohort_period") == F.min("cohort_period").over(mine)).cast("long"),
+                             "__last": F.max("cohort_period").over(mine)})
+    cells = cut_lineage(cell.groupBy("cohort", "cohort_period").agg(
+        F.count(F.lit(1)).alias("customers"), F.sum("__new").alias("new"), F.sum(F.col("__new") * F.col("__last")).alias("life"),
+        F.sum("events").alias("events"), F.sum("revenue").alias("revenue"), F.sum("orders").alias("orders")))
+    whole = Window.partitionBy("cohort")
+    cells = cells.withColumn("__size", F.sum("new").over(whole)).filter(F.col("__size") >= p.min_cohort_size).drop("__size")
+    near = cells.filter(F.col("cohort_period") <= p.max_periods)
+    values = ["customers", "new", "life", "events", "revenue", "orders"]
+    dense = _grid(near, values).withColumn("seen", F.col("events") > 0)
+    ordered = whole.orderBy("cohort_period")
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    base = F.max(F.when(F.col("cohort_period") == 0, F.col("customers"))).over(whole)
+    dense = dense.withColumn("__base", base)
+    dense = dense.withColumn("retention", F.min(F.when(F.col("__base") >= p.min_cohort_size,
+                                                       F.try_divide("customers", "__base"))).over(so_far))
+    before = F.lag("retention").over(ordered)
+    dense = dense.withColumns({
+        "period_churn": F.when(F.col("retention").isNotNull() & (F.col("cohort_period") == 0), 0.0).otherwise(
+            1.0 - F.try_divide(F.col("retention"), F.when(before != 0, before))),
+        "cumulative_revenue": F.sum("revenue").over(so_far), "__i": F.row_number().over(ordered) - 1}).drop("__base")
+    late = cells.filter(F.col("cohort_period") > p.max_periods).withColumn("seen", F.lit(True))
+    table = dense.unionByName(late, allowMissingColumns=True)
+    of_period, of_cohort = F.grouping("cohort") == 1, F.grouping("cohort_period") == 1
+    level = (F.when(of_period & of_cohort, "all").when(of_period, "period").when(of_cohort, "cohort").otherwise("cell"))
+    one_cohort = of_cohort & ~of_period
+    return table.groupingSets([["cohort", "cohort_period"], ["cohort_period"], ["cohort"], []], "cohort", "cohort_period").agg(
+        level.alias("level"),
+        F.when(of_cohort, F.sum("new")).otherwise(F.sum("customers")).alias("customers"),
+        F.sum("events").alias("events"), F.sum("revenue").alias("revenue"),
+        F.try_divide(F.sum("revenue").cast("double"), F.sum("orders")).alias("avg_order_value"),
+        F.avg("retention").alias("retention"), (1.0 - F.avg("retention")).alias("churn_rate"),
+        F.avg("period_churn").alias("period_churn"),
+        F.when(~of_cohort & ~of_period, F.max("cumulative_revenue")).alias("cumulative_revenue"),
+        F.when(one_cohort, F.max(F.when(F.col("seen"), F.col("cohort_period")))).alias("max_period"),
+        F.when(of_cohort, F.try_divide(F.sum("life"), F.sum("new"))).alias("avg_lifetime_periods"),
+        F.when(one_cohort, F.min(F.when(F.col("retention") < 0.5, F.col("__i")))).alias("half_life"))
+
+
 # ------------------------------------------------------------------ C17-C20
 
 def _last_window(events: DataFrame, n_days: int) -> DataFrame:

@@ -10,14 +10,14 @@ in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnlens.config import DriftParams
 from churnlens.functions import special as sf
-from churnlens.functions.columns import small_table  # noqa: F401
 from churnlens.functions.prefix import global_order
-from churnlens.functions.quantiles import grouped_quantiles
+from churnlens.functions.quantiles import quantiles_from_counts, value_counts
+from churnlens.session import cut_lineage
 
 LEVEL_RANK = {"green": 0, "ok": 0, "yellow": 1, "warning": 1, "red": 2, "drift": 2, "degraded": 2}
 
@@ -33,17 +33,21 @@ def long_form(df: DataFrame, features: list[str], cast: str = "double") -> DataF
 def bin_edges(ref: DataFrame, features: list[str], n_bins: int = 10, strategy: str = "quantile") -> DataFrame:
     """``(feature, edges)``: quantile edges widened by 1e-10 at both ends, de-duplicated;
     fewer than n+1 distinct edges -> equal width over [min - 1e-10, max + 1e-10]."""
-    long = long_form(ref, features).filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    mm = long.groupBy("feature").agg(F.min("value").alias("vmin"), F.max("value").alias("vmax"))
-    n = n_bins
-
-    def lin(a: Column, b: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(n)),
-                           lambda i: F.when(i == n, b).otherwise(a + i * ((b - a) / n)))
     if strategy == "equal_width":
-        return mm.select("feature", lin(F.col("vmin"), F.col("vmax")).alias("edges"))
-    probs = [i / n for i in range(n + 1)]
-    q = grouped_quantiles(long, "value", probs, ["feature"])
+        long = long_form(ref, features).filter(F.col("value").isNotNull() & ~F.isnan("value"))
+        mm = long.groupBy("feature").agg(F.min("value").alias("vmin"), F.max("value").alias("vmax"))
+        return mm.select("feature", _even_edges(F.col("vmin"), F.col("vmax"), n_bins).alias("edges"))
+    return edges_of_counts(value_counts(long_form(ref, features), "value", ["feature"]), n_bins)
+
+
+def _even_edges(a: Column, b: Column, n: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: F.when(i == n, b).otherwise(a + i * ((b - a) / n)))
+
+
+def edges_of_counts(counts: DataFrame, n: int) -> DataFrame:
+    """Quantile edges from a materialised table (feature, __v, __c) of distinct values and their counts."""
+    mm = counts.groupBy("feature").agg(F.min("__v").alias("vmin"), F.max("__v").alias("vmax"))
+    q = quantiles_from_counts(counts, [i / n for i in range(n + 1)], ["feature"])
     qa = q.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("q_index", "q"))).alias("__s"))
     j = qa.join(mm, "feature")
     raw = F.transform("__s", lambda x: x["q"])
@@ -51,7 +55,7 @@ def bin_edges(ref: DataFrame, features: list[str], n_bins: int = 10, strategy: s
     adj = F.transform(raw, lambda e, i: F.when(i == 0, F.least(e, F.col("vmin")) - 1e-10)
                       .when(i == last, F.greatest(e, F.col("vmax")) + 1e-10).otherwise(e))
     uniq = F.array_sort(F.array_distinct(adj))
-    fallback = lin(F.col("vmin") - 1e-10, F.col("vmax") + 1e-10)
+    fallback = _even_edges(F.col("vmin") - 1e-10, F.col("vmax") + 1e-10, n)
     return j.select("feature", F.when(F.size(uniq) < n + 1, fallback).otherwise(uniq).alias("edges"))
 
 
@@ -78,26 +82,45 @@ def _bucket_by_feature(feature: Column, value: Column, rows) -> Column:
 def psi(ref: DataFrame, prod: DataFrame, features: list[str], p: DriftParams = DriftParams(),
         edges: DataFrame | None = None) -> DataFrame:
     """PSI per feature = sum((p - r) * ln(p / r)) over bins, shares clipped at epsilon
-    and renormalised.
+    and renormalised. A production window without a value inside the edges (all null, or wholly
+    outside them) has a share of epsilon in every bin; a feature whose reference has no value has
+    no edges and no row.
 
     The edges (features x bins, bounded by parameters) are collected once and written into
-    the bin expression; the value rows are scanned once and partially aggregated per
-    (feature, bin) before the shuffle."""
-    rows = (edges if edges is not None else bin_edges(ref, features, p.n_bins)).collect()
-    spark = ref.sparkSession
-    e = spark.createDataFrame(rows, "feature string, edges array<double>")
+    the bin expression."""
     both = (long_form(ref, features).withColumn("side", F.lit("r"))
             .unionByName(long_form(prod, features).withColumn("side", F.lit("p")))
             .filter(F.col("value").isNotNull() & ~F.isnan("value")))
-    b = both.withColumn("bin", _bucket_by_feature(F.col("feature"), F.col("value"), rows))
-    cnt = b.filter(F.col("bin").isNotNull()).groupBy("feature", "bin").agg(
-        F.count_if(F.col("side") == "r").alias("rc"), F.count_if(F.col("side") == "p").alias("pc"))
-    grid = e.select("feature", F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("bin"))
-    d = grid.join(cnt, ["feature", "bin"], "left").na.fill(0, ["rc", "pc"])
+    # Both windows are read once, into distinct values with their counts; edges and bins come from these.
+    values = cut_lineage(both.groupBy("feature", F.col("value").alias("__v")).agg(
+        F.count_if(F.col("side") == "r").alias("rc"), F.count_if(F.col("side") == "p").alias("pc")))
+    if edges is None:
+        edges = edges_of_counts(values.filter("rc > 0").select("feature", "__v", F.col("rc").alias("__c")), p.n_bins)
+    rows = edges.collect()          # features x bins
+    cnt = with_bin(values.withColumnRenamed("__v", "value"), rows).groupBy("feature", "bin").agg(
+        F.sum("rc").alias("rc"), F.sum("pc").alias("pc"))
+    return psi_of_counts(bin_grid(ref.sparkSession, rows).join(cnt, ["feature", "bin"], "left"), p)
+
+
+def with_bin(long: DataFrame, rows) -> DataFrame:
+    """The values of a long table that lie inside the edges (rows of ``bin_edges``), with their ``bin``."""
+    known = long.filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    return known.withColumn("bin", _bucket_by_feature(F.col("feature"), F.col("value"), rows)).filter(F.col("bin").isNotNull())
+
+
+def bin_grid(spark: SparkSession, rows) -> DataFrame:
+    """(feature, bin) for all bins of the edges."""
+    cells = [(r["feature"], b) for r in rows for b in range(len(r["edges"]) - 1)]
+    return spark.createDataFrame(cells, "feature string, bin int")
+
+
+def psi_of_counts(counts: DataFrame, p: DriftParams = DriftParams()) -> DataFrame:
+    """PSI per feature from the counts ``rc`` and ``pc`` (null counts as 0) of all its bins."""
+    d = counts.na.fill(0, ["rc", "pc"])
     tot = d.groupBy("feature").agg(F.sum("rc").alias("rt"), F.sum("pc").alias("pt"))
     d = d.join(tot, "feature")
-    d = (d.withColumn("r", F.greatest(F.col("rc") / F.col("rt"), F.lit(p.epsilon)))
-         .withColumn("q", F.greatest(F.col("pc") / F.col("pt"), F.lit(p.epsilon))))
+    share = lambda c, t: F.greatest(F.coalesce(F.try_divide(c, t), F.lit(0.0)), F.lit(p.epsilon))
+    d = d.withColumn("r", share("rc", "rt")).withColumn("q", share("pc", "pt"))
     norm = d.groupBy("feature").agg(F.sum("r").alias("rs"), F.sum("q").alias("qs"))
     d = d.join(norm, "feature").withColumn("r", F.col("r") / F.col("rs")).withColumn("q", F.col("q") / F.col("qs"))
     return d.groupBy("feature").agg(F.sum((F.col("q") - F.col("r")) * F.log(F.col("q") / F.col("r"))).alias("psi"))
@@ -125,15 +148,23 @@ def psi_summary(report: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ D5-D8
 
 def ks_two_sample(ref: DataFrame, prod: DataFrame, features: list[str], with_p: bool = True) -> DataFrame:
-    """KS statistic = max |F_ref - F_prod| over distinct values, per feature."""
-    both = (long_form(ref, features).withColumn("side", F.lit("r"))
-            .unionByName(long_form(prod, features).withColumn("side", F.lit("p")))
+    """KS statistic = max |F_ref - F_prod| over distinct values, per feature; the p-value is exact up
+    to 10,000 rows a side. A feature without a value on a side has an undefined (null) statistic."""
+    out = ks_by_feature(long_form(ref, features), long_form(prod, features), with_p)
+    names = ref.sparkSession.createDataFrame([(c,) for c in features], "feature string")
+    out = names.join(out, "feature", "left")        # one row a feature
+    return out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_ref", "n_prod")})
+
+
+def ks_by_feature(ref: DataFrame, prod: DataFrame, with_p: bool = True) -> DataFrame:
+    """The KS test of two long tables (feature, value), for any number of features."""
+    both = (ref.withColumn("side", F.lit("r")).unionByName(prod.withColumn("side", F.lit("p")))
             .filter(F.col("value").isNotNull() & ~F.isnan("value")))
     v = both.groupBy("feature", "value").agg(F.count_if(F.col("side") == "r").alias("rc"),
                                              F.count_if(F.col("side") == "p").alias("pc"))
     o = global_order(v, [("value", True)], partition_by=["feature"], sums={"cr": "rc", "cp": "pc"},
                      totals={"n_ref": "cr", "n_prod": "cp"}, rank_col=None)
-    gap = F.abs(F.col("cr") / F.col("n_ref") - F.col("cp") / F.col("n_prod"))
+    gap = F.abs(F.try_divide("cr", "n_ref") - F.try_divide("cp", "n_prod"))
     out = o.groupBy("feature").agg(F.max(gap).alias("ks_statistic"), F.max("n_ref").cast("long").alias("n_ref"),
                                    F.max("n_prod").cast("long").alias("n_prod"))
     if with_p:
@@ -142,7 +173,8 @@ def ks_two_sample(ref: DataFrame, prod: DataFrame, features: list[str], with_p:
 
 
 def chi_square_drift(ref: DataFrame, prod: DataFrame, features: list[str], with_p: bool = True) -> DataFrame:
-    """Production counts vs reference shares over the union of categories."""
+    """Production counts vs reference shares over the union of categories; undefined (null) for a
+    feature without a value on a side."""
     both = (long_form(ref, features, "string").withColumn("side", F.lit("r"))
             .unionByName(long_form(prod, features, "string").withColumn("side", F.lit("p")))
             .filter(F.col("value").isNotNull()))
@@ -150,16 +182,20 @@ def chi_square_drift(ref: DataFrame, prod: DataFrame, features: list[str], with_
                                              F.count_if(F.col("side") == "p").alias("pc"))
     t = c.groupBy("feature").agg(F.sum("rc").alias("rt"), F.sum("pc").alias("pt"), F.count(F.lit(1)).alias("k"))
     j = c.join(t, "feature")
-    exp = F.greatest(F.col("rc") / F.col("rt") * F.col("pt"), F.lit(1e-10))
-    out = j.groupBy("feature").agg(F.sum(F.pow(F.col("pc") - exp, 2) / exp).alias("chi2_statistic"),
+    exp = F.greatest(F.try_divide("rc", "rt") * F.col("pt"), F.lit(1e-10))
+    term = F.when((F.col("rt") > 0) & (F.col("pt") > 0), F.pow(F.col("pc") - exp, 2) / exp)
+    out = j.groupBy("feature").agg(F.sum(term).alias("chi2_statistic"),
                                    F.first("k").alias("n_categories"))
+    names = ref.sparkSession.createDataFrame([(c,) for c in features], "feature string")
+    out = names.join(out, "feature", "left").withColumn("n_categories", F.coalesce("n_categories", F.lit(0).cast("long")))
     if with_p:
         out = out.withColumn("p_value", sf.chi2_sf_udf(F.col("chi2_statistic"), (F.col("n_categories") - 1).cast("double")))
     return out
 
 
 def ks_report(ref: DataFrame, prod: DataFrame, p: DriftParams = DriftParams()) -> DataFrame:
-    """Numeric columns -> KS, string columns -> chi-square; drift p <= .01, warning <= .05."""
+    """Numeric columns -> KS, string columns -> chi-square; drift p <= .01, warning <= .05,
+    ``undefined`` without a statistic (a window without a value)."""
     num = [f.name for f in ref.schema.fields if f.dataType.typeName() in ("double", "float", "integer", "long")]
     cat = [f.name for f in ref.schema.fields if f.dataType.typeName() == "string"]
     parts = []
@@ -173,7 +209,7 @@ def ks_report(ref: DataFrame, prod: DataFrame, p: DriftParams = DriftParams()) -
     for x in parts[1:]:
         out = out.unionByName(x)
     lvl = F.when(F.col("p_value") <= p.ks_drift_p, "drift").when(F.col("p_value") <= p.ks_warning_p, "warning") \
-        .otherwise("ok")
+        .when(F.col("statistic").isNull(), "undefined").otherwise("ok")
     return out.withColumn("level", lvl)
 
 

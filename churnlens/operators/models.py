@@ -18,10 +18,11 @@ from churnlens.session import cut_lineage
 
 # ------------------------------------------------------------------ M1-M3
 
-def stratified_folds(df: DataFrame, label: str, k: int = 5, seed: int = 42, id_col: str = "customer_id") -> DataFrame:
-    """M2: rank within each label by a seeded hash, fold = rank mod k."""
+def stratified_folds(df: DataFrame, label: str | list[str], k: int = 5, seed: int = 42, id_col: str = "customer_id") -> DataFrame:
+    """M2: rank within each label (or combination of labels) by a seeded hash, fold = rank mod k."""
+    strata = [label] if isinstance(label, str) else list(label)
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
-    r = global_order(df.withColumn("__h", h), [("__h", True), (id_col, True)], partition_by=[label], rank_col="__r")
+    r = global_order(df.withColumn("__h", h), [("__h", True), (id_col, True)], partition_by=strata, rank_col="__r")
     return r.withColumn("fold", ((F.col("__r") - 1) % k).cast("int")).drop("__h", "__r")
 
 
@@ -126,7 +127,8 @@ def threshold_table(scored: DataFrame, score_col: str = "churn_probability", lab
 def binary_metrics(scored: DataFrame, score_col: str = "churn_probability", label: str = "churn_label",
                    threshold: float = 0.5) -> DataFrame:
     """M6: exact ROC-AUC (mid-ranks of distinct scores), accuracy, precision, recall, F1
-    (0 on zero division) and log-loss (probabilities clipped to [1e-15, 1 - 1e-15])."""
+    (0 on zero division) and log-loss (probabilities clipped to [1e-15, 1 - 1e-15]); without rows
+    AUC, accuracy and log-loss are null."""
     y = F.col(label) == 1
     s = F.col(score_col).cast("double")
     pred = s >= threshold
@@ -146,7 +148,7 @@ def binary_metrics(scored: DataFrame, score_col: str = "churn_probability", labe
     rec = F.when(tp + fn > 0, tp / (tp + fn)).otherwise(0.0)
     return c.crossJoin(r).select(
         F.when((F.col("__np") > 0) & (F.col("__nn") > 0), auc).alias("roc_auc"),
-        ((tp + tn) / (tp + tn + fp + fn)).alias("accuracy"), prec.alias("precision"), rec.alias("recall"),
+        F.try_divide(tp + tn, tp + tn + fp + fn).alias("accuracy"), prec.alias("precision"), rec.alias("recall"),
         F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(0.0).alias("f1"), "log_loss")
 
 

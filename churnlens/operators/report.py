@@ -80,10 +80,10 @@ def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def cumulative_importance(imp: DataFrame, feature: str = "feature", value: str = "importance") -> DataFrame:
     """Importance share and running share in decreasing importance (one row per feature:
-    the table is bounded by the number of features)."""
+    the table is bounded by the number of features); shares of a total of 0 are 0."""
     w_all = Window.partitionBy(F.lit(1))
     w = w_all.orderBy(F.desc(value), F.asc(feature)).rowsBetween(Window.unboundedPreceding, 0)
-    share = F.col(value) / F.sum(value).over(w_all)
+    share = F.coalesce(F.try_divide(F.col(value), F.sum(value).over(w_all)), F.lit(0.0))
     return imp.withColumn("share", share).withColumn("cumulative_share", F.sum(share).over(w))
 
 

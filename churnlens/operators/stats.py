@@ -9,6 +9,7 @@ the special functions in a pandas UDF. Mann-Whitney aggregates by distinct value
 from __future__ import annotations
 
 import math
+from functools import reduce
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
@@ -81,8 +82,8 @@ def balance_check(df: DataFrame, numeric: list[str], categorical: list[str] | No
         miss = lv.agg(F.count_if((g == A) & F.col("__na")).alias("missing_treatment"),
                       F.count_if((g == B) & F.col("__na")).alias("missing_control"))
         j = levels.join(cnt, "level", "left").crossJoin(F.broadcast(sizes)).crossJoin(F.broadcast(miss))
-        ts = F.col("ta") / F.col("n_treatment")
-        cs = F.col("cb") / F.col("n_control")
+        ts = F.try_divide("ta", "n_treatment")
+        cs = F.try_divide("cb", "n_control")
         diff = ts - cs
         psd = F.sqrt((ts * (1 - ts) + cs * (1 - cs)) / 2)
         smd = F.when(psd > 0, diff / psd).when(F.abs(diff) <= 1e-12, 0.0).otherwise(float("inf"))
@@ -150,24 +151,48 @@ def z_test(df: DataFrame, metric: str, group_col: str = "group", with_p: bool =
     return out.drop("__se")
 
 
+def _welch(na: Column, nb: Column, va: Column, vb: Column, diff: Column, equal_var: bool = False) -> tuple[Column, Column]:
+    """(t, degrees of freedom). A standard error of 0 gives an undefined t (NaN) for equal means and an
+    infinite one for others, with one degree of freedom; arms too small for a variance give null."""
+    if equal_var:
+        pooled = F.try_divide((na - 1) * va + (nb - 1) * vb, na + nb - 2)
+        se2 = pooled * (F.try_divide(F.lit(1.0), na) + F.try_divide(F.lit(1.0), nb))
+        dof = (na + nb - 2).cast("double")
+    else:
+        qa, qb = F.try_divide(va, na), F.try_divide(vb, nb)
+        se2 = qa + qb
+        dof = F.try_divide(se2 ** 2, F.try_divide(qa ** 2, na - 1) + F.try_divide(qb ** 2, nb - 1))
+        dof = F.when(se2 == 0, 1.0).otherwise(dof)
+    t = (F.when(se2 > 0, F.try_divide(diff, F.sqrt(F.when(se2 > 0, se2))))
+         .when((se2 == 0) & (diff == 0), float("nan")).when(se2 == 0, F.signum(diff) * float("inf")))
+    return t, dof
+
+
+def _yates(na: Column, nb: Column, sa: Column, sb: Column) -> tuple[Column, Column]:
+    """(chi-square, is degenerate) of the 2x2 table of two arms' sizes and sums: |O - E| reduced by
+    0.5 (never below 0); 0 where a margin is 0."""
+    a0, b0 = na - sa, nb - sb
+    n, c1, c0 = na + nb, sa + sb, a0 + b0
+    terms = []
+    for o, r, c in [(sa, na, c1), (a0, na, c0), (sb, nb, c1), (b0, nb, c0)]:
+        e = F.try_divide(r * c, n)
+        terms.append(F.try_divide(F.pow(F.greatest(F.abs(o - e) - 0.5, F.lit(0.0)), 2), e))
+    degenerate = (na == 0) | (nb == 0) | F.coalesce((c1 == 0) | (c0 == 0), F.lit(True))
+    return F.when(degenerate, 0.0).otherwise(sum(terms[1:], terms[0])), degenerate
+
+
 def t_test(df: DataFrame, metric: str, group_col: str = "group", equal_var: bool = False,
            with_p: bool = True) -> DataFrame:
-    """Welch (default) or Student t-test; Cohen's d with the pooled ddof=1 sd."""
+    """Welch (default) or Student t-test; Cohen's d with the pooled ddof=1 sd. A metric that is
+    constant in both arms has an undefined statistic and p-value (null) and an effect size of 0."""
     s = arm_summary(df, metric, group_col)
     na, nb, va, vb = F.col("n_a"), F.col("n_b"), F.col("var_a"), F.col("var_b")
     diff = F.col("mean_a") - F.col("mean_b")
-    pooled = ((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)
-    if equal_var:
-        t = diff / F.sqrt(pooled * (1.0 / na + 1.0 / nb))
-        dof = (na + nb - 2).cast("double")
-    else:
-        qa, qb = va / na, vb / nb
-        t = diff / F.sqrt(qa + qb)
-        dof = (qa + qb) ** 2 / (qa ** 2 / (na - 1) + qb ** 2 / (nb - 1))
-    psd = F.sqrt(pooled)
-    d = F.when(psd > 0, diff / psd).otherwise(0.0)
-    out = s.select(t.alias("test_statistic"), dof.alias("dof"), d.alias("effect_size"), F.col("mean_a"),
-                   F.col("mean_b"), diff.alias("mean_diff"),
+    t, dof = _welch(na, nb, va, vb, diff, equal_var)
+    psd = F.sqrt(F.try_divide((na - 1) * va + (nb - 1) * vb, na + nb - 2))
+    d = F.when(psd > 0, F.try_divide(diff, psd)).otherwise(0.0)
+    out = s.select(F.nanvl(t, F.lit(None).cast("double")).alias("test_statistic"), dof.alias("dof"), d.alias("effect_size"),
+                   F.col("mean_a"), F.col("mean_b"), diff.alias("mean_diff"),
                    F.lit("student_t_test" if equal_var else "welch_t_test").alias("test_used"))
     if with_p:
         out = out.withColumn("p_value", sf.t_two_sided_udf(F.col("test_statistic"), F.col("dof")))
@@ -177,20 +202,8 @@ def t_test(df: DataFrame, metric: str, group_col: str = "group", equal_var: bool
 def chi_square(df: DataFrame, metric: str, group_col: str = "group", with_p: bool = True) -> DataFrame:
     """2x2 chi-square with Yates' correction (scipy default); Cramer's V = sqrt(chi2 / n)."""
     s = arm_summary(df, metric, group_col)
-    a1, b1 = F.col("sum_a"), F.col("sum_b")
-    a0, b0 = F.col("n_a") - a1, F.col("n_b") - b1
     n = F.col("n_a") + F.col("n_b")
-    r1, r2 = F.col("n_a"), F.col("n_b")
-    c1, c0 = a1 + b1, a0 + b0
-    cells = [(a1, r1, c1), (a0, r1, c0), (b1, r2, c1), (b0, r2, c0)]
-    # Yates: |O - E| reduced by 0.5 (never below 0); no correction when any expected is 0
-    chi = None
-    for o, r, c in cells:
-        e = r * c / n
-        term = F.pow(F.greatest(F.abs(o - e) - 0.5, F.lit(0.0)), 2) / e
-        chi = term if chi is None else chi + term
-    degenerate = (c1 == 0) | (c0 == 0) | (r1 == 0) | (r2 == 0)
-    chi = F.when(degenerate, 0.0).otherwise(chi)
+    chi, degenerate = _yates(F.col("n_a"), F.col("n_b"), F.col("sum_a"), F.col("sum_b"))
     out = s.select(chi.alias("test_statistic"), F.lit(1).alias("dof"),
                    F.when(n > 0, F.sqrt(chi / n)).otherwise(0.0).alias("effect_size"),
                    F.col("mean_a").alias("proportion_a"), F.col("mean_b").alias("proportion_b"),
@@ -201,34 +214,45 @@ def chi_square(df: DataFrame, metric: str, group_col: str = "group", with_p: boo
     return out.drop("__deg")
 
 
-def mann_whitney(df: DataFrame, metric: str, group_col: str = "group", with_p: bool = True) -> DataFrame:
-    """U of the first arm from mid-ranks of distinct values (V-agg + global prefix),
-    tie-corrected normal approximation with continuity, rank-biserial r, medians."""
+def mann_whitney(df: DataFrame, metric: str, group_col: str = "group", with_p: bool = True,
+                 by: list[str] | None = None) -> DataFrame:
+    """U of the first arm from mid-ranks of distinct values (V-agg + global prefix), rank-biserial r,
+    medians. The p-value is exact for a smaller arm of at most eight rows without ties, else that of the
+    tie-corrected normal approximation with continuity. With ``by`` one test a group; an empty arm has
+    an undefined statistic (null) and an effect of 0."""
+    keys = list(by or [])
     g, v = F.col(group_col), F.col(metric).cast("double")
-    vals = (df.filter(g.isin(A, B) & v.isNotNull()).groupBy(v.alias("v"))
-            .agg(F.count_if(g == A).alias("ca"), F.count_if(g == B).alias("cb")))
+    rows = df.filter(g.isin(A, B) & v.isNotNull()).select(*keys, g.alias("__arm"), v.alias("__v"))
+    vals = rows.groupBy(*keys, "__v").agg(F.count_if(F.col("__arm") == A).alias("ca"), F.count_if(F.col("__arm") == B).alias("cb"))
     vals = vals.withColumn("t", F.col("ca") + F.col("cb"))
-    ranked = global_order(vals, [("v", True)], sums={"__cum": "t"}, rank_col=None)
+    ranked = global_order(vals, [("__v", True)], sums={"__cum": "t"}, rank_col=None, partition_by=keys)
     mid = F.col("__cum") - F.col("t") + (F.col("t") + 1) / 2.0
-    s = ranked.agg(F.sum(F.col("ca") * mid).alias("r1"), F.sum("ca").alias("n_a"), F.sum("cb").alias("n_b"),
-                   F.sum(F.pow(F.col("t"), 3) - F.col("t")).alias("ties"))
+    s = ranked.groupBy(*keys).agg(
+        F.sum(F.col("ca") * mid).alias("r1"), F.sum("ca").alias("n_a"), F.sum("cb").alias("n_b"),
+        F.sum(F.pow(F.col("t"), 3) - F.col("t")).alias("ties"))
     na, nb = F.col("n_a"), F.col("n_b")
-    u = F.col("r1") - na * (na + 1) / 2.0
+    pairs = na * nb
+    u = F.when(pairs > 0, F.col("r1") - na * (na + 1) / 2.0)
     n = na + nb
-    mu = na * nb / 2.0
-    sigma = F.sqrt(na * nb / 12.0 * ((n + 1) - F.col("ties") / (n * (n - 1))))
-    big_u = F.greatest(u, na * nb - u)
-    z = F.when(sigma > 0, (big_u - mu - 0.5) / sigma).otherwise(0.0)
-    meds = grouped_quantiles(df.filter(g.isin(A, B)).select(group_col, v.alias("v")), "v", [0.5], [group_col])
-    med = meds.agg(F.max(F.when(F.col(group_col) == A, F.col("q"))).alias("median_a"),
-                   F.max(F.when(F.col(group_col) == B, F.col("q"))).alias("median_b"))
-    out = s.crossJoin(med).select(
-        u.alias("test_statistic"),
-        F.when(na * nb > 0, 1 - 2 * u / (na * nb)).otherwise(0.0).alias("effect_size"),
-        "median_a", "median_b", z.alias("__z"), F.lit("mann_whitney_u").alias("test_used"))
+    mu = pairs / 2.0
+    sigma = F.sqrt(pairs / 12.0 * ((n + 1) - F.coalesce(F.try_divide("ties", n * (n - 1)), F.lit(0.0))))
+    big_u = F.greatest(u, pairs - u)
+    z = F.when(pairs > 0, F.when(sigma > 0, F.try_divide(big_u - mu - 0.5, sigma)).otherwise(0.0))
+    arms = rows.withColumn("__side", F.col("__arm")).drop("__arm")
+    meds = grouped_quantiles(arms, "__v", [0.5], [*keys, "__side"])
+    med = meds.groupBy(*keys).agg(F.max(F.when(F.col("__side") == A, F.col("q"))).alias("median_a"),
+                                  F.max(F.when(F.col("__side") == B, F.col("q"))).alias("median_b"))
+    if keys:
+        med = med.select("median_a", "median_b", *[F.col(k).alias(f"__m_{k}") for k in keys])
+        joined = s.join(med, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__m_{k}")) for k in keys]))
+    else:
+        joined = s.crossJoin(F.broadcast(med))      # one row each
+    out = joined.select(
+        *keys, u.alias("test_statistic"), F.when(pairs > 0, 1 - F.try_divide(2 * u, pairs)).otherwise(0.0).alias("effect_size"),
+        "median_a", "median_b", "n_a", "n_b", "ties", z.alias("__z"), F.lit("mann_whitney_u").alias("test_used"))
     if with_p:
-        out = out.withColumn("p_value", F.least(F.lit(1.0), 2 * sf.norm_sf_udf(F.col("__z"))))
-    return out.drop("__z")
+        out = out.withColumn("p_value", sf.mann_whitney_p_udf("test_statistic", "n_a", "n_b", "ties", "__z"))
+    return out.drop("__z", "ties", *([] if keys else ["n_a", "n_b"]))
 
 
 def significance(df: DataFrame, metric: str, group_col: str = "group", test: str | None = None) -> DataFrame:
@@ -273,7 +297,8 @@ def experiment_summary(df: DataFrame, metric: str, group_col: str = "group", wit
 # ------------------------------------------------------------------ X13-X16
 
 def multi_test_stats(df: DataFrame, metrics: list[str], group_col: str = "group") -> DataFrame:
-    """X13 statistics: per metric chi-square (binary) or Welch t, one unpivoted aggregate."""
+    """X13 statistics: per metric chi-square (binary) or Welch t, one unpivoted aggregate. A binary metric
+    of one value has chi-square 0, another constant metric an undefined (null) statistic."""
     g = F.col(group_col)
     long = df.select(group_col, F.explode(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])).alias("x")) \
@@ -284,17 +309,9 @@ def multi_test_stats(df: DataFrame, metrics: list[str], group_col: str = "group"
         F.avg(va).alias("mean_a"), F.avg(vb).alias("mean_b"), F.var_samp(va).alias("var_a"),
         F.var_samp(vb).alias("var_b"),
         F.bool_and(F.when(F.col("v").isNotNull(), F.col("v").isin(0.0, 1.0))).alias("binary"))
-    qa, qb = F.col("var_a") / F.col("n_a"), F.col("var_b") / F.col("n_b")
-    t = (F.col("mean_a") - F.col("mean_b")) / F.sqrt(qa + qb)
-    dof = (qa + qb) ** 2 / (qa ** 2 / (F.col("n_a") - 1) + qb ** 2 / (F.col("n_b") - 1))
-    a1, b1 = F.col("sum_a"), F.col("sum_b")
-    a0, b0 = F.col("n_a") - a1, F.col("n_b") - b1
-    n = F.col("n_a") + F.col("n_b")
-    chi = None
-    for o, r, c in [(a1, F.col("n_a"), a1 + b1), (a0, F.col("n_a"), a0 + b0),
-                    (b1, F.col("n_b"), a1 + b1), (b0, F.col("n_b"), a0 + b0)]:
-        term = F.pow(F.greatest(F.abs(o - r * c / n) - 0.5, F.lit(0.0)), 2) / (r * c / n)
-        chi = term if chi is None else chi + term
+    t, dof = _welch(F.col("n_a"), F.col("n_b"), F.col("var_a"), F.col("var_b"), F.col("mean_a") - F.col("mean_b"))
+    t = F.nanvl(t, F.lit(None).cast("double"))
+    chi, _ = _yates(F.col("n_a"), F.col("n_b"), F.col("sum_a"), F.col("sum_b"))
     return s.select("metric", F.when(F.col("binary"), "chi_square").otherwise("welch_t_test").alias("test_used"),
                     F.when(F.col("binary"), chi).otherwise(t).alias("test_statistic"),
                     F.when(F.col("binary"), F.lit(1.0)).otherwise(dof).alias("dof"), "mean_a", "mean_b")
@@ -314,26 +331,27 @@ def correct(tests: DataFrame, method: str = "fdr_bh", alpha: float = 0.05, p_col
     """X14 Bonferroni, X15 Benjamini-Hochberg, X16 Holm (step-down, monotone), capped at 1.
 
     The table has one row per test (tiny), so the ranks are windows over the test rows
-    partitioned by a constant family key.
+    partitioned by a constant family key. An undefined p-value (null) is no part of the family: it
+    stays undefined and is not significant.
     """
     fam = F.lit(1)
-    m = F.count(F.lit(1)).over(Window.partitionBy(fam))
-    w = Window.partitionBy(fam).orderBy(F.col(p_col), F.col(key))
+    m = F.count(p_col).over(Window.partitionBy(fam))
+    w = Window.partitionBy(fam).orderBy(F.asc_nulls_last(p_col), F.col(key))
     t = tests.withColumn("__m", m).withColumn("__i", F.row_number().over(w))
     if method == "bonferroni":
         adj = F.least(F.col(p_col) * F.col("__m"), F.lit(1.0))
-        out = t.withColumn("p_adjusted", adj)
+        out = t.withColumn("p_adjusted", F.when(F.col(p_col).isNotNull(), adj))
     elif method == "holm":
         raw = F.col(p_col) * (F.col("__m") - F.col("__i") + 1)
         t = t.withColumn("__raw", raw)
         run = F.max("__raw").over(w.rowsBetween(Window.unboundedPreceding, 0))
-        out = t.withColumn("p_adjusted", F.least(run, F.lit(1.0)))
+        out = t.withColumn("p_adjusted", F.when(F.col(p_col).isNotNull(), F.least(run, F.lit(1.0))))
     else:
         raw = F.col(p_col) * F.col("__m") / F.col("__i")
         t = t.withColumn("__raw", raw)
         run = F.min("__raw").over(w.rowsBetween(0, Window.unboundedFollowing))
-        out = t.withColumn("p_adjusted", F.least(run, F.lit(1.0)))
-    return (out.withColumn("significant", F.col("p_adjusted") < alpha)
+        out = t.withColumn("p_adjusted", F.when(F.col(p_col).isNotNull(), F.least(run, F.lit(1.0))))
+    return (out.withColumn("significant", F.coalesce(F.col("p_adjusted") < alpha, F.lit(False)))
             .withColumn("correction", F.lit(method)).drop("__m", "__i", "__raw"))
 
 

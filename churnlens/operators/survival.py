@@ -5,10 +5,10 @@ table is bounded by the time horizon, not by the number of customers), then the
 at-risk counts and the running product come from distributed prefix sums (the product
 as exp(sum(log(1 - d/n))) plus a count of d = n factors that make it 0).
 
-Cox proportional hazards: Newton steps on the Efron partial likelihood with an L2
-penalty on standardised features. Each step is ONE Spark aggregate grouped by
-duration (sums of w, w x, w x x' over all rows and over the events); the per-duration
-sums (bounded by the number of distinct durations) are combined on the driver.
+Cox proportional hazards: damped Newton steps on the Efron partial likelihood with an L2
+penalty on standardised features. Each evaluation is an aggregate grouped by duration (sums of w, w x, w x x'
+over all rows and over the events) and one global order of the durations; one row comes to the driver.
+The largest linear predictor is taken off before ``exp``, so no weight overflows.
 """
 
 from __future__ import annotations
@@ -16,12 +16,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnlens.session import cut_lineage
-
+from churnlens.functions.asof import asof
 from churnlens.functions.prefix import global_order
+from churnlens.session import cut_lineage
 
 
 # ------------------------------------------------------------------ K1, K2
@@ -31,53 +31,54 @@ def km_curve(df: DataFrame, duration: str = "duration", event: str = "event",
     """K1: ``(group..., time, at_risk, events, censored, survival)`` with S(t) = prod(1 - d/n);
     with ``origin`` also the row at time 0 (all at risk, S = 1) unless a duration is 0."""
     g = list(group_cols or [])
+    steps = km_steps(df, duration, event, g)
+    out = steps.select(*g, "time", "at_risk", "events", "censored", "survival")
+    if not origin:
+        return out
+    zero = steps.filter((F.col("at_risk") == F.col("total")) & (F.col("time") > 0))
+    return out.unionByName(zero.select(*g, F.lit(0.0).alias("time"), "at_risk", F.lit(0).cast("long").alias("events"),
+                                       F.lit(0).cast("long").alias("censored"), F.lit(1.0).alias("survival")))
+
+
+def km_steps(df: DataFrame, duration: str, event: str, g: list[str]) -> DataFrame:
+    """The distinct durations of each group with the numbers at risk, of events so far and in all."""
     v = df.groupBy(*g, F.col(duration).cast("double").alias("time")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(event).cast("long")).alias("events"))
-    tot = v.groupBy(*g).agg(F.sum("n").alias("__tot"))
-    o = global_order(v, [("time", True)], partition_by=g, sums={"__cn": "n"}, rank_col=None)
-    o = o.join(tot, g) if g else o.crossJoin(F.broadcast(tot))
-    o = o.withColumn("at_risk", (F.col("__tot") - F.col("__cn") + F.col("n")).cast("long"))
+    o = global_order(v, [("time", True)], partition_by=g, sums={"__cn": "n", "cum_events": "events"},
+                     totals={"total": "__cn"}, rank_col=None)
+    o = o.withColumn("at_risk", (F.col("total") - F.col("__cn") + F.col("n")).cast("long"))
     full = F.col("events") >= F.col("at_risk")
     o = o.withColumn("__lg", F.when(full | (F.col("events") == 0), 0.0)
-                     .otherwise(F.log(1 - F.col("events") / F.col("at_risk"))))
+                     .otherwise(F.log(1 - F.try_divide("events", "at_risk"))))
     o = o.withColumn("__z", F.when(full & (F.col("events") > 0), 1.0).otherwise(0.0))
     o = global_order(o.drop("__cn"), [("time", True)], partition_by=g, sums={"__slg": "__lg", "__sz": "__z"},
                      rank_col=None)
-    surv = F.when(F.col("__sz") > 0, 0.0).otherwise(F.exp("__slg"))
-    out = o.select(*g, "time", "at_risk", "events", (F.col("n") - F.col("events")).alias("censored"),
-                   surv.alias("survival"))
-    if not origin:
-        return out
-    zero = v.groupBy(*g).agg(F.sum("n").alias("at_risk"), F.min("time").alias("__t0")).filter("__t0 > 0")
-    return out.unionByName(zero.select(*g, F.lit(0.0).alias("time"), "at_risk", F.lit(0).cast("long").alias("events"),
-                                       F.lit(0).cast("long").alias("censored"), F.lit(1.0).alias("survival")))
+    return o.select(*g, "time", "at_risk", "events", (F.col("n") - F.col("events")).alias("censored"),
+                    F.when(F.col("__sz") > 0, 0.0).otherwise(F.exp("__slg")).alias("survival"),
+                    F.col("cum_events").cast("long").alias("cum_events"), F.col("total").cast("long").alias("total"))
 
 
 def km_by_segment(df: DataFrame, segment: str, grid: list[float], duration: str = "duration",
                   event: str = "event", band: float = 0.05) -> DataFrame:
     """K2: per segment KM sampled on a time grid (step lookup; 1 before the first time),
-    at-risk and cumulative events at each grid time, first grid time with S <= .5, band."""
-    curve = km_curve(df, duration, event, [segment], origin=False)
-    spark = df.sparkSession
-    gt = spark.createDataFrame([(float(t),) for t in grid], "t double")
-    segs = df.select(segment).distinct()
-    gs = segs.crossJoin(F.broadcast(gt))
-    # as-of lookup: last curve time <= t (curve rows per segment are bounded by distinct days)
-    j = gs.withColumnRenamed(segment, "__seg").join(
-        curve.select(F.col(segment).alias("__cseg"), "time", "survival"),
-        F.col("__seg").eqNullSafe(F.col("__cseg")) & (F.col("time") <= F.col("t")), "left")
-    s_at = j.groupBy(F.col("__seg").alias(segment), "t").agg(
-        F.coalesce(F.max_by("survival", "time"), F.lit(1.0)).alias("survival"))
-    # counts at each grid time from the per-(segment, duration) aggregate, so only the
-    # distinct durations (not the rows) meet the grid
-    d = df.groupBy(segment, F.col(duration).cast("double").alias("__d")).agg(
-        F.count(F.lit(1)).alias("__n"), F.count_if(F.col(event).cast("int") == 1).alias("__ev"))
-    cnt = d.join(F.broadcast(gt), how="cross").groupBy(segment, "t").agg(
-        F.sum(F.when(F.col("__d") >= F.col("t"), F.col("__n")).otherwise(0)).alias("n_at_risk"),
-        F.sum(F.when(F.col("__d") <= F.col("t"), F.col("__ev")).otherwise(0)).alias("n_events"))
-    out = s_at.join(cnt, [segment, "t"], "left")
-    med = out.filter(F.col("survival") <= 0.5).groupBy(segment).agg(F.min("t").alias("median_survival_days"))
-    return (out.join(med, segment, "left")
+    at-risk and cumulative events at each grid time, first grid time with S <= .5, band.
+
+    The grid times are looked up in the segment's steps by an as-of merge, so durations may be
+    continuous: no step meets more than its own place in the order.
+    """
+    df = df.filter(F.col(duration).isNotNull())
+    steps = cut_lineage(km_steps(df, duration, event, [segment]))
+    totals = steps.groupBy(segment).agg(F.max("total").alias("__all"))
+    times = F.explode(F.array(*[F.lit(float(t)) for t in grid]))        # a parameter
+    found = asof(totals.select(segment, "__all", times.alias("t")), steps, "t", "time",
+                 ["at_risk", "events", "censored", "survival", "cum_events"], by=[segment])
+    # Those with a duration of t or more: still at risk at a step of t, else those left after the step.
+    left = F.col("at_risk") - F.col("events") - F.col("censored")
+    out = found.select(segment, "t", F.coalesce("survival", F.lit(1.0)).alias("survival"),
+                       F.coalesce(F.when(F.col("time") == F.col("t"), F.col("at_risk")).otherwise(left), F.col("__all")).alias("n_at_risk"),
+                       F.coalesce("cum_events", F.lit(0).cast("long")).alias("n_events"))
+    median = F.min(F.when(F.col("survival") <= 0.5, F.col("t"))).over(Window.partitionBy(segment))    # the grid's rows
+    return (out.withColumn("median_survival_days", median)
             .withColumn("ci_lower", F.greatest(F.col("survival") - band, F.lit(0.0)))
             .withColumn("ci_upper", F.least(F.col("survival") + band, F.lit(1.0))))
 
@@ -92,12 +93,22 @@ def _standardize(df: DataFrame, features: list[str]):
     return mean, sd
 
 
-def _cox_sums(base: DataFrame, beta, weights_only: bool = False) -> DataFrame:
-    """Per distinct time the sums of w, w z and w z z' over its rows and over its events."""
+def _eta(beta) -> Column:
+    return sum((F.col(f"__z{i}") * float(b) for i, b in enumerate(beta)), F.lit(0.0))
+
+
+def _shift(base: DataFrame, beta) -> float:
+    """The largest linear predictor."""
+    return float(base.agg(F.max(_eta(beta))).first()[0] or 0.0) if np.any(beta) else 0.0
+
+
+def _cox_sums(base: DataFrame, beta, shift: float, weights_only: bool = False) -> DataFrame:
+    """Per distinct time the sums of w, w z and w z z' over its rows and over its events, for weights
+    exp(eta - shift)."""
     p = len(beta)
-    eta = sum((F.col(f"__z{i}") * float(b) for i, b in enumerate(beta)), F.lit(0.0))
+    eta = _eta(beta)
     ev = F.col("__e") == 1
-    d = base.withColumn("__eta", eta).withColumn("__w", F.exp(eta))
+    d = base.withColumn("__eta", eta).withColumn("__w", F.exp(eta - F.lit(shift)))
     terms = {"w": F.col("__w")}
     if not weights_only:
         terms |= {f"w{i}": F.col("__w") * F.col(f"__z{i}") for i in range(p)}
@@ -118,10 +129,12 @@ def _cox_step(base: DataFrame, beta, penalizer: float):
     """(log-likelihood, gradient, Hessian) of Efron's penalised partial likelihood at ``beta``.
 
     The risk sets are one running sum over the distinct times, latest first; the sum over the
-    l-th of d tied events explodes l on the executors. One row comes to the driver.
+    l-th of d tied events explodes l on the executors. One row comes to the driver. Where a risk set's
+    weights all vanish beside the largest one the likelihood is minus infinity.
     """
     p = len(beta)
-    t = _cox_sums(base, beta)
+    shift = _shift(base, beta)
+    t = _cox_sums(base, beta, shift)
     names = ["w", *[f"w{i}" for i in range(p)], *[f"w{i}_{k}" for i in range(p) for k in range(i, p)]]
     risk = global_order(t, [("__t", False)], sums={f"R_{n}": f"r_{n}" for n in names}, rank_col=None).filter("d > 0")
     once = risk.agg(F.sum("e_eta").alias("ll"), *[F.sum(f"e_z{i}").alias(f"g{i}") for i in range(p)])
@@ -133,13 +146,15 @@ def _cox_step(base: DataFrame, beta, penalizer: float):
     f = F.col("l") / F.col("d")
     a = {n: F.col(f"R_{n}") - f * F.col(f"e_{n}") for n in names}
     ties = ties.select(*[x.alias(n) for n, x in a.items()])
-    m = [F.col(f"w{i}") / F.col("w") for i in range(p)]
-    sums = ties.agg(F.sum(F.log("w")).alias("ll"), *[F.sum(m[i]).alias(f"g{i}") for i in range(p)],
-                    *[F.sum(F.col(f"w{i}_{k}") / F.col("w") - m[i] * m[k]).alias(f"h{i}_{k}")
+    m = [F.try_divide(f"w{i}", "w") for i in range(p)]
+    sums = ties.agg(F.sum(F.log("w")).alias("ll"), F.count(F.lit(1)).alias("n"), F.count_if(~(F.col("w") > 0)).alias("vanished"),
+                    *[F.sum(m[i]).alias(f"g{i}") for i in range(p)],
+                    *[F.sum(F.try_divide(f"w{i}_{k}", "w") - m[i] * m[k]).alias(f"h{i}_{k}")
                       for i in range(p) for k in range(i, p)])
     r0, r1 = once.first(), sums.first()
     value = lambda r, c: float(r[c] or 0.0)
-    ll = value(r0, "ll") - value(r1, "ll") - 0.5 * penalizer * float(beta @ beta)
+    ll = value(r0, "ll") - value(r1, "ll") - shift * value(r1, "n") - 0.5 * penalizer * float(beta @ beta)
+    ll = ll if not r1["vanished"] else -math.inf
     g = np.array([value(r0, f"g{i}") - value(r1, f"g{i}") for i in range(p)]) - penalizer * beta
     h = np.zeros((p, p))
     for i in range(p):
@@ -150,10 +165,13 @@ def _cox_step(base: DataFrame, beta, penalizer: float):
 
 def fit_cox(df: DataFrame, features: list[str], duration: str = "duration", event: str = "event",
             penalizer: float = 0.01, max_iter: int = 20, tol: float = 1e-9) -> dict:
-    """K3: Efron partial likelihood, Newton-Raphson, L2 penalty on standardised X.
+    """K3: Efron partial likelihood, damped Newton-Raphson, L2 penalty on standardised X.
 
-    Returns the coefficients on the original scale, the standardisation, the gradient at the
-    optimum and ``baseline``, a checkpointed table (time, cum_hazard) of Breslow's estimate.
+    A step is halved until the penalised likelihood rises enough, so the likelihood never falls. Returns the
+    coefficients on the original scale, the standardisation, the gradient and the log-likelihood there, the
+    likelihood after each step, ``converged`` (false if the steps ran out, as they do for groups that a
+    feature separates when there is no penalty: the coefficients then are no estimate) and ``baseline``, a
+    checkpointed table (time, cum_hazard) of Breslow's estimate.
     """
     mean, sd = _standardize(df, features)
     zc = [((F.col(c).cast("double") - float(m)) / float(s)).alias(f"__z{i}")
@@ -163,18 +181,41 @@ def fit_cox(df: DataFrame, features: list[str], duration: str = "duration", even
                        .filter("__t IS NOT NULL"))
     beta = np.zeros(len(features))
     ll, g, h = _cox_step(base, beta, penalizer)
+    path, converged = [ll], not features
     for _ in range(max_iter if features else 0):
-        step = np.linalg.solve(h, g)
-        beta = beta - step
-        ll, g, h = _cox_step(base, beta, penalizer)
-        if np.max(np.abs(step)) < tol:
+        try:
+            step = -np.linalg.solve(h, g)
+        except np.linalg.LinAlgError:                   # a feature that the likelihood does not depend on
+            step = -np.linalg.lstsq(h, g, rcond=None)[0]
+        if not np.all(np.isfinite(step)):
+            break
+        gain, size = float(g @ step), 1.0
+        if gain < 1e-12 * max(1.0, abs(ll)):            # nothing left to gain, to rounding
+            converged = float(np.max(np.abs(step))) < 1e-3
+            if converged and gain > 0:                  # a last full step: Newton's error is squared by it
+                beta = beta + step
+                ll, g, h = _cox_step(base, beta, penalizer)
+            break
+        while True:                                     # halve until the penalised likelihood rises
+            trial = _cox_step(base, beta + size * step, penalizer)
+            if trial[0] >= ll + 1e-4 * size * gain or size < 1e-6:
+                break
+            size /= 2
+        if not trial[0] > ll:
+            break
+        beta, (ll, g, h) = beta + size * step, trial
+        path.append(ll)
+        if size * float(np.max(np.abs(step))) < tol:
+            converged = True
             break
-    t = _cox_sums(base, beta, weights_only=True)
+    shift = _shift(base, beta)
+    t = _cox_sums(base, beta, shift, weights_only=True)
     hazard = global_order(t, [("__t", False)], sums={"risk": "r_w"}, rank_col=None).select(
-        F.col("__t").alias("time"), F.coalesce(F.try_divide("d", "risk"), F.lit(0.0)).alias("dh"))
+        F.col("__t").alias("time"), (F.coalesce(F.try_divide("d", "risk"), F.lit(0.0)) * math.exp(-shift)).alias("dh"))
     baseline = cut_lineage(global_order(hazard, [("time", True)], sums={"cum_hazard": "dh"}, rank_col=None).drop("dh"))
     return {"features": features, "coef": (beta / sd).tolist(), "beta_std": beta.tolist(), "mean": mean.tolist(),
-            "sd": sd.tolist(), "baseline": baseline, "log_likelihood": ll, "gradient": g.tolist()}
+            "sd": sd.tolist(), "baseline": baseline, "log_likelihood": ll, "gradient": g.tolist(), "converged": converged,
+            "iterations": len(path) - 1, "likelihood_path": path}
 
 
 def _lin_pred(model: dict) -> Column:

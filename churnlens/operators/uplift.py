@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from churnlens.functions.prefix import global_order
 from churnlens.functions.quantiles import quantile
+from churnlens.operators.models import stratified_folds
+from churnlens.session import cut_lineage
 
 
 def _gbt(features, seed=42):
@@ -27,24 +29,69 @@ def _p(model, df, name):
     return model.transform(df).select("customer_id", vector_to_array("probability")[1].alias(name))
 
 
-def uplift_t(df: DataFrame, features: list[str], label: str = "churn_label", treat: str = "is_treatment") -> DataFrame:
-    """T-learner; uplift = P(churn | control) - P(churn | treated)."""
+def uplift_t(df: DataFrame, features: list[str], label: str = "churn_label", treat: str = "is_treatment",
+             score: DataFrame | None = None) -> DataFrame:
+    """T-learner; uplift = P(churn | control) - P(churn | treated). Fitted on ``df``, applied to
+    ``score`` (default: the same rows)."""
     d = df.withColumn("label", F.col(label).cast("double"))
     mt = _gbt(features).fit(d.filter(F.col(treat) == 1))
     mc = _gbt(features).fit(d.filter(F.col(treat) == 0))
-    return (_p(mc, d, "p_control").join(_p(mt, d, "p_treated"), "customer_id")
+    rows = d if score is None else score
+    return (_p(mc, rows, "p_control").join(_p(mt, rows, "p_treated"), "customer_id")
             .withColumn("uplift_score", F.col("p_control") - F.col("p_treated")))
 
 
-def uplift_s(df: DataFrame, features: list[str], label: str = "churn_label", treat: str = "is_treatment") -> DataFrame:
-    """S-learner; one model with the treatment flag, scored at 0 and at 1."""
+def uplift_s(df: DataFrame, features: list[str], label: str = "churn_label", treat: str = "is_treatment",
+             score: DataFrame | None = None) -> DataFrame:
+    """S-learner; one model with the treatment flag, applied with 0 and with 1."""
     d = df.withColumn("label", F.col(label).cast("double")).withColumn("__t", F.col(treat).cast("double"))
     m = _gbt(features + ["__t"]).fit(d)
-    return (_p(m, d.withColumn("__t", F.lit(0.0)), "p_control")
-            .join(_p(m, d.withColumn("__t", F.lit(1.0)), "p_treated"), "customer_id")
+    rows = d if score is None else score
+    return (_p(m, rows.withColumn("__t", F.lit(0.0)), "p_control")
+            .join(_p(m, rows.withColumn("__t", F.lit(1.0)), "p_treated"), "customer_id")
             .withColumn("uplift_score", F.col("p_control") - F.col("p_treated")))
 
 
+LEARNERS = {"t_learner": uplift_t, "s_learner": uplift_s}
+
+
+def uplift_folds(df: DataFrame, k: int = 5, label: str = "churn_label", treat: str = "is_treatment", seed: int = 42) -> DataFrame:
+    """Folds stratified by arm and label: every fold has its share of each."""
+    return stratified_folds(df, [treat, label], k, seed)
+
+
+def cross_fit_uplift(df: DataFrame, features: list[str], learner: str = "t_learner", k: int = 5, label: str = "churn_label",
+                     treat: str = "is_treatment", seed: int = 42) -> DataFrame:
+    """U1 / U2 out of fold: each customer scored by models that were fitted without its fold.
+
+    Rows without a label or an arm are left out. Every fold's complement needs customers of both arms.
+    """
+    rows = df.filter(F.col(label).isNotNull() & F.col(treat).isNotNull()).select("customer_id", label, treat, *features)
+    # Each fit and each scoring reads the folds: cut the lineage once.
+    data = cut_lineage(uplift_folds(rows.na.fill(0.0, features), k, label, treat, seed))
+    arms = {(r["fold"], r[treat]): r["count"] for r in data.groupBy("fold", treat).count().collect()}       # 2 k rows
+    out = None
+    for fold in range(k):
+        if any(not sum(n for (f, a), n in arms.items() if a == arm and f != fold) for arm in (0, 1)):
+            raise ValueError("every training part needs customers of both arms")
+        part = LEARNERS[learner](data.filter(F.col("fold") != fold), features, label, treat, data.filter(F.col("fold") == fold))
+        part = part.withColumn("fold", F.lit(fold))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def compare_fitted_learners(df: DataFrame, features: list[str], learners: tuple = ("t_learner", "s_learner"), k: int = 5,
+                            label: str = "churn_label", treat: str = "is_treatment") -> DataFrame:
+    """AUUC, mean, std and positive rate of the learners' out-of-fold scores."""
+    truth = df.select("customer_id", label, treat)
+    long = None
+    for name in learners:
+        scores = cross_fit_uplift(df, features, name, k, label, treat).select("customer_id", F.col("uplift_score").alias("uplift"))
+        part = scores.join(truth, "customer_id").withColumn("learner", F.lit(name))
+        long = part if long is None else long.unionByName(part)
+    return compare_long(cut_lineage(long), "uplift", label, treat)
+
+
 def _curve(df: DataFrame, score: str, y: str, t: str, part: list[str] | None = None) -> DataFrame:
     d = df.select(*(part or []), "customer_id", F.col(score).cast("double").alias("__s"),
                   F.col(y).cast("double").alias("__y"), F.col(t).cast("double").alias("__t"))

@@ -218,6 +218,46 @@ def q_full_cohort_analysis(spark, sf):
     return co.full_cohort_analysis(_monthly(spark, sf), P)
 
 
+REPORT = f"""rc0 AS (SELECT cohort, customer_id, cohort_period, count(*) AS events, sum(CAST(revenue AS DECIMAL(18, 2))) AS revenue, count(revenue) AS orders
+  FROM coh WHERE cohort IS NOT NULL AND customer_id IS NOT NULL AND cohort_period IS NOT NULL GROUP BY ALL),
+rc1 AS (SELECT *, cohort_period = min(cohort_period) OVER w AS is_new, max(cohort_period) OVER w AS last_p FROM rc0
+  WINDOW w AS (PARTITION BY cohort, customer_id)),
+rc2 AS (SELECT cohort, cohort_period, count(*) AS customers, count_if(is_new) AS new, sum(CASE WHEN is_new THEN last_p ELSE 0 END) AS life,
+    sum(events) AS events, sum(revenue) AS revenue, sum(orders) AS orders FROM rc1 GROUP BY ALL),
+rc3 AS (SELECT * FROM rc2 WHERE cohort IN (SELECT cohort FROM rc2 GROUP BY cohort HAVING sum(new) >= {P.min_cohort_size})),
+near AS (SELECT * FROM rc3 WHERE cohort_period <= {P.max_periods}),
+rd AS (SELECT a.cohort, b.cohort_period, coalesce(customers, 0) AS customers, coalesce(new, 0) AS new, coalesce(life, 0) AS life,
+    coalesce(events, 0) AS events, coalesce(revenue, 0.0) AS revenue, coalesce(orders, 0) AS orders
+  FROM (SELECT DISTINCT cohort FROM near) a CROSS JOIN (SELECT DISTINCT cohort_period FROM near) b LEFT JOIN near USING (cohort, cohort_period)),
+rb AS (SELECT *, max(CASE WHEN cohort_period = 0 THEN customers END) OVER (PARTITION BY cohort) AS base,
+    row_number() OVER (PARTITION BY cohort ORDER BY cohort_period) - 1 AS i FROM rd),
+rr AS (SELECT *, CASE WHEN base >= {P.min_cohort_size} THEN min(customers / base) OVER w END AS retention, sum(revenue) OVER w AS cumulative_revenue
+  FROM rb WINDOW w AS (PARTITION BY cohort ORDER BY cohort_period ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+rt AS (SELECT cohort, cohort_period, customers, new, life, events, revenue, orders, i, retention, cumulative_revenue,
+    CASE WHEN retention IS NOT NULL AND cohort_period = 0 THEN 0.0
+         ELSE 1 - retention / nullif(lag(retention) OVER (PARTITION BY cohort ORDER BY cohort_period), 0) END AS period_churn FROM rr
+  UNION ALL SELECT cohort, cohort_period, customers, new, life, events, revenue, orders, NULL, NULL, NULL, NULL FROM rc3
+  WHERE cohort_period > {P.max_periods})"""
+
+
+@register("cohort_report", oracle("""
+SELECT cohort, cohort_period, CASE WHEN gc = 1 AND gp = 1 THEN 'all' WHEN gc = 1 THEN 'period' WHEN gp = 1 THEN 'cohort' ELSE 'cell' END AS level,
+  CASE WHEN gp = 1 THEN new ELSE customers END::BIGINT AS customers, events::BIGINT AS events, revenue, revenue / nullif(orders, 0) AS avg_order_value,
+  retention, 1 - retention AS churn_rate, period_churn, CASE WHEN gc = 0 AND gp = 0 THEN cumulative_revenue END AS cumulative_revenue,
+  CASE WHEN gc = 0 AND gp = 1 THEN max_period END AS max_period, CASE WHEN gp = 1 THEN life / new END AS avg_lifetime_periods,
+  CASE WHEN gc = 0 AND gp = 1 THEN half_life END AS half_life
+FROM (SELECT cohort, cohort_period, grouping(cohort) AS gc, grouping(cohort_period) AS gp, sum(new) AS new, sum(customers) AS customers,
+    sum(events) AS events, sum(revenue) AS revenue, sum(orders) AS orders, avg(retention) AS retention, avg(period_churn) AS period_churn,
+    max(cumulative_revenue) AS cumulative_revenue, max(CASE WHEN events > 0 THEN cohort_period END) AS max_period, sum(life) AS life,
+    min(CASE WHEN retention < 0.5 THEN i END) AS half_life
+  FROM rt GROUP BY GROUPING SETS ((cohort, cohort_period), (cohort_period), (cohort), ()))""",
+    views=V, ctes=[COH, REPORT], doubles=["revenue", "avg_order_value", "retention", "churn_rate", "period_churn", "cumulative_revenue",
+                                          "avg_lifetime_periods"], ints=["cohort_period", "max_period", "half_life"]))
+def q_cohort_report(spark, sf):
+    """The whole cohort analysis as one table, by GROUPING SETS over the cells (revenue as exact decimals)."""
+    return co.cohort_report(_monthly(spark, sf).withColumn("revenue", F.col("revenue").cast("decimal(18,2)")), P)
+
+
 LASTW = f"""lw AS (SELECT a.* FROM activity a
   JOIN (SELECT customer_id, max(event_date) AS l FROM activity GROUP BY customer_id) m ON a.customer_id = m.customer_id
   WHERE a.event_date >= m.l - {SEQ_DAYS})"""

@@ -421,3 +421,20 @@ def q_pseudo_sequences(spark, sf):
     """tabular pseudo-sequences (3 steps) of the activity RFM features."""
     cust, ev, ref = _ctx(spark, sf)
     return fe.pseudo_sequences(fe.rfm(cust, ev, ref), PSEUDO_COLS, 3)
+
+
+@register("last_shipment", oracle("""SELECT o.o_orderkey AS order_id, o.o_custkey AS customer_id, CAST(o.o_orderdate AS DATE) AS order_date,
+  s.ship_date, s.n_lines, s.value
+FROM orders o ASOF LEFT JOIN (SELECT o_custkey, CAST(l_shipdate AS DATE) AS ship_date, count(*) AS n_lines, sum(l_extendedprice) AS value
+                              FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL) s
+  ON o.o_custkey = s.o_custkey AND CAST(o.o_orderdate AS DATE) >= s.ship_date""", views=[], doubles=["value"]))
+def q_last_shipment(spark, sf):
+    """Point-in-time feature: what a customer was last sent on or before the date of each order (as-of merge)."""
+    from churnlens.functions.asof import asof
+    orders = tb.read_table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"), F.to_date("o_orderdate").alias("order_date"))
+    sent = tb.read_table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.to_date("l_shipdate").alias("ship_date"),
+                                                       "l_extendedprice")
+    sent = sent.join(orders.select("order_id", "customer_id"), "order_id").groupBy("customer_id", "ship_date").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum("l_extendedprice").alias("value"))
+    return asof(orders, sent, "order_date", "ship_date", ["n_lines", "value"], by=["customer_id"])

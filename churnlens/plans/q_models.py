@@ -15,6 +15,7 @@ from churnlens.operators import uplift as up
 from churnlens.plans.catalog import register
 from churnlens.plans.domain_sql import oracle
 from churnlens.plans.q_segment import RFM_CTE, _rfm
+from churnlens.session import cut_lineage
 from churnlens.sources import tables as tb
 
 V = ["cust", "scores"]
@@ -160,21 +161,41 @@ def q_roc_curve(spark, sf):
     return md.roc_curve(_sc(spark, sf))
 
 
-@register("ensemble_blend")
-def q_ensemble_blend(spark, sf):
-    """M5: 0.6 x tree model + 0.4 x MLP on the flattened weekly feature sequences (rows-only)."""
+def _blend_holdout(spark, sf):
+    """Both models fitted on the customers who signed up before the cutoff date, applied to the later ones."""
     from pyspark.ml.classification import MultilayerPerceptronClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
+    from churnlens.functions.quantiles import quantile
     from churnlens.plans.q_features import _feature_sequences
+    days = F.datediff("signup_date", F.lit("1970-01-01"))
+    cust = tb.customers(spark, sf).filter("signup_date IS NOT NULL").select("customer_id", days.alias("day"))
+    cutoff = F.lit(float(quantile(cust, "day", BLEND_CUTOFF) or 0.0))
     seq = _feature_sequences(spark, sf).select("customer_id", F.col("churn_label").cast("double").alias("label"),
-                                               array_to_vector(F.flatten("sequence")).alias("features"))
-    mlp = MultilayerPerceptronClassifier(layers=[12, 8, 2], seed=42, maxIter=50).fit(seq)
-    pm = mlp.transform(seq).select("customer_id", vector_to_array("probability")[1].alias("p_mlp"))
-    tr = _train(spark, sf)
-    model, _ = md.fit_churn(tr, MODEL_FEATURES)
-    pt = md.score(model, tr).select("customer_id", F.col("churn_probability").alias("p_tree"))
-    j = pt.join(pm, "customer_id")
-    return j.withColumn("churn_probability", md.blend(F.col("p_tree"), F.col("p_mlp")))
+                                               array_to_vector(F.flatten("sequence")).alias("features")).join(cust, "customer_id")
+    seq = cut_lineage(seq)
+    mlp = MultilayerPerceptronClassifier(layers=[12, 8, 2], seed=42, maxIter=50).fit(seq.filter(F.col("day") < cutoff))
+    pm = mlp.transform(seq.filter(F.col("day") >= cutoff)).select("customer_id", vector_to_array("probability")[1].alias("p_mlp"))
+    tr = cut_lineage(_train(spark, sf).join(cust, "customer_id"))
+    model, _ = md.fit_churn(tr.filter(F.col("day") < cutoff).drop("day"), MODEL_FEATURES)
+    pt = md.score(model, tr.filter(F.col("day") >= cutoff)).select("customer_id", "churn_label", F.col("churn_probability").alias("p_tree"))
+    return pt.join(pm, "customer_id").withColumn("churn_probability", md.blend(F.col("p_tree"), F.col("p_mlp")))
+
+
+#: Share of the customers, by signup date, that the blended models are fitted on.
+BLEND_CUTOFF = 0.8
+
+
+@register("ensemble_blend")
+def q_ensemble_blend(spark, sf):
+    """M5: 0.6 x tree model + 0.4 x MLP on the flattened weekly feature sequences, both fitted before the
+    cutoff and blended on later customers (rows-only)."""
+    return _blend_holdout(spark, sf)
+
+
+@register("ensemble_blend_metrics")
+def q_ensemble_blend_metrics(spark, sf):
+    """M5 + M6: metrics of the blend on the customers after the cutoff (rows-only: model fit)."""
+    return md.binary_metrics(_blend_holdout(spark, sf).select("churn_probability", "churn_label"))
 
 
 @register("local_explanations")
@@ -231,6 +252,29 @@ def q_uplift_s(spark, sf):
     return up.uplift_s(tr, MODEL_FEATURES)
 
 
+def _arms(spark, sf):
+    return _train(spark, sf).join(tb.scores(spark, sf).select("customer_id", "is_treatment"), "customer_id")
+
+
+@q("uplift_folds", """SELECT customer_id, churn_label, is_treatment, CAST((row_number() OVER (PARTITION BY is_treatment, churn_label
+  ORDER BY md5('42:' || customer_id), customer_id) - 1) % 3 AS BIGINT) AS fold FROM sc""", ints=["is_treatment", "churn_label"])
+def q_uplift_folds(spark, sf):
+    """Three folds stratified by arm and label."""
+    return up.uplift_folds(_sc(spark, sf).select("customer_id", "churn_label", "is_treatment"), 3)
+
+
+@register("uplift_out_of_fold")
+def q_uplift_out_of_fold(spark, sf):
+    """T-learner scores of each customer from models fitted without its fold (rows-only: model fit)."""
+    return up.cross_fit_uplift(_arms(spark, sf), MODEL_FEATURES, "t_learner", 3)
+
+
+@register("compare_fitted_learners")
+def q_compare_fitted_learners(spark, sf):
+    """T-learner against S-learner on out-of-fold scores (rows-only: model fit)."""
+    return up.compare_fitted_learners(_arms(spark, sf), MODEL_FEATURES, k=3)
+
+
 CURVE = """cu AS (SELECT customer_id, row_number() OVER w AS k,
     sum(churn_label * is_treatment) OVER w AS cyt, sum(churn_label * (1 - is_treatment)) OVER w AS cyc,
     sum(is_treatment) OVER w AS ct, sum(1 - is_treatment) OVER w AS cc, count(*) OVER () AS n
@@ -512,10 +556,11 @@ COX_F = ["clv", "cost_per_action"]
 
 @register("cox_model")
 def q_cox_model(spark, sf):
-    """K3: Cox PH coefficients on the proxy survival frame (rows-only: iterative)."""
+    """K3: Cox PH coefficients on the proxy survival frame, with convergence and likelihood (rows-only: iterative)."""
     s = _surv(spark, sf).join(_sc(spark, sf).select("customer_id", "clv", "cost_per_action"), "customer_id")
     m = sv.fit_cox(s, COX_F)
-    return spark.createDataFrame([(f, float(c)) for f, c in zip(m["features"], m["coef"])], "feature string, coef double")
+    return spark.createDataFrame([(f, float(c), m["converged"], m["iterations"], m["log_likelihood"]) for f, c in zip(m["features"], m["coef"])],
+                                 "feature string, coef double, converged boolean, iterations int, log_likelihood double")
 
 
 @q("cox_score", "SELECT * FROM (VALUES " + ", ".join(f"('{f}', 0.0)" for f in COX_F) + ") AS t(feature, score)", ["score"])

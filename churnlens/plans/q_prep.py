@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from churnlens.operators import features as fe
@@ -175,11 +177,11 @@ def q_duplicate_keys(spark, sf):
     return pp.duplicate_keys(o, "customer_id")
 
 
-@register("orphan_events", oracle("""SELECT * FROM activity WHERE customer_id NOT IN (SELECT customer_id FROM cust)""",
+@register("orphan_events", oracle("""SELECT * FROM activity WHERE customer_id NOT IN (SELECT customer_id FROM cust WHERE churn_label = 0)""",
                                   views=["cust", "activity"], doubles=["amount", "session_duration"]))
 def q_orphan_events(spark, sf):
-    """Q11: events whose customer is unknown."""
-    return pp.orphan_events(tb.activity_events(spark, sf), tb.customers(spark, sf))
+    """Q11: events whose customer is not in the table of active customers."""
+    return pp.orphan_events(tb.activity_events(spark, sf), tb.customers(spark, sf).filter("churn_label = 0"))
 
 
 @register("bad_dates", oracle("""
@@ -361,9 +363,9 @@ def q_features_match(spark, sf):
 
 def _shared(spark, sf, name):
     """A path in the shared folder named by ``spark.checkpoint.dir`` (never machine-local
-    on a cluster), one per input scale."""
+    on a cluster), one per call."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/sources/{name}_{sf.rstrip('/').split('/')[-1]}"
+    return f"{base}/sources/{name}_{sf.rstrip('/').split('/')[-1]}-{uuid.uuid4().hex}"
 
 
 @register("customer_scan", oracle("SELECT * FROM customer", views=[], doubles=["c_acctbal"]))

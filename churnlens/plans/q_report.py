@@ -191,9 +191,16 @@ def q_kpi_delta(spark, sf):
     return rp.kpi_delta(s, "period", "orders")
 
 
-@register("prediction_enrichment")
+@q("prediction_enrichment", """SELECT p.* EXCLUDE (clv), coalesce(o.offer_type, 'no_action') AS offer_type,
+  coalesce(o.estimated_cost_krw, 0.0) AS estimated_cost_krw, r.* EXCLUDE (customer_id), coalesce(s.clv, 0.0) AS clv_predicted
+FROM pred p LEFT JOIN (SELECT customer_id, arg_max(offer_type, (priority_score, offer_type)) AS offer_type,
+    arg_max(estimated_cost_krw, (priority_score, offer_type)) AS estimated_cost_krw FROM offers GROUP BY customer_id) o
+  ON o.customer_id = p.customer_id
+LEFT JOIN rfm r ON r.customer_id = p.customer_id LEFT JOIN scores s ON s.customer_id = p.customer_id""",
+   ["churn_probability", "uplift_score", "cost_per_action", "estimated_cost_krw", "recency", "monetary", "avg_order_value",
+    "monetary_per_day", "clv_predicted"], ctes=REC_CTES + [RA, BEST, OFFERS], views=["cust", "scores"])
 def q_enrich(spark, sf):
-    """Predictions enriched with offers, RFM features and CLV (rows-only)."""
+    """Predictions enriched with offers, RFM features and CLV."""
     from churnlens.plans.q_segment import _rfm
     pred = _pred(spark, sf).drop("clv")
     return rp.enrich(pred, rc.offers(rc.recommend(_input(spark, sf))), _rfm(spark, sf), tb.scores(spark, sf))

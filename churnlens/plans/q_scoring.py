@@ -15,6 +15,7 @@ from churnlens.plans.q_features import DAILY, LABEL_PARAMS, LABEL_SQL_CTE, REF,
 from churnlens.session import ensure_checkpoint_dir
 from churnlens.sources import tables as tb
 from churnlens.streaming import scorer as st
+from churnlens.streaming import state as ss
 
 NP, NL = LABEL_PARAMS.no_purchase_days, LABEL_PARAMS.no_login_days
 V = ["cust", "activity"]
@@ -258,3 +259,39 @@ def q_stream_latest(spark, sf):
     resp = st.responses(st.read_requests(spark, _requests(spark, sf)), NP, NL).withColumn("scored_at", F.to_timestamp("scored_at"))
     st.latest_prediction_stream(resp, sink, _scratch(spark, "latest-checkpoint"))
     return st.latest_prediction_table(spark, sink)
+
+
+def _log_files(spark, sf) -> str:
+    """All scored events as request files of a stream."""
+    path = _scratch(spark, "scored")
+    (_log(spark, sf).select(F.col("message_id").cast("string").alias("message_id"), F.col("customer_id").cast("string").alias("customer_id"),
+                            F.col("timestamp").alias("scored_at"), "churn_probability")
+     .repartitionByRange(4, "scored_at").write.parquet(path))
+    return path
+
+
+def _log_stream(spark, path: str):
+    schema = "message_id string, customer_id string, scored_at timestamp, churn_probability double"
+    return ss.state_session(spark).readStream.schema(schema).parquet(path)
+
+
+@register("stream_live_predictions", oracle(f"""SELECT customer_id, "timestamp" AS scored_at, churn_probability FROM (
+  SELECT CAST(customer_id AS VARCHAR) AS customer_id, "timestamp", churn_probability, max("timestamp") OVER () AS mx,
+    row_number() OVER (PARTITION BY customer_id ORDER BY "timestamp" DESC, churn_probability DESC) AS r FROM slog)
+WHERE r = 1 AND epoch(mx) - epoch("timestamp") <= {TTL}""", views=[], ctes=[LOG], doubles=["churn_probability"]))
+def q_stream_live_predictions(spark, sf):
+    """T9 (stream): predictions not older than 7 days, expired by timers on the state store."""
+    sink = _scratch(spark, "live-sink")
+    ss.latest_with_ttl_stream(_log_stream(spark, _log_files(spark, sf)), sink, _scratch(spark, "live-checkpoint"), TTL)
+    return ss.live_predictions(spark, sink)
+
+
+@register("stream_recent_responses", oracle("""SELECT CAST(message_id AS VARCHAR) AS message_id, CAST(customer_id AS VARCHAR) AS customer_id,
+  "timestamp" AS scored_at, churn_probability FROM (
+  SELECT *, row_number() OVER (ORDER BY "timestamp" DESC, CAST(message_id AS VARCHAR) DESC) AS r FROM slog) WHERE r <= 50""",
+    views=[], ctes=[LOG], doubles=["churn_probability"]))
+def q_stream_recent_responses(spark, sf):
+    """T14 (stream): the last 50 responses, kept in bounded lists of the state store."""
+    sink = _scratch(spark, "recent-sink")
+    ss.recent_responses_stream(_log_stream(spark, _log_files(spark, sf)), sink, _scratch(spark, "recent-checkpoint"), 50)
+    return ss.recent_responses(spark, sink, 50)

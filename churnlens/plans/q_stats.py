@@ -458,3 +458,48 @@ def q_campaign_slices(spark, sf):
     """Campaign test slices with at least 30 per arm."""
     c = _exp(spark, sf).withColumnRenamed("group", "treatment_group").withColumnRenamed("churned", "churn_label")
     return st.campaign_slices(c, "churn_label", 30, HIGH_RISK, with_p=False)
+
+
+#: Normal tail in SQL: phi(z) times the series of z**(2k + 1) / (1 3 5 ... (2k + 1)).
+def normal_sf_sql(z: str) -> str:
+    """P(Z > z) for z of any sign, as SQL."""
+    term = (f"exp((2 * k + 1) * ln(abs({z})) - lgamma(k + 1.5) - (k + 1) * ln(2.0) + 0.5 * ln(pi()))")
+    half = f"exp(-0.5 * {z} * {z}) / sqrt(2 * pi()) * list_sum([{term} for k in range(0, 200)])"
+    return f"CASE WHEN {z} = 0 THEN 0.5 WHEN abs({z}) > 8 THEN CASE WHEN {z} > 0 THEN 0.0 ELSE 1.0 END ELSE 0.5 - sign({z}) * ({half}) END"
+
+
+#: A nation's suppliers against its customers. The counts of orders by U are the coefficients of the Gaussian
+#: binomial, built factor by factor of the smaller arm.
+MW_NATION = f"""arms AS (SELECT s_nationkey AS k, 1 AS a, s_acctbal AS v FROM supplier UNION ALL SELECT c_nationkey, 0, c_acctbal FROM customer),
+ok AS (SELECT * FROM arms WHERE v IS NOT NULL),
+vals AS (SELECT k, v, sum(a) AS ca, sum(1 - a) AS cb, count(*) AS t FROM ok GROUP BY k, v),
+rk AS (SELECT *, sum(t) OVER (PARTITION BY k ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM vals),
+s AS (SELECT k, sum(ca)::BIGINT AS n_a, sum(cb)::BIGINT AS n_b, sum(ca * (cum - t + (t + 1) / 2.0)) AS r1, sum(t ** 3 - t) AS ties FROM rk GROUP BY k),
+u AS (SELECT *, CASE WHEN n_a * n_b > 0 THEN r1 - n_a * (n_a + 1) / 2.0 END AS u, (n_a + n_b)::DOUBLE AS n FROM s),
+z AS (SELECT *, sqrt(n_a * n_b / 12.0 * ((n + 1) - ties / (n * (n - 1)))) AS sigma, least(n_a, n_b) AS m, greatest(n_a, n_b) AS o,
+    least(u, n_a * n_b - u) AS low FROM u),
+zz AS (SELECT *, CASE WHEN sigma > 0 THEN (n_a * n_b / 2.0 - low - 0.5) / sigma ELSE 0.0 END AS zv FROM z),
+g(k, i, m, o, p) AS (
+  SELECT k, 0, m, o, [1.0::DOUBLE] FROM zz WHERE m BETWEEN 1 AND 8 AND ties = 0
+  UNION ALL SELECT k, i + 1, m, o, [list_sum([
+      CASE WHEN x - (i + 1) * j < len(p) THEN p[x - (i + 1) * j + 1] ELSE 0.0 END
+      - CASE WHEN x - (i + 1) * j - (o + i + 1) >= 0 AND x - (i + 1) * j - (o + i + 1) < len(p) THEN p[x - (i + 1) * j - (o + i + 1) + 1] ELSE 0.0 END
+      for j in range(0, x // (i + 1) + 1)]) for x in range(0, (i + 1) * o + 1)]
+  FROM g WHERE i < m),
+e AS (SELECT k, p FROM g WHERE i = m),
+res AS (SELECT zz.k, u, n_a, n_b, CASE WHEN e.p IS NOT NULL THEN least(1.0, 2 * list_sum(e.p[1:CAST(low AS BIGINT) + 1]) / list_sum(e.p))
+    ELSE least(1.0, 2 * ({normal_sf_sql("zv")})) END AS p_value FROM zz LEFT JOIN e ON zz.k = e.k)"""
+
+
+@register("mann_whitney_by_nation", f"""WITH RECURSIVE {MW_NATION}
+SELECT CAST(k AS BIGINT) AS nation, round(u, 6) + 0.0 AS test_statistic, n_a, n_b,
+  round(CASE WHEN n_a * n_b > 0 THEN 1 - 2 * u / (n_a * n_b) ELSE 0.0 END, 6) + 0.0 AS effect_size,
+  round(CASE WHEN u IS NOT NULL THEN p_value END, 6) + 0.0 AS p_value FROM res""")
+def q_mann_whitney_by_nation(spark, sf):
+    """Balances of each nation's suppliers against its customers', exact for small arms without ties."""
+    sup = tb.read_table(spark, sf, "supplier").select(F.col("s_nationkey").alias("nation"), F.lit(st.A).alias("group"),
+                                                       F.col("s_acctbal").alias("balance"))
+    cust = tb.read_table(spark, sf, "customer").select(F.col("c_nationkey").alias("nation"), F.lit(st.B).alias("group"),
+                                                        F.col("c_acctbal").alias("balance"))
+    return st.mann_whitney(sup.unionByName(cust), "balance", by=["nation"]).select(
+        "nation", "test_statistic", "n_a", "n_b", "effect_size", "p_value")

@@ -7,6 +7,7 @@ cluster must be shared storage; the helpers never pick a machine-local folder.
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,14 +112,17 @@ def save_feature_store(df: DataFrame, path: str, fmt: str = "parquet") -> str:
 
 
 def load_feature_store(spark: SparkSession, path: str) -> DataFrame:
-    """S6 read: Parquet, else CSV, else an error."""
+    """S6 read: Parquet, or CSV if the files are no Parquet; an error names a path that is not there."""
     try:
         return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001
-        try:
-            return spark.read.option("header", True).option("inferSchema", True).csv(path)
-        except Exception as e:  # noqa: BLE001
-            raise FileNotFoundError(f"no feature store at {path}") from e
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise FileNotFoundError(f"no feature store at {path}") from e
+    except Py4JJavaError as e:
+        if "CANNOT_READ_FILE_FOOTER" not in str(e):
+            raise
+    return spark.read.option("header", True).option("inferSchema", True).csv(path)
 
 
 def save_result(df: DataFrame, path: str, fmt: str = "parquet") -> str:

@@ -62,3 +62,41 @@ def test_many_ties_are_split_into_blocks(spark, monkeypatch):
                                "customer_id long, a double, b double, duration double, event int")
     monkeypatch.setattr(sv, "TIE_BLOCK", 7)
     assert np.allclose(sv.fit_cox(df, ["a", "b"])["coef"], direct_efron(x, t, e, 0.01)[0], atol=1e-6)
+
+
+def fit(spark, rows, features, **options):
+    return sv.fit_cox(spark.createDataFrame(rows, "a double, b double, duration double, event int"), features, **options)
+
+
+def test_likelihood_never_falls_and_convergence_is_told(spark):
+    x, t, e = frame(120, 9)
+    rows = [(float(20 * x[i, 0] ** 3), float(x[i, 1]), float(t[i]), int(e[i])) for i in range(len(t))]
+    m = fit(spark, rows, ["a", "b"], penalizer=1e-6)
+    path = m["likelihood_path"]
+    assert m["converged"] and all(b > a for a, b in zip(path, path[1:])) and np.allclose(m["gradient"], 0, atol=1e-5)
+    assert np.allclose(m["coef"], direct_efron(np.array([r[:2] for r in rows]), t, e, 1e-6)[0], atol=1e-6)
+    assert not fit(spark, rows, ["a", "b"], max_iter=1)["converged"]
+
+
+def test_separated_groups_do_not_converge_without_a_penalty(spark):
+    # Every row of a = 1 dies before any of a = 0: the likelihood rises for ever.
+    rows = [(1.0, 0.0, float(i + 1), 1) for i in range(12)] + [(0.0, 0.0, float(i + 20), 1) for i in range(12)]
+    m = fit(spark, rows, ["a"], penalizer=0.0)
+    path = m["likelihood_path"]
+    assert not m["converged"] and all(b > a for a, b in zip(path, path[1:]))
+    assert np.isfinite(m["log_likelihood"]) and np.isfinite(m["coef"][0])
+    assert fit(spark, rows, ["a"], penalizer=0.1)["converged"]
+
+
+def test_constant_feature_and_large_predictors(spark):
+    x, t, e = frame(80, 2)
+    rows = [(5.0, float(x[i, 1]), float(t[i]), int(e[i])) for i in range(len(t))]
+    m = fit(spark, rows, ["a", "b"], penalizer=0.0)
+    assert m["coef"][0] == 0 and m["converged"]
+    assert np.allclose(m["coef"][1], direct_efron(np.array([[r[1]] for r in rows]), t, e, 0.0)[0], atol=1e-6)
+    # Weights of exp(1000) overflow without the shift.
+    base = spark.createDataFrame([(float(a), 1.0 + i, 1) for i, a in enumerate([1000, 990, 995, 980])], "__z0 double, __t double, __e int")
+    ll, g, h = sv._cox_step(base, np.array([1.0]), 0.0)
+    eta = np.array([1000.0, 990, 995, 980])
+    want = sum(eta[i] - (eta[i:].max() + np.log(np.exp(eta[i:] - eta[i:].max()).sum())) for i in range(4))
+    assert abs(ll - want) < 1e-9 and np.isfinite(g).all() and np.isfinite(h).all()
