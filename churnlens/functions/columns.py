@@ -52,7 +52,15 @@ def unpivot(df: DataFrame, ids: list[str], cols: list[str], var: str = "feature"
     return casted.unpivot(ids, cols, var, val)
 
 
-def small_table(df: DataFrame) -> DataFrame:
+#: Rows that a ``small_table`` may have.
+SMALL_ROWS = 100_000
+
+
+def small_table(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     """Materialise a result whose size is bounded by parameters (features x bins, stages)
-    as a literal table, so that later joins do not re-run the plan that produced it."""
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+    as a literal table, so that later joins do not re-run the plan that produced it; a larger one is
+    an error."""
+    rows = df.collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows: the table is not bounded by parameters")
+    return df.sparkSession.createDataFrame(rows, df.schema)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnlens.functions.columns import risk_level_left_closed
+from churnlens.session import cut_lineage
 
 # Actions in their order -- (action, base cost, channel, segment affinities).
 ACTIONS = (
@@ -46,6 +47,7 @@ OFFER_DETAILS = {
 
 
 def _with_clv_norm(df: DataFrame) -> DataFrame:
+    df = cut_lineage(df)        # candidates come from several joins and are read twice
     mm = df.agg(F.min("clv").alias("__mn"), F.max("clv").alias("__mx"))
     j = df.crossJoin(F.broadcast(mm))
     rng = F.when(F.col("__mx") > F.col("__mn"), F.col("__mx") - F.col("__mn")).otherwise(1.0)

@@ -73,3 +73,14 @@ def test_stream_drains_once_and_dedups(spark):
     assert sorted(r["request_message_id"] for r in out.collect()) == ["m1", "m2"]
     assert set(out.columns) >= set(st.RESPONSE_COLUMNS)
     _ = F
+
+
+def test_windows_leave_the_state_after_their_time(spark):
+    base = ensure_checkpoint_dir(spark).rstrip("/") + "/t_" + uuid.uuid4().hex
+    row = lambda m, t: (m, "c", "{}", f"2024-01-01T{t}:00", "score")
+    src = _files(spark, base + "/src", [row("m1", "08:00")], [row("m2", "12:00")], [row("m5", "12:10")],
+                 [row("m3", "11:40"), row("m4", "08:05")])
+    q = st.stream_throughput(spark, src, base + "/tp", base + "/tpck", keep="1 hour")
+    windows = {(r["timestamp"].hour, r["timestamp"].minute): r["requests"] for r in st.throughput_table(spark, base + "/tp").collect()}
+    assert windows == {(8, 0): 1, (12, 0): 2, (11, 30): 1}        # m4 came long after its window
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 2
