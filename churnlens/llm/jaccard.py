@@ -4,9 +4,11 @@ A document's set holds its distinct shingles of ``k`` words (A-Z lower-cased). D
 sets form a class. Two classes link when ``100 * common >= percent * union``.
 
 1. Chunks of documents send short keys of their shingles, packed by bucket; buckets count them and
-   answer which are common (in more than ``COMMON`` documents) and how much so. Shingles are
-   ordered rare ones first; a class's prefix, its first ``n - ceil(percent n / 100) + 1`` shingles
-   in that order, shares a shingle with the prefix of every class it links with.
+   answer with two bits for each (in one document, up to ``RARE``, up to ``COMMON``, more) and with
+   how common the common ones are. Shingles are ordered rare ones first; a class's prefix, its first
+   ``n - ceil(percent n / 100) + 1`` shingles in that order, shares a shingle with the prefix of every
+   class it links with. Shingles that no other document has come first, so a text of which more
+   than the allowed part is its own meets no other at all.
 2. The (prefix shingle, class) pairs, packed by bucket, are searched for shingles that two classes
    share. Classes with such shingles go on with their count vectors: the number of shingles in
    each of about n / 8 hash groups.
@@ -14,7 +16,8 @@ sets form a class. Two classes link when ``100 * common >= percent * union``.
    class whose shingles are the most common on average: of copies with changes of their own that
    is the text without any. Verified links collapse groups of near copies to components, so no
    group is expanded into all its pairs.
-4. Classes of different components that share a prefix shingle are searched by an R-tree of their
+4. Classes of different components that share a prefix shingle, at places from which on their sets are
+   long enough to link (of their first common shingle the rest of each bounds the overlap), are searched by an R-tree of their
    count vectors (folded to ``GROUPS`` groups): a node's largest counts bound the overlap with any
    class below it by the sum of the smaller coordinates. Larger groups are dealt into blocks of about
    ``BLOCK`` classes; each pair of blocks is searched by itself, but not two blocks of one component.
@@ -52,7 +55,9 @@ PERCENT = 85
 GROUPS = 256
 #: Shingles in a group of a count vector, on average.
 PER_GROUP = 8
-#: Documents from which a shingle counts as common; each doubling is a class of its own.
+#: Documents above which a shingle is not rare any more, and above which it is common; each doubling from there is
+#: a class of its own.
+RARE = 4
 COMMON = 32
 #: Bits of a shingle's key within its bucket, for the counts only.
 _KEY_BITS = 24
@@ -144,16 +149,29 @@ class _Sets:
         _, at = np.unique(self.cls[full], return_index=True)
         self.carriers = np.sort(full[at])
 
-    def prefixes(self, frequency: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(shingle, frequency class, class of sets) of the carriers' prefixes, rare shingles first."""
+    def prefixes(self, frequency: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(shingle, frequency class, class of sets, shingles from it on) of the carriers' prefixes, rare
+        shingles first."""
         f = frequency[self.key]
         order = np.argsort((f.astype(np.uint64) << np.uint64(58)) | (self.h >> np.uint64(6)))
         order = order[np.argsort(self.doc[order], kind="stable")]
         p = self.n[self.carriers]
         p = p - -(-percent * p // 100) + 1
         stop = np.cumsum(p)
-        at = order[np.repeat(self.first[self.carriers] - (stop - p), p) + np.arange(int(p.sum()))]
-        return self.h[at], f[at], np.repeat(self.cls[self.carriers], p)
+        place = np.arange(int(p.sum())) - np.repeat(stop - p, p)
+        at = order[np.repeat(self.first[self.carriers], p) + place]
+        rest = (np.repeat(self.n[self.carriers], p) - place).astype("<u4")
+        return self.h[at], f[at], np.repeat(self.cls[self.carriers], p), rest
+
+
+def pack_levels(levels: np.ndarray) -> bytes:
+    """Two bits a value."""
+    return np.packbits(np.stack([levels & 1, levels >> 1]).astype(bool).ravel()).tobytes()
+
+
+def unpack_levels(raw: bytes, n: int) -> np.ndarray:
+    bits = np.unpackbits(np.frombuffer(raw, np.uint8), count=2 * n)
+    return bits[:n] + 2 * bits[n:]
 
 
 def _sorted_by_id(t: pa.Table) -> pa.Table:
@@ -188,66 +206,72 @@ def _dealt(df: DataFrame, id_col: str, text_col: str, k: int, percent: int, chun
         counts = np.frombuffer(b"".join(t["counts"].to_pylist()), "<u4")
         names, at = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(at, counts, minlength=len(names))
-        classes = np.where(total > COMMON, 1 + np.floor(np.log2(np.maximum(total, 1) / COMMON)), 0).astype(np.uint8)[at]
-        out = {"chunk": [], "bucket": [], "places": [], "classes": []}
+        classes = np.where(total > COMMON, 3 + np.floor(np.log2(np.maximum(total, 1) / COMMON)),
+                           (total > 1).astype(np.int64) + (total > RARE)).astype(np.uint8)[at]
+        out = {"chunk": [], "bucket": [], "levels": [], "places": [], "classes": []}
         for chunk, bucket, own in zip(t["chunk"].to_pylist(), t["bucket"].to_pylist(),
                                       np.split(classes, np.cumsum([len(x) for x in keys])[:-1])):
-            places = np.flatnonzero(own)
-            if len(places):
-                for name, value in zip(out, (chunk, bucket, places.astype("<u4").tobytes(), own[places].tobytes())):
+            places = np.flatnonzero(own >= 3)
+            if own.any():
+                for name, value in zip(out, (chunk, bucket, pack_levels(np.minimum(own, 3)), places.astype("<u4").tobytes(),
+                                             own[places].tobytes())):
                     out[name].append(value)
-        return pa.table(out, schema=pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("places", pa.binary()),
-                                               ("classes", pa.binary())]))
+        return pa.table(out, schema=pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("levels", pa.binary()),
+                                               ("places", pa.binary()), ("classes", pa.binary())]))
 
     def collect(t: pa.Table, answers: pa.Table) -> pa.Table:
         t = _sorted_by_id(t)
         s = _Sets(t["t"], k, n_buckets)
         frequency = np.zeros(len(s.keys), np.uint8)
-        start = dict(zip(s.buckets.tolist(), s.starts.tolist()))
-        for bucket, places, classes in zip(*(answers[c].to_pylist() for c in ("bucket", "places", "classes"))):
-            frequency[start[bucket] + np.frombuffer(places, "<u4").astype(np.int64)] = np.frombuffer(classes, np.uint8)
+        span = dict(zip(s.buckets.tolist(), zip(s.starts.tolist(), s.stops.tolist())))
+        for bucket, levels, places, classes in zip(*(answers[c].to_pylist() for c in ("bucket", "levels", "places", "classes"))):
+            start, stop = span[bucket]
+            frequency[start:stop] = unpack_levels(levels, stop - start)
+            frequency[start + np.frombuffer(places, "<u4").astype(np.int64)] = np.frombuffer(classes, np.uint8)
         vectors: list = [None] * len(s.n)
         common = np.add.reduceat(np.append(frequency[s.key].astype(np.int64), 0), np.minimum(s.first[:-1], len(s.h)))
         common = np.where(s.n > 0, 1000 * common // np.maximum(s.n, 1), 0)
         for d in s.carriers:
             vectors[d] = count_vector(s.h[s.first[d]:s.first[d + 1]]).tobytes()
         docs = pa.table([t["row"], t["key"], pa.array(s.n.astype(np.int64)), pa.array(s.cls), pa.array(vectors, pa.binary()), pa.array(common),
-                         *[pa.nulls(len(t), x) for x in (pa.int64(), pa.binary(), pa.binary(), pa.binary())]], names=names)
-        h, f, c = s.prefixes(frequency, percent)
+                         *[pa.nulls(len(t), x) for x in (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())]], names=names)
+        h, f, c, rest = s.prefixes(frequency, percent)
         bucket = (tx._mix(h) % np.uint64(n_buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         buckets, starts = np.unique(bucket[order], return_index=True)
         cuts = np.split(order, starts[1:]) if len(starts) else []
         m = len(cuts)
         packed = pa.table([pa.nulls(m, docs["row"].type), *[pa.nulls(m, docs[x].type) for x in names[1:6]], pa.array(buckets, pa.int64()),
-                           *[pa.array([x[i].tobytes() for i in cuts], pa.binary()) for x in (h, f, c)]], names=names)
+                           *[pa.array([x[i].tobytes() for i in cuts], pa.binary()) for x in (h, f, c, rest)]], names=names)
         return pa.concat_tables([docs, packed])
 
-    names = ["row", "key", "n", "c", "vec", "common", "bucket", "shingles", "frequency", "classes"]
+    names = ["row", "key", "n", "c", "vec", "common", "bucket", "shingles", "frequency", "classes", "rests"]
     kinds = {"key": T.LongType(), "n": T.LongType(), "c": T.LongType(), "vec": T.BinaryType(), "common": T.LongType(),
-             "bucket": T.LongType(), "shingles": T.BinaryType(), "frequency": T.BinaryType(), "classes": T.BinaryType()}
+             "bucket": T.LongType(), "shingles": T.BinaryType(), "frequency": T.BinaryType(), "classes": T.BinaryType(),
+             "rests": T.BinaryType()}
     schema = T.StructType([T.StructField("row", dealt.schema["row"].dataType), *[T.StructField(c, x) for c, x in kinds.items()]])
     weighed = dealt.groupBy("chunk").applyInArrow(weigh, "bucket long, chunk long, small binary, large binary, counts binary")
-    answers = weighed.groupBy("bucket").applyInArrow(count, "chunk long, bucket long, places binary, classes binary")
+    answers = weighed.groupBy("bucket").applyInArrow(count, "chunk long, bucket long, levels binary, places binary, classes binary")
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(collect, schema)
 
 
 def _shared(packed: DataFrame) -> DataFrame:
-    """(s, f, c): prefix shingles that two classes of sets share, with those classes."""
+    """(s, f, c, rest): prefix shingles that two classes of sets share, with those classes."""
     def run(t: pa.Table) -> pa.Table:
-        s, f, c = (np.frombuffer(b"".join(t[x].to_pylist()), kind) for x, kind in (
-            ("shingles", np.uint64), ("frequency", np.uint8), ("classes", np.int64)))
+        s, f, c, rest = (np.frombuffer(b"".join(t[x].to_pylist()), kind) for x, kind in (
+            ("shingles", np.uint64), ("frequency", np.uint8), ("classes", np.int64), ("rests", "<u4")))
         order = np.lexsort((c, s))
-        s, f, c = s[order], f[order], c[order]
+        s, f, c, rest = s[order], f[order], c[order], rest[order]
         new = np.ones(len(s), bool)          # copies of a class in several chunks
         new[1:] = (s[1:] != s[:-1]) | (c[1:] != c[:-1])
-        s, f, c = s[new], f[new], c[new]
+        s, f, c, rest = s[new], f[new], c[new], rest[new]
         both = np.zeros(len(s), bool)
         both[1:] = s[1:] == s[:-1]
         both[:-1] |= both[1:]
-        return pa.table({"s": s[both].view(np.int64), "f": f[both].astype(np.int32), "c": c[both]})
+        return pa.table({"s": s[both].view(np.int64), "f": f[both].astype(np.int32), "c": c[both],
+                         "rest": rest[both].astype(np.int64)})
 
-    return packed.groupBy("bucket").applyInArrow(run, "s long, f int, c long")
+    return packed.groupBy("bucket").applyInArrow(run, "s long, f int, c long, rest long")
 
 
 def overlap_needed(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
@@ -405,10 +429,10 @@ class CountTree:
         return q, self.order[node]
 
 
-def _group_pairs(c: np.ndarray, comp: np.ndarray, n: np.ndarray, vec: np.ndarray, side: np.ndarray,
+def _group_pairs(c: np.ndarray, comp: np.ndarray, n: np.ndarray, rest: np.ndarray, vec: np.ndarray, side: np.ndarray,
                  percent: int) -> Iterator[np.ndarray]:
-    """Pairs of one group's classes, in different components, that the tree lets pass. Where classes
-    stand on side 1, only pairs across the sides."""
+    """Pairs of one group's classes, in different components, that the tree and the rests let pass.
+    Where classes stand on side 1, only pairs across the sides."""
     points = np.flatnonzero(side == 0)
     queries = np.flatnonzero(side == 1) if side.any() else points
     tree = CountTree(vec[points], n[points])
@@ -418,6 +442,7 @@ def _group_pairs(c: np.ndarray, comp: np.ndarray, n: np.ndarray, vec: np.ndarray
         q, p = tree.search(vec[at], n[at], percent)
         q, p = at[q], points[p]
         ok = (comp[q] != comp[p]) & ((c[q] < c[p]) | (side[q] == 1))
+        ok &= np.minimum(rest[q], rest[p]) >= overlap_needed(n[q], n[p], percent)
         yield np.sort(np.stack([c[q[ok]], c[p[ok]]], 1), axis=1)
 
 
@@ -442,13 +467,15 @@ def _blocks(members: DataFrame) -> DataFrame:
     dealt = dealt.withColumn("mine", mine).withColumn("other", F.explode(F.expr(
         "CASE WHEN total IS NULL THEN array(0L) "
         "ELSE filter(sequence(0L, total - 1), x -> low IS NULL OR x < low OR x >= low + width) END")))
-    return dealt.select("s", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "c", "comp",
-                        (F.col("mine") > F.col("other")).cast("int").alias("side"))
+    return dealt.select("s", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
+                        *[x for x in members.columns if x != "s"], (F.col("mine") > F.col("other")).cast("int").alias("side"))
 
 
 def _search(rows: DataFrame, percent: int) -> DataFrame:
     """Distinct candidate pairs of rows (s, c, comp, n, vec) that stand together by shingle s and, if
-    the rows have them, blocks i and j."""
+    the rows have them, blocks i and j; ``rest`` holds the class's shingles from s on (default: all)."""
+    if "rest" not in rows.columns:
+        rows = rows.withColumn("rest", F.col("n"))
     if "i" not in rows.columns:
         rows = rows.select("*", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("side"))
 
@@ -467,7 +494,7 @@ def _search(rows: DataFrame, percent: int) -> DataFrame:
             return [t[x][at] for x in ("s", "i", "j")]
 
         def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            c, comp, n, side = (t[x].to_numpy() for x in ("c", "comp", "n", "side"))
+            c, comp, n, rest, side = (t[x].to_numpy() for x in ("c", "comp", "n", "rest", "side"))
             vec = np.frombuffer(b"".join(t["vec"].to_pylist()), np.uint8).reshape(-1, GROUPS)
             starts = starts_of(t)
             ends = np.r_[starts[1:], t.num_rows]
@@ -479,11 +506,13 @@ def _search(rows: DataFrame, percent: int) -> DataFrame:
                 i = np.arange(len(group) - gap)
                 i = i[(group[i] == group[i + gap]) & (comp[i] != comp[i + gap]) & small[group[i]]]
                 j = i + gap
-                i, j = (x[100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])] for x in (i, j))
+                # Equal or near sizes, and enough of both sets from the shared shingle on.
+                fits = np.minimum(rest[i], rest[j]) >= overlap_needed(n[i], n[j], percent)
+                i, j = i[fits], j[fits]
                 ok = _common_bound(vec[i], vec[j]) >= overlap_needed(n[i], n[j], percent)
                 found.append(np.sort(np.stack([c[i[ok]], c[j[ok]]], 1), axis=1))
             for b, e in zip(starts[~small], ends[~small]):
-                for some in _group_pairs(c[b:e], comp[b:e], n[b:e], vec[b:e], side[b:e], percent):
+                for some in _group_pairs(c[b:e], comp[b:e], n[b:e], rest[b:e], vec[b:e], side[b:e], percent):
                     found.append(some)
                     if sum(map(len, found)) > SEARCH_PAIRS:
                         yield distinct(found)
@@ -508,7 +537,7 @@ def _search(rows: DataFrame, percent: int) -> DataFrame:
         if held:
             yield from pairs(pa.Table.from_batches(held).combine_chunks())
 
-    return rows.select("s", "i", "j", "side", "c", "comp", "n", "vec").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("s", "i", "j", "side", "c", "comp", "n", "rest", "vec").mapInArrow(run, "a long, b long").distinct()
 
 
 def _folded(classes: DataFrame) -> DataFrame:
@@ -533,7 +562,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = both.filter("bucket IS NULL")
     texts = df.select(F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("t"))
     with_id = F.col("row")[id_col].isNotNull()
-    shared = _shared(both.filter("bucket IS NOT NULL").select("bucket", "shingles", "frequency", "classes")).checkpoint()
+    shared = _shared(both.filter("bucket IS NOT NULL").select("bucket", "shingles", "frequency", "classes", "rests")).checkpoint()
     # A class has one count vector a chunk; any of them will do.
     classes = (docs.filter(F.col("vec").isNotNull()).join(shared.select("c").distinct(), "c", "left_semi").groupBy("c")
                .agg(F.min_by(F.struct("key", "n", "vec", "common"), "key").alias("x")).select("c", "x.*")).checkpoint()
@@ -551,8 +580,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     comps = connected_components(first)
 
     # Step 4: groups that hold classes of different components.
-    members = shared.select("s", "c").join(comps.withColumnRenamed("node", "c"), "c", "left").select(
-        "s", "c", F.coalesce("component", "c").alias("comp"))
+    members = shared.select("s", "c", "rest").join(comps.withColumnRenamed("node", "c"), "c", "left").select(
+        "s", "c", F.coalesce("component", "c").alias("comp"), "rest")
     mixed = (members.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
              .filter("lo < hi").select("s"))
     blocks = _blocks(members.join(mixed, "s", "left_semi").checkpoint())
