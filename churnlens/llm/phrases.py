@@ -15,8 +15,9 @@ first scan that may use it. A clash of slots can only start a phrase that need n
 slot never changes once it is set, its start stays the same and its count stays exact. The table is the only
 thing that goes through the driver, and its size is a parameter.
 
-At the end one more scan names the frequent phrases, joins give the counts of their parts, and the exact global
-order ranks them within each language.
+Two more scans name the frequent phrases: in the first a task spells only a share of those it meets (they occur
+in many tasks), in the second those that no task has spelled. Joins give the counts of their parts, and the exact
+global order ranks them within each language.
 
 Defined cases: a null text is empty, a null language is ``und``; repeated rows count each; two phrases
 are taken for one if their hashes agree (one in 2**64 for each pair); other columns are ignored.
@@ -31,6 +32,7 @@ from functools import lru_cache, reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +49,9 @@ SLOTS = 1 << 24
 #: A phrase inside a longer one with this share of its count is dropped (percent).
 INSIDE = 50
 TOP = 2000
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+#: A task spells one in so many of the phrases that it meets in the first scan for names.
+SPELL = 6
 NEVER = 255
 _BLOCK = 1 << 15
 
@@ -188,11 +192,14 @@ def count_phrases(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     return reduce(DataFrame.unionByName, ended).select("h", code_n.cast("int").alias("n"), F.col("c").alias("f")), scan
 
 
-def _name(uri: str, n_max: int):
-    """(h, lang, phrase, n, parts) of the windows of two words and more whose slots are set, each once a slice."""
+def _name(uri: str, n_max: int, spell: int):
+    """(h, lang, phrase) of the windows of two words and more whose slots are set, each once a task and
+    only those that fall to the task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tx.release()
         wanted = read_slots(uri) == 1
+        task = TaskContext.get().partitionId()
+        seen = np.zeros(0, np.uint64)
         for whole in batches:
             for b in tx.slices(whole, "t", SLICE_BYTES):
                 p = Phrases(b, n_max)
@@ -200,20 +207,40 @@ def _name(uri: str, n_max: int):
                 for n in range(2, n_max + 1):
                     a, c = slots_of(p.hashes[n], len(wanted))
                     at = np.flatnonzero(p.ok[n] & wanted[a] & wanted[c])
+                    h = p.hashes[n][at]
+                    mine = tx.with_doc(h, np.full(len(h), task)) % np.uint64(spell) == 0
+                    h, first = np.unique(h[mine], return_index=True)
+                    at = at[mine][first]
+                    new = ~np.isin(h, seen, assume_unique=True)
+                    h, at = h[new], at[new]
                     if not len(at):
                         continue
-                    h, first = np.unique(p.hashes[n][at], return_index=True)
-                    at = at[first]
-                    # Every proper part as (first word, words): all that the cuts and longer phrases need.
-                    parts = np.stack([p.hashes[m][at + i] for m in range(1, n) for i in range(n - m + 1)], 1)
-                    size = parts.shape[1]
+                    seen = np.concatenate([seen, h])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(h.view(np.int64)), lang.take(pa.array(tx.word_docs(p.words.first)[at])),
-                         pa.array(p.lang[at].view(np.int64)), _spelled(p.words, at, n),
-                         pa.array(np.full(len(h), n, np.int32)),
-                         pa.ListArray.from_arrays(pa.array(np.arange(0, size * len(h) + 1, size), pa.int32()),
-                                                  pa.array(parts.ravel().view(np.int64)))],
-                        ["h", "lang", "lh", "phrase", "n", "parts"])
+                        [pa.array(h.view(np.int64)), lang.take(pa.array(tx.word_docs(p.words.first)[at])), _spelled(p.words, at, n)],
+                        ["h", "lang", "phrase"])
+    return run
+
+
+def _parts(n_max: int):
+    """Adds to spelled phrases the hash of the language and those of all proper parts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in tx.slices(whole, "phrase", SLICE_BYTES):
+                p = Phrases(b.select(["phrase", "lang"]), n_max)
+                first, size = p.words.first[:-1], np.diff(p.words.first)
+                rows, values = [], []
+                for n in range(2, n_max + 1):
+                    mine = np.flatnonzero(size == n)
+                    rows.append(mine)
+                    values.append(np.stack([p.hashes[m][first[mine] + i] for m in range(1, n) for i in range(n - m + 1)], 1))
+                order = np.concatenate(rows)
+                width = np.concatenate([np.full(len(r), v.shape[1]) for r, v in zip(rows, values)])
+                parts = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(width)]), pa.int32()),
+                                                 pa.array(np.concatenate([v.ravel() for v in values]).view(np.int64)))
+                out = b.take(pa.array(order))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(p.lang[first[order]].view(np.int64)), parts],
+                                                 [*out.schema.names, "lh", "parts"])
     return run
 
 
@@ -242,12 +269,18 @@ def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     spark = df.sparkSession
     folder = new_folder(spark, "collocations")
     counted, _ = count_phrases(df, text_col, lang_col, threshold, n_max, shards, slots)
-    wanted = _slot_bits(counted.filter("n >= 2"), slots).astype(np.uint8)
-    write_slots(f"{folder}/wanted", wanted)
+    phrases = counted.filter("n >= 2")
     texts = df.select(F.col(f"`{text_col}`").alias("t"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
-    named = texts.mapInArrow(_name(f"{folder}/wanted", n_max), "h long, lang string, lh long, phrase string, n int, parts array<long>")
-    named = named.groupBy("h").agg(*[F.min(c).alias(c) for c in ("lang", "lh", "phrase", "parts")])
-    named.join(counted.filter("n >= 2"), "h").write.parquet(f"{folder}/named")
+    left = phrases
+    for i, spell in enumerate((SPELL, 1)):
+        write_slots(f"{folder}/wanted-{i}", _slot_bits(left, slots).astype(np.uint8))
+        found = texts.mapInArrow(_name(f"{folder}/wanted-{i}", n_max, spell), "h long, lang string, phrase string")
+        found = found.groupBy("h").agg(F.min("lang").alias("lang"), F.min("phrase").alias("phrase"))
+        found.join(left, "h").write.parquet(f"{folder}/spelled-{i}")
+        left = left.join(spark.read.parquet(f"{folder}/spelled-{i}"), "h", "left_anti")
+    named = spark.read.parquet(f"{folder}/spelled-0").unionByName(spark.read.parquet(f"{folder}/spelled-1"))
+    named = named.mapInArrow(_parts(n_max), "h long, lang string, phrase string, n int, f long, lh long, parts array<long>")
+    named.write.parquet(f"{folder}/named")
     named = spark.read.parquet(f"{folder}/named")
     counts = counted.select(F.col("h").alias("p"), F.col("f").alias("pf"))
     # The counts of all parts of each candidate, and each part's most frequent longer phrase.
