@@ -3,16 +3,19 @@
 For every benchmark item a document's windows of as many words are compared with it (a shorter
 document is one window). Words are lower-cased (A-Z); a window or item is the multiset of its
 shingles of ``k`` words (an item of fewer words is one shingle), each weighted by its count. The
-128-bit SimHash of a window is looked up in a multi-index over the items' fingerprints of that
-size: 16 blocks of 8 bits, each matched within two bits, so every item within 47 bits is found by
-the pigeonhole principle. Survivors are verified by exact weighted Jaccard similarity.
+512-bit SimHash of a window is looked up in a multi-index over the items' fingerprints of that
+size: 23 blocks of 22 or 23 bits, each matched within four bits, so every item within 114 bits is found
+by the pigeonhole principle; of unrelated fingerprints one in twenty passes a block. At a similarity of
+0.8 about 15 % of the bits differ, 78 on average, so the radius lies over four standard deviations
+above it. Survivors are verified by exact weighted Jaccard similarity.
 
 Fingerprints are only made of windows that can pass at all: of two multisets of m shingles with
 similarity s, the overlap is at least 2 s m / (1 + s), so a window needs that many shingles that
 occur in items of its size.
 
-The benchmark is a query set, used in blocks of about ``block_bytes`` of text: a block's tables
-go to every task, and each block is one pass over the documents, without any shuffle.
+The benchmark is a query set, written in blocks of about ``block_bytes`` of text to the shared folder. A
+task reads the blocks one at a time for each slice of its documents, in one pass over them and without any
+shuffle; the driver knows the number of blocks only.
 
 Defined cases: null or empty texts and items have no words and match nothing; repeated rows are
 judged each, equal item ids are reported once with the best window; ties go to the first window; a
@@ -27,19 +30,26 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnlens.llm import text as tx
 from churnlens.llm.registry import query, small_batches, table, text_bytes
+from churnlens.llm.storage import file_system, new_folder
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BITS = 128
-#: Bits that the 16 blocks of the index guarantee to bridge: two in each block, less than 3 * 16.
-RADIUS = 47
-#: Benchmark text in one pass over the documents.
+BITS = 512
+BLOCKS = 23
+#: Bits of a block that may differ, and those that the blocks guarantee to bridge together.
+NEAR = 4
+RADIUS = BLOCKS * (NEAR + 1) - 1
+#: Bytes of block differences compared at once.
+COMPARE_BYTES = 16 << 20
+#: Benchmark text that a task holds at once.
 BLOCK_BYTES = 2 << 20
 _FILTER_BITS = 22
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -47,18 +57,28 @@ _LOWER[ord("A"):ord("Z") + 1] += 32
 
 
 def fingerprints(shingles: np.ndarray) -> np.ndarray:
-    """SimHash (n x 16 bytes) of n rows of shingle hashes, each shingle weighted by its count."""
+    """SimHash (n x 64 bytes) of n rows of shingle hashes, each shingle weighted by its count."""
     n, m = shingles.shape
     out = np.empty((n, BITS // 8), np.uint8)
     step = max(1, (8 << 20) // (m * BITS))
     for i in range(0, n, step):
         h = np.ascontiguousarray(shingles[i:i + step])
-        both = np.stack([h, tx.with_doc(h, np.full(h.shape, 7))], -1)
-        bits = np.unpackbits(both.view(np.uint8).reshape(len(h), m, BITS // 8), axis=2)
+        words = np.stack([h, *[tx.with_doc(h, np.full(h.shape, seed)) for seed in range(7, 6 + BITS // 64)]], -1)
+        bits = np.unpackbits(words.view(np.uint8).reshape(len(h), m, BITS // 8), axis=2)
         out[i:i + step] = np.packbits(2 * bits.sum(1, dtype=np.int64) > m, axis=1)
     return out
 
 
+def block_values(prints: np.ndarray) -> np.ndarray:
+    """The fingerprints' blocks as numbers (n x BLOCKS)."""
+    bits = np.unpackbits(prints, axis=1)
+    edges = np.arange(BLOCKS + 1) * BITS // BLOCKS
+    out = np.empty((len(prints), BLOCKS), np.uint32)
+    for b, (i, j) in enumerate(zip(edges, edges[1:])):
+        out[:, b] = bits[:, i:j].astype(np.uint32) @ (np.uint32(1) << np.arange(j - i, dtype=np.uint32))
+    return out
+
+
 def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Sum of the smaller over sum of the larger counts of two multisets of hashes."""
     keys = np.concatenate([a, b])
@@ -75,21 +95,28 @@ class _Size:
         self.m = n_words - self.k + 1
         self.shingles = np.unique(np.concatenate([s for _, s in items]))
         self.prints = fingerprints(np.stack([s for _, s in items]))
-        # near[b][v]: which items' block b is within two bits of v.
-        v = np.arange(256, dtype=np.uint8)
-        self.near = [np.bitwise_count(v[:, None] ^ self.prints[None, :, b]) <= 2 for b in range(BITS // 8)]
+        self.blocks = block_values(self.prints)
         # Least shingles shared by a window of m, and by a shorter document.
         self.need = max(1, math.ceil(2 * similarity / (1 + similarity) * self.m - 1e-9))
         self.need_short = max(1, math.ceil(similarity * self.m - 1e-9))
 
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) pairs within the radius."""
-        hit = self.near[0][prints[:, 0]]
-        for b in range(1, BITS // 8):
-            hit = hit | self.near[b][prints[:, b]]
-        i, j = np.nonzero(hit)
-        close = np.bitwise_count(prints[i] ^ self.prints[j]).sum(1, dtype=np.int64) <= RADIUS
-        return i[close], j[close]
+        """(window, item) pairs within the radius, in slices of bounded size on both sides."""
+        mine, found = block_values(prints), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        wide = max(1, min(len(self.blocks), COMPARE_BYTES // (4 * BLOCKS)))
+        tall = max(1, COMPARE_BYTES // (4 * BLOCKS * wide))
+        for a in range(0, len(mine), tall):
+            for b in range(0, len(self.blocks), wide):
+                i, j = self.near(mine[a:a + tall], self.blocks[b:b + wide])
+                close = np.bitwise_count(prints[a + i] ^ self.prints[b + j]).sum(1, dtype=np.int64) <= RADIUS
+                found.append((a + i[close], b + j[close]))
+        i, j = (np.concatenate(x) for x in zip(*found))
+        return i, j
+
+    @staticmethod
+    def near(windows: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of which some block differs in ``NEAR`` bits at most."""
+        return np.nonzero((np.bitwise_count(windows[:, None] ^ items[None]) <= NEAR).any(2))
 
 
 class Items:
@@ -176,8 +203,19 @@ def _member(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
-def _items(rows: tuple, k: int, similarity: float) -> Items:
-    return Items(list(rows), k, similarity)
+def _items(folder: str, k: int, similarity: float) -> Items:
+    """The items of one block's files."""
+    store, path = file_system(folder)
+    rows = []
+    for f in store.get_file_info(pafs.FileSelector(path)):
+        if f.path.endswith(".parquet"):
+            with store.open_input_file(f.path) as file:
+                t = pq.read_table(file, columns=["item", "text"])
+            rows += zip(t["item"].to_pylist(), t["text"].to_pylist())
+    return Items(sorted(rows, key=lambda r: (r[0] is None, r[0], r[1])), k, similarity)
+
+
+tx.KEPT.append(_items.cache_clear)
 
 
 _LEAK = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType()),
@@ -192,32 +230,31 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item
     schema = T.StructType([*out.schema.fields, T.StructField("leaks", T.ArrayType(_LEAK))])
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("start", pa.int64()),
                                ("n_words", pa.int64())]))
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text"))
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).filter(
+        F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     n_blocks = text_bytes(items) // block_bytes + 1
-    out = out.withColumn("leaks", F.lit(None).cast(schema["leaks"].dataType))
-    for block in range(n_blocks):
-        here = F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == block
-        rows = tuple(sorted(((r.item, r.text) for r in items.filter(here).collect()),
-                            key=lambda r: (r[0] is None, r[0], r[1] or "")))      # about block_bytes of text
-        if any(t and t.strip() for _, t in rows):
-            out = out.mapInArrow(_scan(rows, text_col, k, similarity, kind), schema)
-    return out
+    folder = new_folder(df.sparkSession, "benchmark")
+    block = F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks))
+    items.withColumn("block", block).repartition("block").write.partitionBy("block").parquet(folder)
+    filled = sorted(r.block for r in df.sparkSession.read.schema("item long, text string, block long").parquet(folder)
+                    .select("block").distinct().collect())         # numbers of blocks
+    if not filled:
+        return out.withColumn("leaks", F.lit(None).cast(schema["leaks"].dataType))
+    return out.mapInArrow(_scan([f"{folder}/block={b}" for b in filled], text_col, k, similarity, kind), schema)
 
 
-def _scan(rows: tuple, text_col: str, k: int, similarity: float, kind: pa.DataType):
+def _scan(folders: list[str], text_col: str, k: int, similarity: float, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tx.release()
-        items = _items(rows, k, similarity)
         for whole in batches:
             for b in tx.slices(whole, text_col):
                 data, off = tx.column_bytes(b.column(b.schema.get_field_index(text_col)))
-                last = b.num_columns - 1
-                before = b.column(last).to_pylist() if b.column(last).null_count < b.num_rows else [None] * b.num_rows
-                leaks = []
-                for old, new in zip(before, items.leaks(data, off)):
-                    new = [{"item_id": i, "similarity": s, "start": a, "n_words": n} for i, (s, a, n) in new.items()]
-                    leaks.append((old or []) + new if old or new else None)
-                yield pa.RecordBatch.from_arrays([*b.columns[:last], pa.array(leaks, kind)], b.schema.names)
+                best: list[dict] = [{} for _ in range(b.num_rows)]
+                for folder in folders:
+                    for mine, new in zip(best, _items(folder, k, similarity).leaks(data, off)):
+                        mine.update({i: x for i, x in new.items() if i not in mine or x[0] > mine[i][0]})
+                leaks = [[{"item_id": i, "similarity": s, "start": a, "n_words": n} for i, (s, a, n) in x.items()] or None for x in best]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaks, kind)], [*b.schema.names, "leaks"])
     return run
 
 

@@ -98,3 +98,31 @@ def test_blocks_of_the_benchmark_and_tricky_rows(spark, tricky):
     assert {(d, i) for d, i, _, _ in want} == {(5, 2), (5, 3), (10, 1), (11, 1), (None, None)}
     assert dc.find_leaks(tricky.limit(0), benchmark).count() == 0
     assert dc.find_leaks(tricky, benchmark.limit(0)).filter("leaks IS NOT NULL").count() == 0
+
+
+def test_index_passes_few_unrelated_fingerprints():
+    rng = np.random.default_rng(7)
+    a, b = (rng.integers(0, 256, (1000, dc.BITS // 8)).astype(np.uint8) for _ in range(2))
+    i, _ = dc._Size.near(dc.block_values(a), dc.block_values(b))
+    assert len(i) < 0.06 * 1000 * 1000
+
+
+def test_recall_of_the_radius_at_the_threshold():
+    """Windows of m shingles of which eight in nine are shared: all but one in a thousand are within the radius."""
+    rng = np.random.default_rng(8)
+    for m in (9, 27, 45):
+        item = rng.integers(0, 1 << 63, (6000, m)).astype(np.uint64)
+        window = item.copy()
+        window[:, :m // 9] = rng.integers(0, 1 << 63, (6000, m // 9)).astype(np.uint64)
+        apart = np.bitwise_count(dc.fingerprints(item) ^ dc.fingerprints(window)).sum(1, dtype=np.int64)
+        assert (apart <= dc.RADIUS).mean() > 0.999
+
+
+def test_comparison_in_small_slices(monkeypatch):
+    rng = np.random.default_rng(9)
+    size = dc._Size(20, 5, [(i, rng.integers(0, 1 << 63, 16).astype(np.uint64)) for i in range(50)], 0.8)
+    prints = size.prints[rng.integers(0, 50, 90)]
+    want = [x.tolist() for x in size.candidates(prints)]
+    monkeypatch.setattr(dc, "COMPARE_BYTES", 4 * dc.BLOCKS * 7)
+    got = [x.tolist() for x in size.candidates(prints)]
+    assert sorted(zip(*got)) == sorted(zip(*want)) and len(want[0]) >= 90
