@@ -80,8 +80,9 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 
 def write_warc(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
-               min_revisit: int = MIN_REVISIT) -> int:
-    """Write the rows as archives below ``folder``, one file a task; the number of files."""
+               min_revisit: int = MIN_REVISIT, file_bytes: int = PARTITION_BYTES) -> int:
+    """Write the rows as archives below ``folder``; the number of files. A task begins a new file after
+    ``file_bytes``, so that a file is one partition of a later read."""
     pages = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"),
                       F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     pages = pages.withColumn("digest", F.sha1("payload"))
@@ -93,16 +94,20 @@ def write_warc(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str
         "revisit", F.coalesce(F.col("page_id") < F.col("last"), F.col("last").isNotNull() & F.col("page_id").isNull()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = None
+        out, files = None, 0
         for whole in batches:
             for b in tx.slices(whole, "payload"):
-                if out is None:
-                    out = NewFile(f"{folder}/part-{TaskContext.get().partitionId():06d}.warc.gz")
                 for r in b.to_pylist():
+                    if out is not None and out.size >= file_bytes:
+                        out.close()
+                        out = None
+                    if out is None:
+                        out = NewFile(f"{folder}/part-{TaskContext.get().partitionId():06d}-{files:06d}.warc.gz")
+                        files += 1
                     out.write(_member(record(r["page_id"], r["url"], r["payload"], r["digest"], r["last"], r["revisit"])))
         if out is not None:
             out.close()
-            yield pa.RecordBatch.from_pydict({"files": pa.array([1], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"files": pa.array([files], pa.int64())})
 
     fs, path = file_system(folder)
     fs.create_dir(path, recursive=True)

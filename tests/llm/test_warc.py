@@ -63,3 +63,11 @@ def test_empty_table(spark):
     df, _ = pages(spark)
     folder = new_folder(spark, "test")
     assert warc.write_warc(df.limit(0), folder) == 0 and warc.page_records(spark, folder).count() == 0
+
+
+def test_archives_roll(spark):
+    df = spark.createDataFrame([(i, "u", f"{i} " * 500) for i in range(60)], "page_id long, url string, html string").coalesce(1)
+    one, many = new_folder(spark, "test"), new_folder(spark, "test")
+    assert warc.write_warc(df, many, file_bytes=500) > 20 > warc.write_warc(df, one)
+    rows = [sorted(map(tuple, warc.page_records(spark, f).collect())) for f in (one, many)]
+    assert rows[0] == rows[1] and len(rows[0]) == 60
