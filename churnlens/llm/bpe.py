@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from churnlens.llm import text as tx
 from churnlens.llm.registry import query, small_batches, table, tokenizer_path
-from churnlens.llm.units import UnitCache, added_tokens_are_local, combined_units
+from churnlens.llm.units import CACHE_UNITS, UnitCache, added_tokens_are_local, combined_units
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Entries of the pair table kept by one worker.
@@ -79,7 +79,7 @@ class OffsetTable:
 class Vocabulary:
     """Tokens, merges, automaton, prefix table and pair table of one file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_units: int = CACHE_UNITS):
         import ahocorasick
         import regex
 
@@ -132,8 +132,8 @@ class Vocabulary:
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))
                                          + ")").split if self.added else None
         self.added_starts = {s[0] for s in self.added}
-        self.words = UnitCache(lambda ws: [self._word_bytes(w) for w in ws])
-        self.units = UnitCache(lambda us: self._encode_raw([" " + u for u in us]))
+        self.words = UnitCache(lambda ws: [self._word_bytes(w) for w in ws], cache_units)
+        self.units = UnitCache(lambda us: self._encode_raw([" " + u for u in us]), cache_units)
 
     def _merges_early(self, a: int, b: int, before: int) -> bool:
         """True if some merge joins bytes of token a to bytes of b at a rank below ``before``.
@@ -216,9 +216,10 @@ class Vocabulary:
         got = c.young.get(word)
         if got is None:
             got = c.old.get(word) or self._word_bytes(word)
-            if len(c.young) >= c.half:
-                c.old, c.young = c.young, {}
+            if not c.room(1, len(word)):
+                c.age()
             c.young[word] = got
+            c.chars += len(word)
         return got
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
@@ -227,8 +228,8 @@ class Vocabulary:
 
 
 @lru_cache(maxsize=2)
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+def vocabulary(path: str, cache_units: int = CACHE_UNITS) -> Vocabulary:
+    return Vocabulary(path, cache_units)
 
 
 @lru_cache(maxsize=2)
@@ -282,10 +283,12 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "deco
 
 
 def round_trip(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids",
-               decoded_col: str = "decoded") -> DataFrame:
-    """``encode`` and ``decode`` in one pass, which saves the ids a way through a second worker."""
+               decoded_col: str = "decoded", cache_units: int = CACHE_UNITS) -> DataFrame:
+    """``encode`` and ``decode`` in one pass, which saves the ids a way through a second worker.
+
+    A worker keeps the ids of at most ``cache_units`` units and as many words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, table_ = vocabulary(path), offset_table(path)
+        v, table_ = vocabulary(path, cache_units), offset_table(path)
         for whole in batches:
             for b in tx.slices(whole, text_col):
                 ids, off = _encoded(v, b.column(b.schema.get_field_index(text_col)))

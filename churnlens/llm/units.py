@@ -14,8 +14,9 @@ import json
 import re
 from collections.abc import Callable, Iterator
 
-#: Units kept by one Python worker, in two generations of half of it each.
+#: Units kept by one Python worker, and their characters, in two generations of half of it each.
 CACHE_UNITS = 400_000
+CACHE_CHARS = 8 << 20
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _UNSAFE = ...   # cached for a unit with a space character at an edge
 
@@ -30,12 +31,23 @@ class UnitCache:
         self.compute, self.half, self.edges = compute, limit // 2, edges
         self.young: dict[str, object] = {}
         self.old: dict[str, object] = {}
+        self.chars = 0      # of the young keys
+
+    def room(self, keys: int, chars: int) -> bool:
+        """True if so many more keys may stand beside the young ones."""
+        return not self.young or (len(self.young) + keys <= self.half and self.chars + chars <= CACHE_CHARS // 2)
+
+    def age(self) -> None:
+        self.old, self.young, self.chars = self.young, {}, 0
 
     def fill(self, keys: set[str]) -> dict[str, object]:
         """A dict that has every unit of ``keys``."""
         new = keys - self.young.keys()
-        if self.young and len(self.young) + len(new) > self.half:
-            self.old, self.young, new = self.young, {}, keys
+        chars = len("".join(new))
+        if not self.room(len(new), chars):
+            self.age()
+            new, chars = keys, len("".join(keys))
+        self.chars += chars
         young, old = self.young, self.old
         for k in new & old.keys():
             young[k] = old[k]

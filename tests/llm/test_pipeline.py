@@ -57,9 +57,32 @@ def test_near_copies_of_repeated_rows_and_rows_without_id(spark):
     assert start == sorted([(1, "a0"), (None, "b0"), (5, "c0"), (5, "d0"), (6, ""), (7, ""), (None, "")], key=repr)
 
 
+def test_stages_keep_columns_named_like_an_operators(spark, tmp_path):
+    rng = random.Random(2)
+    text = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n)) + "."
+    names = ["n_words", "kept", "n_lines", "n_removed", "leaks", "row", "id", "n_shingles", "component_id", "ids"]
+    rows = [(i, text(60) + "\nsame line", "en", f"s{i % 13}", 7, *[f"{n}{i}" for n in names]) for i in range(15)] + [
+        (None, None, None, None, None, *["x"] * len(names)), (20, "", "en", "s", 0, *["x"] * len(names))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(1, text(30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for stage in (corpus_pipeline.quality, corpus_pipeline.lines, corpus_pipeline.near_copies, corpus_pipeline.benchmark_leaks):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.schema.simpleString() == docs.schema.simpleString()
+        got = {r.doc_id: r for r in out.collect()}
+        assert set(range(15)) <= set(got) and all(got[i][n] == f"{n}{i}" for i in range(15) for n in names)
+        empty = stage(spark, docs.limit(0), str(tmp_path))
+        assert empty.columns == docs.columns and empty.count() == 0
+    cut = {r.doc_id: r for r in corpus_pipeline.lines(spark, docs, str(tmp_path)).collect()}
+    assert cut[0].text == rows[0][1] and cut[3].text == rows[3][1].split("\n")[0] and cut[3].n_chars == len(cut[3].text)
+    tokens = corpus_pipeline.tokens(spark, docs, str(tmp_path)).collect()
+    assert len(tokens) == len(rows) and all(r.round_trip for r in tokens)
+
+
 def test_every_operator_has_a_query(spark):
     names = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([q for q in names if q.startswith(f"op{n}_")]) == 1
     assert "pipeline" in names and set(entry.oracle_sql()) <= set(names)
 
@@ -71,7 +94,9 @@ def test_contract_columns(spark):
             "op5_": ["doc_id", "n_words", "n_removed", "kept_sha256"],
             "op6_": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             "op7_": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
-            "op8_": ["doc_id", "start", "n_tokens", "ids_crc32"], "op9_": ["doc_id", "n_shingles", "component_id"]}
+            "op8_": ["doc_id", "start", "n_tokens", "ids_crc32"], "op9_": ["doc_id", "n_shingles", "component_id"],
+            "op11_": ["item_id", "rank", "doc_id", "score"], "op12_": ["lang", "rank", "phrase", "a", "l", "r", "n", "score"],
+            "op13_": ["query_id", "rank", "vec_id", "score"]}
     for name, fn in entry.queries().items():
         for prefix, columns in want.items():
             if name.startswith(prefix):

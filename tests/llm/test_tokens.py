@@ -148,3 +148,25 @@ def test_columns(spark, tricky, byte_level):
         assert r.ids == byte_level.encode(r.text or "").ids and r.decoded == (r.text or "")
     assert tokencount.token_counts(tricky.limit(0), path).count() == 0
     assert bpe.decode(bpe.encode(tricky.limit(0), path), path).count() == 0
+
+
+def test_unit_cache_is_bounded_in_characters(monkeypatch):
+    from churnlens.llm import units
+    monkeypatch.setattr(units, "CACHE_CHARS", 10_000)
+    cache = units.UnitCache(lambda us: [len(u) for u in us], limit=1000)
+    rng = random.Random(1)
+    for _ in range(50):
+        keys = {rng.choice("abc") * rng.randint(1, 3000) for _ in range(4)}
+        got = cache.fill(keys)
+        assert {k: got[k] for k in keys} == {k: len(k) for k in keys}
+        # Two generations of half the bound each, and what the last call brought.
+        assert sum(map(len, cache.young)) + sum(map(len, cache.old)) <= 10_000 + 4 * 3000 * 2
+
+
+def test_units_of_megabytes_round_trip(spark):
+    texts = ["x" * 3_000_000, "ab" * 1_000_000 + " tail", "y" * 3_000_000 + " " + "z" * 10]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in bpe.round_trip(df, tokenizer_path(bpe.VOCABULARY), cache_units=10).collect()}
+    lib = Tokenizer.from_file(tokenizer_path(bpe.VOCABULARY))
+    for i, t in enumerate(texts):
+        assert got[i].ids == lib.encode(t, add_special_tokens=False).ids and got[i].decoded == t
