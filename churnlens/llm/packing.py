@@ -18,6 +18,7 @@ own entry; an empty table gives no file and no row; other columns are not read.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import struct
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnlens.llm import text as tx
-from churnlens.llm.registry import query, small_batches, table, text_bytes, tokenizer_path
+from churnlens.llm.registry import query, table, text_bytes, tokenizer_path
 from churnlens.llm.storage import NewFile, file_system, new_folder
 from churnlens.llm.units import CACHE_UNITS, UnitCache, added_tokens_are_local
 
@@ -44,6 +45,8 @@ MAGIC = b"IDPACK01"
 _FOOTER = struct.Struct("<6q")
 #: Text bytes that one file is planned for.
 FILE_BYTES = 64 << 20
+#: Text bytes encoded at once: a unit is looked up once in them.
+SLICE_BYTES = 8 << 20
 
 
 def bits_for(vocabulary_size: int) -> int:
@@ -203,6 +206,16 @@ class Encoder:
         return [got[core] + got[tail] if tail else got[core] for core, tail in cut]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``_encode`` without the collector of cycles, which would go through all the strings it makes."""
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if on:
+                gc.enable()
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of a column of texts; null counts as empty.
 
         Where white space only separates words, the column is cut there, its distinct units are
@@ -217,8 +230,11 @@ class Encoder:
         lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if self.lower and not mixed else texts)
         units = pc.dictionary_encode(lists.flatten())
         names = units.dictionary.to_pylist()
-        got = self.cache.fill(set(names))
-        values = list(map(got.__getitem__, names))
+        values = list(map(self.cache.young.get, names))
+        miss = [n for n, v in zip(names, values) if v is None]
+        if miss:
+            got = self.cache.fill(set(miss))
+            values = [got[n] if v is None else v for n, v in zip(names, values)]
         blob = np.frombuffer(b"".join(values), "<u4")
         size = np.fromiter(map(len, values), np.int64, len(values)) // 4
         start = np.cumsum(size) - size
@@ -241,13 +257,14 @@ def write_ids(df: DataFrame, path: str, folder: str, end_id: int | None = None,
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), text_bytes(docs) // file_bytes + 1)
-    ordered = (docs.repartitionByRange(parts, "doc_id")
-               .sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text")))
+    # Rows of one id (or without one) may be many: the text's hash deals them out.
+    order = [F.asc_nulls_first("doc_id"), F.xxhash64("text")]
+    ordered = docs.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, out, name = encoder(path), None, ""
         for whole in batches:
-            for b in tx.slices(whole, "text"):
+            for b in tx.slices(whole, "text", SLICE_BYTES):
                 if out is None:
                     name = f"{folder}/part-{TaskContext.get().partitionId():06d}.ids"
                     out = PackWriter(name, bits_for(max(e.size, (end_id or 0) + 1)), block)
@@ -262,8 +279,8 @@ def write_ids(df: DataFrame, path: str, folder: str, end_id: int | None = None,
                 "file": [name], "least": pa.array([keys[0] if keys else None], pa.int64()),
                 "n_docs": pa.array([len(out.doc_ids)], pa.int64()), "n_ids": pa.array([out.first[-1]], pa.int64())})
 
-    files = small_batches(ordered).mapInArrow(run, "file string, least long, n_docs long, n_ids long").collect()   # one row a file
-    files.sort(key=lambda r: (r.least is not None, r.least))
+    files = ordered.mapInArrow(run, "file string, least long, n_docs long, n_ids long").collect()   # one row a file
+    files.sort(key=lambda r: r.file)        # the ranges' order
     start, rows = 0, []
     for r in files:
         rows.append((r.file, r.n_docs, r.n_ids, start))
