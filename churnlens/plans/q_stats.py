@@ -36,6 +36,14 @@ EXP = """exp AS (SELECT c.customer_id, c.treatment_group AS grp, c.persona, c.ch
                          GROUP BY customer_id) a ON c.customer_id = a.customer_id)"""
 
 
+#: Normal tail in SQL: phi(z) times the series of z**(2k + 1) / (1 3 5 ... (2k + 1)).
+def normal_sf_sql(z: str) -> str:
+    """P(Z > z) for z of any sign, as SQL."""
+    term = (f"exp((2 * k + 1) * ln(abs({z})) - lgamma(k + 1.5) - (k + 1) * ln(2.0) + 0.5 * ln(pi()))")
+    half = f"exp(-0.5 * {z} * {z}) / sqrt(2 * pi()) * list_sum([{term} for k in range(0, 200)])"
+    return f"CASE WHEN {z} = 0 THEN 0.5 WHEN abs({z}) > 8 THEN CASE WHEN {z} > 0 THEN 0.0 ELSE 1.0 END ELSE 0.5 - sign({z}) * ({half}) END"
+
+
 def summ(metric: str) -> str:
     return f"""(SELECT count(CASE WHEN grp = 'treatment' THEN {metric} END) AS n_a,
     count(CASE WHEN grp = 'control' THEN {metric} END) AS n_b,
@@ -233,9 +241,18 @@ def q_experiment_summary(spark, sf):
     return st.experiment_summary(_exp(spark, sf), "converted", with_test=False)
 
 
-@register("experiment_summary_tested")
+@register("experiment_summary_tested", oracle(f"""
+SELECT * EXCLUDE (zv), zv AS test_statistic, p_value < 0.05 AS is_significant FROM (
+  SELECT *, least(1.0, CASE WHEN zv = 0 THEN 1.0 ELSE 2 * ({normal_sf_sql("abs(zv)")}) END) AS p_value FROM (
+    SELECT 'converted' AS metric, n_a, n_b, mean_a, mean_b, mean_a - mean_b AS difference,
+      CASE WHEN mean_b <> 0 THEN (mean_a - mean_b) / abs(mean_b) WHEN mean_a <> 0 THEN 'inf'::DOUBLE ELSE 0.0 END AS relative_lift,
+      mean_a - mean_b - {Z95!r} * sqrt(var_a / n_a + var_b / n_b) AS ci_lower,
+      mean_a - mean_b + {Z95!r} * sqrt(var_a / n_a + var_b / n_b) AS ci_upper, 'z_test_proportions' AS test_used,
+      CASE WHEN pp = 0 OR pp = 1 THEN 0.0 ELSE (mean_a - mean_b) / sqrt(pp * (1 - pp) * (1.0 / n_a + 1.0 / n_b)) END AS zv
+    FROM (SELECT *, (sum_a + sum_b) / (n_a + n_b) AS pp FROM {summ('converted')})))""", views=V, ctes=[EXP],
+    doubles=["mean_a", "mean_b", "difference", "relative_lift", "ci_lower", "ci_upper", "test_statistic", "p_value"]))
 def q_experiment_summary_tested(spark, sf):
-    """The summary with its test (rows-only: p-value)."""
+    """The summary with its test."""
     return st.experiment_summary(_exp(spark, sf), "converted")
 
 
@@ -427,14 +444,7 @@ def q_experiment_effects(spark, sf):
     return st.experiment_readout(_arms(spark, sf), with_p=False)
 
 
-@register("campaign_results")
-def q_campaign_results(spark, sf):
-    """Campaign slices with p-value and significance gate (rows-only: p-values)."""
-    c = _exp(spark, sf).withColumnRenamed("group", "treatment_group").withColumnRenamed("churned", "churn_label")
-    return st.campaign_slices(c, "churn_label", 30, HIGH_RISK)
-
-
-@register("campaign_slices", oracle(f"""
+SLICES = f"""
 SELECT slice, n_treatment, n_control, treatment_rate, control_rate,
   CASE WHEN se = 0 THEN 0.0 ELSE (treatment_rate - control_rate) / se END AS z_statistic,
   treatment_rate - control_rate AS effect,
@@ -452,7 +462,10 @@ FROM (SELECT *, least(greatest(pp, 0.01), 0.94) AS b, max(slice = 'high_risk_per
         UNION ALL SELECT grp, CAST(churned AS DOUBLE), 'early_signups' FROM exp
           WHERE date_diff('day', DATE '1970-01-01', signup_date)
                 <= (SELECT median(date_diff('day', DATE '1970-01-01', signup_date)) FROM exp))
-  GROUP BY slice) WHERE n_treatment >= 30 AND n_control >= 30) WHERE slice <> 'early_signups' OR NOT has_high""",
+  GROUP BY slice) WHERE n_treatment >= 30 AND n_control >= 30) WHERE slice <> 'early_signups' OR NOT has_high"""
+
+
+@register("campaign_slices", oracle(SLICES,
     views=V, ctes=[EXP], doubles=["treatment_rate", "control_rate", "z_statistic", "effect", "lift"]))
 def q_campaign_slices(spark, sf):
     """Campaign test slices with at least 30 per arm."""
@@ -460,14 +473,6 @@ def q_campaign_slices(spark, sf):
     return st.campaign_slices(c, "churn_label", 30, HIGH_RISK, with_p=False)
 
 
-#: Normal tail in SQL: phi(z) times the series of z**(2k + 1) / (1 3 5 ... (2k + 1)).
-def normal_sf_sql(z: str) -> str:
-    """P(Z > z) for z of any sign, as SQL."""
-    term = (f"exp((2 * k + 1) * ln(abs({z})) - lgamma(k + 1.5) - (k + 1) * ln(2.0) + 0.5 * ln(pi()))")
-    half = f"exp(-0.5 * {z} * {z}) / sqrt(2 * pi()) * list_sum([{term} for k in range(0, 200)])"
-    return f"CASE WHEN {z} = 0 THEN 0.5 WHEN abs({z}) > 8 THEN CASE WHEN {z} > 0 THEN 0.0 ELSE 1.0 END ELSE 0.5 - sign({z}) * ({half}) END"
-
-
 #: A nation's suppliers against its customers. The counts of orders by U are the coefficients of the Gaussian
 #: binomial, built factor by factor of the smaller arm.
 MW_NATION = f"""arms AS (SELECT s_nationkey AS k, 1 AS a, s_acctbal AS v FROM supplier UNION ALL SELECT c_nationkey, 0, c_acctbal FROM customer),
@@ -503,3 +508,12 @@ def q_mann_whitney_by_nation(spark, sf):
                                                         F.col("c_acctbal").alias("balance"))
     return st.mann_whitney(sup.unionByName(cust), "balance", by=["nation"]).select(
         "nation", "test_statistic", "n_a", "n_b", "effect_size", "p_value")
+
+
+@register("campaign_results", oracle(f"""SELECT *, p_value < 0.05 AND treatment_rate < control_rate AS is_significant FROM (
+  SELECT *, CASE WHEN z_statistic = 0 THEN 1.0 ELSE least(1.0, 2 * ({normal_sf_sql("abs(z_statistic)")})) END AS p_value FROM ({SLICES}))""",
+    views=V, ctes=[EXP], doubles=["treatment_rate", "control_rate", "z_statistic", "effect", "lift", "p_value"]))
+def q_campaign_results(spark, sf):
+    """Campaign slices with p-value and significance gate."""
+    c = _exp(spark, sf).withColumnRenamed("group", "treatment_group").withColumnRenamed("churned", "churn_label")
+    return st.campaign_slices(c, "churn_label", 30, HIGH_RISK)
