@@ -150,14 +150,15 @@ def psi_summary(report: DataFrame) -> DataFrame:
 def ks_two_sample(ref: DataFrame, prod: DataFrame, features: list[str], with_p: bool = True) -> DataFrame:
     """KS statistic = max |F_ref - F_prod| over distinct values, per feature; the p-value is exact up
     to 10,000 rows a side. A feature without a value on a side has an undefined (null) statistic."""
-    out = ks_by_feature(long_form(ref, features), long_form(prod, features), with_p)
+    out = ks_by_feature(long_form(ref, features), long_form(prod, features), with_p, len(features))
     names = ref.sparkSession.createDataFrame([(c,) for c in features], "feature string")
     out = names.join(out, "feature", "left")        # one row a feature
     return out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_ref", "n_prod")})
 
 
-def ks_by_feature(ref: DataFrame, prod: DataFrame, with_p: bool = True) -> DataFrame:
-    """The KS test of two long tables (feature, value), for any number of features."""
+def ks_by_feature(ref: DataFrame, prod: DataFrame, with_p: bool = True, n_parts: int | None = None) -> DataFrame:
+    """The KS test of two long tables (feature, value), for any number of features. Their p-values are dealt
+    over ``n_parts`` tasks (default: the shuffle partitions)."""
     both = (ref.withColumn("side", F.lit("r")).unionByName(prod.withColumn("side", F.lit("p")))
             .filter(F.col("value").isNotNull() & ~F.isnan("value")))
     v = both.groupBy("feature", "value").agg(F.count_if(F.col("side") == "r").alias("rc"),
@@ -168,6 +169,9 @@ def ks_by_feature(ref: DataFrame, prod: DataFrame, with_p: bool = True) -> DataF
     out = o.groupBy("feature").agg(F.max(gap).alias("ks_statistic"), F.max("n_ref").cast("long").alias("n_ref"),
                                    F.max("n_prod").cast("long").alias("n_prod"))
     if with_p:
+        # A row a feature is little data, which AQE would give to one task, but exact p-values take their time.
+        n_parts = n_parts or int(ref.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        out = out.repartition(n_parts)
         out = out.withColumn("p_value", sf.ks_pvalue_udf(F.col("ks_statistic"), F.col("n_ref"), F.col("n_prod")))
     return out
 
