@@ -48,9 +48,15 @@ def parse_requests(raw: DataFrame) -> DataFrame:
     return out.drop("__f")
 
 
-def read_requests(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
-    """T4: streaming source of request files (``maxFilesPerTrigger`` bounds a micro-batch)."""
-    raw = spark.readStream.schema(REQUEST_SCHEMA).option("maxFilesPerTrigger", max_files).parquet(path)
+#: Bytes of request files that a micro-batch reads.
+BATCH_BYTES = 1 << 30
+
+
+def read_requests(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """T4: streaming source of request files. A micro-batch is bounded by ``BATCH_BYTES``, so many small files are
+    no more micro-batches than few large ones; with ``max_files`` by the number of files."""
+    bound = ("maxBytesPerTrigger", str(BATCH_BYTES)) if max_files is None else ("maxFilesPerTrigger", str(max_files))
+    raw = spark.readStream.schema(REQUEST_SCHEMA).option(*bound).parquet(path)
     return parse_requests(raw)
 
 
@@ -109,8 +115,8 @@ def stream_throughput(spark: SparkSession, source: str, sink: str, checkpoint: s
 
     Without ``keep`` every request counts, however late, and the state keeps one row a window for ever. With
     it (an interval, as ``"7 days"``) a window leaves the state once it is so much older than the newest request, and
-    requests for it that come later are not counted."""
-    requests = read_requests(spark, source)
+    requests for it that come later are not counted; as what is late follows from the micro-batches, each file is one."""
+    requests = read_requests(spark, source, None if keep is None else 1)
     if keep is not None:
         requests = requests.withWatermark("event_time", keep)
     g = (requests.groupBy(F.window("event_time", f"{minutes} minutes").alias("w"))
