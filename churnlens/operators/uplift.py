@@ -34,6 +34,8 @@ def uplift_t(df: DataFrame, features: list[str], label: str = "churn_label", tre
     """T-learner; uplift = P(churn | control) - P(churn | treated). Fitted on ``df``, applied to
     ``score`` (default: the same rows)."""
     d = df.withColumn("label", F.col(label).cast("double"))
+    if score is None:
+        d = cut_lineage(d)      # both fits and both scorings read the rows: their joins run once
     mt = _gbt(features).fit(d.filter(F.col(treat) == 1))
     mc = _gbt(features).fit(d.filter(F.col(treat) == 0))
     rows = d if score is None else score
@@ -45,6 +47,8 @@ def uplift_s(df: DataFrame, features: list[str], label: str = "churn_label", tre
              score: DataFrame | None = None) -> DataFrame:
     """S-learner; one model with the treatment flag, applied with 0 and with 1."""
     d = df.withColumn("label", F.col(label).cast("double")).withColumn("__t", F.col(treat).cast("double"))
+    if score is None:
+        d = cut_lineage(d)
     m = _gbt(features + ["__t"]).fit(d)
     rows = d if score is None else score
     return (_p(m, rows.withColumn("__t", F.lit(0.0)), "p_control")
